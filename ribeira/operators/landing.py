@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,14 +76,19 @@ def archive_inventory(inspected: DataFrame) -> DataFrame:
     return inspected.filter("is_zip").select("path", F.posexplode("members").alias("pos", "member"))
 
 
-def landed_file_check(inspected: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """(path, ok, reason) per landed file, and per declared path that did not land."""
+def judge_files(inspected: DataFrame) -> DataFrame:
+    """Inspected files with ``ok`` and, where that is false, the ``reason``."""
     reason = (
         F.when(F.col("length") == 0, "empty")
         .when((F.col("suffix") == ".zip") & ~F.col("is_zip"), "not_a_zip")
         .when(F.col("suffix").isin(".json", ".geojson") & ~F.col("is_json"), "invalid_json")
     )
-    checked = inspected.select("path", reason.isNull().alias("ok"), reason.alias("reason"))
+    return inspected.withColumns({"ok": reason.isNull(), "reason": reason})
+
+
+def landed_file_check(inspected: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """(path, ok, reason) per landed file, and per declared path that did not land."""
+    checked = judge_files(inspected).select("path", "ok", "reason")
     if declared is None:
         return checked
     absent = declared.select("path").distinct().join(inspected.select("path"), "path", "left_anti")
@@ -104,6 +109,15 @@ def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MA
     return fetch_log.join(expected, "source_id", "left").withColumn("reject_reason", reason).drop("expected_sha256")
 
 
+def settle_attempts(judged: DataFrame) -> DataFrame:
+    """One row per source and URL: the first accepted attempt, or the last one if all were rejected."""
+    won = F.col("reject_reason").isNull()
+    order = Window.partitionBy("source_id", "url").orderBy(
+        won.desc(), F.when(won, F.col("attempt")).otherwise(-F.col("attempt"))
+    )
+    return judged.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") == 1).drop("__place")
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 

@@ -46,7 +46,7 @@ def safe_names(header: list[tuple[str, str, str, str]]) -> dict[str, str]:
 
 def _rows(payloads: DataFrame) -> DataFrame:
     """One row per payload element after the header, as a map from code to text."""
-    elements = F.from_json("value", "ARRAY<MAP<STRING, STRING>>")
+    elements = F.from_json("value", "ARRAY<MAP<STRING, STRING>>", {"mode": "FAILFAST"})
     return payloads.select(F.posexplode(elements).alias("pos", "row")).filter("pos > 0").select("row")
 
 
