@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ribeira.functions.sql import evaluate, let, text
+
 # White space as Python's str.strip() sees it; Java's \s stops at ASCII and leaves out \x1c-\x1f.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # What is left of it once a text is plain ASCII.
@@ -48,31 +50,25 @@ def fold_to_ascii(c: Column) -> Column:
     form; only rows that still hold other characters are cut up to look for longer forms.
     """
     single, letter, several, forms = ascii_folds()
-    known = F.lit(several)
-    longer = F.array(*[F.lit(form) for form in forms])
-
-    def expand(piece: Column) -> Column:
-        place = F.when(F.length(piece) == 1, F.position(piece, known)).otherwise(F.lit(0))
-        return F.coalesce(F.get(longer, place - 1), piece)
-
-    def finish(folded: Column) -> Column:
-        # Cut before and after each such character, but never inside a surrogate pair.
-        pieces = F.split(folded, f"(?![\\uDC00-\\uDFFF])(?:(?<={NOT_ASCII})|(?={NOT_ASCII}))")
-        expanded = F.concat_ws("", F.transform(pieces, expand))
-        return F.when(
-            folded.rlike(NOT_ASCII), F.regexp_replace(expanded, NOT_ASCII + "+", "")
-        ).otherwise(folded)
-
-    # The one-element array binds the translated text, so that it is worked out once per row.
-    finished = F.transform(F.array(F.translate(c, single, letter)), finish)
-    return F.when(c.rlike(NOT_ASCII), F.get(finished, F.lit(0))).otherwise(c)
+    # Cut before and after each remaining character, but never inside a surrogate pair.
+    cut = text(rf"(?![\uDC00-\uDFFF])(?:(?<={NOT_ASCII})|(?={NOT_ASCII}))")
+    place = f"if(length(piece) = 1, position(piece, {text(several)}), 0)"
+    longer = f"split({text(chr(10).join(forms))}, '\\n')"
+    pieces = f"transform(split(folded, {cut}), piece -> coalesce(get({longer}, {place} - 1), piece))"
+    expanded = f"regexp_replace(array_join({pieces}, ''), {text(NOT_ASCII + '+')}, '')"
+    finished = let(
+        "folded",
+        f"translate(arg.c, {text(single)}, {text(letter)})",
+        f"if(rlike(folded, {text(NOT_ASCII)}), {expanded}, folded)",
+    )
+    return F.when(c.rlike(NOT_ASCII), evaluate(finished, c=c)).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
     """ASCII, trimmed, lower case, runs of white space as one blank; null becomes ''."""
-    text = fold_to_ascii(F.coalesce(c.cast("string"), F.lit("")))
+    folded = fold_to_ascii(F.coalesce(c.cast("string"), F.lit("")))
     # Only runs that are not a single blank already need replacing.
-    collapsed = F.regexp_replace(text, f"[\\t-\\r\\x1c-\\x1f][{ASCII_SPACE}]*| [{ASCII_SPACE}]+", " ")
+    collapsed = F.regexp_replace(folded, f"[\\t-\\r\\x1c-\\x1f][{ASCII_SPACE}]*| [{ASCII_SPACE}]+", " ")
     return F.lower(F.trim(collapsed))
 
 
@@ -84,21 +80,21 @@ def slug(c: Column) -> Column:
 
 def clean_code(c: Column, width: int = 7) -> Column:
     """All-digit codes padded with zeros to ``width``, never cut; anything else is null."""
-    text = F.regexp_replace(c.cast("string"), r"\.0(?=\n?\z)", "")
-    code = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    whole = F.regexp_replace(c.cast("string"), r"\.0(?=\n?\z)", "")
+    code = F.regexp_replace(whole, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
     padded = F.when(F.length(code) >= width, code).otherwise(F.lpad(code, width, "0"))
     return F.when(code.rlike(r"^\p{Nd}+\z"), padded)
 
 
 def coerce_numeric(c: Column) -> Column:
     """The number in a text as DOUBLE, or null where there is none or it is out of range."""
-    text = c.cast("string")
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    overflow = (F.abs(number) == float("inf")) & ~text.rlike("(?i)inf")
+    written = c.cast("string")
+    number = F.when(written.rlike(NUMBER), written.try_cast("double"))
+    overflow = (F.abs(number) == float("inf")) & ~written.rlike("(?i)inf")
     return F.when(~overflow, number)
 
 
 def localized_number(c: Column) -> Column:
     """Numbers written ``1.234,5``; blanks and dots are grouping, '-' and 'X' mean missing."""
-    text = F.replace(F.replace(c.cast("string"), F.lit(" "), F.lit("")), F.lit("."), F.lit(""))
-    return coerce_numeric(F.replace(text, F.lit(","), F.lit(".")))
+    bare = F.replace(F.replace(c.cast("string"), F.lit(" "), F.lit("")), F.lit("."), F.lit(""))
+    return coerce_numeric(F.replace(bare, F.lit(","), F.lit(".")))

@@ -2,17 +2,15 @@
 
 URLs are split by regular expression: ``parse_url`` rejects what real pages contain (a blank in a
 path, for example). The groups are those of RFC 3986, appendix B, with a scheme that has to start
-with a letter.
+with a letter. In the SQL text below, ``p`` and the like are structs made by ``_parts``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ribeira.fixed import BLOCKED_HOSTS, DATA_EXTENSIONS, MAX_FILE_NAME, OUTPUT_FORMATS
+from ribeira.functions.sql import evaluate, let, text, texts
 
 URL_PATTERN = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 HREF_PATTERN = r"""(?i)href=["']([^"']+)["']"""
@@ -29,60 +27,82 @@ PARAMETER_SCHEMES = [
 ]
 
 
-def _clean(url: Column) -> Column:
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+def _parts(url: str) -> str:
+    """STRUCT<scheme, authority, path, query, fragment>; a missing part is ''.
 
+    Leading blanks and control characters, tabs and line ends anywhere are not part of a URL, so
+    that a line end can separate the groups: one regular-expression pass yields all of them.
+    """
+    junk = text(r"^[\x00-\x20]+|[\t\r\n]")
+    clean = f"if(rlike({url}, {text(r'[\x00-\x20]')}), regexp_replace({url}, {junk}, ''), {url})"
+    groups = f"split(regexp_replace({clean}, {text(URL_PATTERN)}, {text('$1\n$2\n$3\n$4\n$5')}), '\\n')"
+    return let(
+        "g",
+        groups,
+        "named_struct('scheme', lower(get(g, 0)), 'authority', get(g, 1), 'path', get(g, 2), "
+        "'query', get(g, 3), 'fragment', get(g, 4))",
+    )
 
-def _group(url: Column, number: int) -> Column:
-    return F.regexp_extract(_clean(url), URL_PATTERN, number)
 
+def _path(p: str) -> str:
+    tailed = f"contains({p}.path, ';') AND {p}.scheme IN ({texts(PARAMETER_SCHEMES)})"
+    return f"if({tailed}, regexp_replace({p}.path, ';[^/]*$', ''), {p}.path)"
 
-def url_scheme(url: Column) -> Column:
-    return F.lower(_group(url, 1))
 
+def _host(p: str) -> str:
+    bracketed = f"regexp_extract(place, {text(r'^\[([^\]]*)')}, 1)"
+    return let(
+        "place",
+        f"regexp_replace({p}.authority, '^.*@', '')",
+        f"lower(if(startswith(place, '['), {bracketed}, substring_index(place, ':', 1)))",
+    )
 
-def url_authority(url: Column) -> Column:
-    return _group(url, 2)
 
+def ends_in_data_extension(lowered: str) -> str:
+    """SQL test whether a lower-case text ends in one of the accepted data-file extensions."""
+    return "(" + " OR ".join(f"endswith({lowered}, {text(extension)})" for extension in DATA_EXTENSIONS) + ")"
 
-def url_full_path(url: Column) -> Column:
-    return _group(url, 3)
 
+def _output_format(query: str) -> str:
+    """What ``url_output_format`` says, from the query string.
 
-def url_path(url: Column) -> Column:
-    """The path without the ``;parameters`` of its last segment."""
-    path = url_full_path(url)
-    return F.when(
-        url_scheme(url).isin(PARAMETER_SCHEMES), F.regexp_replace(path, ";[^/]*$", "")
-    ).otherwise(path)
+    A ``%`` that starts no escape stays as it is. Few queries have the parameter; the others stop at
+    the first test.
+    """
 
+    def decoded(group: int) -> str:
+        part = f"regexp_extract(pair, '(?s)^([^=]*)=(.+)$', {group})"
+        return f"try_url_decode(regexp_replace({part}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
 
-def url_query(url: Column) -> Column:
-    return _group(url, 4)
+    pairs = (
+        f"filter(transform(split({query}, '&'), pair -> named_struct('name', {decoded(1)}, 'value', {decoded(2)})), "
+        "pair -> lower(pair.name) = 'outputformat' AND pair.value <> '')"
+    )
+    last_spelling = "element_at(array_distinct(transform(found, pair -> pair.name)), -1)"
+    value = f"get(filter(found, pair -> pair.name = {last_spelling}), 0).value"
+    formats = " ".join(f"WHEN contains(asked, {text(needle)}) THEN {text(ext)}" for needle, ext in OUTPUT_FORMATS)
+    chosen = let("found", pairs, f"if(size(found) > 0, {let('asked', f'lower({value})', f'CASE {formats} END')}, NULL)")
+    return f"if(rlike({query}, '(?i)outputformat|%'), {chosen}, NULL)"
 
 
-def url_fragment(url: Column) -> Column:
-    return _group(url, 5)
+def _promises_data(p: str) -> str:
+    ends = let("ending", f"lower({_path(p)})", ends_in_data_extension("ending"))
+    return f"({ends} OR {_output_format(p + '.query')} IS NOT NULL)"
 
 
-def url_host(url: Column) -> Column:
-    """Lower-case host without user and port."""
-    place = F.regexp_replace(url_authority(url), "^.*@", "")
-    return F.lower(
-        F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(
-            F.regexp_extract(place, "^[^:]*", 0)
-        )
-    )
+def _name(path: str) -> str:
+    segments = f"filter(split({path}, '/'), part -> part NOT IN ('', '.'))"
+    return let("s", segments, "coalesce(get(s, size(s) - 1), '')")
 
 
-def ends_in_data_extension(text: Column) -> Column:
-    """Whether a lower-case text ends in one of the accepted data-file extensions."""
-    return reduce(lambda a, b: a | b, [text.endswith(extension) for extension in DATA_EXTENSIONS])
+def url_path(url: Column) -> Column:
+    """The path without the ``;parameters`` of its last segment."""
+    return evaluate(let("p", _parts("arg.url"), _path("p")), url=url)
 
 
-def _decoded(text: Column) -> Column:
-    """Query-string decoding; a ``%`` that starts no escape stays as it is."""
-    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+def url_host(url: Column) -> Column:
+    """Lower-case host without user and port."""
+    return evaluate(let("p", _parts("arg.url"), _host("p")), url=url)
 
 
 def url_output_format(url: Column) -> Column:
@@ -91,128 +111,100 @@ def url_output_format(url: Column) -> Column:
     Names are compared without case and blank values do not count. Where one query spells the name
     in several ways, the spelling that appears last is taken, and of that its first value.
     """
-    def pairs(query: Column) -> Column:
-        return F.filter(
-            F.transform(
-                F.split(query, "&"),
-                lambda pair: F.struct(
-                    _decoded(F.regexp_extract(pair, "(?s)^([^=]*)=(.+)$", 1)).alias("name"),
-                    _decoded(F.regexp_extract(pair, "(?s)^([^=]*)=(.+)$", 2)).alias("value"),
-                ),
-            ),
-            lambda pair: (F.lower(pair["name"]) == "outputformat") & (pair["value"] != ""),
-        )
-
-    def first_of_last_spelling(found: Column) -> Column:
-        names = F.array_distinct(F.transform(found, lambda pair: pair["name"]))
-        spelling = F.get(names, F.size(names) - 1)
-        return F.get(F.filter(found, lambda pair: pair["name"] == spelling), F.lit(0))["value"]
-
-    # Few URLs have the parameter; the others stop at this test. The array binds the pairs once.
-    value = F.when(
-        url.rlike("(?i)outputformat|%"),
-        F.get(F.transform(F.array(pairs(url_query(url))), first_of_last_spelling), F.lit(0)),
-    )
-    text = F.lower(value)
-    (needle, extension), *rest = OUTPUT_FORMATS
-    chain = F.when(text.contains(needle), extension)
-    for needle, extension in rest:
-        chain = chain.when(text.contains(needle), extension)
-    return chain
+    return evaluate(let("p", _parts("arg.url"), _output_format("p.query")), url=url)
 
 
 def url_promises_data(url: Column) -> Column:
     """The path ends in an accepted extension, or the query asks for a known format."""
-    return ends_in_data_extension(F.lower(url_path(url))) | url_output_format(url).isNotNull()
+    return evaluate(let("p", _parts("arg.url"), _promises_data("p")), url=url)
 
 
 def url_candidate(url: Column) -> Column:
     """Whether a link is worth fetching: no fragment, no blocked host, and it promises data."""
-    wanted = (url_fragment(url) == "") & ~url_host(url).isin(BLOCKED_HOSTS) & url_promises_data(url)
-    return F.coalesce(wanted, F.lit(False))
+    wanted = f"p.fragment = '' AND {_host('p')} NOT IN ({texts(BLOCKED_HOSTS)}) AND {_promises_data('p')}"
+    return evaluate(f"coalesce({let('p', _parts('arg.url'), wanted)}, false)", url=url)
 
 
 def path_name(path: Column) -> Column:
     """Last segment of a path; empty and ``.`` segments do not count."""
-    segments = F.filter(F.split(path, "/"), lambda part: ~part.isin("", "."))
-    return F.coalesce(F.get(segments, F.size(segments) - 1), F.lit(""))
+    return evaluate(_name("arg.path"), path=path)
+
+
+def link_names(urls: Column) -> Column:
+    """File names of an array of URLs; no array, no names."""
+    each = let("p", _parts("u"), _name(_path("p")))
+    return evaluate(f"transform(coalesce(arg.urls, array()), u -> {each})", urls=urls)
 
 
 def file_suffix(path: Column) -> Column:
     """Lower-case extension of a path's last segment, with its dot; '' if there is none."""
-    return F.lower(F.regexp_extract(path_name(path), r"(?s)^.+(\.[^.]+)$", 1))
+    suffix = text(r"(?s)^.+(\.[^.]+)$")
+    return evaluate(f"lower(regexp_extract({_name('arg.path')}, {suffix}, 1))", path=path)
 
 
 def safe_filename(url: Column, fallback: Column) -> Column:
     """A portable file name for what a URL delivers."""
-    name = path_name(url_path(url))
-    name = F.when(name == "", fallback).otherwise(name)
-    promised = url_output_format(url)
-    name = F.when(
-        promised.isNotNull() & ~ends_in_data_extension(F.lower(name)), F.concat(fallback, promised)
-    ).otherwise(name)
-    return F.substring(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), 1, MAX_FILE_NAME)
-
-
-def _remove_dots(path: Column) -> Column:
-    """``.`` and ``..`` segments of a merged path resolved (RFC 3986, 5.2.4)."""
-    def step(done: Column, part: Column) -> Column:
-        return (
-            F.when(part == ".", done)
-            .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-            .otherwise(F.array_append(done, part))
-        )
-
-    parts = F.split(path, "/")
-    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    closed = F.when(path.rlike(r"(?:^|/)\.\.?$"), F.array_append(kept, F.lit(""))).otherwise(kept)
-    return F.array_join(closed, "/")
+    choices = f"named_struct('name', {_name(_path('p'))}, 'promised', {_output_format('p.query')})"
+    promised = f"c.promised IS NOT NULL AND NOT {ends_in_data_extension('lower(c.name)')}"
+    chosen = (
+        f"CASE WHEN {promised} THEN concat(arg.fallback, c.promised) WHEN c.name = '' THEN arg.fallback ELSE c.name END"
+    )
+    cleaned = f"substring(regexp_replace({chosen}, '[^A-Za-z0-9._-]+', '_'), 1, {MAX_FILE_NAME})"
+    return evaluate(let("p", _parts("arg.url"), let("c", choices, cleaned)), url=url, fallback=fallback)
+
+
+def _merged_path(base_path: str, path: str) -> str:
+    """A reference's path on top of the base's folder, dots resolved; '/' if nothing is left.
+
+    Empty segments vanish when two paths are merged, but stay in a rooted path.
+    """
+    folder = f"regexp_replace({base_path}, '[^/]*$', '')"
+    merged = f"if(startswith({path}, '/'), {path}, regexp_replace(concat({folder}, {path}), '/{{2,}}', '/'))"
+    step = "CASE part WHEN '.' THEN done WHEN '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) ELSE array_append(done, part) END"
+    kept = f"aggregate(split(m, '/'), CAST(array() AS ARRAY<STRING>), (done, part) -> {step})"
+    closing = f"if(rlike(m, {text(r'(?:^|/)\.\.?$')}) AND size(kept) > 0, '/', '')"
+    undotted = let("kept", kept, f"concat(array_join(kept, '/'), {closing})")
+    final = f"if(rlike(m, {text(r'(?:^|/)\.\.?(?:/|$)')}), {undotted}, m)"
+    return let("m", merged, f"coalesce(nullif({final}, ''), '/')")
+
+
+def _resolve(b: str, h: str, href: str) -> str:
+    """The link ``href`` with parts ``h`` on a page with parts ``b``; neither text is empty."""
+
+    def choice(authority: str, path: str, query: str) -> str:
+        return f"named_struct('authority', {authority}, 'path', {path}, 'query', {query})"
+
+    target = (
+        f"CASE WHEN {h}.authority <> '' THEN {choice(f'{h}.authority', f'{h}.path', f'{h}.query')} "
+        f"WHEN {h}.path = '' THEN {choice(f'{b}.authority', f'{b}.path', f'if({h}.query = {text("")}, {b}.query, {h}.query)')} "
+        f"ELSE {choice(f'{b}.authority', _merged_path(f'{b}.path', f'{h}.path'), f'{h}.query')} END"
+    )
+    rooted = "(t.path = '' OR startswith(t.path, '/'))"
+    built = (
+        f"concat(if({b}.scheme = '', '', concat({b}.scheme, ':')), "
+        f"CASE WHEN t.authority <> '' THEN concat('//', t.authority, if({rooted}, '', '/')) "
+        f"WHEN {b}.scheme <> '' AND {rooted} THEN '//' ELSE '' END, t.path, "
+        f"if(t.query = '', '', concat('?', t.query)), if({h}.fragment = '', '', concat('#', {h}.fragment)))"
+    )
+    foreign = f"({h}.scheme <> '' AND {h}.scheme <> {b}.scheme) OR {b}.scheme NOT IN ({texts(RELATIVE_SCHEMES)})"
+    return f"if({foreign}, {href}, {let('t', target, built)})"
 
 
 def resolve_link(base: Column, href: Column) -> Column:
     """The absolute URL of a link on a page, as a browser or ``urljoin`` would build it."""
-    scheme, base_scheme = url_scheme(href), url_scheme(base)
-    authority, path, query = url_authority(href), url_full_path(href), url_query(href)
-    base_path = url_full_path(base)
-
-    def tail(query: Column) -> Column:
-        fragment = url_fragment(href)
-        return F.concat(
-            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-            F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-        )
-
-    def build(authority: Column, path: Column, query: Column) -> Column:
-        rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-        bare = (base_scheme != "") & ((path == "") | path.startswith("/"))
-        place = (
-            F.when(authority != "", F.concat(F.lit("//"), authority, rooted))
-            .when(bare, F.concat(F.lit("//"), path))
-            .otherwise(path)
-        )
-        named = F.when(base_scheme != "", F.concat(base_scheme, F.lit(":"))).otherwise("")
-        return F.concat(named, place, tail(query))
-
-    # The base's path up to its last "/"; empty segments in between vanish when paths are merged.
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    relative = F.regexp_replace(F.concat(folder, path), "/{2,}", "/")
-    merged = F.when(path.startswith("/"), path).otherwise(relative)
-    dotted = merged.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    final = F.when(dotted, _remove_dots(merged)).otherwise(merged)
-    final = F.when(final == "", "/").otherwise(final)
-
-    other = ((scheme != "") & (scheme != base_scheme)) | ~base_scheme.isin(RELATIVE_SCHEMES)
-    return (
-        F.when(F.coalesce(base, F.lit("")) == "", href)
-        .when(F.coalesce(href, F.lit("")) == "", base)
-        .when(other, href)
-        .when(authority != "", build(authority, path, query))
-        .when(path == "", build(url_authority(base), base_path, F.when(query == "", url_query(base)).otherwise(query)))
-        .otherwise(build(url_authority(base), final, query))
+    joined = let("b", _parts("arg.base"), let("h", _parts("arg.href"), _resolve("b", "h", "arg.href")))
+    return evaluate(
+        f"CASE WHEN coalesce(arg.base, '') = '' THEN arg.href WHEN coalesce(arg.href, '') = '' THEN arg.base ELSE {joined} END",
+        base=base,
+        href=href,
     )
 
 
 def page_links(html: Column, base: Column) -> Column:
-    """Distinct absolute links of one page, sorted, as an array."""
-    hrefs = F.regexp_extract_all(html, F.lit(HREF_PATTERN), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(hrefs), lambda href: resolve_link(base, href))))
+    """Distinct absolute links of one page, sorted, as an array. The base is split once per page."""
+    hrefs = f"array_distinct(regexp_extract_all(arg.html, {text(HREF_PATTERN)}, 1))"
+    each = let("h", _parts("href"), _resolve("b", "h", "href"))
+    links = let("b", _parts("arg.base"), f"transform({hrefs}, href -> {each})")
+    return evaluate(
+        f"array_sort(array_distinct(if(coalesce(arg.base, '') = '', {hrefs}, {links})))", html=html, base=base
+    )

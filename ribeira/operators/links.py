@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ribeira.fixed import (
@@ -16,15 +16,17 @@ from ribeira.fixed import (
     SCORE_FORMAT,
     SCORE_GOVERNMENT,
     SCORE_TERM,
+    SOURCE_KEYWORDS,
 )
+from ribeira.functions.sql import evaluate, let, text, texts
 from ribeira.functions.urls import (
     ends_in_data_extension,
     file_suffix,
+    link_names,
     page_links,
     path_name,
     url_candidate,
     url_output_format,
-    url_path,
 )
 
 
@@ -52,29 +54,25 @@ def registered_links(catalog: DataFrame) -> DataFrame:
     return catalog.select("source_id", F.explode("direct_urls").alias("url"))
 
 
-def keyword_score(text: Column, terms: Column) -> Column:
-    """Points for the terms (an array) that occur in a lower-case text; no terms, no points."""
-    hits = F.size(F.filter(F.coalesce(terms, F.array().cast("array<string>")), text.contains))
-    return hits * SCORE_TERM
-
-
-def link_score(links: DataFrame, keywords: DataFrame) -> DataFrame:
+def link_score(links: DataFrame, keywords: Mapping[str, Sequence[str]] = SOURCE_KEYWORDS) -> DataFrame:
     """Links with ``score``: keywords of their source, file extension, requested format, publisher.
 
-    ``keywords`` has (source_id, terms ARRAY<STRING>), one row per source, so that the match is a
-    plain join on the source and a test inside the row; no link is multiplied by its terms. The
-    extension is looked for at the end of the whole URL here, unlike in ``url_candidate``.
+    The keyword table is configuration, so it goes into the plan as a constant map. No join is
+    needed: rows stay where they are, whatever share of them one source holds, and no link is
+    multiplied by its terms. The extension is looked for at the end of the whole URL here, unlike
+    in ``url_candidate``.
     """
-    text = F.lower(F.col("url"))
-    points = [
-        keyword_score(text, F.col("terms")),
-        F.when(ends_in_data_extension(text), SCORE_EXTENSION).otherwise(0),
-        F.when(url_output_format(F.col("url")).isNotNull(), SCORE_FORMAT).otherwise(0),
-        F.when(text.contains("request=getfeature"), SCORE_FEATURE_REQUEST).otherwise(0),
-        F.when(text.contains("gov.br"), SCORE_GOVERNMENT).otherwise(0),
-    ]
-    scored = links.join(keywords, "source_id", "left")
-    return scored.withColumn("score", reduce(lambda a, b: a + b, points)).drop("terms")
+    table = ", ".join(f"{text(source)}, array({texts(terms)})" for source, terms in keywords.items())
+    terms = f"coalesce(try_element_at(map({table}), arg.source), array())" if table else "array()"
+    points = (
+        f"{SCORE_TERM} * size(filter({terms}, term -> contains(low, term)))"
+        f" + if({ends_in_data_extension('low')}, {SCORE_EXTENSION}, 0)"
+        f" + if(contains(low, 'request=getfeature'), {SCORE_FEATURE_REQUEST}, 0)"
+        f" + if(contains(low, 'gov.br'), {SCORE_GOVERNMENT}, 0)"
+    )
+    requested = F.when(url_output_format(F.col("url")).isNotNull(), SCORE_FORMAT).otherwise(0)
+    named = evaluate(let("low", "lower(arg.url)", points), url=F.col("url"), source=F.col("source_id"))
+    return links.withColumn("score", named + requested)
 
 
 def topk_links(scored: DataFrame, k: int = MAX_CANDIDATES, min_score: int = MIN_SCORE) -> DataFrame:
@@ -97,7 +95,7 @@ def allowlist_semi(files: DataFrame, catalog: DataFrame, path: str = "path") ->
     rules = catalog.select(
         "source_id",
         F.coalesce(F.col("direct_urls_only"), F.lit(False)).alias("__direct_only"),
-        F.transform(F.coalesce("direct_urls", F.array().cast("array<string>")), lambda url: path_name(url_path(url))).alias("__names"),
+        link_names(F.col("direct_urls")).alias("__names"),
     )
     name = path_name(F.col(path))
     listed = F.coalesce(F.array_contains("__names", name), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,7 +25,12 @@ from ribeira.operators.links import allowlist_semi, extract_links, link_score, l
 from ribeira.sources.files import content_digest
 
 
-def rank_links(pages: DataFrame, catalog: DataFrame, keywords: DataFrame, k: int = fixed.MAX_CANDIDATES) -> DataFrame:
+def rank_links(
+    pages: DataFrame,
+    catalog: DataFrame,
+    keywords: Mapping[str, Sequence[str]] = fixed.SOURCE_KEYWORDS,
+    k: int = fixed.MAX_CANDIDATES,
+) -> DataFrame:
     """(source_id, url, score, rank): the best links of each eligible source.
 
     ``pages`` has (source_id, url, html); registered links are those listed in the catalog.
@@ -58,9 +64,9 @@ class LayerResult:
 def discover_layers(
     pages: DataFrame,
     catalog: DataFrame,
-    keywords: DataFrame,
     fetch_log: DataFrame,
     cached: DataFrame,
+    keywords: Mapping[str, Sequence[str]] = fixed.SOURCE_KEYWORDS,
     k: int = fixed.MAX_CANDIDATES,
     max_bytes: int = fixed.MAX_BYTES,
 ) -> LayerResult:

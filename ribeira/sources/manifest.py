@@ -30,8 +30,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def catalog_sources(documents: DataFrame) -> DataFrame:
     """One row per source of catalog documents (``{"sources": [...]}``)."""
-    entries = F.from_json(F.get_json_object("value", "$.sources"), f"ARRAY<STRUCT<{_typed(PROBED_SCHEMA)}>>")
-    return documents.select(F.inline(entries))
+    parsed = F.from_json("value", f"sources ARRAY<STRUCT<{_typed(PROBED_SCHEMA)}>>", {"mode": "FAILFAST"})
+    return documents.select(F.inline(parsed["sources"]))
 
 
 def _typed(columns: str) -> str:
@@ -40,8 +40,8 @@ def _typed(columns: str) -> str:
 
 def manifest_sources(documents: DataFrame) -> DataFrame:
     """One row per source of manifest documents (``{"sources": {id: record}}``), still nested."""
-    records = F.from_json(F.get_json_object("value", "$.sources"), f"MAP<STRING, {SOURCE_RECORD}>")
-    return documents.select(F.explode(records).alias("source_id", "record")).select("source_id", "record.*")
+    parsed = F.from_json("value", f"sources MAP<STRING, {SOURCE_RECORD}>", {"mode": "FAILFAST"})
+    return documents.select(F.explode(parsed["sources"]).alias("source_id", "record")).select("source_id", "record.*")
 
 
 def manifest_files(sources: DataFrame, kind: str = "downloads") -> DataFrame:

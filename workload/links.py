@@ -38,10 +38,6 @@ def decorated(spark: SparkSession, folder: str) -> DataFrame:
     return links.select("source_id", "page_id", F.concat("link", F.expr(DECORATION)).alias("url"))
 
 
-def keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KEYWORDS.items()), "source_id STRING, terms ARRAY<STRING>")
-
-
 FOUND_SQL = f"""
 WITH raw AS (
   SELECT page_id, url AS page_url, {SOURCE} AS source_id, regexp_extract(url, '^[a-z]+://[^/]+') AS site,
@@ -168,12 +164,12 @@ SELECT source_id, url, score, CAST(rank AS INTEGER) AS rank FROM (
 
 @query("link_score", SCORED_SQL + "SELECT source_id, url, score FROM scored")
 def scores(spark, folder):
-    return link_score(united(spark, folder), keywords(spark))
+    return link_score(united(spark, folder), KEYWORDS)
 
 
 @query("topk_links", TOPK_SQL)
 def best(spark, folder):
-    return topk_links(link_score(united(spark, folder), keywords(spark)))
+    return topk_links(link_score(united(spark, folder), KEYWORDS))
 
 
 RANKED_SQL = f"""
@@ -195,7 +191,7 @@ def ranked(spark, folder):
         {"download_enabled": F.lit(None).cast("boolean"), "direct_urls_only": F.col("source_id").isin(DIRECT_ONLY)}
     )
     zipped = F.regexp_replace("html", 'href="([^"]+)"', 'href="$1.zip"')
-    return rank_links(rows.select("source_id", "url", zipped.alias("html")), catalog, keywords(spark)).select(
+    return rank_links(rows.select("source_id", "url", zipped.alias("html")), catalog, KEYWORDS).select(
         "source_id", "url", "score", "rank"
     )
 
