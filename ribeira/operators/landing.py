@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ribeira.fixed import ARCHIVE_MEMBER_LIMIT, MAX_BYTES
 from ribeira.functions.urls import file_suffix, url_promises_data
 
+ABSENT = "missing_or_empty"
+
 
 def inspect_files(files: DataFrame, limit: int = ARCHIVE_MEMBER_LIMIT, keep: Sequence[str] = ()) -> DataFrame:
     """Files with what only their bytes tell: ``is_zip``, ``is_json`` and archive ``members``.
@@ -79,7 +81,7 @@ def archive_inventory(inspected: DataFrame) -> DataFrame:
 def judge_files(inspected: DataFrame) -> DataFrame:
     """Inspected files with ``ok`` and, where that is false, the ``reason``."""
     reason = (
-        F.when(F.col("length") == 0, "empty")
+        F.when(F.col("length") == 0, ABSENT)
         .when((F.col("suffix") == ".zip") & ~F.col("is_zip"), "not_a_zip")
         .when(F.col("suffix").isin(".json", ".geojson") & ~F.col("is_json"), "invalid_json")
     )
@@ -87,12 +89,16 @@ def judge_files(inspected: DataFrame) -> DataFrame:
 
 
 def landed_file_check(inspected: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """(path, ok, reason) per landed file, and per declared path that did not land."""
+    """(path, ok, reason) per landed file, and per declared path that did not land.
+
+    Spark's file readers pass over empty files (and over names that start with ``_`` or ``.``), so
+    an empty file shows up here through its declaration. Missing and empty are one outcome.
+    """
     checked = judge_files(inspected).select("path", "ok", "reason")
     if declared is None:
         return checked
     absent = declared.select("path").distinct().join(inspected.select("path"), "path", "left_anti")
-    return checked.unionByName(absent.select("path", F.lit(False).alias("ok"), F.lit("missing").alias("reason")))
+    return checked.unionByName(absent.select("path", F.lit(False).alias("ok"), F.lit(ABSENT).alias("reason")))
 
 
 def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:

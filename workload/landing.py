@@ -90,8 +90,8 @@ def inventory(spark, folder):
     LANDED_SQL
     + """
 SELECT path, n_chars % 6 IN (0, 2, 5) AS ok,
-       CASE n_chars % 6 WHEN 1 THEN 'not_a_zip' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'empty' END AS reason FROM landed
-UNION ALL SELECT DISTINCT 'landed/' || source || '/index.json', false, 'missing' FROM documents
+       CASE n_chars % 6 WHEN 1 THEN 'not_a_zip' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'missing_or_empty' END AS reason FROM landed
+UNION ALL SELECT DISTINCT 'landed/' || source || '/index.json', false, 'missing_or_empty' FROM documents
 """,
 )
 def checks(spark, folder):
