@@ -29,40 +29,45 @@ def validated_left_join(
     *,
     left_is_unique: bool = False,
     right_is_unique: bool = False,
+    null_keys_match: bool = False,
 ) -> DataFrame:
     """One-to-one left join with an indicator column ``_merge`` (``both`` or ``left_only``).
 
     Both keys are checked first and a repeated key raises (a job per side); a flag says that a side
     is already known to be unique, for example because it was grouped by the key. The right key
     comes out as ``demography_key``: the two names may differ in case only, which Spark could not
-    tell apart. Null keys match each other, as each side can hold one at most.
+    tell apart.
+
+    Null keys match nothing unless ``null_keys_match`` asks for it. Plain equality is the default
+    because it lets the join use the partitioning that a grouping by the key has left behind.
     """
     if not left_is_unique:
         require_unique(left, left_key, "left")
     if not right_is_unique:
         require_unique(right, right_key, "right")
     hits = right.withColumnRenamed(right_key, RIGHT_KEY).withColumn("_hit", F.lit(True))
-    joined = left.join(hits, left[left_key].eqNullSafe(hits[RIGHT_KEY]), "left")
+    same = left[left_key].eqNullSafe(hits[RIGHT_KEY]) if null_keys_match else left[left_key] == hits[RIGHT_KEY]
+    joined = left.join(hits, same, "left")
     return joined.withColumn("_merge", F.when(F.col("_hit"), BOTH).otherwise(LEFT_ONLY)).drop("_hit")
 
 
 def right_only(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """One row: number of right rows that the left join leaves out."""
     keys = left.select(F.col(left_key).alias("__left_key"))
-    missing = right.join(keys, right[right_key].eqNullSafe(keys["__left_key"]), "left_anti")
+    missing = right.join(keys, right[right_key] == keys["__left_key"], "left_anti")
     return missing.agg(F.count(F.lit(1)).alias("demography_only"))
 
 
-def checksum_join(declared: DataFrame, observed: DataFrame, on: str | list[str]) -> DataFrame:
-    """Declared (key, sha256) rows with the observed digest and ``match``/``mismatch``/``missing``.
+def checksum_join(declared: DataFrame, observed: DataFrame, on: str) -> DataFrame:
+    """Declared (key, sha256) rows with each observed file and ``match``/``mismatch``/``missing``.
 
-    With a source as the key, its one declared hash applies to each of its files.
+    With a source as the key, its one declared hash applies to each of its files. Files are the left
+    side of an inner join, where adaptive execution can split a source that holds a large share of
+    them; declarations without a file come from an anti join with the distinct observed keys.
     """
-    found = observed.withColumnRenamed("sha256", "observed_sha256").withColumn("_seen", F.lit(True))
-    joined = declared.withColumnRenamed("sha256", "expected_sha256").join(found, on, "left")
-    outcome = (
-        F.when(F.col("_seen").isNull(), "missing")
-        .when(F.col("expected_sha256").eqNullSafe(F.col("observed_sha256")), "match")
-        .otherwise("mismatch")
-    )
-    return joined.withColumn("outcome", outcome).drop("_seen")
+    expected = declared.withColumnRenamed("sha256", "expected_sha256")
+    found = observed.withColumnRenamed("sha256", "observed_sha256").join(expected, on)
+    same = F.col("expected_sha256").eqNullSafe(F.col("observed_sha256"))
+    judged = found.withColumn("outcome", F.when(same, "match").otherwise("mismatch"))
+    absent = expected.join(observed.select(on).distinct(), on, "left_anti").withColumn("outcome", F.lit("missing"))
+    return judged.unionByName(absent, allowMissingColumns=True)

@@ -97,8 +97,16 @@ def landed_file_check(inspected: DataFrame, declared: DataFrame | None = None) -
     checked = judge_files(inspected).select("path", "ok", "reason")
     if declared is None:
         return checked
-    absent = declared.select("path").distinct().join(inspected.select("path"), "path", "left_anti")
-    return checked.unionByName(absent.select("path", F.lit(False).alias("ok"), F.lit(ABSENT).alias("reason")))
+    # One grouping by path instead of an anti join, so that the files are inspected only once.
+    both = checked.withColumn("landed", F.lit(True)).unionByName(
+        declared.select("path", F.lit(None).cast("boolean").alias("landed")), allowMissingColumns=True
+    )
+    merged = both.groupBy("path").agg(
+        F.bool_or("landed").alias("landed"), F.bool_or("ok").alias("ok"), F.max("reason").alias("reason")
+    )
+    return merged.select(
+        "path", F.coalesce("ok", F.lit(False)).alias("ok"), F.when(F.col("landed"), F.col("reason")).otherwise(ABSENT).alias("reason")
+    )
 
 
 def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -116,12 +124,17 @@ def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MA
 
 
 def settle_attempts(judged: DataFrame) -> DataFrame:
-    """One row per source and URL: the first accepted attempt, or the last one if all were rejected."""
+    """One row per source and URL: the first accepted attempt, or the last one if all were rejected.
+
+    Rows are redistributed by source and URL first. Otherwise the window could settle for the
+    partitioning by source of a preceding join, which would put a large source into one task.
+    """
     won = F.col("reject_reason").isNull()
     order = Window.partitionBy("source_id", "url").orderBy(
         won.desc(), F.when(won, F.col("attempt")).otherwise(-F.col("attempt"))
     )
-    return judged.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") == 1).drop("__place")
+    spread = judged.repartition("source_id", "url")
+    return spread.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") == 1).drop("__place")
 
 
 def accepted(judged: DataFrame) -> DataFrame:

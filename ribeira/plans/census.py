@@ -91,13 +91,20 @@ def demography_checks(demography: DataFrame, names: SectorColumns) -> DataFrame:
     )
 
 
+def conflict_rule(grouped: DataFrame) -> DataFrame:
+    """(rule, violations): sectors whose features disagree on an attribute."""
+    return row_rules(grouped, {RULE_CONFLICTS: F.size("conflicts") > 0})
+
+
+def left_only_rule(origins: DataFrame, names: SectorColumns) -> DataFrame:
+    """(rule, violations): sectors without demography whose basic population is not exactly zero."""
+    left_only = F.col("_merge") == LEFT_ONLY
+    return row_rules(origins, {RULE_LEFT_ONLY: left_only & not_zero(F.col(names.basic))})
+
+
 def sector_checks(grouped: DataFrame, origins: DataFrame, names: SectorColumns) -> DataFrame:
     """(rule, violations) of the sector features and of the joined result."""
-    left_only = F.col("_merge") == LEFT_ONLY
-    return expectations(
-        row_rules(grouped, {RULE_CONFLICTS: F.size("conflicts") > 0}),
-        row_rules(origins, {RULE_LEFT_ONLY: left_only & not_zero(F.col(names.basic))}),
-    )
+    return expectations(conflict_rule(grouped), left_only_rule(origins, names))
 
 
 def profile_checks(profile: DataFrame) -> DataFrame:
@@ -120,14 +127,14 @@ def run_census_origins(
 ) -> dict[str, dict]:
     """The whole job: check, dissolve, join, label, check again, write; returns the two audits.
 
-    Demography is profiled in one pass before anything is built. The grouped sectors and the labelled
-    origins are each written once to the work folder, so that checks, audit and sinks read files
-    instead of repeating the grouping and the join. Nothing is published if a check fails.
+    The demography of the state, the grouped sectors and the labelled origins are each written once
+    to the work folder, so that checks, audit and sinks read columnar files instead of repeating the
+    text scan, the grouping and the join. Nothing is published if a check fails.
 
     Writes below ``out``: ``origins`` and ``parts`` (Parquet, partitioned by municipality),
     ``summary`` (CSV) and ``audit`` (JSON).
     """
-    demography = read_demography(spark, demography_path, state_code)
+    demography = materialize(read_demography(spark, demography_path, state_code), "demography")
     profile = materialize(
         keyed_profile(demography, names.demography_key, names.total, [names.male, names.female], names.female),
         "demography-profile",
@@ -135,9 +142,9 @@ def run_census_origins(
     raise_on(profile_checks(profile))
 
     grouped = materialize(group_sectors(features, names), "sectors")
-    raise_on(row_rules(grouped, {RULE_CONFLICTS: F.size("conflicts") > 0}))
+    raise_on(conflict_rule(grouped))
     origins = materialize(label_sectors(grouped, demography, names), "origins")
-    raise_on(sector_checks(grouped, origins, names))
+    raise_on(left_only_rule(origins, names))
 
     write_origins(origins, f"{out}/origins", names.municipality)
     write_partitioned(

@@ -130,6 +130,10 @@ def test_left_join_keys_differ_in_case_only(spark):
     got = validated_left_join(left, right, "CD_SETOR", "CD_setor").orderBy("x").collect()
     assert [(r["x"], r["_merge"], r["V01008"]) for r in got] == [("a", "both", 5.0), ("b", "left_only", None), ("c", "left_only", None)]
     assert right_only(left, right, "CD_SETOR", "CD_setor").first()[0] == 1
+    right = right.union(spark.createDataFrame([(None, 7.0)], right.schema))
+    for match, value in ((False, None), (True, 7.0)):
+        got = validated_left_join(left, right, "CD_SETOR", "CD_setor", null_keys_match=match)
+        assert got.filter("x = 'c'").first()["V01008"] == value
 
 
 @pytest.mark.parametrize("side", ["left", "right"])
