@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ribeira.fixed import SOURCE_CATALOG
+
 CATALOG_SCHEMA = (
     "source_id STRING, agency STRING, theme STRING, official_page STRING, metadata_page STRING, "
     "expected_formats ARRAY<STRING>, map_reference_year INT, download_enabled BOOLEAN, "
@@ -23,6 +27,11 @@ SOURCE_RECORD = (
 )
 
 
+def catalog_table(spark: SparkSession, sources: Sequence[Mapping[str, object]] = tuple(SOURCE_CATALOG)) -> DataFrame:
+    """A source catalog given as records (configuration) as a table; absent fields are null."""
+    return spark.createDataFrame([dict(source) for source in sources], CATALOG_SCHEMA)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file with its whole text as ``value``."""
     return spark.read.text(path, wholetext=True)

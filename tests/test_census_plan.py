@@ -1,11 +1,10 @@
 """The census job end to end on fixture files."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
 from ribeira import fixed
+from ribeira.operators.dissolve import multipart_stats
 from ribeira.operators.quality import ExpectationError
 from ribeira.plans.census import run_census_origins
 from ribeira.sources.delimited import read_demography, scan_delimited
@@ -96,6 +95,46 @@ def test_demography_rules(spark, tmp_path):
     expect(spark, tmp_path, sectors(spark), [line("150000000000001", 10, 4, 5)], "total = male [+] female: 1")
 
 
-def test_published_totals_are_consistent():
-    """Observed, unavailable and zero-filled sectors make up all sectors of the published audit."""
-    assert 15_579 + 486 + 649 == 16_714 == 18_635 - 1_921
+# Figures of the published audit of the 2022 census sectors of one state.
+PUBLISHED = {
+    "source_features": 18_635, "unique_geometry_sectors": 16_714, "multipart_extra_features": 1_921, "output_sectors": 16_714,
+    "municipalities": 144, "geometry_only_zero_population_sectors": 649, "female_population_unavailable_sectors": 486,
+    "female_population_observed": 4_065_139, "crs": "EPSG:4674",
+}
+DEMOGRAPHY_ROWS, MULTIPART, MOST_PARTS = 16_065, 248, 247
+
+
+def test_job_at_published_volume(spark, tmp_path):
+    """Sectors laid out so that every published count holds; the audit has to find them all."""
+    observed = DEMOGRAPHY_ROWS - PUBLISHED["female_population_unavailable_sectors"]
+    each, rest = divmod(PUBLISHED["female_population_observed"], observed)
+    # Sector 0 has the most parts; the other multipart sectors share what is left.
+    share, more = divmod(PUBLISHED["multipart_extra_features"] - (MOST_PARTS - 1), MULTIPART - 1)
+    extra = F.when(F.col("n") == 0, MOST_PARTS - 1).when(F.col("n") < MULTIPART, share + F.when(F.col("n") <= more, 1).otherwise(0)).otherwise(0)
+    sectors = spark.range(PUBLISHED["output_sectors"]).withColumnRenamed("id", "n").withColumn(
+        "CD_SETOR", F.concat(F.lit("15"), F.lpad(F.col("n").cast("string"), 13, "0"))
+    )
+    features = sectors.withColumn("id", F.explode(F.sequence(F.lit(0), extra))).select(
+        "id",
+        "CD_SETOR",
+        F.concat(F.lit("15"), F.lpad((F.col("n") % PUBLISHED["municipalities"]).cast("string"), 5, "0")).alias("CD_MUN"),
+        *[F.lit(v).alias(c) for c, v in {"NM_MUN": "n", "SITUACAO": "s", "CD_SIT": "1", "CD_TIPO": "0", "AREA_KM2": 1.0}.items()],
+        F.when(F.col("n") < DEMOGRAPHY_ROWS, 1.0).otherwise(0.0).alias("v0001"),
+        F.concat_ws("/", "n", "id").cast("binary").alias("geom_wkb"),
+        F.lit("EPSG:4674").alias("crs"),
+    )
+    female = F.when(F.col("n") < observed, each + F.when(F.col("n") < rest, 1).otherwise(0))
+    people = sectors.filter(F.col("n") < DEMOGRAPHY_ROWS).select(
+        F.col("CD_SETOR").alias(fixed.DEMOGRAPHY_KEY), (female + 250).alias("V01006"), F.lit(250).alias("V01007"), female.alias("V01008"),
+        *[F.lit("X").alias(age) for age in fixed.FEMALE_AGE_GROUPS],
+    )
+    people.write.csv(str(tmp_path / "demography"), sep=";", header=True)
+    out = str(tmp_path / "out")
+    audits = run_census_origins(spark, features, str(tmp_path / "demography"), out)
+    assert audits["spatial"] == PUBLISHED
+    assert audits["demography"]["rows"] == DEMOGRAPHY_ROWS and audits["demography"]["missing_part"] == 486
+    stats = multipart_stats(features, "CD_SETOR").first()
+    assert (stats["multipart_keys"], stats["max_parts"]) == (MULTIPART, MOST_PARTS)
+    status = {r["population_data_status"]: r["count"] for r in spark.read.parquet(f"{out}/origins").groupBy("population_data_status").count().collect()}
+    assert status == {fixed.STATUS_OBSERVED: 15_579, fixed.STATUS_UNAVAILABLE: 486, fixed.STATUS_LEFT_ONLY: 649}
+    assert spark.read.parquet(f"{out}/parts").count() == PUBLISHED["source_features"]

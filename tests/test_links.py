@@ -6,7 +6,7 @@ from ribeira import fixed
 from ribeira.operators.filters import eligible_sources
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, registered_links, topk_links
 from ribeira.plans.layers import rank_links
-from ribeira.sources.manifest import CATALOG_SCHEMA
+from ribeira.sources.manifest import catalog_table
 
 PORTS = [
     "https://www.gov.br/antaq/pt-br/central-de-conteudos/Instalacoes_Portuarias_20212.zip",
@@ -25,8 +25,17 @@ def links(spark, source, urls):
 
 
 def catalog(spark, *rows):
-    names = [part.split(" ")[0] for part in CATALOG_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(row.get(name) for name in names) for row in rows], CATALOG_SCHEMA)
+    return catalog_table(spark, rows)
+
+
+def test_catalog_of_official_sources(spark):
+    sources = catalog_table(spark)
+    ids = [r["source_id"] for r in sources.collect()]
+    assert len(ids) == len(set(ids)) == 8
+    assert eligible_sources(sources, fixed.BOUNDARY_SOURCE).count() == 6
+    assert set(fixed.SOURCE_KEYWORDS) == set(ids) - {fixed.BOUNDARY_SOURCE}
+    direct = topk_links(link_score(registered_links(eligible_sources(sources, fixed.BOUNDARY_SOURCE))))
+    assert [r["url"] for r in direct.filter("source_id = 'decea_airports'").orderBy("rank").collect()] == AERODROMES
 
 
 @pytest.mark.parametrize("source, urls, score", [("antaq_ports", PORTS, 10), ("decea_airports", AERODROMES, 23)])
