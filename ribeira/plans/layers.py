@@ -22,6 +22,7 @@ from ribeira.operators.landing import (
     source_status,
 )
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, registered_links, topk_links
+from ribeira.session import materialize
 from ribeira.sources.files import content_digest
 
 
@@ -41,18 +42,23 @@ def rank_links(
     return topk_links(link_score(links, keywords), k)
 
 
-def preserved_files(cached: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files kept, errors) of a cache listing with (source_id, path, length, content)."""
+def inspect_cache(cached: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Cached files that count, with digest, archive members and verdict.
+
+    ``cached`` has (source_id, path, length, content).
+    """
     files = allowlist_semi(cached, eligible_sources(catalog, fixed.BOUNDARY_SOURCE))
     digested = files.withColumn("sha256", content_digest(F.col("content")))
-    judged = judge_files(inspect_files(digested, keep=["source_id", "sha256"]))
-    kept = judged.filter("ok").select("source_id", "path", F.col("length").alias("bytes"), "sha256", "members")
-    return kept, cache_errors(judged)
+    return judge_files(inspect_files(digested, keep=["source_id", "sha256"]))
+
+
+def kept_files(judged: DataFrame) -> DataFrame:
+    return judged.filter("ok").select("source_id", "path", F.col("length").alias("bytes"), "sha256", "members")
 
 
 @dataclass(frozen=True)
 class LayerResult:
-    """The lazy tables of one discovery run."""
+    """The tables of one discovery run."""
 
     links: DataFrame
     downloads: DataFrame
@@ -60,6 +66,11 @@ class LayerResult:
     errors: DataFrame
     status: DataFrame
 
+    def write(self, out: str) -> None:
+        """Each table as Parquet below ``out``; they stay flat, as a source may have any number of files."""
+        for name in ("links", "downloads", "preserved", "errors", "status"):
+            getattr(self, name).write.parquet(f"{out}/{name}")
+
 
 def discover_layers(
     pages: DataFrame,
@@ -70,20 +81,23 @@ def discover_layers(
     k: int = fixed.MAX_CANDIDATES,
     max_bytes: int = fixed.MAX_BYTES,
 ) -> LayerResult:
-    """Everything but the transfer itself, which ``fetch_log`` and ``cached`` record.
+    """Everything but the transfer itself, which ``fetch_log`` and ``cached`` record (runs jobs).
 
-    The cache is read before downloads are counted, so on a rerun one file can count on both sides.
+    Ranked links, settled fetches and inspected files are each used by several results, so they are
+    written to the work folder once; page texts and file contents are read a single time. The cache
+    is read before downloads are counted, so on a rerun one file can count on both sides.
     """
     sources = eligible_sources(catalog, fixed.BOUNDARY_SOURCE)
-    links = rank_links(pages, catalog, keywords, k)
+    links = materialize(rank_links(pages, catalog, keywords, k), "links")
     attempts = fetch_log.join(links.select("source_id", "url"), ["source_id", "url"], "left_semi")
-    judged = settle_attempts(landing_accept(attempts, sources, max_bytes))
-    kept, bad_files = preserved_files(cached, catalog)
-    errors = error_log(fetch_errors(judged), bad_files)
+    fetched = materialize(settle_attempts(landing_accept(attempts, sources, max_bytes)), "fetched")
+    judged = materialize(inspect_cache(cached, catalog), "cache")
+    errors = error_log(fetch_errors(fetched), cache_errors(judged))
+    kept = kept_files(judged)
     return LayerResult(
         links=links,
-        downloads=accepted(judged),
+        downloads=accepted(fetched),
         preserved=kept,
         errors=errors,
-        status=source_status(sources, links, accepted(judged), kept, errors),
+        status=source_status(sources, links, accepted(fetched), kept, errors),
     )

@@ -19,6 +19,7 @@ def build_session(app: str = "ribeira", cpus: int | str = 8, memory: str = "12g"
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

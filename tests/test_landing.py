@@ -163,7 +163,7 @@ def test_published_run(spark):
     assert overall_status(status).first()["status"] == "complete"
 
 
-def test_discovery_run(spark):
+def test_discovery_run(spark, tmp_path):
     sources = catalog(
         spark,
         {"source_id": "roads", "direct_urls": ["https://h/r.zip"], "direct_urls_only": True, "expected_sha256": "no"},
@@ -193,3 +193,5 @@ def test_discovery_run(spark):
     ]
     status = {r["source_id"]: (r["discovered"], r["downloaded"], r["preserved"], r["errors"], r["status"]) for r in run.status.collect()}
     assert status == {"roads": (1, 0, 1, 1, "success"), "ports": (2, 1, 0, 1, "success")}
+    run.write(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "errors")).count() == 2
