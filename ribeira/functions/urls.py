@@ -13,6 +13,10 @@ from ribeira.fixed import BLOCKED_HOSTS, DATA_EXTENSIONS, MAX_FILE_NAME, OUTPUT_
 from ribeira.functions.sql import evaluate, let, text, texts
 
 URL_PATTERN = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+# Links that resolve without being taken apart: nothing empty in them that would be dropped, no
+# control characters, and (with a separate test for "/.") no dot segments.
+ABSOLUTE_LINK = r"^https?://[^\x00-\x1f?#;]+(?:\?[^\x00-\x1f#]+)?\z"
+ROOTED_LINK = r"^/[^\x00-\x1f/.?#;][^\x00-\x1f?#;]*(?:\?[^\x00-\x1f#]+)?\z"
 HREF_PATTERN = r"""(?i)href=["']([^"']+)["']"""
 
 # Schemes in which a relative reference or a host can occur (RFC 3986 usage of
@@ -27,28 +31,29 @@ PARAMETER_SCHEMES = [
 ]
 
 
-def _parts(url: str) -> str:
-    """STRUCT<scheme, authority, path, query, fragment>; a missing part is ''.
+def _parts(url: str, outer_scheme: str = "''") -> str:
+    """STRUCT<scheme, authority, path, params, query, fragment>; a missing part is ''.
 
-    Leading blanks and control characters, tabs and line ends anywhere are not part of a URL, so
-    that a line end can separate the groups: one regular-expression pass yields all of them.
+    ``params`` is the ``;…`` tail of the last path segment, with its semicolon, for schemes that have
+    one; a URL without a scheme takes ``outer_scheme`` in that. Leading blanks and
+    control characters, tabs and line ends anywhere are not part of a URL, so that a line end can
+    separate the groups: one regular-expression pass yields all of them.
     """
     junk = text(r"^[\x00-\x20]+|[\t\r\n]")
     clean = f"if(rlike({url}, {text(r'[\x00-\x20]')}), regexp_replace({url}, {junk}, ''), {url})"
     groups = f"split(regexp_replace({clean}, {text(URL_PATTERN)}, {text('$1\n$2\n$3\n$4\n$5')}), '\\n')"
+    scheme = f"coalesce(nullif(lower(get(g, 0)), ''), {outer_scheme})"
+    tailed = f"contains(get(g, 2), ';') AND {scheme} IN ({texts(PARAMETER_SCHEMES)})"
     return let(
         "g",
         groups,
-        "named_struct('scheme', lower(get(g, 0)), 'authority', get(g, 1), 'path', get(g, 2), "
+        "named_struct('scheme', lower(get(g, 0)), 'authority', get(g, 1), "
+        f"'path', if({tailed}, regexp_replace(get(g, 2), ';[^/]*$', ''), get(g, 2)), "
+        f"'params', if({tailed}, nullif(regexp_extract(get(g, 2), ';[^/]*$', 0), ';'), ''), "
         "'query', get(g, 3), 'fragment', get(g, 4))",
     )
 
 
-def _path(p: str) -> str:
-    tailed = f"contains({p}.path, ';') AND {p}.scheme IN ({texts(PARAMETER_SCHEMES)})"
-    return f"if({tailed}, regexp_replace({p}.path, ';[^/]*$', ''), {p}.path)"
-
-
 def _host(p: str) -> str:
     bracketed = f"regexp_extract(place, {text(r'^\[([^\]]*)')}, 1)"
     return let(
@@ -66,16 +71,17 @@ def ends_in_data_extension(lowered: str) -> str:
 def _output_format(query: str) -> str:
     """What ``url_output_format`` says, from the query string.
 
-    A ``%`` that starts no escape stays as it is. Few queries have the parameter; the others stop at
-    the first test.
+    A ``%`` that starts no escape stays as it is. Few queries have the parameter, and the others stop
+    at the first test; only pairs that can be the parameter are decoded.
     """
 
     def decoded(group: int) -> str:
         part = f"regexp_extract(pair, '(?s)^([^=]*)=(.+)$', {group})"
         return f"try_url_decode(regexp_replace({part}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
 
+    possible = f"filter(split({query}, '&'), pair -> rlike(pair, '(?i)^(?:outputformat|[^=]*%[^=]*)=.'))"
     pairs = (
-        f"filter(transform(split({query}, '&'), pair -> named_struct('name', {decoded(1)}, 'value', {decoded(2)})), "
+        f"filter(transform({possible}, pair -> named_struct('name', {decoded(1)}, 'value', {decoded(2)})), "
         "pair -> lower(pair.name) = 'outputformat' AND pair.value <> '')"
     )
     last_spelling = "element_at(array_distinct(transform(found, pair -> pair.name)), -1)"
@@ -86,7 +92,7 @@ def _output_format(query: str) -> str:
 
 
 def _promises_data(p: str) -> str:
-    ends = let("ending", f"lower({_path(p)})", ends_in_data_extension("ending"))
+    ends = let("ending", f"lower({p}.path)", ends_in_data_extension("ending"))
     return f"({ends} OR {_output_format(p + '.query')} IS NOT NULL)"
 
 
@@ -97,7 +103,7 @@ def _name(path: str) -> str:
 
 def url_path(url: Column) -> Column:
     """The path without the ``;parameters`` of its last segment."""
-    return evaluate(let("p", _parts("arg.url"), _path("p")), url=url)
+    return evaluate(let("p", _parts("arg.url"), "p.path"), url=url)
 
 
 def url_host(url: Column) -> Column:
@@ -132,7 +138,7 @@ def path_name(path: Column) -> Column:
 
 def link_names(urls: Column) -> Column:
     """File names of an array of URLs; no array, no names."""
-    each = let("p", _parts("u"), _name(_path("p")))
+    each = let("p", _parts("u"), _name("p.path"))
     return evaluate(f"transform(coalesce(arg.urls, array()), u -> {each})", urls=urls)
 
 
@@ -144,7 +150,7 @@ def file_suffix(path: Column) -> Column:
 
 def safe_filename(url: Column, fallback: Column) -> Column:
     """A portable file name for what a URL delivers."""
-    choices = f"named_struct('name', {_name(_path('p'))}, 'promised', {_output_format('p.query')})"
+    choices = f"named_struct('name', {_name('p.path')}, 'promised', {_output_format('p.query')})"
     promised = f"c.promised IS NOT NULL AND NOT {ends_in_data_extension('lower(c.name)')}"
     chosen = (
         f"CASE WHEN {promised} THEN concat(arg.fallback, c.promised) WHEN c.name = '' THEN arg.fallback ELSE c.name END"
@@ -168,31 +174,42 @@ def _merged_path(base_path: str, path: str) -> str:
     return let("m", merged, f"coalesce(nullif({final}, ''), '/')")
 
 
-def _resolve(b: str, h: str, href: str) -> str:
-    """The link ``href`` with parts ``h`` on a page with parts ``b``; neither text is empty."""
+def _resolve(b: str, href: str) -> str:
+    """The link ``href`` on a page whose URL has the parts ``b``; neither text is empty.
 
-    def choice(authority: str, path: str, query: str) -> str:
-        return f"named_struct('authority', {authority}, 'path', {path}, 'query', {query})"
+    The two common kinds of links are told by one test each: absolute ones stay as they are, and
+    plain rooted paths only need the site in front. The rest is taken apart.
+    """
 
+    def choice(authority: str, path: str, params: str, query: str) -> str:
+        return f"named_struct('authority', {authority}, 'path', {path}, 'params', {params}, 'query', {query})"
+
+    same_page = choice(f"{b}.authority", f"{b}.path", f"{b}.params", f"if(h.query = '', {b}.query, h.query)")
     target = (
-        f"CASE WHEN {h}.authority <> '' THEN {choice(f'{h}.authority', f'{h}.path', f'{h}.query')} "
-        f"WHEN {h}.path = '' THEN {choice(f'{b}.authority', f'{b}.path', f'if({h}.query = {text("")}, {b}.query, {h}.query)')} "
-        f"ELSE {choice(f'{b}.authority', _merged_path(f'{b}.path', f'{h}.path'), f'{h}.query')} END"
+        f"CASE WHEN h.authority <> '' THEN {choice('h.authority', 'h.path', 'h.params', 'h.query')} "
+        f"WHEN h.path = '' AND coalesce(h.params, '') = '' THEN {same_page} "
+        f"ELSE {choice(f'{b}.authority', _merged_path(f'{b}.path', 'h.path'), 'h.params', 'h.query')} END"
     )
     rooted = "(t.path = '' OR startswith(t.path, '/'))"
     built = (
         f"concat(if({b}.scheme = '', '', concat({b}.scheme, ':')), "
         f"CASE WHEN t.authority <> '' THEN concat('//', t.authority, if({rooted}, '', '/')) "
-        f"WHEN {b}.scheme <> '' AND {rooted} THEN '//' ELSE '' END, t.path, "
-        f"if(t.query = '', '', concat('?', t.query)), if({h}.fragment = '', '', concat('#', {h}.fragment)))"
+        f"WHEN {b}.scheme <> '' AND {rooted} THEN '//' ELSE '' END, t.path, coalesce(t.params, ''), "
+        "if(t.query = '', '', concat('?', t.query)), if(h.fragment = '', '', concat('#', h.fragment)))"
+    )
+    foreign = f"(h.scheme <> '' AND h.scheme <> {b}.scheme) OR {b}.scheme NOT IN ({texts(RELATIVE_SCHEMES)})"
+    taken_apart = let("h", _parts(href, f"{b}.scheme"), f"if({foreign}, {href}, {let('t', target, built)})")
+    on_site = f"{b}.scheme IN ('http', 'https') AND {b}.authority <> '' AND rlike({href}, {text(ROOTED_LINK)})"
+    return (
+        f"CASE WHEN rlike({href}, {text(ABSOLUTE_LINK)}) THEN {href} "
+        f"WHEN {on_site} AND NOT contains({href}, '/.') THEN concat({b}.scheme, '://', {b}.authority, {href}) "
+        f"ELSE {taken_apart} END"
     )
-    foreign = f"({h}.scheme <> '' AND {h}.scheme <> {b}.scheme) OR {b}.scheme NOT IN ({texts(RELATIVE_SCHEMES)})"
-    return f"if({foreign}, {href}, {let('t', target, built)})"
 
 
 def resolve_link(base: Column, href: Column) -> Column:
     """The absolute URL of a link on a page, as a browser or ``urljoin`` would build it."""
-    joined = let("b", _parts("arg.base"), let("h", _parts("arg.href"), _resolve("b", "h", "arg.href")))
+    joined = let("b", _parts("arg.base"), _resolve("b", "arg.href"))
     return evaluate(
         f"CASE WHEN coalesce(arg.base, '') = '' THEN arg.href WHEN coalesce(arg.href, '') = '' THEN arg.base ELSE {joined} END",
         base=base,
@@ -203,8 +220,7 @@ def resolve_link(base: Column, href: Column) -> Column:
 def page_links(html: Column, base: Column) -> Column:
     """Distinct absolute links of one page, sorted, as an array. The base is split once per page."""
     hrefs = f"array_distinct(regexp_extract_all(arg.html, {text(HREF_PATTERN)}, 1))"
-    each = let("h", _parts("href"), _resolve("b", "h", "href"))
-    links = let("b", _parts("arg.base"), f"transform({hrefs}, href -> {each})")
+    links = let("b", _parts("arg.base"), f"transform({hrefs}, href -> {_resolve('b', 'href')})")
     return evaluate(
         f"array_sort(array_distinct(if(coalesce(arg.base, '') = '', {hrefs}, {links})))", html=html, base=base
     )

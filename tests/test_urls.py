@@ -24,7 +24,7 @@ BASES = [
 ]
 HREFS = [
     "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", "", ".", "./", "..", "../",
-    "../g", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "./g/.", "g/./h", "g/../h",
+    "../g", "g;", "/g;", "http://h/g;?x", "..;x", "g;?#", "/a b?c d", "/x?y#z", "http://h/x?", " /x", "/x\ty", "/x/..?q", "http://h/a/../b?c", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "./g/.", "g/./h", "g/../h",
     "http:g", "http://g/x", "HTTP://G/x", "https://z", "mailto:a@b", "javascript:void(0)", "a//b", "//", "///x", "/a//b/../c",
     "http:", "http:?q", "x/..", "./.", "http://h?", "g?#", "/g?", "a/b/../../..", "tel:1", "a:b", "1:b", "/", "//h2",
     "//h2/../x", "/a/.", "/a/..", "..//x", "/de", "èê x", "http:../q", "http:/q",
