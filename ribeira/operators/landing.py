@@ -118,6 +118,7 @@ def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MA
         .when(~F.coalesce(url_promises_data(F.col("resolved_url")), F.lit(False)), "no_data_extension")
         .when(F.col("content_length") > max_bytes, "declared_size_over_limit")
         .when(F.col("bytes") > max_bytes, "size_over_limit")
+        .when(F.col("bytes") == 0, ABSENT)
         .when((F.col("expected_sha256") != "") & ~F.col("sha256").eqNullSafe(F.col("expected_sha256")), "checksum_mismatch")
     )
     return fetch_log.join(expected, "source_id", "left").withColumn("reject_reason", reason).drop("expected_sha256")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ribeira.functions.text import slug
@@ -12,24 +15,65 @@ class PayloadError(ValueError):
     """Raised for payloads that do not have the expected form."""
 
 
-def payload_header(payloads: DataFrame) -> list[tuple[str, str, str, str]]:
-    """(code, label, safe label, safe code) in header order (runs a job).
+@dataclass(frozen=True)
+class PayloadProfile:
+    """What has to be known about payloads before their columns can be named."""
+
+    header: dict[str, str]
+    row_codes: set[str]
+    fewest_rows: int
+    most_rows: int
+
+
+# More distinct codes than this are no table.
+MAX_COLUMNS = 10_000
+
+
+def _elements() -> Column:
+    return F.from_json("value", "ARRAY<MAP<STRING, STRING>>", {"mode": "FAILFAST"})
 
-    All payloads of one call have to share a header; only the first array element is parsed for
-    this, and only the distinct headers, two at most, reach the driver.
+
+def payload_profile(payloads: DataFrame) -> PayloadProfile:
+    """Header, codes in use and row counts, in one pass over the payloads (runs a job).
+
+    The codes of a payload's rows are reduced to a set inside the row and then grouped, so that one
+    line per distinct code reaches the driver. Different headers, or more codes than a table can
+    have columns, raise.
     """
-    first = payloads.select(F.get_json_object("value", "$[0]").alias("header"))
-    headers = first.filter(F.col("header").isNotNull()).distinct().limit(2)
-    entries = F.map_entries(F.from_json("header", "MAP<STRING, STRING>"))
-    named = headers.select(
-        F.transform(
-            entries,
-            lambda e: F.struct(e["key"], e["value"], slug(e["value"]).alias("safe_label"), slug(e["key"]).alias("safe_code")),
-        ).alias("columns")
-    ).collect()
-    if len(named) > 1:
+    e = F.col("e")
+    codes = F.array_distinct(F.flatten(F.transform(F.slice(e, 2, F.greatest(F.size(e), F.lit(0))), F.map_keys)))
+    parsed = payloads.select(_elements().alias("e"))
+    seen = parsed.select(
+        F.to_json(F.get(e, F.lit(0))).alias("header"),
+        (F.coalesce(F.size(e), F.lit(0)) - 1).alias("rows"),
+        F.explode_outer(codes).alias("code"),
+    )
+    found = (
+        seen.groupBy("code")
+        .agg(F.min("header").alias("low"), F.max("header").alias("high"), F.min("rows").alias("fewest"), F.max("rows").alias("most"))
+        .limit(MAX_COLUMNS + 1)
+        .collect()
+    )
+    if len(found) > MAX_COLUMNS:
+        raise PayloadError("payload rows have too many different codes")
+    headers = {text for r in found for text in (r["low"], r["high"]) if text is not None}
+    if len(headers) > 1:
         raise PayloadError("payloads have different headers")
-    return [tuple(column) for column in named[0]["columns"]] if named else []
+    return PayloadProfile(
+        header=json.loads(headers.pop()) if headers else {},
+        row_codes={r["code"] for r in found if r["code"] is not None},
+        fewest_rows=min((r["fewest"] for r in found), default=0),
+        most_rows=max((r["most"] for r in found), default=0),
+    )
+
+
+def named_header(spark: SparkSession, header: dict[str, str]) -> list[tuple[str, str, str, str]]:
+    """(code, label, safe label, safe code) in header order."""
+    if not header:
+        return []
+    columns = spark.createDataFrame([(i, code, label) for i, (code, label) in enumerate(header.items())], "i INT, code STRING, label STRING")
+    named = columns.select("i", "code", "label", slug(F.col("label")).alias("safe_label"), slug(F.col("code")).alias("safe_code"))
+    return [tuple(r)[1:] for r in sorted(named.collect())]
 
 
 def safe_names(header: list[tuple[str, str, str, str]]) -> dict[str, str]:
@@ -46,43 +90,35 @@ def safe_names(header: list[tuple[str, str, str, str]]) -> dict[str, str]:
 
 def _rows(payloads: DataFrame) -> DataFrame:
     """One row per payload element after the header, as a map from code to text."""
-    elements = F.from_json("value", "ARRAY<MAP<STRING, STRING>>", {"mode": "FAILFAST"})
-    return payloads.select(F.posexplode(elements).alias("pos", "row")).filter("pos > 0").select("row")
+    return payloads.select(F.posexplode(_elements()).alias("pos", "row")).filter("pos > 0").select("row")
 
 
 def payload_normalize(payloads: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Table with safe column names, and the map from those names to the labels.
 
-    ``payloads`` has one JSON array per row in ``value``. Runs two jobs to settle the columns: one
-    for the header and one for which codes occur in any row, as a code that occurs in none has no
-    column (unless there are no rows at all). Nothing but those names reaches the driver.
+    ``payloads`` has one JSON array per row in ``value``. One pass settles the columns, as a code that
+    occurs in no row has no column (unless there are no rows at all); the table itself is lazy.
     """
-    header = payload_header(payloads)
-    names = safe_names(header)
-    labels = {names[code]: label for code, label, _, _ in header}
-    if not header:
+    profile = payload_profile(payloads)
+    names = safe_names(named_header(payloads.sparkSession, profile.header))
+    labels = {names[code]: label for code, label in profile.header.items()}
+    if not names:
         return payloads.sparkSession.createDataFrame([], "struct<>"), labels
-    rows = _rows(payloads)
-    found = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.bool_or(F.map_contains_key("row", code)).alias(f"has_{i}") for i, code in enumerate(names)],
-    ).first()
-    present = [code for i, code in enumerate(names) if not found["n"] or found[f"has_{i}"]]
-    return rows.select(*[F.col("row")[code].alias(names[code]) for code in present]), labels
+    present = [code for code in names if profile.most_rows < 1 or code in profile.row_codes]
+    return _rows(payloads).select(*[F.col("row")[code].alias(names[code]) for code in present]), labels
 
 
 def payload_strict(payloads: DataFrame) -> DataFrame:
-    """Table with the labels as column names, word for word; short payloads raise (runs two jobs).
+    """Table with the labels as column names, word for word; a payload without rows raises.
 
-    Repeated labels would give columns that cannot be told apart, so they raise as well.
+    Repeated labels would give columns that cannot be told apart, so they raise as well. One pass
+    settles the columns; the table itself is lazy.
     """
-    size = F.coalesce(F.json_array_length("value"), F.lit(0))
-    if not payloads.filter(size < 2).isEmpty():
+    profile = payload_profile(payloads)
+    if profile.fewest_rows < 1:
         raise PayloadError("a payload has no data rows")
-    labels = {code: label for code, label, _, _ in payload_header(payloads)}
+    labels = profile.header
     if len({label.lower() for label in labels.values()}) < len(labels):
         raise PayloadError("a label occurs twice")
-    rows = _rows(payloads)
-    codes = [r["code"] for r in rows.select(F.explode(F.map_keys("row")).alias("code")).distinct().collect()]
-    ordered = [code for code in labels if code in codes] + sorted(set(codes) - set(labels))
-    return rows.select(*[F.col("row")[code].alias(labels.get(code, code)) for code in ordered])
+    ordered = [code for code in labels if code in profile.row_codes] + sorted(profile.row_codes - set(labels))
+    return _rows(payloads).select(*[F.col("row")[code].alias(labels.get(code, code)) for code in ordered])

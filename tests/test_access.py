@@ -37,6 +37,7 @@ def test_components_add_up(spark):
 
 
 def test_disabled_modes(spark):
+    assert [mode for mode, enabled in fixed.MODES.items() if not enabled] == ["air"]
     df = legs(spark, *trip(1, [1.0] * 5), (1, "o", "d", "health", "air", "in_vehicle", 1.0), *trip(2, [2.0] * 5))
     assert {r["itinerary_id"] for r in door_to_door(df, YES).collect()} == {2}
     assert {r["itinerary_id"] for r in scenario_expand(df, waiting_overrides=YES).collect()} == {2}

@@ -96,6 +96,7 @@ def fetched(spark, *rows):
         (("a", "https://h/x.zip", None, "application/zip", 80_000_001, 80_000_001, "bad", 1), "declared_size_over_limit"),
         (("a", "https://h/x.zip", None, "application/zip", None, 80_000_001, "bad", 1), "size_over_limit"),
         (("a", "https://h/x.zip", None, "application/zip", 80_000_000, 80_000_000, "bad", 1), "checksum_mismatch"),
+        (("a", "https://h/x.zip", None, "application/zip", None, 0, "bad", 1), "missing_or_empty"),
         (("free", "https://h/x.zip", None, "application/zip", None, 5, "bad", 1), None),
         (("unlisted", "https://h/x.zip", None, "application/zip", None, 5, None, 1), None),
     ],

@@ -130,6 +130,7 @@ judged AS (
       WHEN n_chars % 4 = 1 THEN 'no_data_extension'
       WHEN attempt = 1 AND NOT contains(text, '.') THEN 'declared_size_over_limit'
       WHEN n_chars > {MAX_BYTES} THEN 'size_over_limit'
+      WHEN n_chars = 0 THEN 'missing_or_empty'
       WHEN expected_sha256 IS NOT NULL AND expected_sha256 <> sha256(text) THEN 'checksum_mismatch' END AS reject_reason
   FROM tries t LEFT JOIN expected e ON t.doc_id = e.doc_id)
 """

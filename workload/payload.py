@@ -56,7 +56,7 @@ def manifest(spark, folder):
 
 
 def payloads(spark: SparkSession, folder: str, header: dict[str, str]) -> DataFrame:
-    """One payload per hundred customers: a header element and then the rows."""
+    """One payload per hundred customers: a header element and then at most that many rows."""
 
     def entries(values: dict) -> F.Column:
         return F.create_map(*[c for name, value in values.items() for c in (F.lit(name), value)])
