@@ -14,6 +14,7 @@ FEMALE_AGE_GROUPS = [
     "V01020", "V01021", "V01022", "V01023", "V01024", "V01025",
     "V01026", "V01027", "V01028", "V01029", "V01030",
 ]
+MEASURES = [POPULATION_TOTAL, POPULATION_MALE, POPULATION_FEMALE, *FEMALE_AGE_GROUPS]
 BASIC_POPULATION = "v0001"
 STATUS_OBSERVED = "observed"
 STATUS_LEFT_ONLY = "zero_population_not_in_demography"

@@ -49,6 +49,7 @@ class SectorColumns:
     geometry: str = "geom_wkb"
     crs: str | None = "crs"
     feature_id: str = "id"
+    other_measures: Sequence[str] = field(default_factory=lambda: list(fixed.FEMALE_AGE_GROUPS))
     summary: Sequence[str] = field(default_factory=lambda: list(fixed.SUMMARY_COLUMNS))
 
     def attributes(self, features: DataFrame) -> list[str]:
@@ -134,7 +135,9 @@ def run_census_origins(
     Writes below ``out``: ``origins`` and ``parts`` (Parquet, partitioned by municipality),
     ``summary`` (CSV) and ``audit`` (JSON).
     """
-    demography = materialize(read_demography(spark, demography_path, state_code), "demography")
+    measures = [names.total, names.male, names.female, *names.other_measures]
+    people = read_demography(spark, demography_path, state_code, names.demography_key, measures)
+    demography = materialize(people, "demography")
     profile = materialize(
         keyed_profile(demography, names.demography_key, names.total, [names.male, names.female], names.female),
         "demography-profile",

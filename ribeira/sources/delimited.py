@@ -20,8 +20,13 @@ def scan_delimited(spark: SparkSession, path: str, columns: Sequence[str], sep:
     return spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding="UTF-8").select(*columns)
 
 
-def read_demography(spark: SparkSession, path: str, state_code: str = fixed.STATE_CODE) -> DataFrame:
+def read_demography(
+    spark: SparkSession,
+    path: str,
+    state_code: str = fixed.STATE_CODE,
+    key: str = fixed.DEMOGRAPHY_KEY,
+    measures: Sequence[str] = tuple(fixed.MEASURES),
+) -> DataFrame:
     """Census demography of one state: key as text, measures as DOUBLE with bad text as null."""
-    measures = [fixed.POPULATION_TOTAL, fixed.POPULATION_MALE, fixed.POPULATION_FEMALE, *fixed.FEMALE_AGE_GROUPS]
-    rows = scan_delimited(spark, path, [fixed.DEMOGRAPHY_KEY, *measures])
-    return coerce_columns(prefix_filter(rows, fixed.DEMOGRAPHY_KEY, state_code), measures, coerce_numeric)
+    rows = scan_delimited(spark, path, [key, *measures])
+    return coerce_columns(prefix_filter(rows, key, state_code), measures, coerce_numeric)

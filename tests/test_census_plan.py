@@ -9,7 +9,6 @@ from ribeira.operators.quality import ExpectationError
 from ribeira.plans.census import run_census_origins
 from ribeira.sources.delimited import read_demography, scan_delimited
 
-MEASURES = [fixed.POPULATION_TOTAL, fixed.POPULATION_MALE, fixed.POPULATION_FEMALE, *fixed.FEMALE_AGE_GROUPS]
 SECTORS = (
     "id BIGINT, CD_SETOR STRING, CD_MUN STRING, NM_MUN STRING, SITUACAO STRING, CD_SIT STRING, CD_TIPO STRING, "
     "AREA_KM2 DOUBLE, v0001 DOUBLE, geom_wkb BINARY, crs STRING"
@@ -22,7 +21,7 @@ def line(key, total, male, female, age="1"):
 
 def demography_file(folder, *lines):
     path = folder / "demography.csv"
-    path.write_text("\n".join([";".join(["NOTE", fixed.DEMOGRAPHY_KEY, *MEASURES]), *lines]) + "\n", encoding="utf-8")
+    path.write_text("\n".join([";".join(["NOTE", fixed.DEMOGRAPHY_KEY, *fixed.MEASURES]), *lines]) + "\n", encoding="utf-8")
     return str(path)
 
 

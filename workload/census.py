@@ -24,7 +24,14 @@ from ribeira.operators.quality import (
     keyed_profile,
 )
 from ribeira.operators.status import origins_audit, status_label, zero_fill
-from ribeira.plans.census import SectorColumns, demography_checks, group_sectors, label_sectors, sector_checks
+from ribeira.plans.census import (
+    SectorColumns,
+    demography_checks,
+    group_sectors,
+    label_sectors,
+    run_census_origins,
+    sector_checks,
+)
 from ribeira.session import work_dir
 from ribeira.sources.delimited import scan_delimited
 from ribeira.sources.sinks import write_origins, write_summary
@@ -41,6 +48,7 @@ NAMES = SectorColumns(
     geometry="geom_wkb",
     crs=None,
     feature_id="part_id",
+    other_measures=[],
     summary=["sector_id", "mun_id", "sector_name", "situation", "total_population", "male", "female_population", "population_data_status"],
 )
 
@@ -128,6 +136,16 @@ def census_origins(spark, folder):
     return origins(spark, folder).select(*ORIGIN_COLUMNS.split(", "))
 
 
+@query("census_job", CENSUS_SQL + f"SELECT {ORIGIN_COLUMNS} FROM origins")
+def census_job(spark, folder):
+    """The whole job with its checks, intermediate tables and sinks, from a delimited demography file."""
+    out = work_dir(spark, "census-job")
+    demography(spark, folder).write.csv(f"{out}/demography", sep=";", header=True)
+    run_census_origins(spark, features(spark, folder), f"{out}/demography", f"{out}/result", NAMES, state_code="")
+    rows = spark.read.parquet(f"{out}/result/origins").withColumn("mun_id", F.col("mun_id").cast("string"))
+    return rows.select(*ORIGIN_COLUMNS.split(", "))
+
+
 RULES_SQL = """
 SELECT 'demography has rows' AS rule, CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) AS violations FROM demo
 UNION ALL SELECT 'demography keys are unique', count(*) FROM (SELECT demo_id FROM demo GROUP BY demo_id HAVING count(*) > 1)
