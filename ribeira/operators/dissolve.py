@@ -19,7 +19,8 @@ def group_features(features: DataFrame, key: str, attributes: Sequence[str]) ->
     """One row per key, the null key included: attributes, feature count and conflict list.
 
     The attribute kept is the least non-null value, which for a key without conflicts is the only
-    one. ``conflicts`` names the attributes on which the features of the key disagree.
+    one. ``conflicts`` names the attributes on which the features of the key disagree. Minima of texts
+    make this a sort aggregation; it is one shuffle, and a join on the key finds its rows in order.
     """
     columns = {name: nan_to_null(features, name) for name in attributes}
     grouped = features.groupBy(key).agg(
