@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ribeira.fixed import COMPONENTS, MODES, SCENARIOS, THRESHOLDS_MINUTES
+from ribeira.functions.sql import text, texts
 
 ITINERARY = ["itinerary_id", "origin_id", "destination_id", "category"]
 
@@ -30,6 +31,31 @@ def decide_waiting(
     return settled
 
 
+def shared_rules(
+    scenarios: Mapping[str, tuple[bool | None, bool]] = SCENARIOS, overrides: Mapping[str, bool] | None = None
+) -> tuple[dict[str, tuple[bool, bool]], dict[str, list[str]]]:
+    """Scenarios reduced to their distinct rules, and which scenarios share each rule.
+
+    Times depend on a scenario only through its rules. Summaries are worked out on the few rules
+    (pass the first result as ``scenarios``) and named afterwards with ``name_scenarios``, so that
+    no scenario is computed twice.
+    """
+    rules: dict[str, tuple[bool, bool]] = {}
+    members: dict[str, list[str]] = {}
+    for name, (waiting, transfers) in decide_waiting(scenarios, overrides).items():
+        label = f"waiting={waiting} transfers={transfers}"
+        rules[label] = (waiting, transfers)
+        members.setdefault(label, []).append(name)
+    return rules, members
+
+
+def name_scenarios(df: DataFrame, members: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Rows of each rule once per scenario that has it."""
+    entries = ", ".join(f"{text(label)}, array({texts(names)})" for label, names in members.items())
+    others = [name for name in df.columns if name != "scenario"]
+    return df.select(*others, F.explode(F.expr(f"map({entries})[scenario]")).alias("scenario")).select(*df.columns)
+
+
 def _scenario_rows(settled: Mapping[str, tuple[bool, bool]]) -> Column:
     return F.array(
         *[

@@ -31,10 +31,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     table written there survives the loss of executors. Only where that is unset, as in local
     tests, does a temporary folder take its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "ribeira-work")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ribeira-work")
     return f"{base.rstrip('/')}/ribeira/{name}-{uuid.uuid4().hex}"
 
 

@@ -9,7 +9,9 @@ from ribeira.operators.access import (
     decide_waiting,
     door_to_door,
     min_time,
+    name_scenarios,
     scenario_expand,
+    shared_rules,
     weighted_summary,
 )
 
@@ -55,6 +57,15 @@ def times(spark, *rows):
     return spark.createDataFrame(list(rows), "origin_id STRING, destination_id STRING, category STRING, scenario STRING, minutes DOUBLE")
 
 
+def test_summaries_by_rule_are_those_by_scenario(spark):
+    df = legs(spark, *trip(1, [5.0, 10.0, 20.0, 5.0, 5.0]), *trip(2, [1.0, 90.0, 2.0, 3.0, 4.0], destination="e"))
+    rules, members = shared_rules(fixed.SCENARIOS, YES)
+    assert len(rules) == 2 and sorted(n for names in members.values() for n in names) == sorted(fixed.SCENARIOS)
+    by_rule, by_scenario = door_to_door(df, scenarios=rules), door_to_door(df, YES)
+    for summary in (min_time, cumulative_access):
+        assert sorted(name_scenarios(summary(by_rule), members).collect()) == sorted(summary(by_scenario).collect())
+
+
 def test_nearest_keeps_categories_apart(spark):
     df = times(spark, ("o", "a", "health", "s", 20.0), ("o", "b", "health", "s", 10.0), ("o", "a", "justice", "s", 30.0))
     got = min_time(df).collect()

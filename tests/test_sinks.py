@@ -26,6 +26,6 @@ def test_a_large_partition_value_is_split(spark, tmp_path):
 
 def test_work_tables_lie_in_the_checkpoint_folder(spark):
     first, second = work_dir(spark, "t"), work_dir(spark, "t")
-    assert first != second and first.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+    assert first != second and first.startswith(spark.conf.get("spark.checkpoint.dir", "/").rstrip("/"))
     table = materialize(spark.range(3), "t")
     assert table.count() == 3 and "Parquet" in table._jdf.queryExecution().executedPlan().toString()

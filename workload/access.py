@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ribeira.fixed import SCENARIOS
 from ribeira.operators.access import (
     coverage,
     cumulative_access,
     door_to_door,
     min_time,
+    name_scenarios,
     scenario_expand,
+    shared_rules,
     weighted_summary,
 )
 from workload.registry import query, table
@@ -61,8 +64,12 @@ def legs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RULES, MEMBERS = shared_rules(SCENARIOS, OVERRIDES)
+
+
 def times(spark: SparkSession, folder: str) -> DataFrame:
-    return door_to_door(legs(spark, folder), OVERRIDES)
+    """Times by rule; the summaries below are named by scenario at the end."""
+    return door_to_door(legs(spark, folder), scenarios=RULES)
 
 
 def origins(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,12 +87,12 @@ def expand(spark, folder):
 
 @query("door_to_door", ACCESS_SQL + "SELECT * FROM totals")
 def totals(spark, folder):
-    return times(spark, folder)
+    return door_to_door(legs(spark, folder), OVERRIDES)
 
 
 @query("min_time", ACCESS_SQL + "SELECT * FROM nearest")
 def nearest(spark, folder):
-    return min_time(times(spark, folder))
+    return name_scenarios(min_time(times(spark, folder)), MEMBERS)
 
 
 @query(
@@ -98,7 +105,7 @@ FROM totals, (VALUES (30), (60), (120), (180), (240)) t(threshold) GROUP BY 1, 2
 """,
 )
 def cumulative(spark, folder):
-    return cumulative_access(times(spark, folder))
+    return name_scenarios(cumulative_access(times(spark, folder)), MEMBERS)
 
 
 @query(
@@ -112,7 +119,8 @@ FROM nearest JOIN origins USING (origin_id) GROUP BY 1, 2, 3
 """,
 )
 def weighted(spark, folder):
-    return weighted_summary(min_time(times(spark, folder)), origins(spark, folder))
+    summary = weighted_summary(min_time(times(spark, folder)), origins(spark, folder))
+    return name_scenarios(summary, MEMBERS)
 
 
 @query(
