@@ -40,12 +40,14 @@ def extract_links(pages: DataFrame, html: str = "html", base: str = "url", link:
 
 
 def links_union(found: DataFrame, registered: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct (source_id, url) of discovered and registered links.
+    """Distinct (source_id, url) of discovered and registered links of the sources in ``catalog``.
 
-    Links found on a page do not count for sources that are limited to their registered ones.
+    Links found on a page do not count for sources that are limited to their registered ones. This
+    is an inner join on purpose: the optimizer would move a semi or anti join below the extraction
+    of links, where whole page texts might have to be shuffled.
     """
-    direct_only = catalog.filter(F.coalesce(F.col("direct_urls_only"), F.lit(False))).select("source_id")
-    open_found = found.select("source_id", "url").join(direct_only, "source_id", "left_anti")
+    open_sources = catalog.filter(~F.coalesce(F.col("direct_urls_only"), F.lit(False))).select("source_id")
+    open_found = found.select("source_id", "url").join(open_sources, "source_id")
     return open_found.unionByName(registered.select("source_id", "url")).distinct()
 
 

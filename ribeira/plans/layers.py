@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribeira import fixed
+from ribeira.functions.urls import file_suffix
 from ribeira.operators.filters import eligible_sources
 from ribeira.operators.landing import (
     accepted,
@@ -37,7 +38,7 @@ def rank_links(
     ``pages`` has (source_id, url, html); registered links are those listed in the catalog.
     """
     sources = eligible_sources(catalog, fixed.BOUNDARY_SOURCE)
-    found = extract_links(pages.join(sources.select("source_id"), "source_id", "left_semi"))
+    found = extract_links(pages)
     links = links_union(found.select("source_id", F.col("link").alias("url")), registered_links(sources), sources)
     return topk_links(link_score(links, keywords), k)
 
@@ -45,11 +46,13 @@ def rank_links(
 def inspect_cache(cached: DataFrame, catalog: DataFrame) -> DataFrame:
     """Cached files that count, with digest, archive members and verdict.
 
-    ``cached`` has (source_id, path, length, content).
+    ``cached`` has (source_id, path, length, content). Files are looked into where they are read, and
+    only the findings are joined to the catalog, so that contents are never shuffled.
     """
-    files = allowlist_semi(cached, eligible_sources(catalog, fixed.BOUNDARY_SOURCE))
-    digested = files.withColumn("sha256", content_digest(F.col("content")))
-    return judge_files(inspect_files(digested, keep=["source_id", "sha256"]))
+    data_files = cached.filter(file_suffix(F.col("path")).isin(fixed.DATA_EXTENSIONS))
+    digested = data_files.withColumn("sha256", content_digest(F.col("content")))
+    inspected = inspect_files(digested, keep=["source_id", "sha256"])
+    return judge_files(allowlist_semi(inspected, eligible_sources(catalog, fixed.BOUNDARY_SOURCE)))
 
 
 def kept_files(judged: DataFrame) -> DataFrame:

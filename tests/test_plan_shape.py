@@ -50,3 +50,18 @@ def test_extraction_needs_no_shuffle(spark):
     for name in ("extract_links", "normalize_text", "manifest_flatten", "landing_accepted"):
         exchanges = plan(spark, name).count("Exchange hashpartitioning")
         assert exchanges == 0 or name == "landing_accepted"
+
+
+@pytest.mark.parametrize("name", ["links_union", "rank_links"])
+def test_page_texts_are_not_shuffled(spark, name):
+    """Even without broadcasts, joins come after links have been taken out of the pages."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, FOLDER)
+        executed = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    start = executed.index("Generate explode(")
+    below = executed[start : executed.index("FileScan", start)]
+    assert "Exchange" not in below and "Join" not in below
