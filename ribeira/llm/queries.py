@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, exact_dedup
+from ribeira.llm import bpe, exact_dedup, token_count, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op4_token_counts": token_count.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
 }
-SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL}
+SQL = {"op2_warc": warc.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
