@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, exact_dedup, token_count, warc
+from ribeira.llm import bpe, exact_dedup, simhash, token_count, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op9_simhash": simhash.op9_simhash,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
