@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, exact_dedup, simhash, token_count, warc
+from ribeira.llm import bpe, exact_dedup, quality, simhash, token_count, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op10_quality": quality.op10_quality,
     "op9_simhash": simhash.op9_simhash,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
