@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, exact_dedup, quality, simhash, token_count, toxicity, warc
+from ribeira.llm import bpe, exact_dedup, language, quality, simhash, token_count, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op10_quality": quality.op10_quality,
+    "op8_language": language.op8_language,
     "op9_simhash": simhash.op9_simhash,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
