@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, exact_dedup, language, quality, simhash, token_count, toxicity, warc
+from ribeira.llm import bpe, exact_dedup, language, quality, simhash, substring_dedup, token_count, toxicity, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_warc": warc.op2_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op10_quality": quality.op10_quality,
