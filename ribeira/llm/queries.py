@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, exact_dedup, language, quality, simhash, substring_dedup, token_count, toxicity, warc
+from ribeira.llm import bpe, decontaminate, exact_dedup, language, quality, simhash, substring_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op8_language": language.op8_language,
     "op9_simhash": simhash.op9_simhash,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
