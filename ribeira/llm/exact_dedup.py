@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -134,6 +135,17 @@ class PatriciaTrie:
                 yield path, node.owner
             stack.extend((kid, path) for kid in node.kids.values())
 
+    @staticmethod
+    def files(top: Node) -> list:
+        """The files of subtrees spilled before."""
+        found, stack = [], [top]
+        while stack:
+            node = stack.pop()
+            if node.file is not None:
+                found.append(node.file)
+            stack.extend(node.kids.values())
+        return found
+
     @staticmethod
     def weight(top: Node) -> int:
         total, stack = 0, [top]
@@ -174,6 +186,10 @@ class PatriciaTrie:
         out = tempfile.TemporaryFile(dir=self.folder)
         for data, o in self.entries(top, path):
             pickle.dump((data, o.size, o.chars, o.doc_id, o.copies), out)
+        for file in self.files(top):
+            file.seek(0)
+            shutil.copyfileobj(file, out)
+            file.close()
         self.bytes -= self.weight(top) - 200
         mark = Node(top.label)
         mark.file = out
@@ -186,12 +202,7 @@ class PatriciaTrie:
 
     def settle(self) -> Iterator[tuple[bytes, Owner]]:
         """All entries: those in memory, then each spilled subtree, worked through as a trie of its own."""
-        files, stack = [], [self.root]
-        while stack:
-            node = stack.pop()
-            if node.file is not None:
-                files.append(node.file)
-            stack.extend(node.kids.values())
+        files = self.files(self.root)
         yield from self.entries(self.root, b"")
         self.root = Node(b"")
         for file in files:

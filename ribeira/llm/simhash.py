@@ -17,8 +17,8 @@ link when at most ``distance`` bits differ. If the bits are dealt into parts wit
 Equal fingerprints are one node throughout, so exact copies are never compared with each other.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other. Fewer words than a
-shingle make one shingle. A null ``doc_id`` takes part, but is never a component's name while it has another. Rows that repeat id and
-text stand and fall together in ``near_duplicates``; ``drop_near`` leaves one of them. An empty table gives an empty result;
+shingle make one shingle. A null ``doc_id`` takes part, but names a component only where there is no other id. Of rows that repeat
+id and text, ``drop_near`` leaves one. An empty table gives an empty result;
 other columns are not read.
 """
 
@@ -45,7 +45,7 @@ LONG_TEXT = 4 << 20
 MINORITY = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 PAIRS = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64())])
 
@@ -85,8 +85,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def _prints(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Emitter(PRINTS)
-        for doc_id, text in rows_of(batches):
-            yield from out.add((doc_id, fingerprint(text, width)))
+        for doc_id, text, mark in rows_of(batches):
+            yield from out.add((doc_id, mark, fingerprint(text, width)))
         yield from out.flush()
 
     return run
@@ -293,24 +293,41 @@ def links(prints: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(_verify(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fp`` (signed) and ``component_id``."""
-    prints = materialize(id_and_text(docs).mapInArrow(_prints(width), "doc_id long, fp long"), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+def mark_of(text):
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``mark``, a hash of the text: id and mark tell rows apart, but for those that repeat both."""
+    return id_and_text(docs).withColumn("mark", mark_of(F.col("text")))
+
+
+def grouped(docs: DataFrame, distance: int, width: int) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, mark, fp`` and ``name``, the id and mark of the row that names its component."""
+    prints = materialize(marked(docs).mapInArrow(_prints(width), "doc_id long, mark long, fp long"), "prints")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(own).alias("rep")), "nodes")
     member = components(links(nodes.select("fp"), distance))
     mapped = nodes.join(member, nodes.fp == member.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    names = mapped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    names = mapped.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(names, prints.fp == F.col("_fp")).select("doc_id", "fp", "component_id")
+    names = mapped.groupBy("root").agg(F.min("rep").alias("name"))
+    names = mapped.join(names, "root").select(F.col("fp").alias("_fp"), "name")
+    return prints.join(names, prints.fp == F.col("_fp")).select("doc_id", "mark", "fp", "name")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``fp`` (signed) and ``component_id``."""
+    return grouped(docs, distance, width).select("doc_id", "fp", F.col("name.doc_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns."""
-    stay = materialize(near_duplicates(docs, distance, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "near")
-    kept = docs.join(stay.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if not stay.groupBy("_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    """The rows of ``docs`` that name their component, with all their columns; of rows that repeat id and text, one."""
+    own = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("mark") == F.col("name.mark"))
+    stay = materialize(grouped(docs, distance, width).where(own).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "near")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), mark_of(docs["text"]).alias("mark"))
+    kept = rows.join(stay.distinct(), rows.doc_id.eqNullSafe(F.col("_id")) & (rows.mark == F.col("_mark")), "left_semi")
+    if not stay.groupBy("_id", "_mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "mark"])
+    return kept.select("row.*")
 
 
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:

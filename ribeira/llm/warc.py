@@ -137,10 +137,11 @@ def page_of(record_id: str | None) -> int | None:
 
 def url_key(url: str) -> str:
     """Sort-friendly key: host labels from the right, then path and query; scheme, fragment and default port are left out."""
-    rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", url).partition("#")[0]
+    rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://+", "", url).partition("#")[0]
     host, path = re.match(r"([^/?]*)(.*)", rest, re.S).groups()
-    host = re.sub(r":(80|443)?$", "", host.rpartition("@")[2].lower())
-    return ",".join(reversed(host.split("."))) + ")" + (path or "/") if host else ""
+    host, port = re.match(r"(.*?)(:\d*)?$", host.rpartition("@")[2].lower(), re.S).groups()
+    port = "" if port in (None, ":", ":80", ":443") else port
+    return ",".join(reversed(host.split("."))) + port + ")" + (path or "/") if host else ""
 
 
 def http_parts(block: memoryview) -> tuple[int, memoryview]:

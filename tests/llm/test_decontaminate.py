@@ -1,0 +1,50 @@
+from ribeira.llm.decontaminate import drop_contaminated, found, template, values
+
+QUESTION = "Yesterday Tom bought 3 apples and gave Anna 2 apples. How many apples does Tom have after Anna ate 2 apples and walked 5 km home with Tom?"
+OTHER = QUESTION.replace("Tom", "Bob").replace("Anna", "Mia").replace("3", "17").replace("2", "9").replace("5 km", "8 miles")
+MIXED = "Yesterday Tom bought 3 apples and gave Anna 2 apples. How many apples does Bill have after Carl ate 7 apples and walked 5 km home with Zed?"
+DOCS = [
+    (1, QUESTION), (2, f"Intro.\n{OTHER.replace(' ', '  ')}\nEnd."), (3, MIXED), (4, "nothing of this kind is in here, really nothing at all"), (5, None), (6, ""),
+    (7, " ".join(QUESTION.split()[:12])), (8, "filler words go on " * 30_000 + QUESTION), (None, QUESTION), (1, "again"), (9, "1 2 3 4 5 6 7 8 9 10 11"),
+]
+ITEMS = [(1, QUESTION, "x"), (2, "too short", "x"), (3, None, "x"), (4, "1 2 3 4 5 6 7 8", "x"), (1, QUESTION, "x"), (None, QUESTION, "x")]
+
+
+def items(spark, rows=ITEMS):
+    return spark.createDataFrame(rows, "item_id long, text string, n_windows string")
+
+
+def test_typed_placeholders(spark):
+    df = spark.createDataFrame([("In May, Mr Bean (born 1955) ran 5 km!  Then -- 3kg; it's \u0001fine: The end",)], "text string")
+    (row,) = df.select(template(df.text).alias("t"), values(df.text).alias("v")).collect()
+    assert row.t == ["in", "\u0001", "\u0001", "\u0001", "born", "\u0002", "ran", "\u0002", "\u0003", "then", "\u0002", "its", "fine", "the", "end"]
+    assert row.v == ["in", "may", "mr", "bean", "born", "1955", "ran", "5", "km", "then", "3kg", "its", "fine", "the", "end"]
+
+
+def test_finds_copies_with_other_values(spark, documents):
+    rows = found(documents(DOCS, extra=True), items(spark)).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in rows), key=repr) == [(1, 1), (2, 1), (8, 1), (None, 1)]
+    assert all(r.coverage > 0.9 and r.slot_share == 1.0 for r in rows)
+
+
+def test_shares_can_be_lowered(spark, documents):
+    rows = found(documents(DOCS), items(spark), share=0.3).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 7, 8, None}
+    mixed = next(r for r in rows if r.doc_id == 3)
+    assert 0.3 <= mixed.slot_share < 0.8
+
+
+def test_drop(spark, documents):
+    kept = drop_contaminated(documents(DOCS, extra=True), items(spark))
+    assert kept.columns == documents([], extra=True).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7, 9]
+
+
+def test_empty_tables(spark, documents):
+    assert found(documents([]), items(spark)).collect() == []
+    assert found(documents(DOCS), items(spark, [])).collect() == []
+
+
+def test_native_only(spark, documents):
+    plan = found(documents(DOCS), items(spark))._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))

@@ -1,0 +1,56 @@
+import hashlib
+import random
+
+from ribeira.llm.exact_dedup import Owner, PatriciaTrie, drop_exact, exact_dedup
+
+ROWS = [(1, "a b"), (2, "ab"), (3, " a\tb\n"), (4, None), (5, ""), (6, "é x"), (7, "éx"), (8, "z" * 300_000), (9, "z" * 299_999 + " z"), (None, "ab")]
+
+
+def brute(rows):
+    groups = {}
+    for doc_id, text in rows:
+        text = text or ""
+        key = "".join(c for c in text if c not in " \t\n\x0b\x0c\r")
+        groups.setdefault(key, []).append((-len(text), doc_id is None, doc_id or 0, doc_id))
+    return sorted(
+        ((d, min(g)[3], len(g), d == min(g)[3], hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for *_, d in g), key=repr
+    )
+
+
+def result(df):
+    return sorted((tuple(r)[:5] for r in df.collect()), key=repr)
+
+
+def test_same_as_brute_force(documents):
+    assert result(exact_dedup(documents(ROWS))) == brute(ROWS)
+
+
+def test_extra_columns_and_empty_table(documents):
+    assert result(exact_dedup(documents(ROWS, extra=True))) == brute(ROWS)
+    assert exact_dedup(documents([])).collect() == []
+
+
+def test_spilling_changes_nothing(documents):
+    draw = random.Random(1)
+    rows = [(i, draw.choice("ab") * draw.randrange(40) + draw.choice(["", " "]) + "xyz"[: draw.randrange(4)]) for i in range(600)]
+    assert result(exact_dedup(documents(rows), limit=500)) == brute(rows)
+
+
+def test_trie_settles_spilled_subtrees(tmp_path):
+    draw, want = random.Random(2), {}
+    trie = PatriciaTrie(800, str(tmp_path))
+    for i in range(3000):
+        data = bytes(draw.choice(b"ab") for _ in range(draw.randrange(14)))
+        size, least = want.get(data, (0, i))
+        want[data] = (size + 1, min(least, i))
+        trie.add(data, Owner(1, 5, i))
+    got = {data: (o.size, o.doc_id) for data, o in trie.settle()}
+    assert got == want
+
+
+def test_drop_leaves_one_of_each(documents):
+    kept = drop_exact(documents([*ROWS, (3, " a\tb\n"), (1, "other")], extra=True))
+    assert kept.columns == documents([], extra=True).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(3, " a\tb\n"), (1, "other"), (4, None), (6, "é x"), (7, "éx"), (9, "z" * 299_999 + " z")], key=repr
+    )
