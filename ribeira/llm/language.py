@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ribeira.llm.common import Emitter, id_and_text, read, text_groups
-from ribeira.llm.learning import Adam, remainder, sigmoid
+from ribeira.llm.learning import Adam, gather, remainder, sigmoid
 
 SEGMENT = 64
 HIDDEN = 6
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 SEGMENTS_EACH = 4
 WIDTH = 2048
 UNKNOWN = "und"
@@ -206,8 +206,7 @@ def fit(docs: DataFrame, learn) -> Network | None:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull()).where(learn)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    rows = id_and_text(docs).join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    found = rows.mapInArrow(_samples, "doc_id long, codes binary, size int").join(chosen, "doc_id").orderBy("doc_id", "codes").toArrow()
+    found = gather(docs, chosen, _samples, "codes binary, size int")
     if not found.num_rows:
         return None
     languages = sorted(set(found["lang"].to_pylist()))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ribeira.llm.common import id_and_text
+from ribeira.session import materialize
 
 
 def remainder(n: int, doc_id: str = "doc_id") -> Column:
@@ -21,9 +22,13 @@ def sample(ids: DataFrame, most: int) -> DataFrame:
 
 
 def gather(docs: DataFrame, chosen: DataFrame, features, ddl: str) -> pa.Table:
-    """The features of the chosen documents' texts on the driver: ``doc_id``, ``ddl`` and the columns of ``chosen``."""
+    """The features of the chosen documents' texts on the driver: ``doc_id``, ``ddl`` and the columns of ``chosen``.
+
+    The choice is written out first: its size is then known, and a small one is broadcast, so that no text is shuffled.
+    """
+    chosen, first = materialize(chosen, "chosen"), ddl.split()[0]
     texts = id_and_text(docs).join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    return texts.mapInArrow(features, "doc_id long, " + ddl).join(chosen, "doc_id").orderBy("doc_id").toArrow()
+    return texts.mapInArrow(features, "doc_id long, " + ddl).join(chosen, "doc_id").orderBy("doc_id", first).toArrow()
 
 
 class Ragged:

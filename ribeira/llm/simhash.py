@@ -204,13 +204,14 @@ def plan(prints: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
 
 
 def spanning_edges(values: np.ndarray, listed: np.ndarray, distance: int, mine: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``values`` in which one end at least is ``listed``.
+    """A spanning forest of the links among the rows of ``values`` (uint64, one or more words each), one end at least ``listed``.
 
-    Nodes with ``mine`` are compared with the others only (two blocks), without it all with all.
+    Rows with ``mine`` are compared with the others only (two blocks), without it all with all.
     """
     out: list[tuple[int, int]] = []
+    values = values.reshape(len(values), -1)
     if len(values) <= 48:
-        near = np.bitwise_count(values[:, None] ^ values) <= distance
+        near = np.bitwise_count(values[:, None] ^ values).sum(-1) <= distance
         near &= listed[:, None] | listed
         if mine is not None:
             near &= mine[:, None] != mine
@@ -224,7 +225,7 @@ def spanning_edges(values: np.ndarray, listed: np.ndarray, distance: int, mine:
                 root[y] = y = root[root[y]]
             if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((int(values[i]), int(values[j])))
+                out.append((i, j))
         return out
     left = np.arange(len(values))
     waiting: list[int] = []
@@ -233,28 +234,28 @@ def spanning_edges(values: np.ndarray, listed: np.ndarray, distance: int, mine:
             waiting.append(int(left[0]))
             left = left[1:]
         node = waiting.pop()
-        near = np.bitwise_count(values[left] ^ values[node]) <= distance
+        near = np.bitwise_count(values[left] ^ values[node]).sum(-1) <= distance
         if not listed[node]:
             near &= listed[left]
         if mine is not None:
             near &= mine[left] != mine[node]
         if near.any():
             found = left[near]
-            out.extend((int(values[node]), v) for v in values[found].tolist())
+            out.extend((node, other) for other in found.tolist())
             waiting.extend(found.tolist())
             left = left[~near]
     return out
 
 
 def _verify(distance: int):
-    """Rows ``part, key, low, high, block, listed, fp`` in the order of the first four: the links under every key."""
+    """Rows ``part, key, low, high, block, listed, node, fp`` in the order of the first four: the links under every key."""
 
     def edges(group: list[tuple]) -> list[tuple[int, int]]:
         low, high = group[0][2], group[0][3]
-        values = np.array([r[6] for r in group], np.int64).view(np.uint64)
+        values = np.frombuffer(b"".join(r[7] for r in group), np.uint64).reshape(len(group), -1)
         mine = None if low == high else np.array([r[4] == low for r in group])
         found = spanning_edges(values, np.array([r[5] for r in group], bool), distance, mine)
-        return [(a - (a >> 63 << 64), b - (b >> 63 << 64)) for a, b in found]
+        return [(group[i][6], group[j][6]) for i, j in found]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, group, at = Emitter(EDGES), [], None
@@ -273,6 +274,19 @@ def _verify(distance: int):
     return run
 
 
+def meet(rows: DataFrame, distance: int, block: int) -> DataFrame:
+    """``a, b``: spanning links among the ``rows(part, key, listed, node, fp)`` under each key."""
+    sizes = materialize(
+        rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.max("listed").alias("met")).where(F.col("met") & (F.col("n") > 1))
+        .select("part", "key", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "simhash-keys",
+    )
+    blocks = rows.join(sizes, ["part", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("part", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "listed", "node", "fp")
+    dealt = cells.repartition("part", "key", "low", "high").sortWithinPartitions("part", "key", "low", "high")
+    return dealt.mapInArrow(_verify(distance), "a long, b long")
+
+
 def links(prints: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     """``a, b``: links among distinct ``prints(fp)`` that connect whatever is connected."""
     parts, thresholds = plan(prints, distance)
@@ -281,22 +295,21 @@ def links(prints: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame
     flips = {k: [sum(1 << f for f in some) for r in range(t + 1) for some in combinations(range(len(part)), r)] for k, part, t in used}
     masks = F.create_map(*(x for k, flip in flips.items() for x in (F.lit(k), F.array(*(F.lit(m).cast("long") for m in flip)))))
     rows = prints.select("fp", F.explode(keys).alias("e")).select("fp", "e.part", "e.key", F.explode(masks[F.col("e.part")]).alias("mask"))
-    rows = rows.select("part", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("listed"), "fp")
-    sizes = materialize(
-        rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.max("listed").alias("met")).where(F.col("met") & (F.col("n") > 1))
-        .select("part", "key", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "simhash-keys",
+    rows = rows.select(
+        "part", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("listed"), F.col("fp").alias("node"), F.to_binary(F.lpad(F.hex("fp"), 16, "0"), F.lit("hex")).alias("fp")
     )
-    blocks = rows.join(sizes, ["part", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
-    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("part", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "listed", "fp")
-    dealt = cells.repartition("part", "key", "low", "high").sortWithinPartitions("part", "key", "low", "high")
-    return dealt.mapInArrow(_verify(distance), "a long, b long")
+    return meet(rows, distance, block)
 
 
 def mark_of(text):
     return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
+def own_name():
+    """Orders rows by id, null last, and text; the least of a group names it."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and ``mark``, a hash of the text: id and mark tell rows apart, but for those that repeat both."""
     return id_and_text(docs).withColumn("mark", mark_of(F.col("text")))
@@ -305,8 +318,7 @@ def marked(docs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, distance: int, width: int) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, mark, fp`` and ``name``, the id and mark of the row that names its component."""
     prints = materialize(marked(docs).mapInArrow(_prints(width), "doc_id long, mark long, fp long"), "prints")
-    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
-    nodes = materialize(prints.groupBy("fp").agg(F.min(own).alias("rep")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(own_name()).alias("rep")), "nodes")
     member = components(links(nodes.select("fp"), distance))
     mapped = nodes.join(member, nodes.fp == member.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     names = mapped.groupBy("root").agg(F.min("rep").alias("name"))
@@ -330,6 +342,117 @@ def drop_near(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
     return kept.select("row.*")
 
 
+# Similar texts: long fingerprints
+
+
+LONG_WORDS = 8
+KEY_BITS = 16
+UNITS = 100
+"""Of logarithmic gain, for the dynamic programme."""
+
+
+def long_fingerprint(text: bytes, width: int, words: int = LONG_WORDS) -> bytes:
+    """``64 * words`` bits by the rule of ``fingerprint``; each word has hashes of its own, mixed from the shingles' XXH64."""
+    shingled = text.lower().split()
+    if not shingled:
+        return bytes(8 * words)
+    width = min(width, len(shingled))
+    totals, n = np.zeros((words, BITS), np.int64), len(shingled) - width + 1
+    for low in range(0, n, 100_000):
+        shingles = map(b" ".join, zip(*(shingled[low + i : min(low + 100_000, n) + i] for i in range(width))))
+        base = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), ">u8").astype(np.uint64)
+        for word in range(words):
+            h = (base ^ (base >> np.uint64(29 + word))) * np.uint64(0x9E3779B97F4A7C15 + 2 * word * 0x1000193)
+            h ^= h >> np.uint64(32)
+            columns = h.view(np.uint8).reshape(-1, 8)
+            per_byte = np.bincount((columns + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
+            totals[word] += (per_byte @ MINORITY).ravel()
+    return np.packbits(2 * totals > n, axis=1).tobytes()
+
+
+def differing(similarity: float) -> float:
+    """The chance that a bit differs between texts whose shingle sets have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def allocate_recall(costs: list[list[float]], gains: list[list[float]], target: float) -> list[int]:
+    """Thresholds of -1 and more at least cost whose gains add up to ``target``; all of the most gainful where they cannot."""
+    goal = min(int(np.ceil(target * UNITS)), sum(int(max(g) * UNITS) for g in gains))
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for row, gain in zip(costs, gains):
+        step: dict[int, tuple[float, list[int]]] = {}
+        for had, (cost, chosen) in best.items():
+            for index, (more, g) in enumerate(zip(row, gain)):
+                key = min(goal, had + int(g * UNITS))
+                if key not in step or cost + more < step[key][0]:
+                    step[key] = (cost + more, [*chosen, index - 1])
+        best = step
+    return best[goal][1]
+
+
+def _long_prints(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Emitter(pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.binary())]))
+        for doc_id, text, mark in rows_of(batches):
+            yield from out.add((doc_id, mark, long_fingerprint(text, width)), 100)
+        yield from out.flush()
+
+    return run
+
+
+def piece(part: int):
+    """The 16 bits of column ``fp`` that make part ``part``."""
+    return F.conv(F.hex(F.substring("fp", 2 * part + 1, 2)), 16, 10).cast("long")
+
+
+def similar_links(nodes: DataFrame, similarity: float, recall: float, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links among ``nodes(node, fp)`` that connect texts of this similarity, each found with a chance of ``recall`` or more.
+
+    Every 16 bits of a fingerprint are a part. A threshold of -1, 0 or 1 per part is chosen by dynamic programming at least cost (probes,
+    and candidates counted over all nodes), so that a pair of this similarity meets in some part with the chance asked for. What
+    meets is verified on the whole fingerprint, up to one standard deviation beyond the bits that the similarity lets differ.
+    """
+    parts, p = LONG_WORDS * BITS // KEY_BITS, differing(similarity)
+    keys = nodes.select("node", "fp", F.posexplode(F.array(*(piece(k) for k in range(parts)))).alias("part", "key"))
+    met = keys.groupBy("part", "key").count().groupBy("part").agg(F.sum(F.expr("count * (count - 1.0D) / 2")).alias("pairs"), F.sum("count").alias("n")).collect()
+    pairs, n = {r.part: float(r.pairs) for r in met}, max((r.n for r in met), default=0)
+    chances, random = within(np.full(KEY_BITS, p), 1), within(np.full(KEY_BITS, 0.5), 1)
+    costs = [[0.0, *(40.0 * n * ball(KEY_BITS, t) + pairs.get(k, 0.0) * random[t] / random[0] for t in (0, 1))] for k in range(parts)]
+    chosen = allocate_recall(costs, [[0.0, *(-np.log1p(-chances))]] * parts, -np.log1p(-recall))
+    flips = {k: [0, *(1 << f for f in range(KEY_BITS))][: ball(KEY_BITS, t)] for k, t in enumerate(chosen) if t >= 0}
+    masks = F.create_map(*(x for k, flip in flips.items() for x in (F.lit(k), F.array(*(F.lit(m).cast("long") for m in flip)))))
+    rows = keys.where(F.col("part").isin(*flips)).withColumn("mask", F.explode(masks[F.col("part")]))
+    rows = rows.select("part", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("listed"), "node", "fp")
+    bits = LONG_WORDS * BITS
+    return meet(rows, int(bits * p + np.sqrt(bits * p * (1 - p))), block)
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9) -> DataFrame:
+    """The rows of ``docs`` that name their group, with all their columns: groups are linked by 64-bit fingerprints as in
+    ``near_duplicates``, or by this similarity of their sets of shingles, as long fingerprints estimate it.
+
+    Similarities clearly above the one asked for are found all but surely (at 0.9 with a chance of 99.8 %).
+    """
+    prints = materialize(marked(docs).mapInArrow(_long_prints(width), "doc_id long, mark long, fp binary"), "long-prints")
+    short = materialize(marked(docs).mapInArrow(_prints(width), "doc_id long, mark long, fp long"), "prints")
+    texts = materialize(prints.groupBy("mark").agg(F.min(own_name()).alias("rep"), F.first("fp").alias("fp")), "texts")
+    edges = similar_links(texts.select(F.col("mark").alias("node"), "fp"), similarity, recall)
+    same = short.groupBy("fp").agg(F.min("mark").alias("first"))
+    close = links(same.select("fp"))
+    ends = same.select(F.col("fp").alias("x"), F.col("first").alias("m"))
+    close = close.join(ends, F.col("a") == F.col("x")).select("m", "b").withColumnRenamed("m", "a")
+    close = close.join(ends, F.col("b") == F.col("x")).select("a", F.col("m").alias("b"))
+    equal = short.join(same, "fp").select(F.col("mark").alias("a"), F.col("first").alias("b"))
+    member = components(edges.union(close).union(equal))
+    mapped = texts.join(member, texts.mark == member.node, "left").select("mark", "rep", F.coalesce("root", "mark").alias("root"))
+    stay = materialize(mapped.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark")), "near")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), mark_of(docs["text"]).alias("mark"))
+    kept = rows.join(stay, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.mark == F.col("_mark")), "left_semi")
+    if not prints.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "mark"])
+    return kept.select("row.*")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ import xxhash
 
 from ribeira.llm import simhash
 from ribeira.llm.graph import components
-from ribeira.llm.simhash import allocate, correlated_parts, drop_near, fingerprint, links, near_duplicates, spanning_edges
+from ribeira.llm.simhash import allocate, allocate_recall, correlated_parts, drop_near, drop_similar, fingerprint, links, near_duplicates, spanning_edges
 
 
 def slow_fingerprint(text, width=3):
@@ -126,9 +126,35 @@ def test_components_of_documents(documents):
     assert (None, "only here and nowhere else") in kept
 
 
+def test_similar_texts_go(documents):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    rows, groups = [], 40
+    for g in range(groups):
+        base = [word() for _ in range(300)]
+        rows.append((1000 * g, " ".join(base)))
+        for c in range(1, 4):
+            words = list(base)
+            for _ in range(4):  # 20 of some 300 shingles
+                words[draw.randrange(300)] = word()
+            rows.append((1000 * g + c, " ".join(words)))
+        rows.append((1000 * g + 500, " ".join([word() for _ in range(150)] + base[:150])))
+    rows += [(None, "alone without an id"), (-5, rows[0][1]), (-5, rows[0][1])]
+    kept = [r.doc_id for r in drop_similar(documents(rows, extra=True)).collect()]
+    want = {None, -5, *(1000 * g for g in range(1, groups)), *(1000 * g + 500 for g in range(groups))}
+    assert want <= set(kept) and len(kept) == len(set(kept)) and len(set(kept) - want) <= 1
+
+
+def test_thresholds_reach_the_recall():
+    costs, gains = [[0, 2, 9], [0, 3, 6], [0, 100, 200]], [[0, 0.5, 1.2], [0, 0.5, 1.2], [0, 0.5, 1.2]]
+    assert allocate_recall(costs, gains, 1.0) == [0, 0, -1]
+    assert allocate_recall(costs, gains, 1.6) == [0, 1, -1]
+    assert allocate_recall(costs, gains, 99) == [1, 1, 1]
+
+
 def test_empty_table(documents):
-    assert near_duplicates(documents([])).collect() == []
-    assert drop_near(documents([])).collect() == []
+    for drop in (near_duplicates, drop_near, drop_similar):
+        assert drop(documents([])).collect() == []
 
 
 def test_components_of_long_chains(spark):
