@@ -47,16 +47,15 @@ def plain(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words of a text in which punctuation and placeholders are still in place."""
-    stripped = F.trim(F.regexp_replace(F.regexp_replace(text, "[^\\p{L}\\p{N} \u0001-\u0003]+", ""), " +", " "))
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, " "))
+    """Words of a text in which punctuation and placeholders are still in place; one empty word if there is none."""
+    return F.split(F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N} \u0001-\u0003]+", "")), " +")
 
 
 def template(text: Column) -> Column:
     """The canonical words of a text."""
     out = F.regexp_replace(plain(text), "[\u0001-\u0003]", "")
     out = F.regexp_replace(out, "(?<=[^.!?: ] )\\p{Lu}[^ ]*", NAME)
-    out = F.regexp_replace(F.lower(out), "[^ ]*\\p{N}[^ ]*", NUMBER)
+    out = F.regexp_replace(F.lower(out), "(?<![^ ])[^ \\p{N}]*+\\p{N}[^ ]*", NUMBER)
     out = F.regexp_replace(out, f"(?<={NUMBER} )[^\\p{{L}}\\p{{N}} {NAME}{NUMBER}]*(?:{'|'.join(UNITS)})[^\\p{{L}}\\p{{N}} {NAME}{NUMBER}]*(?= |$)", UNIT)
     return words(out)
 
@@ -70,7 +69,8 @@ def windows(df: DataFrame, key: str, pos: str) -> DataFrame:
     """``key, pos, h1, h2, literal``: the hashed windows of column ``words``, each from its first word on (``pos`` counts from 0)."""
     n = F.size("words")
     shifted = [F.slice("words", i + 1, F.greatest(n - (WIDTH - 1), F.lit(0))).alias(f"w{i}") for i in range(WIDTH)]
-    rows = df.where(n >= WIDTH).select(key, F.arrays_zip(*shifted).alias("zipped")).select(key, F.posexplode("zipped").alias(pos, "w"))
+    # the outer form, as the optimizer adds to the plain one a filter that works out the words many times over
+    rows = df.select(key, F.arrays_zip(*shifted).alias("zipped")).select(key, F.posexplode_outer("zipped").alias(pos, "w")).where(F.col(pos).isNotNull())
     parts = [F.col(f"w.w{i}") for i in range(WIDTH)]
     literal = sum((F.when(p.isin(NAME, NUMBER, UNIT), 0).otherwise(1) for p in parts), F.lit(0))
     return rows.select(key, pos, F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("h2"), literal.alias("literal"))
@@ -114,7 +114,7 @@ def slot_shares(texts: DataFrame, items: DataFrame, blocks: DataFrame, covered:
     ).select("doc_id", "item_id", "block", "at.i", "at.d").distinct()
     aligned = materialize(aligned.join(slot, (F.col("item_id") == F.col("x_item")) & (F.col("i") == F.col("at_i"))).drop("x_item", "at_i"), "aligned")
     wanted = aligned.select(F.col("doc_id").alias("w_doc")).distinct()
-    told = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.w_doc), "left_semi").select("doc_id", F.posexplode(values(F.col("text"))).alias("at_d", "told"))
+    told = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.w_doc), "left_semi").select("doc_id", F.posexplode_outer(values(F.col("text"))).alias("at_d", "told"))
     told = told.groupBy(F.col("doc_id").alias("t_doc"), "at_d").agg(F.min("told").alias("told"))
     filled = aligned.join(told, aligned.doc_id.eqNullSafe(told.t_doc) & (aligned.d == told.at_d))
     counts = filled.groupBy("doc_id", "item_id", "block", "type", "asked", "told").agg(F.count(F.lit(1)).alias("n"))
