@@ -25,42 +25,44 @@ class PayloadProfile:
     most_rows: int
 
 
-# More distinct codes than this are no table.
-MAX_COLUMNS = 10_000
-
-
 def _elements() -> Column:
     return F.from_json("value", "ARRAY<MAP<STRING, STRING>>", {"mode": "FAILFAST"})
 
 
-def payload_profile(payloads: DataFrame) -> PayloadProfile:
+def payload_profile(payloads: DataFrame, every_code: bool = False) -> PayloadProfile:
     """Header, codes in use and row counts, in one pass over the payloads (runs a job).
 
     The codes of a payload's rows are reduced to a set inside the row and then grouped, so that one
-    line per distinct code reaches the driver. Different headers, or more codes than a table can
-    have columns, raise.
+    line per distinct code reaches the driver: those of the header, or all with ``every_code``.
+    Headers with the same entries in another order are the same; the least text gives the order.
     """
     e = F.col("e")
+    head = F.get(e, F.lit(0))
     codes = F.array_distinct(F.flatten(F.transform(F.slice(e, 2, F.greatest(F.size(e), F.lit(0))), F.map_keys)))
+    if not every_code:
+        codes = F.array_intersect(codes, F.map_keys(head))
     parsed = payloads.select(_elements().alias("e"))
     seen = parsed.select(
-        F.to_json(F.get(e, F.lit(0))).alias("header"),
+        F.to_json(head).alias("header"),
+        F.to_json(F.map_from_entries(F.array_sort(F.map_entries(head)))).alias("entries"),
         (F.coalesce(F.size(e), F.lit(0)) - 1).alias("rows"),
-        F.explode_outer(codes).alias("code"),
+        F.posexplode_outer(codes).alias("pos", "code"),
     )
+    # the header goes along with the first code only
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    seen = seen.select("rows", "code", F.when(first, F.col("header")).alias("header"), F.when(first, F.col("entries")).alias("entries"))
     found = (
         seen.groupBy("code")
-        .agg(F.min("header").alias("low"), F.max("header").alias("high"), F.min("rows").alias("fewest"), F.max("rows").alias("most"))
-        .limit(MAX_COLUMNS + 1)
+        .agg(
+            F.min("header").alias("header"), F.min("entries").alias("low"), F.max("entries").alias("high"),
+            F.min("rows").alias("fewest"), F.max("rows").alias("most"),
+        )
         .collect()
     )
-    if len(found) > MAX_COLUMNS:
-        raise PayloadError("payload rows have too many different codes")
-    headers = {text for r in found for text in (r["low"], r["high"]) if text is not None}
-    if len(headers) > 1:
+    if len({text for r in found for text in (r["low"], r["high"]) if text is not None}) > 1:
         raise PayloadError("payloads have different headers")
     return PayloadProfile(
-        header=json.loads(headers.pop()) if headers else {},
+        header=json.loads(min((r["header"] for r in found if r["header"] is not None), default="{}")),
         row_codes={r["code"] for r in found if r["code"] is not None},
         fewest_rows=min((r["fewest"] for r in found), default=0),
         most_rows=max((r["most"] for r in found), default=0),
@@ -79,11 +81,15 @@ def named_header(spark: SparkSession, header: dict[str, str]) -> list[tuple[str,
 def safe_names(header: list[tuple[str, str, str, str]]) -> dict[str, str]:
     """Code -> unique safe column name; a taken name gets _2, _3, ... until one is free."""
     names: dict[str, str] = {}
+    taken: set[str] = set()
+    last: dict[str, int] = {}
     for code, _, safe_label, safe_code in header:
         base = safe_label or safe_code
-        name, number = base, 2
-        while name in names.values():
-            name, number = f"{base}_{number}", number + 1
+        name = base
+        while name in taken:
+            last[base] = last.get(base, 1) + 1
+            name = f"{base}_{last[base]}"
+        taken.add(name)
         names[code] = name
     return names
 
@@ -114,7 +120,7 @@ def payload_strict(payloads: DataFrame) -> DataFrame:
     Repeated labels would give columns that cannot be told apart, so they raise as well. One pass
     settles the columns; the table itself is lazy.
     """
-    profile = payload_profile(payloads)
+    profile = payload_profile(payloads, every_code=True)
     if profile.fewest_rows < 1:
         raise PayloadError("a payload has no data rows")
     labels = profile.header

@@ -119,3 +119,21 @@ def test_catalog_documents(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(catalog), encoding="utf-8")
     rows = {r["source_id"]: r for r in catalog_sources(read_documents(spark, str(tmp_path / "c.json"))).collect()}
     assert (rows["a"]["download_enabled"], rows["b"]["download_enabled"], rows["b"]["direct_urls"]) == (False, None, ["u"])
+
+
+def test_any_number_of_stray_codes(spark):
+    stray = {f"S{i}": "x" for i in range(10_001)}
+    table, labels = payload_normalize(texts(spark, [{"A": "a"}, {"A": "1", **stray}]))
+    assert (table.columns, table.collect(), labels) == (["a"], [("1",)], {"a": "a"})
+    strict = payload_strict(texts(spark, [{"A": "a"}, {"A": "1", **stray}]))
+    assert len(strict.columns) == 10_002 and strict.columns[0] == "a"
+
+
+def test_headers_are_compared_by_their_entries(spark):
+    table, _ = payload_normalize(texts(spark, [{"A": "a", "B": "b"}, {"A": "1", "B": "2"}], [{"B": "b", "A": "a"}, {"A": "3", "B": "4"}]))
+    assert table.columns == ["a", "b"] and sorted(map(tuple, table.collect())) == [("1", "2"), ("3", "4")]
+
+
+def test_many_equal_labels_get_names_of_their_own():
+    names = list(safe_names([(f"C{i}", "v", "v", "c") for i in range(20_000)]).values())
+    assert names[:3] == ["v", "v_2", "v_3"] and len(set(names)) == 20_000
