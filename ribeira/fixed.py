@@ -50,8 +50,6 @@ MIN_SCORE = 5
 MAX_CANDIDATES = 3
 MAX_BYTES = 80_000_000
 MAX_ATTEMPTS = 3
-ARCHIVE_MEMBER_LIMIT = 5000
-MAX_FILE_NAME = 180
 
 # --- Fixed values: travel-time scenarios ------------------------------------------------------
 COMPONENTS = ["access", "waiting", "in_vehicle", "transfer", "egress"]

@@ -8,8 +8,9 @@ with a letter. In the SQL text below, ``p`` and the like are structs made by ``_
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from ribeira.fixed import BLOCKED_HOSTS, DATA_EXTENSIONS, MAX_FILE_NAME, OUTPUT_FORMATS
+from ribeira.fixed import BLOCKED_HOSTS, DATA_EXTENSIONS, OUTPUT_FORMATS
 from ribeira.functions.sql import evaluate, let, text, texts
 
 URL_PATTERN = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -148,15 +149,22 @@ def file_suffix(path: Column) -> Column:
     return evaluate(f"lower(regexp_extract({_name('arg.path')}, {suffix}, 1))", path=path)
 
 
-def safe_filename(url: Column, fallback: Column) -> Column:
-    """A portable file name for what a URL delivers."""
+def safe_filename(url: Column, fallback: Column, limit: int | None = None) -> Column:
+    """A portable file name for what a URL delivers.
+
+    Names over ``limit`` characters, if one is set, lose the end of their stem to a digest of the URL; the extension stays.
+    """
     choices = f"named_struct('name', {_name('p.path')}, 'promised', {_output_format('p.query')})"
     promised = f"c.promised IS NOT NULL AND NOT {ends_in_data_extension('lower(c.name)')}"
     chosen = (
         f"CASE WHEN {promised} THEN concat(arg.fallback, c.promised) WHEN c.name = '' THEN arg.fallback ELSE c.name END"
     )
-    cleaned = f"substring(regexp_replace({chosen}, '[^A-Za-z0-9._-]+', '_'), 1, {MAX_FILE_NAME})"
-    return evaluate(let("p", _parts("arg.url"), let("c", choices, cleaned)), url=url, fallback=fallback)
+    cleaned = f"regexp_replace({chosen}, '[^A-Za-z0-9._-]+', '_')"
+    name = evaluate(let("p", _parts("arg.url"), let("c", choices, cleaned)), url=url, fallback=fallback)
+    if limit is None:
+        return name
+    ending = F.concat(F.lit("-"), F.substring(F.sha2(url, 256), 1, 8), F.regexp_extract(name, r"(\.[A-Za-z0-9]{1,10})?$", 0))
+    return F.when(F.length(name) > limit, F.concat(F.substring(name, F.lit(1), F.lit(limit) - F.length(ending)), ending)).otherwise(name)
 
 
 def _merged_path(base_path: str, path: str) -> str:

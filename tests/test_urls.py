@@ -75,7 +75,7 @@ def test_output_format(spark, query, extension):
     [
         ("https://h/ows?service=WFS&outputFormat=SHAPE-ZIP", "candidate_1.zip"), ("https://h/d/a b.zip", "a_b.zip"),
         ("https://h/", "candidate_1"), ("https://h/a/b/./", "b"), ("https://h/a.csv?outputFormat=json", "a.csv"),
-        ("https://h/" + "x" * 200 + ".zip", "x" * 180), ("https://h/çã o.zip", "_o.zip"),
+        ("https://h/" + "x" * 200 + ".zip", "x" * 200 + ".zip"), ("https://h/çã o.zip", "_o.zip"),
     ],
 )
 def test_file_names(spark, url, name):
@@ -94,3 +94,11 @@ def test_parts(spark):
 def test_page_links_are_distinct_and_sorted(spark):
     html = """<a HREF='/b'>x</a><a href="/a">y</a><a href="b">z</a><a href=/no>n</a>"""
     assert one(spark, page_links, html, "http://h/x") == ["http://h/a", "http://h/b"]
+
+
+def test_long_names_stay_apart(spark):
+    urls = ["https://h/" + "x" * 200 + f"{i}.zip" for i in range(2)]
+    assert one(spark, safe_filename, urls[0], "c") != one(spark, safe_filename, urls[1], "c")
+    df = spark.createDataFrame([(u,) for u in urls], "u STRING")
+    cut = [r[0] for r in df.select(safe_filename(F.col("u"), F.lit("c"), limit=180)).collect()]
+    assert len(set(cut)) == 2 and all(len(n) == 180 and n.endswith(".zip") for n in cut)

@@ -96,9 +96,9 @@ def candidates(spark, folder):
     + f"""
 , named AS (SELECT page_id, url, {FORMAT_SQL} AS extension,
             regexp_extract({PATH_SQL}, '([^/]+)/*$', 1) AS name FROM links)
-SELECT page_id, url, substr(regexp_replace(CASE
+SELECT page_id, url, regexp_replace(CASE
     WHEN extension IS NOT NULL AND NOT regexp_matches(lower(coalesce(name, '')), {EXTENSION_SQL}) THEN 'page_' || page_id || extension
-    ELSE name END, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 180) AS file_name FROM named
+    ELSE name END, '[^A-Za-z0-9._-]+', '_', 'g') AS file_name FROM named
 """,
 )
 def file_names(spark, folder):
