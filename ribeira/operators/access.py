@@ -16,6 +16,7 @@ from ribeira.fixed import COMPONENTS, MODES, SCENARIOS, THRESHOLDS_MINUTES
 from ribeira.functions.sql import text, texts
 
 ITINERARY = ["itinerary_id", "origin_id", "destination_id", "category"]
+MINUTES = "decimal(18,6)"
 
 
 def decide_waiting(
@@ -70,7 +71,8 @@ def _scenario_rows(settled: Mapping[str, tuple[bool, bool]]) -> Column:
 
 
 def _uses_disabled(modes: Mapping[str, bool]) -> Column:
-    return ~F.col("mode").isin([mode for mode, enabled in modes.items() if enabled])
+    """A mode that is unknown or null is not known to be enabled, and counts as disabled."""
+    return ~F.coalesce(F.col("mode").isin([mode for mode, enabled in modes.items() if enabled]), F.lit(False))
 
 
 def scenario_expand(
@@ -93,13 +95,36 @@ def scenario_expand(
     return rows.filter(~skipped).drop("includes_waiting", "includes_transfers")
 
 
+def leg_gaps(legs: DataFrame) -> DataFrame:
+    """One row: legs without minutes, and legs whose component or mode is not a known one."""
+    return legs.agg(
+        F.count(F.lit(1)).alias("legs"),
+        F.count_if(F.col("minutes").isNull()).alias("without_minutes"),
+        F.count_if(_unknown_component()).alias("unknown_component"),
+        F.count_if(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False))).alias("unknown_mode"),
+    )
+
+
+def _unknown_component() -> Column:
+    return ~F.coalesce(F.col("component").isin(COMPONENTS), F.lit(False))
+
+
 def component_times(legs: DataFrame, modes: Mapping[str, bool] = MODES) -> DataFrame:
-    """Per usable itinerary: minutes in each component. One aggregation with partial sums."""
-    minutes = [
-        F.sum(F.when(F.col("component") == name, F.col("minutes")).otherwise(0.0)).alias(name) for name in COMPONENTS
-    ]
-    summed = legs.groupBy(*ITINERARY).agg(*minutes, F.bool_or(_uses_disabled(modes)).alias("barred"))
-    return summed.filter(~F.col("barred")).drop("barred")
+    """Per usable itinerary: minutes in each component. One aggregation with partial sums.
+
+    A component with a leg whose minutes are null is null, and every component is null where a leg
+    belongs to none of them. Minutes are added as decimals, so that the sum is the same in any order.
+    """
+    exact = F.col("minutes").cast(MINUTES)
+    sums = [F.sum(F.when(F.col("component") == name, exact)).alias(name) for name in COMPONENTS]
+    gaps = [F.bool_or((F.col("component") == name) & F.col("minutes").isNull()).alias(f"no_{name}") for name in COMPONENTS]
+    summed = legs.groupBy(*ITINERARY).agg(
+        *sums, *gaps, F.bool_or(_unknown_component()).alias("unknown"), F.bool_or(_uses_disabled(modes)).alias("barred")
+    )
+    known = {
+        name: F.when(~F.col("unknown") & ~F.coalesce(f"no_{name}", F.lit(False)), F.coalesce(name, F.lit(0).cast(MINUTES))) for name in COMPONENTS
+    }
+    return summed.filter(~F.col("barred")).select(*ITINERARY, *(c.alias(name) for name, c in known.items()))
 
 
 def door_to_door(
@@ -108,17 +133,21 @@ def door_to_door(
     scenarios: Mapping[str, tuple[bool | None, bool]] = SCENARIOS,
     modes: Mapping[str, bool] = MODES,
 ) -> DataFrame:
-    """Total minutes per itinerary and scenario: access, waiting, in-vehicle, transfer and egress."""
+    """Total minutes per itinerary and scenario: access, waiting, in-vehicle, transfer and egress.
+
+    The total is null where the minutes of a counted leg are, or where a leg's component is unknown;
+    ``leg_gaps`` counts such legs.
+    """
     settled = decide_waiting(scenarios, waiting_overrides)
     times = component_times(legs, modes).select("*", F.inline(_scenario_rows(settled)))
     total = (
         F.col("access")
         + F.col("in_vehicle")
         + F.col("egress")
-        + F.when(F.col("includes_waiting"), F.col("waiting")).otherwise(0.0)
-        + F.when(F.col("includes_transfers"), F.col("transfer")).otherwise(0.0)
+        + F.when(F.col("includes_waiting"), F.col("waiting")).otherwise(F.lit(0).cast(MINUTES))
+        + F.when(F.col("includes_transfers"), F.col("transfer")).otherwise(F.lit(0).cast(MINUTES))
     )
-    return times.select(*ITINERARY, "scenario", total.alias("minutes"))
+    return times.select(*ITINERARY, "scenario", total.cast("double").alias("minutes"))
 
 
 def min_time(times: DataFrame) -> DataFrame:
@@ -155,7 +184,7 @@ def weighted_summary(
         times.join(weights, "origin_id")
         .groupBy(municipality, "category", "scenario")
         .agg(
-            (F.sum(w * t) / F.nullif(F.sum(F.when(t.isNotNull(), w)), F.lit(0))).alias("weighted_minutes"),
+            (F.sum((w * t).cast("decimal(28,6)")).cast("double") / F.nullif(F.sum(F.when(t.isNotNull(), w)), F.lit(0))).alias("weighted_minutes"),
             F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("population"),
             F.count_if(w.isNull()).alias("origins_without_population"),
         )
@@ -165,8 +194,11 @@ def weighted_summary(
 def coverage(
     origins: DataFrame, times: DataFrame, municipality: str = "CD_MUN", weight: str = "female_population"
 ) -> DataFrame:
-    """Per municipality, two separate shares: sectors with known population, and population analysed."""
-    reached = times.select("origin_id").distinct().withColumn("__reached", F.lit(True))
+    """Per municipality, two separate shares: sectors with known population, and population analysed.
+
+    An origin is analysed if it has a time, to whatever destination.
+    """
+    reached = times.filter("minutes IS NOT NULL").select("origin_id").distinct().withColumn("__reached", F.lit(True))
     rows = origins.select("origin_id", municipality, weight).join(reached, "origin_id", "left")
     w = F.col(weight)
     return (

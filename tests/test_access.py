@@ -8,6 +8,7 @@ from ribeira.operators.access import (
     cumulative_access,
     decide_waiting,
     door_to_door,
+    leg_gaps,
     min_time,
     name_scenarios,
     scenario_expand,
@@ -94,3 +95,30 @@ def test_times_of_unknown_length_leave_the_weight(spark):
     df = times(spark, ("o1", "a", "h", "s", 10.0), ("o2", "a", "h", "s", None))
     origins = spark.createDataFrame([("o1", "M", 1), ("o2", "M", 3)], "origin_id STRING, CD_MUN STRING, female_population INT")
     assert weighted_summary(df, origins).first()["weighted_minutes"] == 10.0
+
+
+def test_gaps_in_the_legs(spark):
+    df = legs(
+        spark, *trip(1, [1.0] * 5), *trip(2, [1.0, None, 1.0, 1.0, 1.0]), *trip(3, [1.0] * 5), (3, "o", "d", "health", "road", "parking", 9.0),
+        *trip(4, [1.0] * 5), (4, "o", "d", "health", None, "access", 1.0), *trip(5, [1.0] * 5), (5, "o", "d", "health", "balloon", "access", 1.0),
+        *trip(6, [None, 1.0, 1.0, 1.0, 1.0]),
+    )
+    got = {(r["itinerary_id"], r["scenario"]): r["minutes"] for r in door_to_door(df, YES).collect()}
+    assert {i for i, _ in got} == {1, 2, 3, 6}
+    assert (got[1, "operational"], got[2, "operational"], got[3, "operational"], got[6, "operational"]) == (5.0, None, None, None)
+    assert got[2, "motorized"] == 4.0  # waiting doesn't count there
+    assert {r["itinerary_id"] for r in scenario_expand(df, waiting_overrides=YES).select("itinerary_id").distinct().collect()} == {1, 2, 3, 6}
+    assert tuple(leg_gaps(df).first()) == (33, 2, 1, 2)
+    best = {r["scenario"]: r["minutes"] for r in min_time(door_to_door(df, YES)).collect()}
+    assert best["operational"] == 5.0
+
+
+def test_fractions_add_up_alike_in_any_partitioning(spark):
+    df = spark.range(20_000).selectExpr(
+        "id % 50 AS itinerary_id", "'o' AS origin_id", "'d' AS destination_id", "'health' AS category", "'road' AS mode", "'access' AS component",
+        "CAST(id % 997 AS DOUBLE) / 7 AS minutes",
+    )
+    results = [
+        {(r["itinerary_id"], r["scenario"]): r["minutes"].hex() for r in door_to_door(df.repartition(n), YES).collect()} for n in (1, 8)
+    ]
+    assert results[0] == results[1]

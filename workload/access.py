@@ -14,6 +14,7 @@ from ribeira.operators.access import (
     coverage,
     cumulative_access,
     door_to_door,
+    leg_gaps,
     min_time,
     name_scenarios,
     scenario_expand,
@@ -23,25 +24,27 @@ from ribeira.operators.access import (
 from workload.registry import query, table
 
 OVERRIDES = {"emergency": True}
-COMPONENT = """CASE l_linenumber % 5 WHEN 0 THEN 'access' WHEN 1 THEN 'waiting' WHEN 2 THEN 'in_vehicle'
+# Gaps as they occur in practice: components and modes that are no known ones, and legs without minutes.
+COMPONENT = """CASE CASE WHEN l_linenumber = 6 AND l_quantity = 50 THEN 5 ELSE l_linenumber % 5 END WHEN 5 THEN 'parking' WHEN 0 THEN 'access' WHEN 1 THEN 'waiting' WHEN 2 THEN 'in_vehicle'
   WHEN 3 THEN 'transfer' ELSE 'egress' END"""
-MODE = """CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'air' WHEN l_returnflag = 'A' THEN 'road'
+MODE = """CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'air' WHEN l_linenumber = 5 AND l_quantity = 7 THEN NULL WHEN l_returnflag = 'A' THEN 'road'
   WHEN l_returnflag = 'N' THEN 'river' ELSE 'walking' END"""
 
 ACCESS_SQL = f"""
 WITH legs AS (
   SELECT o_orderkey AS itinerary_id, o_custkey AS origin_id, 'month_' || month(o_orderdate) AS destination_id,
-         o_orderpriority AS category, {MODE} AS mode, {COMPONENT} AS component, l_quantity AS minutes
+         o_orderpriority AS category, {MODE} AS mode, {COMPONENT} AS component, nullif(l_quantity, 13) AS minutes
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 scenarios(scenario, includes_waiting) AS (VALUES ('theoretical_minimum', false), ('local_access', false),
   ('motorized', false), ('operational', true), ('emergency', true), ('flood_season', true), ('dry_season', true)),
 expanded AS (
   SELECT legs.*, scenario FROM legs, scenarios
-  WHERE itinerary_id NOT IN (SELECT itinerary_id FROM legs WHERE mode = 'air') AND (includes_waiting OR component <> 'waiting')),
+  WHERE itinerary_id NOT IN (SELECT itinerary_id FROM legs WHERE mode = 'air' OR mode IS NULL) AND (includes_waiting OR component <> 'waiting')),
 totals AS (
   SELECT itinerary_id, origin_id, destination_id, category, scenario,
-         coalesce(sum(minutes) FILTER (WHERE includes_waiting OR component <> 'waiting'), 0) AS minutes
-  FROM legs, scenarios WHERE itinerary_id NOT IN (SELECT itinerary_id FROM legs WHERE mode = 'air')
+         CASE WHEN NOT bool_or(component = 'parking') AND NOT bool_or(minutes IS NULL AND (includes_waiting OR component <> 'waiting'))
+           THEN coalesce(sum(minutes) FILTER (WHERE includes_waiting OR component <> 'waiting'), 0) END AS minutes
+  FROM legs, scenarios WHERE itinerary_id NOT IN (SELECT itinerary_id FROM legs WHERE mode = 'air' OR mode IS NULL)
   GROUP BY 1, 2, 3, 4, 5),
 nearest AS (SELECT origin_id, category, scenario, min(minutes) AS minutes FROM totals GROUP BY 1, 2, 3),
 origins AS (
@@ -60,7 +63,7 @@ def legs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderpriority").alias("category"),
         F.expr(MODE).alias("mode"),
         F.expr(COMPONENT).alias("component"),
-        F.col("l_quantity").alias("minutes"),
+        F.nullif("l_quantity", F.lit(13)).alias("minutes"),
     )
 
 
@@ -85,6 +88,18 @@ def expand(spark, folder):
     return scenario_expand(legs(spark, folder), waiting_overrides=OVERRIDES)
 
 
+@query(
+    "leg_gaps",
+    ACCESS_SQL
+    + """
+SELECT count(*) AS legs, count(*) FILTER (WHERE minutes IS NULL) AS without_minutes,
+       count(*) FILTER (WHERE component = 'parking') AS unknown_component, count(*) FILTER (WHERE mode IS NULL) AS unknown_mode FROM legs
+""",
+)
+def gaps(spark, folder):
+    return leg_gaps(legs(spark, folder))
+
+
 @query("door_to_door", ACCESS_SQL + "SELECT * FROM totals")
 def totals(spark, folder):
     return door_to_door(legs(spark, folder), OVERRIDES)
@@ -112,7 +127,8 @@ def cumulative(spark, folder):
     "weighted_summary",
     ACCESS_SQL
     + """
-SELECT CD_MUN, category, scenario, sum(female_population * minutes) / nullif(sum(female_population), 0) AS weighted_minutes,
+SELECT CD_MUN, category, scenario,
+       sum(female_population * minutes) / nullif(sum(female_population) FILTER (WHERE minutes IS NOT NULL), 0) AS weighted_minutes,
        CAST(coalesce(sum(female_population), 0) AS BIGINT) AS population,
        count(*) FILTER (WHERE female_population IS NULL) AS origins_without_population
 FROM nearest JOIN origins USING (origin_id) GROUP BY 1, 2, 3
@@ -131,12 +147,11 @@ def weighted(spark, folder):
   SELECT CD_MUN, count(*) AS sectors, count(female_population) AS sectors_known,
          CAST(coalesce(sum(female_population), 0) AS BIGINT) AS population_known,
          CAST(coalesce(sum(female_population) FILTER (WHERE origin_id IN (
-           SELECT origin_id FROM totals WHERE category = '1-URGENT')), 0) AS BIGINT) AS population_analysed
+           SELECT origin_id FROM totals WHERE minutes IS NOT NULL)), 0) AS BIGINT) AS population_analysed
   FROM origins GROUP BY CD_MUN)
 SELECT *, sectors_known / sectors AS sector_coverage, population_analysed / nullif(population_known, 0) AS population_coverage
 FROM counted
 """,
 )
 def covered(spark, folder):
-    urgent = times(spark, folder).filter("category = '1-URGENT'")
-    return coverage(origins(spark, folder), urgent)
+    return coverage(origins(spark, folder), times(spark, folder))
