@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new path for one run's intermediate table.
 
     It lies in the shared folder that the cluster names in ``spark.checkpoint.dir``, so that a
-    table written there survives the loss of executors. Only where that is unset, as in local
-    tests, does a temporary folder take its place.
+    table written there survives the loss of executors. Where that is unset, a local session, as in
+    tests, takes a temporary folder; any other raises, as its executors would not see that folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ribeira-work")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "ribeira-work")
     return f"{base.rstrip('/')}/ribeira/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,5 +1,6 @@
 """Writers under skew."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ribeira.session import materialize, work_dir
@@ -29,3 +30,18 @@ def test_work_tables_lie_in_the_checkpoint_folder(spark):
     assert first != second and first.startswith(spark.conf.get("spark.checkpoint.dir", "/").rstrip("/"))
     table = materialize(spark.range(3), "t")
     assert table.count() == 3 and "Parquet" in table._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("master, fine", [("local[4]", True), ("local", True), ("yarn", False), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False)])
+def test_only_local_sessions_take_a_folder_of_their_own(master, fine):
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": master}.get(key, default)
+
+    if fine:
+        assert work_dir(Session, "t").startswith("/")
+    else:
+        with pytest.raises(ValueError):
+            work_dir(Session, "t")
