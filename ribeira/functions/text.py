@@ -12,8 +12,8 @@ from ribeira.functions.sql import evaluate, let, text
 
 # White space as Python's str.strip() sees it; Java's \s stops at ASCII and leaves out \x1c-\x1f.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# What is left of it, besides the blank, once a text is plain ASCII.
-ASCII_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+# What is left of it once a text is plain ASCII.
+ASCII_SPACES = r"[\s\x1c-\x1f]+"
 
 # Texts that count as a number. Casts alone differ between engines ("5d", "1_000", "NaN").
 NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
@@ -67,13 +67,8 @@ def fold_to_ascii(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """ASCII, trimmed, lower case, runs of white space as one blank; null becomes ''."""
-    blanked = fold_to_ascii(F.coalesce(c.cast("string"), F.lit("")))
-    for space in ASCII_SPACES:
-        blanked = F.replace(blanked, F.lit(space), F.lit(" "))
-    # Plain replacements are far cheaper than a regular expression over every blank; one is needed
-    # only where two blanks meet.
-    collapsed = evaluate("if(contains(arg.c, '  '), regexp_replace(arg.c, '  +', ' '), arg.c)", c=blanked)
-    return F.lower(F.trim(collapsed))
+    folded = fold_to_ascii(F.coalesce(c.cast("string"), F.lit("")))
+    return F.lower(F.trim(F.regexp_replace(folded, ASCII_SPACES, " ")))
 
 
 def slug(c: Column) -> Column:
