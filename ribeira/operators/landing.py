@@ -5,24 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ribeira.fixed import ARCHIVE_MEMBER_LIMIT, MAX_BYTES
+from ribeira.fixed import MAX_BYTES
 from ribeira.functions.urls import file_suffix, url_promises_data
 
 ABSENT = "missing_or_empty"
+TRANSPORT_ERROR, HTTP_ERROR, NOT_FETCHED, NOT_READ = "transport_error", "http_error", "not_fetched", "not_read"
+JSON_SUFFIXES = (".json", ".geojson")
+# An archive's closing record is at most this far from its end: 22 bytes and a comment of up to 65,535.
+ARCHIVE_END, ARCHIVE_END_BYTES = b"PK\x05\x06", 65_557
 
 
-def inspect_files(files: DataFrame, limit: int = ARCHIVE_MEMBER_LIMIT, keep: Sequence[str] = ()) -> DataFrame:
-    """Files with what only their bytes tell: ``is_zip``, ``is_json`` and archive ``members``.
+def inspect_files(files: DataFrame, limit: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Files with what only their bytes tell: ``is_zip``, ``is_json``, archive ``members`` and their ``member_count``.
 
     ``files`` has (path, length, content). What makes a ZIP archive or a JSON text is taken from
-    Python's own modules, so this is an Arrow pass over the file rows, one record batch at a time;
-    the bytes themselves are not passed on. ``is_json`` is worked out for JSON suffixes only.
+    Python's own modules, so this is an Arrow pass over the file rows, one record batch at a time.
+    Only contents that end like an archive, or have a JSON suffix, are sent there. ``is_json`` is
+    worked out for JSON suffixes only. All members are listed; with a ``limit``, the count is still of all.
     """
-    inputs = files.select("path", *keep, "length", file_suffix(F.col("path")).alias("suffix"), "content")
+    suffix, content = file_suffix(F.col("path")), F.col("content")
+    archive_end = F.contains(F.substring(content, -ARCHIVE_END_BYTES, ARCHIVE_END_BYTES), F.lit(ARCHIVE_END))
+    wanted = F.when(archive_end | suffix.isin(*JSON_SUFFIXES), content).alias("content")
+    inputs = files.select("path", *keep, "length", suffix.alias("suffix"), wanted)
     passed = [name for name in inputs.columns if name != "content"]
     schema = T.StructType(
         [inputs.schema[name] for name in passed]
@@ -30,6 +38,7 @@ def inspect_files(files: DataFrame, limit: int = ARCHIVE_MEMBER_LIMIT, keep: Seq
             T.StructField("is_zip", T.BooleanType()),
             T.StructField("is_json", T.BooleanType()),
             T.StructField("members", T.ArrayType(T.StringType())),
+            T.StructField("member_count", T.IntegerType()),
         ]
     )
 
@@ -46,7 +55,7 @@ def inspect_files(files: DataFrame, limit: int = ARCHIVE_MEMBER_LIMIT, keep: Seq
                 return False, []
             try:
                 with zipfile.ZipFile(data) as archive:
-                    return True, archive.namelist()[:limit]
+                    return True, archive.namelist()
             except (zipfile.BadZipFile, NotImplementedError, UnicodeDecodeError):
                 return True, None
 
@@ -59,16 +68,17 @@ def inspect_files(files: DataFrame, limit: int = ARCHIVE_MEMBER_LIMIT, keep: Seq
 
         for batch in batches:
             suffixes = batch.column("suffix").to_pylist()
-            is_zip, is_json, members = [], [], []
+            is_zip, is_json, members, counts = [], [], [], []
             for suffix, content in zip(suffixes, batch.column("content")):
                 content = content.as_py() or b""
                 zipped, names = read_zip(content)
                 is_zip.append(zipped)
-                members.append(names)
-                is_json.append(read_json(content) if suffix in (".json", ".geojson") else None)
+                members.append(names if names is None else names[:limit])
+                counts.append(names if names is None else len(names))
+                is_json.append(read_json(content) if suffix in JSON_SUFFIXES else None)
             columns = [batch.column(name) for name in passed]
-            columns += [pa.array(is_zip, pa.bool_()), pa.array(is_json, pa.bool_()), pa.array(members, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=passed + ["is_zip", "is_json", "members"])
+            columns += [pa.array(is_zip, pa.bool_()), pa.array(is_json, pa.bool_()), pa.array(members, pa.list_(pa.string())), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=passed + ["is_zip", "is_json", "members", "member_count"])
 
     return inputs.mapInArrow(inspect, schema)
 
@@ -110,15 +120,25 @@ def landed_file_check(inspected: DataFrame, declared: DataFrame | None = None) -
 
 
 def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The fetch log with ``reject_reason``: null if accepted, otherwise the first rule that failed."""
+    """The fetch log with ``reject_reason``: null if accepted, otherwise the first rule that failed.
+
+    A log may tell more than the response: ``error`` of the transfer, ``http_status``, and
+    ``file_reason``, what ``judge_files`` found wrong with the file.
+    """
+    def told(name: str) -> Column:
+        return F.col(name) if name in fetch_log.columns else F.lit(None)
+
     expected = catalog.select("source_id", "expected_sha256")
     content_type = F.lower(F.coalesce("content_type", F.lit("")))
     reason = (
-        F.when(content_type.contains("text/html"), "html_response")
+        F.when(told("error").isNotNull(), TRANSPORT_ERROR)
+        .when(~told("http_status").cast("int").between(200, 299), HTTP_ERROR)
+        .when(content_type.contains("text/html"), "html_response")
         .when(~F.coalesce(url_promises_data(F.col("resolved_url")), F.lit(False)), "no_data_extension")
         .when(F.col("content_length") > max_bytes, "declared_size_over_limit")
         .when(F.col("bytes") > max_bytes, "size_over_limit")
         .when(F.col("bytes") == 0, ABSENT)
+        .when(told("file_reason").isNotNull(), told("file_reason").cast("string"))
         .when((F.col("expected_sha256") != "") & ~F.col("sha256").eqNullSafe(F.col("expected_sha256")), "checksum_mismatch")
     )
     return fetch_log.join(expected, "source_id", "left").withColumn("reject_reason", reason).drop("expected_sha256")
@@ -178,6 +198,26 @@ def cache_errors(checked: DataFrame) -> DataFrame:
     )
 
 
+def page_errors(page_log: DataFrame) -> DataFrame:
+    """Errors of pages that did not arrive: ``page_log`` has (source_id, url, http_status, error)."""
+    failed = page_log.filter(F.col("error").isNotNull() | ~F.col("http_status").between(200, 299))
+    kind = F.when(F.col("error").isNotNull(), TRANSPORT_ERROR).otherwise(HTTP_ERROR)
+    message = F.coalesce(F.col("error"), F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
+    return error_rows(failed.withColumns({"type": kind, "message": message}), "page")
+
+
+def unfetched_errors(links: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Ranked links of which no attempt is on record."""
+    missing = links.join(fetched.select("source_id", "url"), ["source_id", "url"], "left_anti")
+    return error_rows(missing.withColumns({"type": F.lit(NOT_FETCHED), "message": F.lit("no attempt on record")}), "download")
+
+
+def unread_files(listing: DataFrame, judged: DataFrame) -> DataFrame:
+    """Listed files that no reader delivered (empty ones, names with a leading ``_`` or ``.``), with their verdict."""
+    missing = listing.join(judged.select("source_id", "path"), ["source_id", "path"], "left_anti")
+    return missing.withColumns({"ok": F.lit(False), "reason": F.when(F.col("length") == 0, ABSENT).otherwise(NOT_READ)})
+
+
 def error_log(*errors: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, errors)
 
@@ -217,6 +257,18 @@ def probe_status(probe_log: DataFrame) -> DataFrame:
     return probe_log.withColumn("status", status)
 
 
+def probe_catalog(catalog: DataFrame, probe_log: DataFrame) -> DataFrame:
+    """Catalog rows with the fields and the ``status`` of their probes; ``not_probed`` where there are none."""
+    probed = probe_status(probe_log).withColumn("__probed", F.lit(True))
+    joined = catalog.join(probed, "source_id", "left")
+    return joined.withColumn("status", F.when(F.col("__probed"), F.col("status")).otherwise("not_probed")).drop("__probed")
+
+
+def probe_outcomes(probed: DataFrame) -> DataFrame:
+    """Per source, how often each (status, code, error) came up."""
+    return probed.groupBy("source_id", "status", "http_status", "error").agg(F.count(F.lit(1)).alias("probes"))
+
+
 def availability(probe_log: DataFrame) -> DataFrame:
     """One row: probed sources, available and not. The per-source detail is ``probe_status``."""
     up = F.col("status") == "available"

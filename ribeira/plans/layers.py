@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribeira import fixed
-from ribeira.functions.urls import file_suffix
+from ribeira.functions.urls import file_suffix, safe_filename
 from ribeira.operators.filters import eligible_sources
+from ribeira.operators.joins import require_unique
 from ribeira.operators.landing import (
     accepted,
     cache_errors,
@@ -19,8 +20,12 @@ from ribeira.operators.landing import (
     inspect_files,
     judge_files,
     landing_accept,
+    overall_status,
+    page_errors,
     settle_attempts,
     source_status,
+    unfetched_errors,
+    unread_files,
 )
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, registered_links, topk_links
 from ribeira.session import materialize
@@ -43,16 +48,22 @@ def rank_links(
     return topk_links(link_score(links, keywords), k)
 
 
-def inspect_cache(cached: DataFrame, catalog: DataFrame) -> DataFrame:
+def inspect_cache(cached: DataFrame, catalog: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Cached files that count, with digest, archive members and verdict.
 
-    ``cached`` has (source_id, path, length, content). Files are looked into where they are read, and
+    ``listing`` (source_id, path, length) names every file of the cache, those too that Spark's
+    readers pass over. ``cached`` has (source_id, path, length, content). Files are looked into where they are read, and
     only the findings are joined to the catalog, so that contents are never shuffled.
     """
     data_files = cached.filter(file_suffix(F.col("path")).isin(fixed.DATA_EXTENSIONS))
     digested = data_files.withColumn("sha256", content_digest(F.col("content")))
     inspected = inspect_files(digested, keep=["source_id", "sha256"])
-    return judge_files(allowlist_semi(inspected, eligible_sources(catalog, fixed.BOUNDARY_SOURCE)))
+    sources = eligible_sources(catalog, fixed.BOUNDARY_SOURCE)
+    judged = judge_files(allowlist_semi(inspected, sources))
+    if listing is None:
+        return judged
+    judged = materialize(judged, "cache")
+    return judged.unionByName(unread_files(allowlist_semi(listing, sources), judged), allowMissingColumns=True)
 
 
 def kept_files(judged: DataFrame) -> DataFrame:
@@ -68,10 +79,11 @@ class LayerResult:
     preserved: DataFrame
     errors: DataFrame
     status: DataFrame
+    overall: DataFrame
 
     def write(self, out: str) -> None:
         """Each table as Parquet below ``out``; they stay flat, as a source may have any number of files."""
-        for name in ("links", "downloads", "preserved", "errors", "status"):
+        for name in ("links", "downloads", "preserved", "errors", "status", "overall"):
             getattr(self, name).write.parquet(f"{out}/{name}")
 
 
@@ -83,24 +95,32 @@ def discover_layers(
     keywords: Mapping[str, Sequence[str]] = fixed.SOURCE_KEYWORDS,
     k: int = fixed.MAX_CANDIDATES,
     max_bytes: int = fixed.MAX_BYTES,
+    page_log: DataFrame | None = None,
+    listing: DataFrame | None = None,
 ) -> LayerResult:
-    """Everything but the transfer itself, which ``fetch_log`` and ``cached`` record (runs jobs).
+    """Everything but the transfer itself, which the logs, ``cached`` and ``listing`` record (runs jobs).
+
+    Every ranked link ends as a download or as an error: one without an attempt on record is an error
+    too. A download has the ``path`` that it takes in its source's folder. Repeated source ids raise.
 
     Ranked links, settled fetches and inspected files are each used by several results, so they are
     written to the work folder once; page texts and file contents are read a single time. The cache
     is read before downloads are counted, so on a rerun one file can count on both sides.
     """
+    require_unique(catalog, "source_id", "catalog")
     sources = eligible_sources(catalog, fixed.BOUNDARY_SOURCE)
     links = materialize(rank_links(pages, catalog, keywords, k), "links")
-    attempts = fetch_log.join(links.select("source_id", "url"), ["source_id", "url"], "left_semi")
+    attempts = fetch_log.join(links.select("source_id", "url", "rank"), ["source_id", "url"])
     fetched = materialize(settle_attempts(landing_accept(attempts, sources, max_bytes)), "fetched")
-    judged = materialize(inspect_cache(cached, catalog), "cache")
-    errors = error_log(fetch_errors(fetched), cache_errors(judged))
+    judged = materialize(inspect_cache(cached, catalog, listing), "cache")
+    errors = [fetch_errors(fetched), unfetched_errors(links, fetched), cache_errors(judged)]
+    if page_log is not None:
+        # the pages of sources that are limited to their registered links are not asked for
+        asked = sources.filter(~F.coalesce(F.col("direct_urls_only"), F.lit(False))).select("source_id")
+        errors.append(page_errors(page_log.join(asked, "source_id", "left_semi")))
+    name = safe_filename(F.col("resolved_url"), F.concat(F.lit("candidate_"), F.col("rank")))
+    downloads = accepted(fetched).withColumn("path", F.concat_ws("/", "source_id", name))
     kept = kept_files(judged)
-    return LayerResult(
-        links=links,
-        downloads=accepted(fetched),
-        preserved=kept,
-        errors=errors,
-        status=source_status(sources, links, accepted(fetched), kept, errors),
-    )
+    errors = error_log(*errors)
+    status = source_status(sources, links, downloads, kept, errors)
+    return LayerResult(links=links, downloads=downloads, preserved=kept, errors=errors, status=status, overall=overall_status(status))

@@ -5,6 +5,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from ribeira.operators.landing import (
     accepted,
@@ -15,10 +16,13 @@ from ribeira.operators.landing import (
     landed_file_check,
     landing_accept,
     overall_status,
+    probe_catalog,
+    probe_outcomes,
     probe_status,
     settle_attempts,
     source_status,
 )
+from ribeira.operators.quality import ExpectationError
 from ribeira.plans.layers import discover_layers
 from ribeira.sources.files import file_digests, scan_files
 from tests.test_links import catalog
@@ -190,9 +194,68 @@ def test_discovery_run(spark, tmp_path):
     kept = run.preserved.collect()
     assert [(r["path"], r["sha256"], r["members"]) for r in kept] == [("c/r.zip", hashlib.sha256(good).hexdigest(), ["a"])]
     assert sorted((r["stage"], r["message"]) for r in run.errors.collect()) == [
-        ("cache_validation", "not_a_zip"), ("download", "checksum_mismatch"),
+        ("cache_validation", "not_a_zip"), ("download", "checksum_mismatch"), ("download", "no attempt on record"),
     ]
     status = {r["source_id"]: (r["discovered"], r["downloaded"], r["preserved"], r["errors"], r["status"]) for r in run.status.collect()}
-    assert status == {"roads": (1, 0, 1, 1, "success"), "ports": (2, 1, 0, 1, "success")}
+    assert status == {"roads": (1, 0, 1, 1, "success"), "ports": (2, 1, 0, 2, "success")}
+    assert run.overall.first()["status"] == "complete"
+    assert [r["path"] for r in run.downloads.collect()] == ["ports/one.zip"]
     run.write(str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "errors")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out" / "errors")).count() == 3
+
+
+def test_everything_that_was_listed_or_ranked_is_accounted_for(spark):
+    sources = catalog(spark, {"source_id": "a"}, {"source_id": "d", "direct_urls": ["https://h/d.zip"], "direct_urls_only": True})
+    pages = spark.createDataFrame([("a", "https://p/", "<a href='1.zip'><a href='2.zip'><a href='3.zip'>")], "source_id STRING, url STRING, html STRING")
+    ok = "application/zip"
+    log = fetched(
+        spark, ("a", "https://p/1.zip", None, ok, None, 5, "x", 1), ("a", "https://p/2.zip", None, ok, None, 5, "x", 1),
+        ("d", "https://h/d.zip", None, ok, None, 5, "x", 1),
+    ).withColumns(
+        {
+            "http_status": F.when(F.col("url").contains("1.zip"), 404).otherwise(200),
+            "error": F.when(F.col("url").contains("d.zip"), "timed out"),
+            "file_reason": F.when(F.col("url").contains("2.zip"), "not_a_zip"),
+        }
+    )
+    good = archive("x")
+    listing = spark.createDataFrame([("a", "c/e.zip", 0), ("a", "c/_b.zip", 9), ("a", "c/.c.zip", 9), ("a", "c/ok.zip", len(good)), ("a", "c/n.txt", 0)], "source_id STRING, path STRING, length BIGINT")
+    cached = spark.createDataFrame([("a", "c/ok.zip", len(good), bytearray(good))], "source_id STRING, path STRING, length BIGINT, content BINARY")
+    page_log = spark.createDataFrame(
+        [("a", "https://p/", 200, None), ("a", "https://p/x", 503, None), ("a", "https://p/y", None, "reset"), ("d", "https://p/z", 500, None)],
+        "source_id STRING, url STRING, http_status INT, error STRING",
+    )
+    run = discover_layers(pages, sources, log, cached, page_log=page_log, listing=listing)
+    got = sorted((r["stage"], (r["url"] or r["path"]), r["message"]) for r in run.errors.collect())
+    assert got == [
+        ("cache_validation", "c/.c.zip", "not_read"), ("cache_validation", "c/_b.zip", "not_read"), ("cache_validation", "c/e.zip", "missing_or_empty"),
+        ("download", "https://h/d.zip", "transport_error"), ("download", "https://p/1.zip", "http_error"), ("download", "https://p/2.zip", "not_a_zip"),
+        ("download", "https://p/3.zip", "no attempt on record"), ("page", "https://p/x", "HTTP 503"), ("page", "https://p/y", "reset"),
+    ]
+    assert [r["path"] for r in run.preserved.collect()] == ["c/ok.zip"] and run.downloads.count() == 0
+    assert run.overall.first()["status"] == "partial"
+    with pytest.raises(ExpectationError):
+        discover_layers(pages, sources.union(sources), log, cached)
+
+
+def test_all_members_are_listed(spark):
+    content = archive(*(f"m{i}" for i in range(6000)))
+    files = spark.createDataFrame([("a.zip", len(content), bytearray(content))], "path STRING, length BIGINT, content BINARY")
+    assert archive_inventory(inspect_files(files)).count() == 6000
+    cut = inspect_files(files, limit=10).first()
+    assert (len(cut["members"]), cut["member_count"]) == (10, 6000)
+
+
+def test_contents_go_to_python_only_where_they_may_tell_something(spark):
+    files = spark.createDataFrame([("a.csv", 3, bytearray(b"abc"))], "path STRING, length BIGINT, content BINARY")
+    plan = inspect_files(files)._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN (contains(" in plan and "substring(content" in plan
+
+
+def test_catalog_with_its_probes(spark):
+    log = spark.createDataFrame([("a", 200, None), ("a", None, "timeout"), ("b", 404, None)], "source_id STRING, http_status INT, error STRING")
+    probed = probe_catalog(catalog(spark, {"source_id": "a"}, {"source_id": "b"}, {"source_id": "c"}), log)
+    assert sorted((r["source_id"], r["status"], r["error"]) for r in probed.collect()) == [
+        ("a", "available", None), ("a", "unreachable", "timeout"), ("b", "http_error", None), ("c", "not_probed", None),
+    ]
+    assert {tuple(r) for r in probe_outcomes(probed).collect()} >= {("a", "available", 200, None, 1), ("c", "not_probed", None, None, 1)}

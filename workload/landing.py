@@ -17,10 +17,13 @@ from ribeira.operators.landing import (
     landed_file_check,
     landing_accept,
     overall_status,
+    probe_catalog,
+    probe_outcomes,
     probe_status,
     settle_attempts,
     source_status,
 )
+from ribeira.session import work_dir
 from ribeira.sources.files import file_digests
 from workload.registry import query, table
 
@@ -77,7 +80,7 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     LANDED_SQL
     + """
 SELECT path, CAST(pos AS INTEGER) AS pos, 'line_' || pos || '.txt' AS member FROM (
-  SELECT path, unnest(range(least(length(text) - length(replace(text, chr(10), '')) + 1, 5000))) AS pos
+  SELECT path, unnest(range(length(text) - length(replace(text, chr(10), '')) + 1)) AS pos
   FROM landed WHERE n_chars % 6 = 0)
 """,
 )
@@ -106,11 +109,21 @@ def checks(spark, folder):
     return landed_file_check(inspect_files(landed(spark, folder)), declared)
 
 
-@query("file_digest")
+@query(
+    "file_digest",
+    """
+SELECT s_suppkey, strlen(line) + 1 AS bytes, sha256(line || chr(10)) AS sha256
+FROM (SELECT s_suppkey, s_name || ';' || s_nationkey || ';' || s_suppkey AS line FROM supplier)
+""",
+)
 def digests(spark, folder):
-    """Rows only: SQL cannot tell which folder it is run for. Tests compare with hashlib."""
-    return file_digests(spark, folder, "*.parquet").select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("file"), "bytes", "sha256"
+    """Each supplier is written to a file of its own, and the files are scanned."""
+    path = work_dir(spark, "suppliers")
+    line = F.concat_ws(";", "s_name", "s_nationkey", "s_suppkey").alias("value")
+    rows = table(spark, folder, "supplier").select("s_suppkey", line).repartition("s_suppkey")
+    rows.write.partitionBy("s_suppkey").text(path)
+    return file_digests(spark, path, "part-*").select(
+        F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("s_suppkey"), "bytes", "sha256"
     )
 
 
@@ -277,6 +290,34 @@ def probe_log(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("event_id").alias("source_id"), F.expr(PROBES).alias("http_status"))
 
 
+CATALOG_SQL = f"""
+WITH probed AS (
+  SELECT c_custkey AS source_id, c_name AS agency, CASE WHEN event_id IS NOT NULL THEN CAST({PROBES} AS INTEGER) END AS http_status,
+         CASE WHEN event_type = 'error' THEN 'timeout' END AS error,
+         CASE WHEN event_id IS NULL THEN 'not_probed' WHEN event_type = 'error' THEN 'unreachable' WHEN event_type = 'click' THEN 'http_error'
+           ELSE 'available' END AS status
+  FROM customer LEFT JOIN events ON c_custkey = user_id)
+"""
+
+
+def catalog_probes(spark: SparkSession, folder: str) -> DataFrame:
+    catalog = table(spark, folder, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("agency"))
+    log = table(spark, folder, "events").select(
+        F.col("user_id").alias("source_id"), F.expr(PROBES).alias("http_status"), F.expr("CASE WHEN event_type = 'error' THEN 'timeout' END").alias("error")
+    )
+    return probe_catalog(catalog, log)
+
+
+@query("probe_catalog", CATALOG_SQL + "SELECT * FROM probed")
+def probed_catalog(spark, folder):
+    return catalog_probes(spark, folder)
+
+
+@query("probe_outcomes", CATALOG_SQL + "SELECT source_id, status, http_status, error, count(*) AS probes FROM probed GROUP BY 1, 2, 3, 4")
+def outcomes(spark, folder):
+    return probe_outcomes(catalog_probes(spark, folder))
+
+
 @query(
     "availability",
     """

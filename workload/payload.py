@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ribeira.plans.statistics import run_statistics_table
+from ribeira.session import work_dir
 from ribeira.sources.manifest import flatten_manifest, manifest_sources
 from ribeira.sources.payload import payload_normalize, payload_strict
 from workload.registry import query, table
@@ -95,3 +97,20 @@ SELECT CAST(c_custkey AS VARCHAR) AS "Código", c_name AS "Nome", CAST(c_nationk
 )
 def strict(spark, folder):
     return payload_strict(payloads(spark, folder, {"D1C": "Código", "D1N": "Nome", "V": "Valor (R$)"}))
+
+
+@query(
+    "statistics_job",
+    """
+SELECT CAST(c_custkey AS VARCHAR) AS codigo_do_municipio, c_name AS valor, CAST(c_nationkey AS VARCHAR) AS valor_2,
+       c_mktsegment AS m, (SELECT count(*) FROM customer) AS record_count FROM customer
+""",
+)
+def statistics(spark, folder):
+    """Payload files, one per hundred customers, landed, read, normalized and written with their record."""
+    header = {"D1C": "Código do Município", "D1N": "Valor", "V": "(Valor)", "M": "***", "Z": "Nota"}
+    landed, out = work_dir(spark, "payloads"), work_dir(spark, "statistics")
+    payloads(spark, folder, header).write.option("maxRecordsPerFile", 1).text(landed)
+    record = run_statistics_table(spark, landed, out, "statistics office", "https://api.example/t", {"table": 1})
+    counted = spark.read.parquet(f"{out}/table")
+    return counted.withColumn("record_count", F.lit(record.first()["record_count"]).cast("bigint"))
