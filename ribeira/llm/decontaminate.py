@@ -131,3 +131,60 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHAR
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+OP3_SQL = f"""
+WITH cut AS (
+    SELECT 'd' AS side, doc_id AS id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS raw
+    FROM documents
+    UNION ALL
+    SELECT 'i', item_id, list_filter(string_split(regexp_replace(coalesce(min(text), ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')
+    FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id
+), kinds AS (
+    SELECT side, id, raw, list_transform(range(1, len(raw) + 1), lambda i: CASE
+        WHEN i > 1 AND regexp_matches(raw[i], '^\\p{{Lu}}') AND NOT regexp_matches(raw[i - 1], '[.!?:]$') THEN 'name'
+        WHEN regexp_matches(lower(raw[i]), '\\p{{N}}') THEN 'number' ELSE '' END) AS kind
+    FROM cut
+), typed AS (
+    SELECT side, id, list_filter(list_transform(range(1, len(raw) + 1), lambda i: {{'t': CASE
+        WHEN kind[i] = 'name' THEN '<name>' WHEN kind[i] = 'number' THEN '<number>'
+        WHEN i > 1 AND kind[i - 1] = 'number' AND regexp_matches(lower(raw[i]), '^[^\\p{{L}}\\p{{N}}]*(?:{'|'.join(UNITS)})[^\\p{{L}}\\p{{N}}]*$') THEN '<unit>'
+        ELSE regexp_replace(lower(raw[i]), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END,
+        'v': regexp_replace(lower(raw[i]), '[^\\p{{L}}\\p{{N}}]+', '', 'g')}}), lambda x: x.t <> '') AS w
+    FROM kinds
+), windows AS (
+    SELECT side, id, x.pos, x.k FROM (
+        SELECT side, id, unnest(list_transform(range(len(w) - {WIDTH - 1}), lambda p: {{'pos': p, 'k': list_transform(w[p + 1 : p + {WIDTH}], lambda x: x.t)}})) AS x
+        FROM typed WHERE len(w) >= {WIDTH})
+), listed AS (
+    SELECT id AS item_id, pos AS pos_i, k FROM windows
+    WHERE side = 'i' AND len(list_filter(k, lambda x: x NOT LIKE '<%')) >= {LITERAL}
+), sizes AS (
+    SELECT item_id, count(DISTINCT k) AS n_windows, max(pos_i) + {WIDTH} AS length FROM listed GROUP BY item_id
+), met AS (
+    SELECT w.id AS doc_id, item_id, pos AS pos_d, pos_i, k, n_windows, (pos - pos_i + length) // length AS block
+    FROM windows w JOIN listed USING (k) JOIN sizes USING (item_id) WHERE side = 'd'
+), blocks AS (
+    SELECT * FROM met UNION ALL SELECT * REPLACE (block - 1 AS block) FROM met
+), covered AS (
+    SELECT doc_id, item_id, block, n_windows, count(DISTINCT k) AS n_matched, least(count(DISTINCT k) / n_windows, 1.0) AS coverage
+    FROM blocks GROUP BY doc_id, item_id, block, n_windows HAVING count(DISTINCT k) / n_windows >= {SHARE}
+), aligned AS (
+    SELECT DISTINCT b.doc_id, b.item_id, b.block, pos_i + o AS i, pos_d + o AS d FROM blocks b
+    JOIN covered c ON b.doc_id IS NOT DISTINCT FROM c.doc_id AND b.item_id = c.item_id AND b.block = c.block, range({WIDTH}) r(o)
+), filled AS (
+    SELECT a.doc_id, a.item_id, a.block, q.w[i + 1].t AS type, q.w[i + 1].v AS asked, x.w[d + 1].v AS told
+    FROM aligned a JOIN typed q ON q.side = 'i' AND q.id = a.item_id JOIN typed x ON x.side = 'd' AND x.id IS NOT DISTINCT FROM a.doc_id
+    WHERE q.w[i + 1].t LIKE '<%'
+), shares AS (
+    SELECT doc_id, item_id, block, sum(most) / sum(n) AS slot_share FROM (
+        SELECT doc_id, item_id, block, type, asked, max(n) AS most, sum(n) AS n FROM (
+            SELECT doc_id, item_id, block, type, asked, told, count(*) AS n FROM filled GROUP BY ALL) GROUP BY ALL) GROUP BY ALL
+), judged AS (
+    SELECT c.*, coalesce(slot_share, 1.0) AS slot_share FROM covered c
+    LEFT JOIN shares s ON c.doc_id IS NOT DISTINCT FROM s.doc_id AND c.item_id = s.item_id AND c.block = s.block
+)
+SELECT doc_id, item_id, best.n_windows, best.n_matched, CAST(best.coverage AS DOUBLE) AS coverage, CAST(best.slot_share AS DOUBLE) AS slot_share FROM (
+    SELECT doc_id, item_id, max({{'coverage': coverage, 'slot_share': slot_share, 'n_matched': n_matched, 'n_windows': n_windows}}) AS best
+    FROM judged WHERE coalesce(slot_share, 1.0) >= {SHARE} GROUP BY doc_id, item_id)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
 }
-SQL = {"op2_warc": warc.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op2_warc": warc.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}

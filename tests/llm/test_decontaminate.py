@@ -1,4 +1,6 @@
-from ribeira.llm.decontaminate import drop_contaminated, found, template, values
+import duckdb
+
+from ribeira.llm.decontaminate import OP3_SQL, drop_contaminated, found, template, values
 
 QUESTION = "Yesterday Tom bought 3 apples and gave Anna 2 apples. How many apples does Tom have after Anna ate 2 apples and walked 5 km home with Tom?"
 OTHER = QUESTION.replace("Tom", "Bob").replace("Anna", "Mia").replace("3", "17").replace("2", "9").replace("5 km", "8 miles")
@@ -48,3 +50,13 @@ def test_empty_tables(spark, documents):
 def test_native_only(spark, documents):
     plan = found(documents(DOCS), items(spark))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+
+
+def test_sql_on_odd_rows(spark, documents):
+    con = duckdb.connect()
+    docs = [d for d in DOCS if d[0] != 8 and d[1] != "again"]  # SQL takes the rows of one id for several documents
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", [i[:2] for i in ITEMS])):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = sorted(con.execute(OP3_SQL).fetchall(), key=repr)
+    assert want and sorted((tuple(r) for r in found(documents(docs), items(spark)).collect()), key=repr) == want
