@@ -13,15 +13,12 @@ from ribeira.operators.dissolve import dissolve_parts, group_features
 from ribeira.operators.filters import drop_if_present
 from ribeira.operators.joins import LEFT_ONLY, validated_left_join
 from ribeira.operators.quality import (
-    breaks_identity,
     expectations,
     keyed_profile,
-    not_empty_rule,
     not_zero,
     raise_on,
     row_rules,
     to_long,
-    unique_rule,
 )
 from ribeira.operators.status import label_origins, origins_audit
 from ribeira.session import materialize
@@ -82,16 +79,6 @@ def label_sectors(
     return label_origins(joined, names.total, names.male, names.female)
 
 
-def demography_checks(demography: DataFrame, names: SectorColumns) -> DataFrame:
-    """(rule, violations) of the demography table, each rule as a plain check of its own."""
-    parts = [F.col(names.male), F.col(names.female)]
-    return expectations(
-        not_empty_rule(demography, RULE_ROWS),
-        unique_rule(demography, [names.demography_key], RULE_KEYS),
-        row_rules(demography, {RULE_IDENTITY: breaks_identity(F.col(names.total), parts)}),
-    )
-
-
 def conflict_rule(grouped: DataFrame) -> DataFrame:
     """(rule, violations): sectors whose features disagree on an attribute."""
     return row_rules(grouped, {RULE_CONFLICTS: F.size("conflicts") > 0})
@@ -118,6 +105,18 @@ def profile_checks(profile: DataFrame) -> DataFrame:
     )
 
 
+def census_checks(features: DataFrame, demography: DataFrame, names: SectorColumns) -> DataFrame:
+    """(rule, violations) of all rules (runs jobs).
+
+    Demography and grouped sectors are written once, so that either input's own recipe runs a single
+    time; the demography's rules come from its one-pass profile.
+    """
+    people = materialize(demography, "demography")
+    grouped = materialize(group_sectors(features, names), "sectors")
+    profile = keyed_profile(people, names.demography_key, names.total, [names.male, names.female], names.female)
+    return expectations(profile_checks(profile), sector_checks(grouped, label_sectors(grouped, people, names), names))
+
+
 def run_census_origins(
     spark: SparkSession,
     features: DataFrame,

@@ -19,20 +19,18 @@ from ribeira.operators.quality import (
     attribute_conflicts,
     completeness_audit,
     duplicate_keys,
-    expectations,
     identity_violations,
     keyed_profile,
 )
 from ribeira.operators.status import origins_audit, status_label, zero_fill
 from ribeira.plans.census import (
     SectorColumns,
-    demography_checks,
+    census_checks,
     group_sectors,
     label_sectors,
     run_census_origins,
-    sector_checks,
 )
-from ribeira.session import work_dir
+from ribeira.session import materialize, work_dir
 from ribeira.sources.delimited import scan_delimited
 from ribeira.sources.sinks import write_origins, write_summary
 from workload.registry import query, table
@@ -161,11 +159,7 @@ UNION ALL SELECT 'sectors without demography have basic population 0', count(*)
 
 @query("expectations", CENSUS_SQL + RULES_SQL)
 def all_expectations(spark, folder):
-    people = demography(spark, folder)
-    grouped = group_sectors(features(spark, folder), NAMES)
-    return expectations(
-        demography_checks(people, NAMES), sector_checks(grouped, label_sectors(grouped, people, NAMES), NAMES)
-    )
+    return census_checks(features(spark, folder), demography(spark, folder), NAMES)
 
 
 # The same rules where they do not hold: the order status as an attribute differs between the parts
@@ -192,10 +186,7 @@ def broken_expectations(spark, folder):
         .withColumns({"situation": F.col("o_orderstatus"), "v0001": F.nullif(F.col("v0001"), F.lit(0.0))})
         .drop("o_orderstatus")
     )
-    grouped = group_sectors(parts, NAMES)
-    return expectations(
-        demography_checks(people, NAMES), sector_checks(grouped, label_sectors(grouped, people, NAMES), NAMES)
-    )
+    return census_checks(parts, people, NAMES)
 
 
 @query(
@@ -323,7 +314,7 @@ FROM origins
 """,
 )
 def audit(spark, folder):
-    grouped = group_sectors(features(spark, folder), NAMES)
+    grouped = materialize(group_sectors(features(spark, folder), NAMES), "sectors")
     return origins_audit(grouped, label_sectors(grouped, demography(spark, folder), NAMES), "sector_id", "mun_id")
 
 
