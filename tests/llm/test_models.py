@@ -60,7 +60,7 @@ def test_toxicity_on_held_out_rows(spark, docs, labels):
 
 
 def test_toxicity_without_labels(spark, docs, labels):
-    none = toxicity.fit(docs, labels.where("toxic = 7"), remainder(5) != 0)
+    none = toxicity.fit(docs.limit(50), labels.where("toxic = 7"), remainder(5) != 0)
     assert none is None and {r.score for r in toxicity.score(docs.limit(5), none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), none).collect() == []
 
@@ -82,16 +82,17 @@ def test_gradient_of_the_likelihood():
     rows, grades = ragged([{1, 2}, {2, 3}, {1, 3}]), np.array([0, 1, 2])
     before, cuts = quality.train(rows, grades, rounds=1, rate=0.01, decay=0)
     after, _ = quality.train(rows, grades, rounds=50, rate=0.01, decay=0)
-    assert before[1] < 0 < before[3] or before[3] > before[2] > before[1]
+    assert after[2] < after[1] < after[3]  # grades 0, 1, 2 have features 1+2, 2+3, 1+3
     assert abs(after).sum() > abs(before).sum() and len(cuts) == 2
 
 
 def test_quality_on_held_out_rows(spark, docs, labels):
     model = quality.fit(docs, quality.ratings_of(labels), remainder(5) != 0)
     got = quality.grade(docs, model).join(labels, "doc_id").where(remainder(5) == 0).toPandas()
-    assert (got.tail >= 0.5)[got.quality == 1].mean() > 0.99 and (got.tail >= 0.5)[got.quality == 0].mean() < 0.03
+    good = got["tail"] >= 0.5
+    assert good[got.quality == 1].mean() > 0.99 and good[got.quality == 0].mean() < 0.03
     odd = quality.grade(with_odd(spark, docs), model).collect()
-    assert len(odd) == 50 + len(ODD) and all(0 <= r.tail <= 1 and 0 <= r.expected_grade <= 2 for r in odd)
+    assert len(odd) == 50 + len(ODD) and all(0 <= r[2] <= 1 and 0 <= r.expected_grade <= 2 for r in odd)
 
 
 def test_one_grade_or_none(spark, docs):
@@ -100,7 +101,8 @@ def test_one_grade_or_none(spark, docs):
         assert {round(r.expected_grade, 6) for r in quality.grade(docs.limit(3), model).collect()} == {want}
 
 
-def test_rejected_rows_go(spark, docs, labels):
+def test_rejected_rows_go(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER.removesuffix('1')}01/{t}.parquet") for t in ("documents", "labels"))
     rated = quality.ratings_of(labels)
     made = docs.join(labels.where("quality = 0").limit(20), "doc_id").select(*docs.columns).union(docs.limit(100))
     kept = quality.keep_good(made, rated)
