@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ribeira.llm.common import Emitter, id_and_text, read, rows_of, text_groups
 
 WINDOW = 100
-GRAM = 32
+GRAM = 24
 HOT = 5000
 PART = 8 << 20
 """Bytes of text in which a task looks for repetitions of its own."""
@@ -44,7 +44,7 @@ PLACE_BITS = np.uint64(24)
 
 ANCHORS = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("more", pa.binary())])
 FLAGGED = pa.schema([("doc", pa.int64()), ("place", pa.int64())])
-SUFFIXES = pa.schema([("k", pa.int64()), ("off", pa.int64()), ("ctx", pa.binary()), ("doc", pa.int64()), ("p", pa.int64()), ("till", pa.int64())])
+SUFFIXES = pa.schema([("k", pa.int64()), ("off", pa.int64()), ("ctx", pa.binary()), ("doc", pa.int64()), ("p", pa.int64())])
 SPANS = pa.schema([("doc", pa.int64()), ("span", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -58,14 +58,23 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def gram_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of ``width`` bytes (a power of two), put together from those of halves."""
-    h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    size = 1
-    while size < width:
-        h = h[:-size] * np.uint64(0xD6E8FEB86659FD93) + h[size:]
-        h ^= h >> np.uint64(32)
+    """A hash of every run of ``width`` bytes, put together from those of runs whose sizes are powers of two."""
+    power = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    size, done, whole = 1, 0, None
+    while True:
+        if width & size:
+            whole, done = (power, size) if whole is None else (joined_hashes(whole, power, done), done + size)
+        if done == width:
+            return whole * np.uint64(0xBF58476D1CE4E5B9)
+        power = joined_hashes(power, power, size)
         size *= 2
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def joined_hashes(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of runs of ``size`` bytes, each with the run behind it."""
+    n = len(right) - size
+    h = left[:n] * np.uint64(0xD6E8FEB86659FD93) + right[size:]
+    return h ^ (h >> np.uint64(32))
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -202,7 +211,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``doc, text, places``: the surroundings of repeated anchors, each once per part of the corpus; hot ones window by window.
 
-    ``off`` is the anchor's place in ``ctx``, -1 for a single window, and -2 for a span ``p`` to ``till`` that is settled.
+    ``off`` is the anchor's place in ``ctx``, -1 for a single window, and -2 less its length for a span from ``p`` on that is settled.
     """
     out = Emitter(SUFFIXES)
     for part in parts_of(batches):
@@ -227,16 +236,16 @@ def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at in mine[np.isin(p[mine], np.fromiter(flags, np.int64, len(flags)))].tolist():
                     a, b, q = int(low[at]), int(high[at]) + WINDOW, int(p[at])
                     first(known, (int(k[at]), q - a, text[a:b], flags[q]), doc, q, a, b)
-        for (k, off, ctx, hot), (doc, p, low, till) in known.items():
+        for (k, off, ctx, hot), (doc, p, low, _) in known.items():
             if hot:
                 for t in range(len(ctx) - WINDOW + 1):
                     first(windows, ctx[t : t + WINDOW], doc, low + t, low + t, low + t + WINDOW)
             else:
-                yield from out.add((k, off, ctx, doc, p, till), len(ctx) + 60)
-        for ctx, (doc, p, _, till) in windows.items():
-            yield from out.add((signed(xxhash.xxh64_intdigest(ctx)), -1, ctx, doc, p, till), 160)
+                yield from out.add((k, off, ctx, doc, p), len(ctx) + 60)
+        for ctx, (doc, p, _, _) in windows.items():
+            yield from out.add((signed(xxhash.xxh64_intdigest(ctx)), -1, ctx, doc, p), 160)
         for doc, low, till in joined_spans(settled):
-            yield from out.add((signed(xxhash.xxh64_intdigest(b"%d %d" % (doc, low))), -2, None, doc, low, till), 60)
+            yield from out.add((signed(xxhash.xxh64_intdigest(b"%d %d" % (doc, low))), -2 - (till - low), None, doc, low), 60)
     yield from out.flush()
 
 
@@ -323,14 +332,14 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from out.add((doc, low << 31 | till - low), 16)
             spans.clear()
 
-    for k, off, ctx, doc, p, till in rows_of(batches):
-        if off == -2:
-            spans.append((doc, p, till))
+    for k, off, ctx, doc, p in rows_of(batches):
+        if off < -1:
+            spans.append((doc, p, p - 2 - off))
         elif off == -1:
             if owner is None or owner[:2] != (k, ctx):
                 owner = (k, ctx, doc, p)
             elif (doc, p) > owner[2:]:
-                spans.append((doc, p, till))
+                spans.append((doc, p, p + WINDOW))
         else:
             if not key or key[0][0] != k:
                 if len(key) > 1:
@@ -340,7 +349,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, last = [], None
             if last is not None and last[1:3] == (off, ctx):
                 if (doc, p) > last[3:5]:
-                    spans.append((doc, till - len(ctx), till))
+                    spans.append((doc, p - off, p - off + len(ctx)))
             else:
                 last = (k, off, ctx, doc, p)
                 key.append(last)
