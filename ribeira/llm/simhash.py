@@ -346,6 +346,9 @@ def drop_near(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
 
 
 LONG_WORDS = 8
+BLOCK_SHINGLES = 1 << 19
+DEVIATIONS = 7
+"""By how much the bits of candidates may differ beyond their mean: small sets have more of them (0.19 for 4 shingles of 5, 4.5 deviations off)."""
 KEY_BITS = 16
 UNITS = 100
 """Of logarithmic gain, for the dynamic programme."""
@@ -390,6 +393,14 @@ def allocate_recall(costs: list[list[float]], gains: list[list[float]], target:
     return best[goal][1]
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, in order; fewer words than a shingle make one, and so do none."""
+    words = text.lower().split()
+    width = max(1, min(width, len(words)))
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if words else [b""]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), ">u8").astype(np.uint64))
+
+
 def _long_prints(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Emitter(pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.binary())]))
@@ -400,17 +411,106 @@ def _long_prints(width: int):
     return run
 
 
+def _sets(width: int):
+    """Rows ``text, root, mark``: the shingle set instead of the text, and its size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Emitter(pa.schema([("root", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("hashes", pa.binary())]))
+        for text, root, mark in rows_of(batches):
+            hashes = shingle_set(text, width)
+            yield from out.add((root, mark, len(hashes), hashes.tobytes()), 8 * len(hashes) + 32)
+        yield from out.flush()
+
+    return run
+
+
+def similar_edges(sets: list[np.ndarray], similarity: float, mine: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``sets`` (distinct numbers, none empty) whose Jaccard similarity is ``similarity`` or more.
+
+    Sets with ``mine`` are compared with the others only, without it all with all.
+    """
+    sizes = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    has = np.zeros(len(names), bool)
+    left, out, waiting = np.arange(len(sets)), [], []
+    while len(left) or waiting:
+        if not waiting:
+            waiting.append(int(left[0]))
+            flat, left = flat[sizes[left[0]] :], left[1:]
+        if not len(left):
+            break
+        node = waiting.pop()
+        has[own[node]] = True
+        shared = np.add.reduceat(has[flat], np.append(0, np.cumsum(sizes[left])[:-1]), dtype=np.int64)
+        has[own[node]] = False
+        near = shared / (sizes[left] + sizes[node] - shared) >= similarity
+        if mine is not None:
+            near &= mine[left] != mine[node]
+        if near.any():
+            found = left[near].tolist()
+            out.extend((node, other) for other in found)
+            waiting.extend(found)
+            flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
+    return out
+
+
+def _verify_sets(similarity: float):
+    """Rows ``root, low, high, block, node, hashes`` in the order of the first three: the similar pairs in every cell."""
+
+    def edges(group: list[tuple]) -> list[tuple[int, int]]:
+        low, high = group[0][1], group[0][2]
+        mine = None if low == high else np.array([r[3] == low for r in group])
+        found = similar_edges([np.frombuffer(r[5], np.uint64) for r in group], similarity, mine)
+        return [(group[i][4], group[j][4]) for i, j in found]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, group, at = Emitter(EDGES), [], None
+        for row in rows_of(batches):
+            if row[:3] != at:
+                if len(group) > 1:
+                    for edge in edges(group):
+                        yield from out.add(edge, 16)
+                group, at = [], row[:3]
+            group.append(row)
+        if len(group) > 1:
+            for edge in edges(group):
+                yield from out.add(edge, 16)
+        yield from out.flush()
+
+    return run
+
+
+def exact_links(docs: DataFrame, texts: DataFrame, candidates: DataFrame, similarity: float, width: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``a, b``: links among ``texts(mark, rep)`` that connect whatever is linked by ``candidates(a, b)`` and similar.
+
+    The shingle sets of a component of candidates meet and are compared exactly, all with all, but for those that are connected already.
+    Components with over ``block`` shingles are split into blocks, and pairs of blocks go to different tasks.
+    """
+    member = components(candidates).join(texts.select(F.col("mark").alias("node"), "rep"), "node")
+    wanted = member.select("root", F.col("node").alias("_mark"), F.col("rep.doc_id").alias("_id"))
+    rows = marked(docs)
+    rows = rows.join(wanted, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.mark == F.col("_mark"))).select("text", "root", "mark")
+    sets = materialize(rows.mapInArrow(_sets(width), "root long, node long, size long, hashes binary"), "shingle-sets")
+    blocks = sets.groupBy("root").agg(F.ceil(F.sum("size") / block).cast("long").alias("blocks"))
+    cells = sets.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "hashes")
+    dealt = cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    return dealt.mapInArrow(_verify_sets(similarity), "a long, b long")
+
+
 def piece(part: int):
     """The 16 bits of column ``fp`` that make part ``part``."""
     return F.conv(F.hex(F.substring("fp", 2 * part + 1, 2)), 16, 10).cast("long")
 
 
 def similar_links(nodes: DataFrame, similarity: float, recall: float, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links among ``nodes(node, fp)`` that connect texts of this similarity, each found with a chance of ``recall`` or more.
+    """``a, b``: candidates among ``nodes(node, fp)`` that connect texts of this similarity, each found with a chance of ``recall`` or more.
 
     Every 16 bits of a fingerprint are a part. A threshold of -1, 0 or 1 per part is chosen by dynamic programming at least cost (probes,
     and candidates counted over all nodes), so that a pair of this similarity meets in some part with the chance asked for. What
-    meets is verified on the whole fingerprint, up to one standard deviation beyond the bits that the similarity lets differ.
+    meets is kept as a candidate up to ``DEVIATIONS`` standard deviations beyond the bits that the similarity lets differ.
     """
     parts, p = LONG_WORDS * BITS // KEY_BITS, differing(similarity)
     keys = nodes.select("node", "fp", F.posexplode(F.array(*(piece(k) for k in range(parts)))).alias("part", "key"))
@@ -424,26 +524,17 @@ def similar_links(nodes: DataFrame, similarity: float, recall: float, block: int
     rows = keys.where(F.col("part").isin(*flips)).withColumn("mask", F.explode(masks[F.col("part")]))
     rows = rows.select("part", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("listed"), "node", "fp")
     bits = LONG_WORDS * BITS
-    return meet(rows, int(bits * p + np.sqrt(bits * p * (1 - p))), block)
+    return meet(rows, int(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p))), block)
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9) -> DataFrame:
-    """The rows of ``docs`` that name their group, with all their columns: groups are linked by 64-bit fingerprints as in
-    ``near_duplicates``, or by this similarity of their sets of shingles, as long fingerprints estimate it.
-
-    Similarities clearly above the one asked for are found all but surely (at 0.9 with a chance of 99.8 %).
+    """The rows of ``docs`` that name their group, with all their columns: groups are linked by this Jaccard similarity or more of
+    their sets of shingles. Fingerprints give candidates only, and links are kept by the sets themselves.
     """
     prints = materialize(marked(docs).mapInArrow(_long_prints(width), "doc_id long, mark long, fp binary"), "long-prints")
-    short = materialize(marked(docs).mapInArrow(_prints(width), "doc_id long, mark long, fp long"), "prints")
     texts = materialize(prints.groupBy("mark").agg(F.min(own_name()).alias("rep"), F.first("fp").alias("fp")), "texts")
-    edges = similar_links(texts.select(F.col("mark").alias("node"), "fp"), similarity, recall)
-    same = short.groupBy("fp").agg(F.min("mark").alias("first"))
-    close = links(same.select("fp"))
-    ends = same.select(F.col("fp").alias("x"), F.col("first").alias("m"))
-    close = close.join(ends, F.col("a") == F.col("x")).select("m", "b").withColumnRenamed("m", "a")
-    close = close.join(ends, F.col("b") == F.col("x")).select("a", F.col("m").alias("b"))
-    equal = short.join(same, "fp").select(F.col("mark").alias("a"), F.col("first").alias("b"))
-    member = components(edges.union(close).union(equal))
+    candidates = similar_links(texts.select(F.col("mark").alias("node"), "fp"), similarity, recall)
+    member = components(exact_links(docs, texts, candidates, similarity, width))
     mapped = texts.join(member, texts.mark == member.node, "left").select("mark", "rep", F.coalesce("root", "mark").alias("root"))
     stay = materialize(mapped.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark")), "near")
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), mark_of(docs["text"]).alias("mark"))

@@ -165,3 +165,38 @@ def test_components_of_long_chains(spark):
     want = roots({n for e in edges for n in e}, edges)
     want.pop(7, None) if 7 not in nodes else None
     assert got == want
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def pairs_around(draw, n, words=204):
+    """Pairs of texts, ids 2k and 2k + 1, whose similarities lie closely around 0.8, half of them below."""
+    rows = []
+    for k in range(n):
+        base = [f"w{k}x{i}" for i in range(words)]
+        other = list(base)
+        other[-(21 + k % 4) :] = [f"v{k}x{i}" for i in range(21 + k % 4)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    draw.shuffle(rows)
+    return rows
+
+
+def test_links_by_exact_similarity(documents):
+    rows = pairs_around(random.Random(3), 200)
+    text = dict(rows)
+    similar = {k for k in range(200) if jaccard(text[2 * k], text[2 * k + 1]) >= 0.8}
+    assert 0 < len(similar) < 200 and all(0.77 < jaccard(text[2 * k], text[2 * k + 1]) < 0.83 for k in range(200))
+    kept = {r.doc_id for r in drop_similar(documents(rows), recall=0.999999).collect()}
+    assert {k for k in range(200) if 2 * k + 1 not in kept} == similar and all(2 * k in kept for k in range(200))
+
+
+def test_spanning_forest_of_sets():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 40, 36)).astype(np.uint64) for _ in range(120)]
+    for mine in (None, draw.integers(0, 2, 120).astype(bool)):
+        want = [(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and (mine is None or mine[i] != mine[j])]
+        got = simhash.similar_edges(sets, 0.8, mine)
+        assert want and set(map(frozenset, got)) <= set(map(frozenset, want)) and roots(range(120), got) == roots(range(120), want)
