@@ -348,8 +348,8 @@ def drop_near(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
 LONG_WORDS = 8
 BLOCK_SHINGLES = 1 << 19
 DEVIATIONS = 7
-"""By how much the bits of candidates may differ beyond their mean: small sets have more of them (0.19 for 4 shingles of 5, 4.5 deviations off)."""
-KEY_BITS = 16
+"""By how much the bits of candidates may differ beyond their mean: small sets have more of them (0.19 for 4 shingles of 5, 4.3 deviations off)."""
+BAND = 5
 UNITS = 100
 """Of logarithmic gain, for the dynamic programme."""
 
@@ -401,11 +401,30 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), ">u8").astype(np.uint64))
 
 
-def _long_prints(width: int):
+def bands_for(similarity: float, recall: float) -> int:
+    """How many bands of ``BAND`` least hashes a pair of this similarity needs to agree in one of them with the chance of ``recall``."""
+    return max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-min(similarity**BAND, 1 - 1e-12)))))
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A key per band, from the least of the hashes under each of ``BAND`` permutations."""
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, bands * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), ~np.uint64(0))
+    for low in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[low : low + 256, None] * factors).min(0), out=least)
+    least ^= least >> np.uint64(29)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in least.reshape(bands, BAND).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def _long_prints(width: int, bands: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Emitter(pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.binary())]))
+        out = Emitter(pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))]))
         for doc_id, text, mark in rows_of(batches):
-            yield from out.add((doc_id, mark, long_fingerprint(text, width)), 100)
+            yield from out.add((doc_id, mark, long_fingerprint(text, width), band_keys(shingle_set(text, width), bands)), 100 + 8 * bands)
         yield from out.flush()
 
     return run
@@ -500,40 +519,25 @@ def exact_links(docs: DataFrame, texts: DataFrame, candidates: DataFrame, simila
     return dealt.mapInArrow(_verify_sets(similarity), "a long, b long")
 
 
-def piece(part: int):
-    """The 16 bits of column ``fp`` that make part ``part``."""
-    return F.conv(F.hex(F.substring("fp", 2 * part + 1, 2)), 16, 10).cast("long")
+def similar_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """``a, b``: candidates among ``nodes(node, fp, keys)`` that connect texts of this similarity.
 
-
-def similar_links(nodes: DataFrame, similarity: float, recall: float, block: int = BLOCK) -> DataFrame:
-    """``a, b``: candidates among ``nodes(node, fp)`` that connect texts of this similarity, each found with a chance of ``recall`` or more.
-
-    Every 16 bits of a fingerprint are a part. A threshold of -1, 0 or 1 per part is chosen by dynamic programming at least cost (probes,
-    and candidates counted over all nodes), so that a pair of this similarity meets in some part with the chance asked for. What
-    meets is kept as a candidate up to ``DEVIATIONS`` standard deviations beyond the bits that the similarity lets differ.
+    What agrees in a key is compared by fingerprint, and is a candidate up to ``DEVIATIONS`` standard deviations beyond the bits that the
+    similarity lets differ.
     """
-    parts, p = LONG_WORDS * BITS // KEY_BITS, differing(similarity)
-    keys = nodes.select("node", "fp", F.posexplode(F.array(*(piece(k) for k in range(parts)))).alias("part", "key"))
-    met = keys.groupBy("part", "key").count().groupBy("part").agg(F.sum(F.expr("count * (count - 1.0D) / 2")).alias("pairs"), F.sum("count").alias("n")).collect()
-    pairs, n = {r.part: float(r.pairs) for r in met}, max((r.n for r in met), default=0)
-    chances, random = within(np.full(KEY_BITS, p), 1), within(np.full(KEY_BITS, 0.5), 1)
-    costs = [[0.0, *(40.0 * n * ball(KEY_BITS, t) + pairs.get(k, 0.0) * random[t] / random[0] for t in (0, 1))] for k in range(parts)]
-    chosen = allocate_recall(costs, [[0.0, *(-np.log1p(-chances))]] * parts, -np.log1p(-recall))
-    flips = {k: [0, *(1 << f for f in range(KEY_BITS))][: ball(KEY_BITS, t)] for k, t in enumerate(chosen) if t >= 0}
-    masks = F.create_map(*(x for k, flip in flips.items() for x in (F.lit(k), F.array(*(F.lit(m).cast("long") for m in flip)))))
-    rows = keys.where(F.col("part").isin(*flips)).withColumn("mask", F.explode(masks[F.col("part")]))
-    rows = rows.select("part", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("listed"), "node", "fp")
-    bits = LONG_WORDS * BITS
+    rows = nodes.select(F.posexplode("keys").alias("part", "key"), F.lit(True).alias("listed"), "node", "fp")
+    bits, p = LONG_WORDS * BITS, differing(similarity)
     return meet(rows, int(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p))), block)
 
 
-def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9) -> DataFrame:
+def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
     """The rows of ``docs`` that name their group, with all their columns: groups are linked by this Jaccard similarity or more of
-    their sets of shingles. Fingerprints give candidates only, and links are kept by the sets themselves.
+    their sets of shingles. Agreeing bands of least hashes give candidates, so many that a pair of just this similarity is one with
+    the chance of ``recall``, whatever else is in the table; links are kept by the sets themselves.
     """
-    prints = materialize(marked(docs).mapInArrow(_long_prints(width), "doc_id long, mark long, fp binary"), "long-prints")
-    texts = materialize(prints.groupBy("mark").agg(F.min(own_name()).alias("rep"), F.first("fp").alias("fp")), "texts")
-    candidates = similar_links(texts.select(F.col("mark").alias("node"), "fp"), similarity, recall)
+    prints = materialize(marked(docs).mapInArrow(_long_prints(width, bands_for(similarity, recall)), "doc_id long, mark long, fp binary, keys array<long>"), "long-prints")
+    texts = materialize(prints.groupBy("mark").agg(F.min(own_name()).alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
+    candidates = similar_links(texts.select(F.col("mark").alias("node"), "fp", "keys"), similarity)
     member = components(exact_links(docs, texts, candidates, similarity, width))
     mapped = texts.join(member, texts.mark == member.node, "left").select("mark", "rep", F.coalesce("root", "mark").alias("root"))
     stay = materialize(mapped.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark")), "near")

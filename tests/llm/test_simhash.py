@@ -195,8 +195,16 @@ def test_links_by_exact_similarity(documents):
 
 def test_spanning_forest_of_sets():
     draw = np.random.default_rng(2)
-    sets = [np.unique(draw.integers(0, 40, 36)).astype(np.uint64) for _ in range(120)]
+    sets = [np.sort(draw.choice(44, 39, replace=False)).astype(np.uint64) for _ in range(120)]
     for mine in (None, draw.integers(0, 2, 120).astype(bool)):
         want = [(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and (mine is None or mine[i] != mine[j])]
         got = simhash.similar_edges(sets, 0.8, mine)
         assert want and set(map(frozenset, got)) <= set(map(frozenset, want)) and roots(range(120), got) == roots(range(120), want)
+
+
+def test_bands_do_not_depend_on_the_number_of_texts(documents):
+    assert simhash.bands_for(0.8, 0.9999) == 24 and simhash.bands_for(1, 0.9999) == 1
+    rows = [r for r in pairs_around(random.Random(4), 1200) if r[0] // 2 % 4 == 0]  # of each four pairs the most similar
+    text = dict(rows)
+    assert all(0.8 <= jaccard(text[d], text[d + 1]) < 0.81 for d in text if d % 2 == 0)
+    assert sorted(r.doc_id for r in drop_similar(documents(rows)).collect()) == sorted(d for d in text if d % 2 == 0)
