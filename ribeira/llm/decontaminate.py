@@ -10,7 +10,8 @@ Texts are cut at white space. A word becomes a typed placeholder, or its small l
 Windows of ``WIDTH`` words in this form, of benchmark items and of documents, are joined by hash. Windows with fewer than ``LITERAL``
 plain words are too general and count on neither side. An item is found in a document where ``share`` of its distinct windows occur close
 together, and where the placeholders are consistent: over all aligned slots, ``share`` of them take the value that their type and
-value in the item take most often in the document. So the copy of a question is found with other names and numbers put in, while a text
+value in the item take most often in the document. Where an item's windows repeat, a place in the document is aligned with one place of
+the item, by the shift on which most windows agree. So the copy of a question is found with other names and numbers put in, while a text
 that merely has the same pattern with values mixed at random isn't.
 
 The windows of the benchmark are a table of their own; Spark broadcasts it where its size is below the session's threshold, and
@@ -109,9 +110,14 @@ def slot_shares(texts: DataFrame, items: DataFrame, blocks: DataFrame, covered:
     # only items that have slots matter from here on
     pick = pick.join(slot.select(F.col("x_item").alias("c_item")).distinct(), "c_item", "left_semi")
     same = blocks.doc_id.eqNullSafe(pick.c_doc) & (blocks.item_id == pick.c_item) & (blocks.block == pick.c_block)
-    aligned = blocks.join(pick, same, "left_semi").select(
-        "doc_id", "item_id", "block", F.explode(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.struct((F.col("pos_i") + i).alias("i"), (F.col("pos_d") + i).alias("d")))).alias("at")
-    ).select("doc_id", "item_id", "block", "at.i", "at.d").distinct()
+    kept = blocks.join(pick, same, "left_semi")
+    # where windows of an item repeat, a place in the document meets several of the item: that of the shift on which most windows agree counts
+    group = ["doc_id", "item_id", "block"]
+    agree = kept.groupBy(*group, "shift").agg(F.countDistinct("pos_d").alias("agree"))
+    kept = kept.join(agree.select(*(F.col(c).alias(f"a_{c}") for c in (*group, "shift")), "agree"), F.col("doc_id").eqNullSafe(F.col("a_doc_id")) & (F.col("item_id") == F.col("a_item_id")) & (F.col("block") == F.col("a_block")) & (F.col("shift") == F.col("a_shift")))
+    at = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.struct((F.col("pos_i") + i).alias("i"), (F.col("pos_d") + i).alias("d")))
+    aligned = kept.select(*group, "agree", F.explode(at).alias("at")).groupBy(*group, F.col("at.d").alias("d")).agg(F.max(F.struct("agree", "at.i")).alias("best"))
+    aligned = aligned.select(*group, "best.i", "d")
     aligned = materialize(aligned.join(slot, (F.col("item_id") == F.col("x_item")) & (F.col("i") == F.col("at_i"))).drop("x_item", "at_i"), "aligned")
     wanted = aligned.select(F.col("doc_id").alias("w_doc")).distinct()
     told = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.w_doc), "left_semi").select("doc_id", F.posexplode_outer(values(F.col("text"))).alias("at_d", "told"))

@@ -60,3 +60,14 @@ def test_sql_on_odd_rows(spark, documents):
         con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
     want = sorted(con.execute(OP3_SQL).fetchall(), key=repr)
     assert want and sorted((tuple(r) for r in found(documents(docs), items(spark)).collect()), key=repr) == want
+
+
+def test_items_with_repeating_windows(spark, documents):
+    item = "Work out each sum: add 3 and 4 and write it, then add 5 and 6 and write it, then add 7 and 8 and write it, then add 9 and 10 and write it."
+    renamed = item
+    for n in range(3, 11):
+        renamed = renamed.replace(f" {n} ", f" {n + 40} ")
+    mixed = "Work out each sum: add 1 and 2 and write it, then add 5 and 6 and write it."
+    docs = documents([(1, item), (2, f"Here it is. {renamed} And more of it."), (3, f"{item} {renamed}"), (4, mixed)])
+    rows = found(docs, items(spark, [(1, item, "x")])).collect()
+    assert sorted((r.doc_id, r.coverage, r.slot_share) for r in rows if r.doc_id != 4) == [(1, 1.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 1.0)]
