@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, decontaminate, exact_dedup, language, pair_index, quality, simhash, substring_dedup, token_count, toxicity, warc
+from ribeira.llm import bpe, decontaminate, exact_dedup, importance, language, pair_index, quality, simhash, substring_dedup, token_count, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op12_bpe": pair_index.op12_bpe,
+    "op13_resample": importance.op13_resample,
 }
 SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op2_warc": warc.OP2_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
