@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ribeira.llm import bpe, decontaminate, exact_dedup, importance, language, pair_index, quality, simhash, substring_dedup, token_count, toxicity, warc
+from ribeira.llm import bpe, decontaminate, exact_dedup, importance, language, pair_index, quality, simhash, substring_dedup, token_count, toxicity, warc, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_token_counts": token_count.op4_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op11_whitening": whitening.op11_whitening,
     "op12_bpe": pair_index.op12_bpe,
     "op13_resample": importance.op13_resample,
 }
