@@ -26,7 +26,7 @@ def write_origins(origins: DataFrame, path: str, by: str = fixed.MUNICIPALITY_KE
 
 def write_summary(origins: DataFrame, path: str, columns: Sequence[str] = tuple(fixed.SUMMARY_COLUMNS)) -> None:
     """The summary columns as CSV with a header."""
-    origins.select(*columns).write.csv(path, header=True, encoding="UTF-8")
+    origins.select(*columns).write.csv(path, header=True, encoding="UTF-8", escape='"')
 
 
 def write_record(record: DataFrame, path: str) -> None:

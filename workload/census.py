@@ -360,10 +360,12 @@ def provenance(spark, folder):
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer",
 )
 def csv_scan(spark, folder):
-    """The table written as ;-separated text, of which three columns are read back."""
-    path = work_dir(spark, "csv")
-    table(spark, folder, "customer").write.csv(path, sep=";", header=True, encoding="UTF-8")
-    return scan_delimited(spark, path, ["c_custkey", "c_name", "c_mktsegment"])
+    """The table written as ;-separated text of two column orders, one with further columns; three columns are read back."""
+    path, rows = work_dir(spark, "csv"), table(spark, folder, "customer")
+    odd = F.col("c_nationkey") % 2 == 1
+    rows.filter(odd).write.csv(f"{path}/a", sep=";", header=True, encoding="UTF-8")
+    rows.filter(~odd).select("c_mktsegment", "c_acctbal", "c_name", "c_custkey").write.csv(f"{path}/b", sep=";", header=True, encoding="UTF-8")
+    return scan_delimited(spark, [f"{path}/a", f"{path}/b"], ["c_custkey", "c_name", "c_mktsegment"])
 
 
 @query("prefix_filter", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%'")
