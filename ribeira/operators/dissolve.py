@@ -12,21 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribeira.operators.quality import differs, nan_to_null
+from ribeira.operators.quality import any_value, differs
 
 
 def group_features(features: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
     """One row per key, the null key included: attributes, feature count and conflict list.
 
-    The attribute kept is the least non-null value, which for a key without conflicts is the only
-    one. ``conflicts`` names the attributes on which the features of the key disagree. Minima of texts
+    The attribute kept is the least non-null value (of nested values that of least fingerprint), which for a key without conflicts is
+    the only one. ``conflicts`` names the attributes on which the features of the key disagree. Minima of texts
     make this a sort aggregation; it is one shuffle, and a join on the key finds its rows in order.
     """
-    columns = {name: nan_to_null(features, name) for name in attributes}
+    columns = {name: (F.col(name), features.schema[name].dataType) for name in attributes}
     grouped = features.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_features"),
-        *[F.min(c).alias(name) for name, c in columns.items()],
-        *[differs(c).alias(f"__differs_{i}") for i, c in enumerate(columns.values())],
+        *[any_value(*c).alias(name) for name, c in columns.items()],
+        *[differs(*c).alias(f"__differs_{i}") for i, c in enumerate(columns.values())],
     )
     named = F.array(*[F.when(F.col(f"__differs_{i}"), F.lit(name)) for i, name in enumerate(attributes)])
     return grouped.select(key, "n_features", *attributes, F.array_compact(named).alias("conflicts"))

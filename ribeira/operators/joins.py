@@ -1,6 +1,6 @@
 """Joins with checked keys.
 
-No side carries a broadcast hint: the optimizer broadcasts a side only if its size is under the
+A repeated key makes the query fail when it runs; no job runs while it is built. No side carries a broadcast hint: the optimizer broadcasts a side only if its size is under the
 session's threshold, and otherwise shuffles, where adaptive execution splits skewed partitions.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribeira.operators.quality import ExpectationError, duplicate_keys
+from ribeira.operators.quality import ExpectationError, duplicate_keys, unique_by
 
 BOTH, LEFT_ONLY = "both", "left_only"
 RIGHT_KEY = "demography_key"
@@ -33,8 +33,8 @@ def validated_left_join(
 ) -> DataFrame:
     """One-to-one left join with an indicator column ``_merge`` (``both`` or ``left_only``).
 
-    Both keys are checked first and a repeated key raises (a job per side); a flag says that a side
-    is already known to be unique, for example because it was grouped by the key. The right key
+    Both keys are checked inside the join's plan, on the rows as the join has shuffled and sorted them (``unique_by``); a flag says
+    that a side is already known to be unique, for example because it was grouped by the key. The right key
     comes out as ``demography_key``: the two names may differ in case only, which Spark could not
     tell apart.
 
@@ -42,9 +42,9 @@ def validated_left_join(
     because it lets the join use the partitioning that a grouping by the key has left behind.
     """
     if not left_is_unique:
-        require_unique(left, left_key, "left")
+        left = unique_by(left, left_key, "left")
     if not right_is_unique:
-        require_unique(right, right_key, "right")
+        right = unique_by(right, right_key, "right")
     hits = right.withColumnRenamed(right_key, RIGHT_KEY).withColumn("_hit", F.lit(True))
     same = left[left_key].eqNullSafe(hits[RIGHT_KEY]) if null_keys_match else left[left_key] == hits[RIGHT_KEY]
     joined = left.join(hits, same, "left")
@@ -61,11 +61,11 @@ def right_only(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
 def checksum_join(declared: DataFrame, observed: DataFrame, on: str) -> DataFrame:
     """Declared (key, sha256) rows with each observed file and ``match``/``mismatch``/``missing``.
 
-    With a source as the key, its one declared hash applies to each of its files. Files are the left
+    With a source as the key, its one declared hash applies to each of its files; a key declared twice fails the query. Files are the left
     side of an inner join, where adaptive execution can split a source that holds a large share of
     them; declarations without a file come from an anti join with the distinct observed keys.
     """
-    expected = declared.withColumnRenamed("sha256", "expected_sha256")
+    expected = unique_by(declared, on, "declared", nulls_repeat=False).withColumnRenamed("sha256", "expected_sha256")
     found = observed.withColumnRenamed("sha256", "observed_sha256").join(expected, on)
     same = F.col("expected_sha256").eqNullSafe(F.col("observed_sha256"))
     judged = found.withColumn("outcome", F.when(same, "match").otherwise("mismatch"))

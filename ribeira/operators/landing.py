@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ribeira.fixed import MAX_BYTES
 from ribeira.functions.urls import file_suffix, url_promises_data
+from ribeira.operators.quality import unique_by
 
 ABSENT = "missing_or_empty"
 TRANSPORT_ERROR, HTTP_ERROR, NOT_FETCHED, NOT_READ = "transport_error", "http_error", "not_fetched", "not_read"
@@ -120,7 +121,7 @@ def landed_file_check(inspected: DataFrame, declared: DataFrame | None = None) -
 
 
 def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The fetch log with ``reject_reason``: null if accepted, otherwise the first rule that failed.
+    """The fetch log with ``reject_reason``: null if accepted, otherwise the first rule that failed. A source listed twice fails the query.
 
     A log may tell more than the response: ``error`` of the transfer, ``http_status``, and
     ``file_reason``, what ``judge_files`` found wrong with the file.
@@ -128,7 +129,7 @@ def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MA
     def told(name: str) -> Column:
         return F.col(name) if name in fetch_log.columns else F.lit(None)
 
-    expected = catalog.select("source_id", "expected_sha256")
+    expected = unique_by(catalog.select("source_id", "expected_sha256"), "source_id", "catalog", nulls_repeat=False)
     content_type = F.lower(F.coalesce("content_type", F.lit("")))
     reason = (
         F.when(told("error").isNotNull(), TRANSPORT_ERROR)

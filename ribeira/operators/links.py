@@ -28,6 +28,7 @@ from ribeira.functions.urls import (
     url_candidate,
     url_output_format,
 )
+from ribeira.operators.quality import unique_by
 
 
 def extract_links(pages: DataFrame, html: str = "html", base: str = "url", link: str = "link") -> DataFrame:
@@ -91,19 +92,20 @@ def topk_links(scored: DataFrame, k: int = MAX_CANDIDATES, min_score: int = MIN_
 def allowlist_semi(files: DataFrame, catalog: DataFrame, path: str = "path") -> DataFrame:
     """Cached files that count: an accepted extension, and a registered name where that is required.
 
-    For a source limited to its registered links, the file name has to be the last path segment of
-    one of them. The names stay in the source's own row, so files are scanned and joined once.
+    For a source limited to its registered links, the file name has to be the last path segment of one of them. Registered
+    names are rows, joined by source and name, so that a source may register any number of them, and only those of limited sources are
+    listed. Files stay on the side that adaptive execution can split, and are read once. A source that the catalog has twice fails the query.
     """
-    rules = catalog.select(
-        "source_id",
-        F.coalesce(F.col("direct_urls_only"), F.lit(False)).alias("__direct_only"),
-        link_names(F.col("direct_urls")).alias("__names"),
+    rules = unique_by(catalog, "source_id", "catalog", nulls_repeat=False).select(
+        "source_id", F.coalesce(F.col("direct_urls_only"), F.lit(False)).alias("__direct_only")
     )
-    name = path_name(F.col(path))
-    listed = F.coalesce(F.array_contains("__names", name), F.lit(False))
+    registered = catalog.filter("direct_urls_only").select("source_id", F.explode(link_names(F.col("direct_urls"))).alias("__name"))
+    listed = registered.distinct().withColumn("__listed", F.lit(True))
     return (
         files.filter(file_suffix(F.col(path)).isin(DATA_EXTENSIONS))
+        .withColumn("__name", path_name(F.col(path)))
         .join(rules, "source_id")
-        .filter(~F.col("__direct_only") | listed)
-        .drop("__direct_only", "__names")
+        .join(listed, ["source_id", "__name"], "left")
+        .filter(~F.col("__direct_only") | F.col("__listed"))
+        .drop("__direct_only", "__name", "__listed")
     )

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ribeira.operators.filters import all_present
 
@@ -24,6 +25,26 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
+def unique_by(df: DataFrame, key: str, what: str, *, nulls_repeat: bool = True) -> DataFrame:
+    """The same rows; the query that reads them fails if a key occurs a second time.
+
+    The check is part of the plan: rows are numbered within their key, and a filter, which the optimizer can't leave out, raises at a
+    number of 2. A join on the key that follows finds its rows partitioned and sorted, so that check and join
+    share one exchange. Nothing is gathered, and a key with many rows fails at its second. The null key is a key like any other unless
+    ``nulls_repeat`` is false. The partition number in the check, which isn't deterministic, keeps filters of the query above it: the check
+    is of all rows of ``df``, those that a join would pass over included.
+    """
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    value = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    repeated = F.raise_error(F.concat(F.lit(f"{what} key {key} is not unique: "), value)).cast("boolean")
+    once = (F.col("__turn") == 1) | (F.spark_partition_id() < 0)
+    return (
+        df.withColumn("__turn", turn)
+        .filter(F.when(once if nulls_repeat else once | F.col(key).isNull(), True).otherwise(repeated))
+        .drop("__turn")
+    )
+
+
 def breaks_identity(total: Column, parts: Sequence[Column]) -> Column:
     """True where all values are present and the total is not the sum of its parts."""
     return all_present(total, *parts) & (total != reduce(lambda a, b: a + b, parts))
@@ -77,27 +98,75 @@ def keyed_profile(df: DataFrame, key: str, total: str, parts: Sequence[str], par
     )
 
 
-def differs(c: Column) -> Column:
-    """Aggregate: whether a group holds more than one value, null counting as a value.
+FIXED_WIDTH = (T.BooleanType, T.IntegralType, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+"""Types whose least and greatest value a hash aggregation keeps in place."""
+
 
-    The least and the greatest value plus a count say the same as a distinct count, in one hash
-    aggregation without the row expansion that several distinct counts need. NaN is read as null.
+def nan_to_null(c: Column, kind: T.DataType) -> Column:
+    return F.when(~F.isnan(c), c) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+
+
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """A value of a type that can be hashed and compared, the same for the same value.
+
+    The entries of a map are sorted, NaN counts as null at any depth and -0.0 as 0.0. Every nested value goes with a flag for null and
+    every list with its size, as a hash passes over nulls and over the borders of lists.
     """
-    return F.coalesce(
-        (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1)))), F.lit(False)
-    )
+
+    def nested(value: Column, of: T.DataType) -> Column:
+        plain = canonical(value, of)
+        return F.struct(plain.isNull().alias("none"), plain.alias("value"))
+
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(c, lambda item: nested(item, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        pairs = F.transform(
+            F.map_entries(c), lambda e: F.struct(nested(e["key"], kind.keyType).alias("key"), nested(e["value"], kind.valueType).alias("value"))
+        )
+        items = F.array_sort(pairs)
+    elif isinstance(kind, T.StructType):
+        fields = [nested(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else F.when(c.isNotNull(), F.lit(0))
+    elif isinstance(kind, T.VariantType):
+        return F.to_json(c)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        return nan_to_null(c, kind) + F.lit(0.0).cast(kind)
+    else:
+        return c
+    return F.when(c.isNotNull(), F.struct(F.size(c).alias("size"), items.alias("items")))
+
+
+def fingerprints(c: Column, kind: T.DataType) -> list[Column]:
+    """What tells a value from others of its type: the value itself if it has a fixed width, else two 64-bit hashes of it. Null stays null."""
+    value = canonical(c, kind)
+    if isinstance(kind, FIXED_WIDTH):
+        return [value]
+    return [F.when(value.isNotNull(), F.xxhash64(F.lit(seed), value)) for seed in (1, 2)]
+
+
+def differs(c: Column, kind: T.DataType) -> Column:
+    """Aggregate: whether a group holds more than one value, null counting as a value. NaN is read as null.
+
+    The least and the greatest fingerprint plus a count say the same as a distinct count, in one hash aggregation over buffers
+    of fixed size, without the row expansion that several distinct counts need. It works for types without an order.
+    """
+    marks = fingerprints(c, kind)
+    apart = reduce(lambda a, b: a | b, [F.min(m) != F.max(m) for m in marks])
+    some = F.count(marks[0])
+    return F.coalesce(apart | ((some > 0) & (some < F.count(F.lit(1)))), F.lit(False))
 
 
-def nan_to_null(df: DataFrame, column: str) -> Column:
-    c = F.col(column)
-    if dict(df.dtypes)[column] in ("double", "float"):
-        return F.when(~F.isnan(c), c)
-    return c
+def any_value(c: Column, kind: T.DataType) -> Column:
+    """Aggregate: the least value, or, for types without an order, the value of least fingerprint. Nulls are passed over."""
+    if isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType)):
+        first, second = fingerprints(c, kind)
+        return F.min_by(c, F.when(first.isNotNull(), F.struct(first.alias("a"), second.alias("b"))))
+    return F.min(nan_to_null(c, kind))
 
 
 def attribute_conflicts(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Per attribute: number of keys (the null key included) that hold more than one value."""
-    flags = df.groupBy(key).agg(*[differs(nan_to_null(df, name)).alias(f"differs_{i}") for i, name in enumerate(columns)])
+    flags = df.groupBy(key).agg(*[differs(F.col(name), df.schema[name].dataType).alias(f"differs_{i}") for i, name in enumerate(columns)])
     counts = flags.agg(*[F.count_if(F.col(f"differs_{i}")).alias(f"keys_{i}") for i in range(len(columns))])
     return to_long(counts, {name: f"keys_{i}" for i, name in enumerate(columns)}, "attribute", "conflicting_keys")
 

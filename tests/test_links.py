@@ -1,6 +1,8 @@
 """Link discovery on small tables."""
 
 import pytest
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import functions as F
 
 from ribeira import fixed
 from ribeira.operators.filters import eligible_sources
@@ -114,3 +116,16 @@ def test_discovery(spark):
     assert [(r["source_id"], r["url"], r["rank"]) for r in got] == [
         ("closed", "https://h/only.zip", 1), ("open", "https://h/d/a.zip", 1), ("open", "https://h/reg.zip", 2),
     ]
+
+
+def test_a_source_may_register_any_number_of_names(spark):
+    """No list of names is searched per file, and a source in the catalog twice fails the query."""
+    n = 100_000
+    urls = spark.range(n).agg(F.collect_list(F.concat(F.lit("https://x.example/d/"), "id", F.lit(".zip"))).alias("direct_urls"))
+    limited = urls.select(F.lit("s").alias("source_id"), "direct_urls", F.lit(True).alias("direct_urls_only"))
+    files = spark.range(0, 2 * n, 2).select(F.lit("s").alias("source_id"), F.concat(F.lit("cache/"), "id", F.lit(".zip")).alias("path"))
+    assert allowlist_semi(files, limited).count() == n // 2
+    plan = allowlist_semi(files, limited)._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains" not in plan
+    with pytest.raises(SparkRuntimeException, match="catalog key source_id is not unique"):
+        allowlist_semi(files, limited.union(limited)).count()

@@ -1,6 +1,9 @@
 """Checks, joins, dissolve and status on small tables."""
 
+import random
+
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from ribeira.operators.dissolve import dissolve_parts, dissolve_sectors, multipart_stats
@@ -138,14 +141,78 @@ def test_left_join_keys_differ_in_case_only(spark):
 
 @pytest.mark.parametrize("side", ["left", "right"])
 def test_repeated_keys_raise(spark, side):
-    once = spark.createDataFrame([("1", 1)], "k STRING, v INT")
-    twice = spark.createDataFrame([("2", 1), ("2", 1)], "k STRING, w INT")
-    pair = (twice, once) if side == "left" else (once, twice)
-    with pytest.raises(ExpectationError, match=side):
-        validated_left_join(*pair, "k", "k")
+    once = spark.createDataFrame([("1", 1), (None, 1)], "k STRING, v INT")
+    for key in ("2", None):
+        twice = spark.createDataFrame([(key, 1), (key, 1)], "k STRING, w INT")
+        pair = (twice, once) if side == "left" else (once, twice)
+        df = validated_left_join(*pair, "k", "k")
+        with pytest.raises(SparkRuntimeException, match=f"{side} key k is not unique: {key or 'null'}"):
+            df.select("_merge").collect()
+        with pytest.raises(SparkRuntimeException):
+            df.count()
+    assert validated_left_join(once, once, "k", "k").count() == 2
     require_unique(once, "k", "left")
 
 
+def test_check_and_join_share_an_exchange(spark):
+    """Whatever reads the join afterwards; and no job runs while it is built."""
+    left, right = (spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias(v)) for v in ("v", "w"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = validated_left_join(left, right, "k", "k").select("_merge")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning(") == 2 and plan.count("Window [") == 2 and plan.count("raise_error") >= 2
+
+
+def test_declarations_that_repeat_raise(spark):
+    declared = spark.createDataFrame([("a", "1"), ("a", "1")], "source_id STRING, sha256 STRING")
+    observed = spark.createDataFrame([("a", "f1", "1")], "source_id STRING, file STRING, sha256 STRING")
+    with pytest.raises(SparkRuntimeException, match="declared key source_id is not unique: a"):
+        checksum_join(declared, observed, "source_id").collect()
+    nulls = spark.createDataFrame([(None, "1"), (None, "2"), ("a", "1")], declared.schema)
+    assert sorted(r["outcome"] for r in checksum_join(nulls, observed, "source_id").collect()) == ["match", "missing", "missing"]
+
+
+NAN, NESTED = float("nan"), "k INT, m MAP<STRING, DOUBLE>, a ARRAY<ARRAY<INT>>, s STRUCT<x: DOUBLE, y: MAP<INT, STRING>>, t STRING"
+
+
+def plain(value):
+    """A value as something that can be compared: maps without an order, NaN as null, -0.0 as 0.0."""
+    if isinstance(value, float):
+        return None if value != value else value + 0.0
+    if isinstance(value, dict):
+        return ("map", *sorted((plain(k), str(plain(v))) for k, v in value.items()))
+    if isinstance(value, (list, tuple)):
+        return ("list", *map(plain, value))
+    return value
+
+
+def test_conflicts_of_types_without_an_order(spark):
+    draw = random.Random(2)
+    maps = [{"a": 1.0, "b": NAN}, {"b": None, "a": 1.0}, {"b": NAN, "a": 1.0}, {"a": 1.0}, {}, None, {"a": NAN, "b": 1.0}, {"a": -0.0}, {"a": 0.0}]
+    lists = [[[1], [2]], [[1, 2], []], [[1, 2]], [[None], [1]], [[1], [None]], [], None, [None, [1]], [[1], None], [[]]]
+    structs = [(1.0, {1: "x", 2: "y"}), (1.0, {2: "y", 1: "x"}), (NAN, None), (None, None), None, (None, {}), (-0.0, {}), (0.0, {})]
+    rows = []
+    for k in range(400):
+        pools = [draw.sample(p, draw.choice([1, 1, 2])) for p in (maps, lists, structs, ["", "x", None])]
+        rows += [(k if k else None, *map(draw.choice, pools)) for _ in range(draw.randrange(1, 5))]
+    df = spark.createDataFrame(rows, NESTED).repartition(7)
+    got = {r["attribute"]: r["conflicting_keys"] for r in attribute_conflicts(df, "k", ["m", "a", "s", "t"]).collect()}
+    want = {name: sum(len({plain(r[at]) for r in rows if r[0] == k}) > 1 for k in {r[0] for r in rows}) for at, name in enumerate("mast", 1)}
+    assert got == want and all(20 < n < 380 for n in want.values())
+    plan = attribute_conflicts(df, "k", ["m", "t"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    sectors = dissolve_sectors(df, "k", ["m", "a", "s", "t"]).collect()
+    assert len(sectors) == 399
+    for r in sectors:
+        mine = [row for row in rows if row[0] == r["k"]]
+        for at, name in enumerate("mast", 1):
+            assert plain(r[name]) in {plain(row[at]) for row in mine}
+            assert (r[name] is None) == all(row[at] is None for row in mine)
+
+
 def test_checksums(spark):
     declared = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "source_id STRING, sha256 STRING")
     observed = spark.createDataFrame(

@@ -7,6 +7,9 @@ basic population on the geometry side is the number of such orders.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,13 +200,27 @@ SELECT attribute, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS conflicting_k
   FROM (SELECT l_orderkey, nullif(l_returnflag, 'R') AS v FROM lineitem) GROUP BY l_orderkey
   UNION ALL SELECT 'l_linestatus', l_orderkey, count(DISTINCT coalesce(l_linestatus, '')) FROM lineitem GROUP BY l_orderkey
   UNION ALL SELECT 'l_quantity', l_orderkey, count(DISTINCT coalesce(l_quantity, -1)) FROM lineitem GROUP BY l_orderkey
-  UNION ALL SELECT 'l_suppkey', l_orderkey, count(DISTINCT coalesce(l_suppkey, -1)) FROM lineitem GROUP BY l_orderkey)
+  UNION ALL SELECT 'l_suppkey', l_orderkey, count(DISTINCT coalesce(l_suppkey, -1)) FROM lineitem GROUP BY l_orderkey
+  UNION ALL SELECT 'tags', l_orderkey,
+    count(DISTINCT CASE WHEN l_linenumber = 7 THEN 'none' ELSE l_returnflag || l_linestatus END) FROM lineitem GROUP BY l_orderkey
+  UNION ALL SELECT 'nested', l_orderkey, count(DISTINCT l_suppkey % 3) FROM lineitem GROUP BY l_orderkey)
 GROUP BY attribute
 """,
 )
 def conflicts(spark, folder):
-    lines = table(spark, folder, "lineitem").withColumn("l_returnflag", F.nullif(F.col("l_returnflag"), F.lit("R")))
-    return attribute_conflicts(lines, "l_orderkey", ["l_returnflag", "l_linestatus", "l_quantity", "l_suppkey"])
+    """Also of a map whose entries stand in either order, and of a list in a struct where NaN stands for null."""
+    even = F.col("l_linenumber") % 2 == 0
+    flag, status = (F.lit("flag"), F.col("l_returnflag")), (F.lit("status"), F.col("l_linestatus"))
+    tags = F.when(even, F.create_map(*flag, *status)).otherwise(F.create_map(*status, *flag))
+    gap = F.when(even, F.lit(float("nan")))
+    lines = table(spark, folder, "lineitem").withColumns(
+        {
+            "tags": F.when(F.col("l_linenumber") != 7, tags),
+            "nested": F.struct(F.array(gap, F.col("l_suppkey") % 3 + F.lit(0.0)).alias("list")),
+            "l_returnflag": F.nullif(F.col("l_returnflag"), F.lit("R")),
+        }
+    )
+    return attribute_conflicts(lines, "l_orderkey", ["l_returnflag", "l_linestatus", "l_quantity", "l_suppkey", "tags", "nested"])
 
 
 @query(
@@ -260,6 +277,33 @@ def left_join(spark, folder):
     return labelled(spark, folder).select("doc_id", "_merge", "quality", "toxic")
 
 
+@query(
+    "validated_join_refused",
+    """
+SELECT side || ' key k is not unique' AS refused FROM (
+  SELECT 'left' AS side, count(*) AS n, count(DISTINCT l_orderkey) AS k FROM lineitem
+  UNION ALL SELECT 'right', count(*), count(DISTINCT o_custkey) FROM orders
+  UNION ALL SELECT 'none', count(*), count(DISTINCT o_orderkey) FROM orders) WHERE n > k
+""",
+)
+def refused(spark, folder):
+    """One row per join that fails for a repeated key: lines or customers of orders against orders, and orders against themselves."""
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    once = orders.select(F.col("o_orderkey").alias("k"))
+    pairs = {
+        "left": (lines.select(F.col("l_orderkey").alias("k")), once),
+        "right": (once, orders.select(F.col("o_custkey").alias("k"))),
+        "none": (once, once),
+    }
+    found = []
+    for left, right in pairs.values():
+        try:
+            validated_left_join(left, right, "k", "k").write.format("noop").mode("overwrite").save()
+        except SparkRuntimeException as error:
+            found.append((re.search(r"(\w+ key k is not unique)", str(error)).group(1),))
+    return spark.createDataFrame(found, "refused STRING")
+
+
 @query(
     "right_only",
     "SELECT count(*) AS demography_only FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
