@@ -10,9 +10,9 @@ entries go straight on to the shuffle, in the second to a file of the task, whic
 afterwards in the same way.
 
 Defined cases: a null text is empty; empty texts are equal to each other. Of equal texts the row with the most
-code points in the original text stays, then the smallest ``doc_id``; a null ``doc_id`` comes last. Rows that repeat
-both ``doc_id`` and text are all marked as kept by ``exact_dedup``, and ``drop_exact`` leaves one of them. Columns other
-than ``doc_id`` and ``text`` are not read. Tries compare whole
+code points in the original text stays, then the smallest ``doc_id``; a null ``doc_id`` comes last. Rows of a group that agree with
+the one that stays in ``doc_id`` and code points are all marked as kept by ``exact_dedup``; ``drop_exact`` leaves one row of each group,
+of such rows that of the least text, then of the least hash of the other columns. Columns other than ``doc_id`` and ``text`` are not read otherwise. Tries compare whole
 texts; only the way back from a text to its rows trusts that two texts of one length never share their SHA-256.
 """
 
@@ -25,7 +25,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ribeira.llm.common import Emitter, id_and_text, read, rows_of
@@ -39,9 +39,9 @@ ENTRIES = pa.schema([
     ("chars", pa.int64()), ("keep_id", pa.int64()), ("copies", pa.int64()),
 ])
 OWNERS = pa.schema([
-    ("n_bytes", pa.int64()), ("sha", pa.binary()), ("size", pa.int64()), ("keep_id", pa.int64()), ("copies", pa.int64()),
+    ("n_bytes", pa.int64()), ("sha", pa.binary()), ("size", pa.int64()), ("keep_chars", pa.int64()), ("keep_id", pa.int64()), ("copies", pa.int64()),
 ])
-KEYS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary())])
+KEYS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("chars", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -248,7 +248,7 @@ def partition_tries(limit: int):
         for _, _, text, size, chars, keep_id, copies in rows_of(batches):
             trie.add(text, Owner(size, chars, keep_id, copies))
         for data, o in trie.settle():
-            yield from out.add((len(data), hashlib.sha256(data).digest(), o.size, o.doc_id, o.copies))
+            yield from out.add((len(data), hashlib.sha256(data).digest(), o.size, o.chars, o.doc_id, o.copies))
         yield from out.flush()
 
     return run
@@ -258,12 +258,12 @@ def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = Emitter(KEYS)
     for doc_id, text in rows_of(batches):
         data = text.translate(None, WHITE)
-        yield from out.add((doc_id, len(data), hashlib.sha256(data).digest()))
+        yield from out.add((doc_id, len(data), hashlib.sha256(data).digest(), len(text.decode("utf-8", "replace"))))
     yield from out.flush()
 
 
 def owners(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
-    """One row per distinct text: ``n_bytes, sha, size, keep_id, copies`` (rows equal to the one that stays, itself included)."""
+    """One row per distinct text: ``n_bytes, sha, size, keep_chars, keep_id, copies`` (rows equal to the one that stays, itself included)."""
     entries = id_and_text(docs).mapInArrow(local_tries(limit), _ddl(ENTRIES))
     found = entries.repartition("n_bytes", "sha").mapInArrow(partition_tries(limit), _ddl(OWNERS))
     return found
@@ -274,21 +274,26 @@ def exact_dedup(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
     mine = id_and_text(docs).mapInArrow(keys, _ddl(KEYS))
     theirs = owners(docs, limit).withColumnsRenamed({"n_bytes": "o_bytes", "sha": "o_sha"})
     joined = mine.join(theirs, (mine.sha == theirs.o_sha) & (mine.n_bytes == theirs.o_bytes))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     return joined.select(
-        "doc_id", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), "copies",
+        "doc_id", "keep_id", F.col("size").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "copies",
     )
 
 
 def drop_exact(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    verdict = materialize(exact_dedup(docs, limit).where("kept").select("doc_id", "text_sha256", "copies"), "exact")
-    verdict = verdict.withColumnsRenamed({"doc_id": "_id", "text_sha256": "_sha"})
-    stripped = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]", "")
+    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    mine = exact_dedup(docs, limit).where(same_id).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    verdict = materialize(mine.agg(F.count(F.lit(1)).alias("rows")), "exact")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    stripped = F.regexp_replace(text, "[\\x20\\x09-\\x0D]", "")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.sha2(stripped, 256).alias("sha"))
-    kept = keyed.join(verdict, keyed.doc_id.eqNullSafe(verdict._id) & (keyed.sha == verdict._sha), "left_semi")
-    if not verdict.where("copies > 1").isEmpty():  # rows that repeat id and text: one of them stays
-        kept = kept.dropDuplicates(["doc_id", "sha"])
+    kept = keyed.join(verdict.drop("rows"), keyed.doc_id.eqNullSafe(F.col("_id")) & (keyed.sha == F.col("_sha")), "left_semi")
+    if not verdict.where("rows > 1").isEmpty():  # rows of a group that share the id of the one that stays
+        text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+        order = [F.length(text).desc(), text, F.xxhash64(F.to_json("row"))]
+        place = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy(*order))
+        kept = kept.withColumn("place", place).where("place = 1")
     return kept.select("row.*")
 
 

@@ -13,7 +13,7 @@ def brute(rows):
         key = "".join(c for c in text if c not in " \t\n\x0b\x0c\r")
         groups.setdefault(key, []).append((-len(text), doc_id is None, doc_id or 0, doc_id))
     return sorted(
-        ((d, min(g)[3], len(g), d == min(g)[3], hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for *_, d in g), key=repr
+        ((d, min(g)[3], len(g), (n, d) == (min(g)[0], min(g)[3]), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for n, *_, d in g), key=repr
     )
 
 
@@ -54,3 +54,24 @@ def test_drop_leaves_one_of_each(documents):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
         [(3, " a\tb\n"), (1, "other"), (4, None), (6, "é x"), (7, "éx"), (9, "z" * 299_999 + " z")], key=repr
     )
+
+
+SHARED = [(7, "a b"), (7, "ab"), (9, "ab"), (7, "ab "), (None, "x y"), (None, "xy"), (None, "x  y"), (5, "q"), (5, "q"), (5, " q"), (4, "q"), (3, "q "), (3, "q  "), (8, None), (8, "")]
+
+
+def test_rows_that_share_an_id(documents):
+    assert result(exact_dedup(documents(SHARED))) == brute(SHARED)
+    for rows in (SHARED, SHARED[::-1]):
+        kept = sorted(((r.doc_id, r.text) for r in drop_exact(documents(rows, extra=True).repartition(4)).collect()), key=repr)
+        assert [k for k in kept if k[1]] == sorted([(7, "a b"), (None, "x  y"), (3, "q  ")], key=repr)
+        assert [k[0] for k in kept if not k[1]] == [8]
+
+
+def test_no_two_rows_that_stay_are_equal(documents, spark):
+    draw = random.Random(3)
+    rows = [(draw.choice([None, *range(12)]), "".join(draw.choice("ab \t") for _ in range(draw.randrange(6)))) for _ in range(500)]
+    kept = drop_exact(documents(rows).repartition(5)).collect()
+    texts = ["".join(r.text.split()) for r in kept]
+    assert len(texts) == len(set(texts)) and set(texts) == {"".join(t.split()) for _, t in rows}
+    want = {"".join(t.split()): min((-len(u), i is None, i or 0) for i, u in rows if "".join(u.split()) == "".join(t.split())) for _, t in rows}
+    assert all((-len(r.text), r.doc_id is None, r.doc_id or 0) == want["".join(r.text.split())] for r in kept)
