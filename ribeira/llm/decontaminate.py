@@ -1,30 +1,39 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-Texts are cut at white space. A word becomes a typed placeholder, or its small letters and digits:
+Texts are cut at white space, and punctuation is left out; words of punctuation only vanish. A word is its small letters and digits, or a typed
+placeholder:
 
-* a *name* begins with a capital and doesn't begin a sentence (the word before it doesn't end in ``. ! ? :``);
-* a *number* is any other word with a digit in it;
+* a *number* is a word with a digit in it;
+* a *name* is any other word that begins with a capital inside a sentence (the word before it doesn't end in ``. ! ? :``);
 * a *unit* is a word of ``UNITS`` right after a number;
-* of other words, punctuation is left out; words of punctuation only vanish.
+* a word with a capital that begins a sentence may be a name or not. Windows that hold such words are joined in two forms: with all of them as
+  plain words and with all of them as names.
 
-Windows of ``WIDTH`` words in this form, of benchmark items and of documents, are joined by hash. Windows with fewer than ``LITERAL``
-plain words are too general and count on neither side. An item is found in a document where ``share`` of its distinct windows occur close
-together, and where the placeholders are consistent: over all aligned slots, ``share`` of them take the value that their type and
+Windows of ``WIDTH`` words in this form, of benchmark items and of documents, are joined by hash. A window with fewer than ``LITERAL`` plain words
+is too general: there the words behind the placeholders have to agree. An item consists of its windows of the first kind, or of all its windows
+if it has none; an item of fewer words is one window of its own width. It is found in a document where ``share`` of its distinct windows
+occur close together, and where the placeholders are consistent: over all aligned slots, ``share`` of them take the value that their type and
 value in the item take most often in the document. Where an item's windows repeat, a place in the document is aligned with one place of
 the item, by the shift on which most windows agree. So the copy of a question is found with other names and numbers put in, while a text
 that merely has the same pattern with values mixed at random isn't.
 
+Each window of an item is looked for in two more forms: in small letters, and word for word, as it shows in a text of capitals. So copies in other
+case are found as well, and, by the form with names, copies whose first word follows upon other words.
+
 The windows of the benchmark are a table of their own; Spark broadcasts it where its size is below the session's threshold, and
 shuffles otherwise. Windows of documents never leave their task unless they match.
 
-Defined cases: null and empty texts have no windows; items without a countable window are never found. Rows of one ``doc_id`` count as one
-document, a null ``doc_id`` as an id like others. Repeated items with one ``item_id`` count as one item. Empty tables give an empty
-result; columns other than the id and ``text`` are not read. Two different windows are taken as equal if two 64-bit hashes coincide.
+Defined cases: null and empty texts, and texts of punctuation alone, have no windows; every other item has one. An item of one to four words is found wherever they
+stand in a row. Rows of one ``doc_id`` count as one document, a null ``doc_id`` as an id like others. Of repeated items with one ``item_id``
+the least text counts, null ids don't. Empty tables give an empty result; columns other than the id and ``text`` are not read.
+Two different windows are taken as equal if two 64-bit hashes coincide.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ribeira.llm.common import read
@@ -34,6 +43,8 @@ WIDTH = 5
 LITERAL = 2
 SHARE = 0.8
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+FIRST = "\u0004"
+"""Marks a word with a capital at the beginning of a sentence."""
 # Units of measure and money
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr hrs day days week weeks month months year years "
@@ -43,68 +54,116 @@ UNITS = (
 
 
 def plain(text: Column) -> Column:
-    """White space as single blanks."""
-    return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    """White space as single blanks, without the characters that are marks here."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")), f"[{NAME}-{FIRST}]", "")
+
+
+def bare(text: Column) -> Column:
+    """Small letters and digits of a text, and its blanks and marks; no blank stands beside another."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), f"[^\\p{{L}}\\p{{N}} {NAME}-{FIRST}]+", ""), " +", " "))
+
+
+CAPITAL = "\\p{Lu}[^ \\p{N}]*+(?![^ ])"
+INSIDE, STARTS = f"(?<=[^.!?: ] ){CAPITAL}", f"(?<![^ ])(?<![^.!?: ] ){CAPITAL}"
+
 
+def tagged(df: DataFrame, key: str) -> DataFrame:
+    """``key, words`` from ``key, text``: the words of each text, a placeholder as its mark with the word behind it."""
+    out = F.regexp_replace(F.regexp_replace(plain(F.col("text")), INSIDE, f"{NAME}$0"), STARTS, f"{FIRST}$0")
+    out = F.regexp_replace(bare(out), "(?<![^ ])[^ \\p{N}]*+\\p{N}[^ ]*", f"{NUMBER}$0")
+    out = F.regexp_replace(out, f"({NUMBER}[^ ]* )((?:{'|'.join(UNITS)})(?![^ ]))", f"$1{UNIT}$2")
+    return df.select(key, F.split(out, " ").alias("words")).select(key, F.when(F.col("words")[0] != "", F.col("words")).otherwise(F.array().cast("array<string>")).alias("words"))
 
-def words(text: Column) -> Column:
-    """Words of a text in which punctuation and placeholders are still in place; one empty word if there is none."""
-    return F.split(F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N} \u0001-\u0003]+", "")), " +")
 
+def mark(word: Column) -> Column:
+    return F.substring(word, 1, 1)
 
-def template(text: Column) -> Column:
-    """The canonical words of a text."""
-    out = F.regexp_replace(plain(text), "[\u0001-\u0003]", "")
-    out = F.regexp_replace(out, "(?<=[^.!?: ] )\\p{Lu}[^ ]*", NAME)
-    out = F.regexp_replace(F.lower(out), "(?<![^ ])[^ \\p{N}]*+\\p{N}[^ ]*", NUMBER)
-    out = F.regexp_replace(out, f"(?<={NUMBER} )[^\\p{{L}}\\p{{N}} {NAME}{NUMBER}]*(?:{'|'.join(UNITS)})[^\\p{{L}}\\p{{N}} {NAME}{NUMBER}]*(?= |$)", UNIT)
-    return words(out)
 
+def value(word: Column) -> Column:
+    """The word behind a mark; a plain word as it is."""
+    return F.when(mark(word).isin(NAME, NUMBER, UNIT, FIRST), F.substring(word, 2, 1 << 30)).otherwise(word)
 
-def values(text: Column) -> Column:
-    """The words behind the canonical ones, place by place."""
-    return words(F.lower(F.regexp_replace(plain(text), "[\u0001-\u0003]", "")))
 
+def hashes(width: int, kind: str, parts: list[Column]) -> list[Column]:
+    return [F.xxhash64(F.lit(f"{kind}{width}"), *parts), F.xxhash64(F.lit(f"{width}{kind}"), *reversed(parts))]
 
-def windows(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """``key, pos, h1, h2, literal``: the hashed windows of column ``words``, each from its first word on (``pos`` counts from 0)."""
-    n = F.size("words")
-    shifted = [F.slice("words", i + 1, F.greatest(n - (WIDTH - 1), F.lit(0))).alias(f"w{i}") for i in range(WIDTH)]
+
+def windows(df: DataFrame, key: str, pos: str, width: int, as_values: bool = False) -> DataFrame:
+    """``key, pos, h1, h2, general, names``: the windows of column ``words``, hashed, each from its first word on (``pos`` counts from 0).
+
+    ``general`` says that the template is too general and the values were hashed, as they are everywhere if asked for. Where words that begin a sentence
+    don't make the template too general as names, a second row, with ``names`` true, has them as such.
+    """
+    shifted = [F.slice("words", i + 1, F.greatest(F.size("words") - (width - 1), F.lit(0))).alias(f"w{i}") for i in range(width)]
     # the outer form, as the optimizer adds to the plain one a filter that works out the words many times over
     rows = df.select(key, F.arrays_zip(*shifted).alias("zipped")).select(key, F.posexplode_outer("zipped").alias(pos, "w")).where(F.col(pos).isNotNull())
-    parts = [F.col(f"w.w{i}") for i in range(WIDTH)]
-    literal = sum((F.when(p.isin(NAME, NUMBER, UNIT), 0).otherwise(1) for p in parts), F.lit(0))
-    return rows.select(key, pos, F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("h2"), literal.alias("literal"))
+    parts = [F.col(f"w.w{i}") for i in range(width)]
+    values = [value(p) for p in parts]
+    slots = [mark(p).isin(NAME, NUMBER, UNIT) for p in parts]
+    firsts = [mark(p) == FIRST for p in parts]
+    plain_words = sum((F.when(x, 0).otherwise(1) for x in slots), F.lit(0))
+    begun = sum((F.when(f, 1).otherwise(0) for f in firsts), F.lit(0))
+    general = F.lit(True) if as_values else plain_words < LITERAL
+    as_words = hashes(width, "t", [F.when(x, mark(p)).otherwise(v) for p, x, v in zip(parts, slots, values)])
+    as_names = hashes(width, "t", [F.when(x, mark(p)).when(f, NAME).otherwise(p) for p, x, f in zip(parts, slots, firsts)])
+    told = hashes(width, "v", values)
+
+    def row(pair: list[Column], general: Column, names: bool) -> Column:
+        return F.struct(pair[0].alias("h1"), pair[1].alias("h2"), general.alias("general"), F.lit(names).alias("names"))
+
+    one = row([F.when(general, v).otherwise(t) for t, v in zip(as_words, told)], general, False)
+    if as_values:
+        return rows.select(key, pos, one.alias("x")).select(key, pos, "x.*")
+    both = F.when((begun > 0) & (plain_words - begun >= LITERAL), F.array(one, row(as_names, F.lit(False), True))).otherwise(F.array(one))
+    return rows.select(key, pos, F.inline(both))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """``item_id, pos_i, window, width, h1, h2``: the windows of each item in all their forms; those that are the same have the same number ``window``."""
+    mine, small = (materialize(tagged(items.select("item_id", c.alias("text")), "item_id"), "item-words") for c in (F.col("text"), F.lower("text")))
+    every = []
+    for width in range(1, WIDTH + 1):
+        fits = F.size("words") >= width if width == WIDTH else F.size("words") == width
+        own = windows(mine.where(fits), "item_id", "pos_i", width)
+        plainly = own.where(~F.col("names"))
+        countable = plainly.groupBy("item_id").agg(F.bool_or(~F.col("general")).alias("countable"))
+        listed = plainly.join(countable, "item_id").where(~F.col("general") | ~F.col("countable"))
+        listed = listed.select("item_id", "pos_i", F.min("pos_i").over(Window.partitionBy("item_id", "h1", "h2")).alias("window"))
+        forms = [own, windows(small.where(fits), "item_id", "pos_i", width), windows(mine.where(fits), "item_id", "pos_i", width, True)]
+        form = reduce(DataFrame.union, [f.select("item_id", "pos_i", "h1", "h2") for f in forms]).distinct()
+        every.append(form.join(listed, ["item_id", "pos_i"]).withColumn("width", F.lit(width)))
+    return reduce(DataFrame.unionByName, every).select("item_id", F.col("pos_i").cast("int"), F.col("window").cast("int"), "width", "h1", "h2")
 
 
 def found(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, coverage, slot_share`` of all documents that hold an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    listed = windows(items.select("item_id", template(F.col("text")).alias("words")), "item_id", "pos_i").where(F.col("literal") >= LITERAL)
-    listed = materialize(listed.select("item_id", F.col("pos_i").cast("int"), "h1", "h2"), "item-windows")
+    listed = materialize(item_windows(items), "item-windows")
     # an item's copies within a document keep apart by at least its length, so blocks of twice that length, half overlapping, hold each copy whole
-    sizes = listed.groupBy("item_id").agg(F.countDistinct("h1", "h2").alias("n_windows"), (F.max("pos_i") + WIDTH).alias("length"))
+    sizes = listed.groupBy("item_id", "width").agg(F.countDistinct("window").alias("n_windows"), (F.max("pos_i") + F.first("width")).alias("length"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mine = windows(texts.select("doc_id", template(F.col("text")).alias("words")), "doc_id", "pos_d")
-    met = materialize(mine.drop("literal").join(listed, ["h1", "h2"]).select("doc_id", "pos_d", "item_id", "pos_i", "h1"), "met")
+    words = tagged(texts, "doc_id")
+    widths = sorted(r["width"] for r in listed.select("width").distinct().collect())  # five at most
+    mine = reduce(DataFrame.union, [windows(words, "doc_id", "pos_d", width).drop("general", "names") for width in widths or [WIDTH]])
+    met = materialize(mine.join(listed, ["h1", "h2"]).select("doc_id", "pos_d", "item_id", "pos_i", "window"), "met")
     blocks = met.join(sizes, "item_id").withColumn("shift", F.col("pos_d") - F.col("pos_i") + F.col("length"))
-    first = F.floor(F.col("shift") / F.col("length"))
-    blocks = blocks.withColumn("block", F.explode(F.array(first, first - 1)))
-    covered = blocks.groupBy("doc_id", "item_id", "block", "n_windows").agg(F.countDistinct("h1").alias("n_matched"))
-    covered = covered.withColumn("coverage", F.least(F.col("n_matched") / F.col("n_windows"), F.lit(1.0))).where(F.col("coverage") >= share)
+    start = F.floor(F.col("shift") / F.col("length"))
+    blocks = blocks.withColumn("block", F.explode(F.array(start, start - 1)))
+    covered = blocks.groupBy("doc_id", "item_id", "block", "n_windows").agg(F.countDistinct("window").alias("n_matched"))
+    covered = covered.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= share)
     covered = materialize(covered, "covered")
-    slots = slot_shares(texts, items, blocks, covered)
+    slots = slot_shares(words, items, blocks, covered)
     judged = covered.join(slots, [covered.doc_id.eqNullSafe(slots.s_doc), covered.item_id == slots.s_item, covered.block == slots.s_block], "left")
     judged = judged.withColumn("slot_share", F.coalesce("slot_share", F.lit(1.0))).where(F.col("slot_share") >= share)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "slot_share", "n_matched", "n_windows")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.coverage", "best.slot_share")
 
 
-def slot_shares(texts: DataFrame, items: DataFrame, blocks: DataFrame, covered: DataFrame) -> DataFrame:
+def slot_shares(words: DataFrame, items: DataFrame, blocks: DataFrame, covered: DataFrame) -> DataFrame:
     """``s_doc, s_item, s_block, slot_share``: how consistently the slots of an item are filled in a document; none without slots."""
-    slot = items.select(
-        "item_id", F.posexplode(F.arrays_zip(template(F.col("text")).alias("type"), values(F.col("text")).alias("value"))).alias("at_i", "x")
-    ).select(F.col("item_id").alias("x_item"), "at_i", "x.type", F.col("x.value").alias("asked")).where(F.col("type").isin(NAME, NUMBER, UNIT))
+    slot = tagged(items, "item_id").select("item_id", F.posexplode("words").alias("at_i", "word"))
+    kind = F.when(mark(F.col("word")) == FIRST, NAME).otherwise(mark(F.col("word")))
+    slot = slot.where(kind.isin(NAME, NUMBER, UNIT)).select(F.col("item_id").alias("x_item"), "at_i", kind.alias("type"), value(F.col("word")).alias("asked"))
     slot = materialize(slot, "slots")
     pick = covered.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), F.col("block").alias("c_block"))
     # only items that have slots matter from here on
@@ -115,13 +174,13 @@ def slot_shares(texts: DataFrame, items: DataFrame, blocks: DataFrame, covered:
     group = ["doc_id", "item_id", "block"]
     agree = kept.groupBy(*group, "shift").agg(F.countDistinct("pos_d").alias("agree"))
     kept = kept.join(agree.select(*(F.col(c).alias(f"a_{c}") for c in (*group, "shift")), "agree"), F.col("doc_id").eqNullSafe(F.col("a_doc_id")) & (F.col("item_id") == F.col("a_item_id")) & (F.col("block") == F.col("a_block")) & (F.col("shift") == F.col("a_shift")))
-    at = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.struct((F.col("pos_i") + i).alias("i"), (F.col("pos_d") + i).alias("d")))
+    at = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.struct((F.col("pos_i") + i).alias("i"), (F.col("pos_d") + i).alias("d")))
     aligned = kept.select(*group, "agree", F.explode(at).alias("at")).groupBy(*group, F.col("at.d").alias("d")).agg(F.max(F.struct("agree", "at.i")).alias("best"))
     aligned = aligned.select(*group, "best.i", "d")
     aligned = materialize(aligned.join(slot, (F.col("item_id") == F.col("x_item")) & (F.col("i") == F.col("at_i"))).drop("x_item", "at_i"), "aligned")
     wanted = aligned.select(F.col("doc_id").alias("w_doc")).distinct()
-    told = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.w_doc), "left_semi").select("doc_id", F.posexplode_outer(values(F.col("text"))).alias("at_d", "told"))
-    told = told.groupBy(F.col("doc_id").alias("t_doc"), "at_d").agg(F.min("told").alias("told"))
+    told = words.join(wanted, words.doc_id.eqNullSafe(wanted.w_doc), "left_semi").select("doc_id", F.posexplode_outer("words").alias("at_d", "word"))
+    told = told.groupBy(F.col("doc_id").alias("t_doc"), "at_d").agg(F.min(value(F.col("word"))).alias("told"))
     filled = aligned.join(told, aligned.doc_id.eqNullSafe(told.t_doc) & (aligned.d == told.at_d))
     counts = filled.groupBy("doc_id", "item_id", "block", "type", "asked", "told").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("doc_id", "item_id", "block", "type", "asked").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
@@ -141,47 +200,63 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH cut AS (
-    SELECT 'd' AS side, doc_id AS id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS raw
-    FROM documents
-    UNION ALL
-    SELECT 'i', item_id, list_filter(string_split(regexp_replace(coalesce(min(text), ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '')
-    FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id
+    SELECT side, id, list_filter(string_split(regexp_replace(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[\\x01-\\x04]', '', 'g'), ' '), lambda x: x <> '') AS raw FROM (
+        SELECT 'd' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+        UNION ALL SELECT 'i', item_id, coalesce(min(text), '') FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id
+        UNION ALL SELECT 'l', item_id, lower(coalesce(min(text), '')) FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)
+), shown AS (
+    SELECT side, id, list_transform(range(1, len(raw) + 1), lambda i: {{
+        'v': regexp_replace(lower(raw[i]), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'cap': regexp_matches(raw[i], '^\\p{{Lu}}'),
+        'inside': i > 1 AND NOT regexp_matches(raw[i - 1], '[.!?:]$')}}) AS x FROM cut
+), kept AS (
+    SELECT side, id, list_filter(x, lambda w: w.v <> '') AS x FROM shown
 ), kinds AS (
-    SELECT side, id, raw, list_transform(range(1, len(raw) + 1), lambda i: CASE
-        WHEN i > 1 AND regexp_matches(raw[i], '^\\p{{Lu}}') AND NOT regexp_matches(raw[i - 1], '[.!?:]$') THEN 'name'
-        WHEN regexp_matches(lower(raw[i]), '\\p{{N}}') THEN 'number' ELSE '' END) AS kind
-    FROM cut
+    SELECT side, id, x, list_transform(x, lambda w: CASE WHEN regexp_matches(w.v, '\\p{{N}}') THEN '<number>'
+        WHEN w.cap AND w.inside THEN '<name>' WHEN w.cap THEN '<first>' ELSE '' END) AS kind FROM kept
 ), typed AS (
-    SELECT side, id, list_filter(list_transform(range(1, len(raw) + 1), lambda i: {{'t': CASE
-        WHEN kind[i] = 'name' THEN '<name>' WHEN kind[i] = 'number' THEN '<number>'
-        WHEN i > 1 AND kind[i - 1] = 'number' AND regexp_matches(lower(raw[i]), '^[^\\p{{L}}\\p{{N}}]*(?:{'|'.join(UNITS)})[^\\p{{L}}\\p{{N}}]*$') THEN '<unit>'
-        ELSE regexp_replace(lower(raw[i]), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END,
-        'v': regexp_replace(lower(raw[i]), '[^\\p{{L}}\\p{{N}}]+', '', 'g')}}), lambda x: x.t <> '') AS w
-    FROM kinds
+    SELECT side, id, list_transform(range(1, len(x) + 1), lambda i: {{'t': CASE WHEN kind[i] IN ('<name>', '<number>') THEN kind[i]
+        WHEN i > 1 AND kind[i - 1] = '<number>' AND x[i].v IN ({', '.join(f"'{u}'" for u in UNITS)}) THEN '<unit>' ELSE x[i].v END,
+        'f': kind[i] = '<first>', 'v': x[i].v}}) AS w FROM kinds
+), forms AS (
+    SELECT side, id, 't' AS form, w FROM typed
+    UNION ALL SELECT side, id, 'n', list_transform(w, lambda x: {{'t': CASE WHEN x.f THEN '<name>' ELSE x.t END, 'f': x.f, 'v': x.v}}) FROM typed
+    UNION ALL SELECT side, id, 'v', w FROM typed WHERE side = 'i'
+), widths AS (
+    SELECT DISTINCT least(len(w), {WIDTH}) AS width FROM typed WHERE side = 'i' AND len(w) > 0
+), slices AS (
+    SELECT side, id, form, width, y.pos, y.k, form = 'v' OR len(list_filter(y.k, lambda x: x.t NOT LIKE '<%')) < {LITERAL} AS general FROM (
+        SELECT side, id, form, width, unnest(list_transform(range(len(w) - width + 1), lambda p: {{'pos': p, 'k': w[p + 1 : p + width]}})) AS y
+        FROM forms JOIN widths ON CASE WHEN side = 'd' THEN len(w) >= width ELSE width = least(len(w), {WIDTH}) END)
+    WHERE form <> 'n' OR (len(list_filter(y.k, lambda x: x.f)) > 0 AND len(list_filter(y.k, lambda x: x.t NOT LIKE '<%')) >= {LITERAL})
 ), windows AS (
-    SELECT side, id, x.pos, x.k FROM (
-        SELECT side, id, unnest(list_transform(range(len(w) - {WIDTH - 1}), lambda p: {{'pos': p, 'k': list_transform(w[p + 1 : p + {WIDTH}], lambda x: x.t)}})) AS x
-        FROM typed WHERE len(w) >= {WIDTH})
+    SELECT side, id, form, width, pos, general,
+        CASE WHEN general THEN 'v' ELSE 't' END || width || list_aggregate(list_transform(k, lambda x: CASE WHEN general THEN x.v ELSE x.t END), 'string_agg', ' ') AS k FROM slices
+), own AS (
+    SELECT *, min(pos) OVER (PARTITION BY id, k) AS number FROM (
+        SELECT *, bool_or(NOT general) OVER (PARTITION BY id) AS countable FROM windows WHERE side = 'i' AND form = 't') WHERE NOT general OR NOT countable
 ), listed AS (
-    SELECT id AS item_id, pos AS pos_i, k FROM windows
-    WHERE side = 'i' AND len(list_filter(k, lambda x: x NOT LIKE '<%')) >= {LITERAL}
+    SELECT DISTINCT o.id AS item_id, o.pos AS pos_i, o.number, o.width, w.k FROM own o JOIN windows w ON w.id = o.id AND w.pos = o.pos AND w.side <> 'd'
 ), sizes AS (
-    SELECT item_id, count(DISTINCT k) AS n_windows, max(pos_i) + {WIDTH} AS length FROM listed GROUP BY item_id
+    SELECT item_id, width, count(DISTINCT number) AS n_windows, max(pos_i) + width AS length FROM listed GROUP BY item_id, width
 ), met AS (
-    SELECT w.id AS doc_id, item_id, pos AS pos_d, pos_i, k, n_windows, (pos - pos_i + length) // length AS block
-    FROM windows w JOIN listed USING (k) JOIN sizes USING (item_id) WHERE side = 'd'
+    SELECT w.id AS doc_id, item_id, pos AS pos_d, pos_i, number, n_windows, s.width, pos - pos_i + length AS shift, (pos - pos_i + length) // length AS block
+    FROM windows w JOIN listed USING (k) JOIN sizes s USING (item_id) WHERE side = 'd'
 ), blocks AS (
     SELECT * FROM met UNION ALL SELECT * REPLACE (block - 1 AS block) FROM met
 ), covered AS (
-    SELECT doc_id, item_id, block, n_windows, count(DISTINCT k) AS n_matched, least(count(DISTINCT k) / n_windows, 1.0) AS coverage
-    FROM blocks GROUP BY doc_id, item_id, block, n_windows HAVING count(DISTINCT k) / n_windows >= {SHARE}
+    SELECT doc_id, item_id, block, n_windows, count(DISTINCT number) AS n_matched, count(DISTINCT number) / n_windows AS coverage
+    FROM blocks GROUP BY doc_id, item_id, block, n_windows HAVING count(DISTINCT number) / n_windows >= {SHARE}
+), agreeing AS (
+    SELECT doc_id, item_id, block, shift, count(DISTINCT pos_d) AS agree FROM blocks GROUP BY ALL
 ), aligned AS (
-    SELECT DISTINCT b.doc_id, b.item_id, b.block, pos_i + o AS i, pos_d + o AS d FROM blocks b
-    JOIN covered c ON b.doc_id IS NOT DISTINCT FROM c.doc_id AND b.item_id = c.item_id AND b.block = c.block, range({WIDTH}) r(o)
+    SELECT b.doc_id, b.item_id, b.block, pos_d + o AS d, max({{'agree': agree, 'i': pos_i + o}}).i AS i FROM blocks b
+    JOIN covered c ON b.doc_id IS NOT DISTINCT FROM c.doc_id AND b.item_id = c.item_id AND b.block = c.block
+    JOIN agreeing a ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.item_id = a.item_id AND b.block = a.block AND b.shift = a.shift
+    JOIN range({WIDTH}) r(o) ON o < b.width GROUP BY b.doc_id, b.item_id, b.block, pos_d + o
 ), filled AS (
-    SELECT a.doc_id, a.item_id, a.block, q.w[i + 1].t AS type, q.w[i + 1].v AS asked, x.w[d + 1].v AS told
+    SELECT a.doc_id, a.item_id, a.block, CASE WHEN q.w[i + 1].f THEN '<name>' ELSE q.w[i + 1].t END AS type, q.w[i + 1].v AS asked, x.w[d + 1].v AS told
     FROM aligned a JOIN typed q ON q.side = 'i' AND q.id = a.item_id JOIN typed x ON x.side = 'd' AND x.id IS NOT DISTINCT FROM a.doc_id
-    WHERE q.w[i + 1].t LIKE '<%'
+    WHERE q.w[i + 1].f OR q.w[i + 1].t LIKE '<%'
 ), shares AS (
     SELECT doc_id, item_id, block, sum(most) / sum(n) AS slot_share FROM (
         SELECT doc_id, item_id, block, type, asked, max(n) AS most, sum(n) AS n FROM (

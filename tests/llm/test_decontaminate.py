@@ -1,6 +1,8 @@
+import random
+
 import duckdb
 
-from ribeira.llm.decontaminate import OP3_SQL, drop_contaminated, found, template, values
+from ribeira.llm.decontaminate import FIRST, NAME, NUMBER, OP3_SQL, UNIT, drop_contaminated, found, tagged
 
 QUESTION = "Yesterday Tom bought 3 apples and gave Anna 2 apples. How many apples does Tom have after Anna ate 2 apples and walked 5 km home with Tom?"
 OTHER = QUESTION.replace("Tom", "Bob").replace("Anna", "Mia").replace("3", "17").replace("2", "9").replace("5 km", "8 miles")
@@ -17,21 +19,26 @@ def items(spark, rows=ITEMS):
 
 
 def test_typed_placeholders(spark):
-    df = spark.createDataFrame([("In May, Mr Bean (born 1955) ran 5 km!  Then -- 3kg; it's \u0001fine: The end",)], "text string")
-    (row,) = df.select(template(df.text).alias("t"), values(df.text).alias("v")).collect()
-    assert row.t == ["in", "\u0001", "\u0001", "\u0001", "born", "\u0002", "ran", "\u0002", "\u0003", "then", "\u0002", "its", "fine", "the", "end"]
-    assert row.v == ["in", "may", "mr", "bean", "born", "1955", "ran", "5", "km", "then", "3kg", "its", "fine", "the", "end"]
+    text = "In May, Mr Bean (born 1955) ran 5 km!  Then -- 3kg; it's \u0001fine: Bean, the End. 7up: Of 9. B2B"
+    (row,) = tagged(spark.createDataFrame([(1, text)], "k int, text string"), "k").collect()
+    n, c, u, f = NAME, NUMBER, UNIT, FIRST
+    assert row.words == [
+        f"{f}in", f"{n}may", f"{n}mr", f"{n}bean", "born", f"{c}1955", "ran", f"{c}5", f"{u}km", f"{f}then", f"{c}3kg", "its", "fine", f"{f}bean", "the", f"{n}end",
+        f"{c}7up", f"{f}of", f"{c}9", f"{c}b2b",
+    ]
+    empty = tagged(spark.createDataFrame([(1, None), (2, " -- "), (3, "")], "k int, text string"), "k").collect()
+    assert [r.words for r in empty] == [[], [], []]
 
 
 def test_finds_copies_with_other_values(spark, documents):
     rows = found(documents(DOCS, extra=True), items(spark)).collect()
-    assert sorted(((r.doc_id, r.item_id) for r in rows), key=repr) == [(1, 1), (2, 1), (8, 1), (None, 1)]
+    assert sorted(((r.doc_id, r.item_id) for r in rows), key=repr) == [(1, 1), (2, 1), (8, 1), (9, 4), (None, 1)]
     assert all(r.coverage > 0.9 and r.slot_share == 1.0 for r in rows)
 
 
 def test_shares_can_be_lowered(spark, documents):
     rows = found(documents(DOCS), items(spark), share=0.3).collect()
-    assert {r.doc_id for r in rows} == {1, 2, 3, 7, 8, None}
+    assert {r.doc_id for r in rows if r.item_id == 1} == {1, 2, 3, 7, 8, None}
     mixed = next(r for r in rows if r.doc_id == 3)
     assert 0.3 <= mixed.slot_share < 0.8
 
@@ -39,7 +46,7 @@ def test_shares_can_be_lowered(spark, documents):
 def test_drop(spark, documents):
     kept = drop_contaminated(documents(DOCS, extra=True), items(spark))
     assert kept.columns == documents([], extra=True).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
 
 
 def test_empty_tables(spark, documents):
@@ -52,16 +59,41 @@ def test_native_only(spark, documents):
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
 
 
-def test_sql_on_odd_rows(spark, documents):
+def by_sql(docs, rows):
     con = duckdb.connect()
-    docs = [d for d in DOCS if d[0] != 8 and d[1] != "again"]  # SQL takes the rows of one id for several documents
-    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", [i[:2] for i in ITEMS])):
+    for name, key, table in (("documents", "doc_id", docs), ("benchmark", "item_id", [i[:2] for i in rows])):
         con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
-        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
-    want = sorted(con.execute(OP3_SQL).fetchall(), key=repr)
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", table)
+    return sorted(con.execute(OP3_SQL).fetchall(), key=repr)
+
+
+def test_sql_on_odd_rows(spark, documents):
+    docs = [d for d in DOCS if d[0] != 8 and d[1] != "again"]  # SQL takes the rows of one id for several documents
+    want = by_sql(docs, ITEMS)
     assert want and sorted((tuple(r) for r in found(documents(docs), items(spark)).collect()), key=repr) == want
 
 
+APPLES = "Alice has 3 apples. Alice buys 4 more at the market. Bob gives her 5 pears. How many pieces of fruit does Alice have?"
+CLIPS = "Natalia sold clips to 48 of her friends in April, and then Natalia sold half as many clips in May. How many clips did Natalia sell?"
+CAPITAL = "Name the capital city of France"
+SHORT = [(10, "What is 12 + 7?"), (11, CAPITAL), (12, APPLES), (13, CLIPS), (14, "東京は日本の首都です。"), (15, "Paris London Rome"), (16, "7 8 9 10 11 12 13"), (17, "mitochondria"), (18, "Who wrote it?"), (19, "-- ?!")]
+PLACES = [
+    (1, "Here: What is 12 + 7? It is 19.", {10}), (2, "what is 30 + 5", {10}), (3, "what is it", set()), (4, f"Question one then {CAPITAL} please", {11}),
+    (5, CAPITAL.upper(), {11}), (6, CAPITAL.replace("France", "Chad"), {11}), (7, APPLES.replace("Alice", "Carol").replace("Bob", "Dan").replace("3", "8"), {12}),
+    (8, f"intro {APPLES.lower()} outro", {12}), (9, f"so {CLIPS.lower()}", {13}), (20, CLIPS.replace("Natalia", "Vera").replace("48", "51"), {13}),
+    (21, CLIPS.upper(), {13}), (22, "x 東京は日本の首都です y", {14}), (23, "we saw Paris, London, Rome.", {15}), (24, "we saw Paris, London, Oslo.", set()), (25, "6 7 8 9 10 11 12 13 14", {16}),
+    (26, "6 7 8 0 10 11 12 13 14", set()), (27, "The Mitochondria: are.", {17}), (28, "I asked who wrote it and", {18}), (29, "Alice has no apples at all in the market", set()), (30, "! ? -- .", set()),
+]
+
+
+def test_every_item_is_found(spark, documents):
+    """Short ones, those of names or numbers alone, scripts without blanks; other names, other case, after other words. The same by SQL."""
+    docs = [p[:2] for p in PLACES]
+    rows = found(documents(docs), items(spark, [(*i, "x") for i in SHORT])).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == sorted((d, i) for d, _, found in PLACES for i in found)
+    assert sorted((tuple(r) for r in rows), key=repr) == by_sql(docs, SHORT)
+
+
 def test_items_with_repeating_windows(spark, documents):
     item = "Work out each sum: add 3 and 4 and write it, then add 5 and 6 and write it, then add 7 and 8 and write it, then add 9 and 10 and write it."
     renamed = item
@@ -71,3 +103,17 @@ def test_items_with_repeating_windows(spark, documents):
     docs = documents([(1, item), (2, f"Here it is. {renamed} And more of it."), (3, f"{item} {renamed}"), (4, mixed)])
     rows = found(docs, items(spark, [(1, item, "x")])).collect()
     assert sorted((r.doc_id, r.coverage, r.slot_share) for r in rows if r.doc_id != 4) == [(1, 1.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 1.0)]
+    docs = [(1, item), (2, f"Here it is. {renamed} And more of it."), (3, f"{item} {renamed}"), (4, mixed)]
+    assert sorted((tuple(r) for r in rows), key=repr) == by_sql(docs, [(1, item)])
+
+
+def test_words_of_an_item_in_every_length(spark, documents):
+    """Items of one to eight words stand word for word in their documents, and nowhere else."""
+    draw = random.Random(6)
+    words = [a + b for a in ("ba", "ko", "Mi", "zu", "4", "Re") for b in ("lo", "ta", "NI", "x")]
+    listed = [(n * 100 + i, " ".join(draw.choice(words) + str(n * 100 + i) * (k == 0) + "q" for k in range(n))) for n in range(1, 9) for i in range(6)]
+    docs = [(key, f"We read that {text} was asked.") for key, text in listed]
+    rows = found(documents(docs), items(spark, [(*i, "x") for i in listed])).collect()
+    pairs = {(r.doc_id, r.item_id) for r in rows}
+    assert {(key, key) for key, _ in listed} <= pairs
+    assert sorted((tuple(r) for r in rows), key=repr) == by_sql(docs, listed)
