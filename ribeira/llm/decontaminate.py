@@ -45,6 +45,7 @@ SHARE = 0.8
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 FIRST = "\u0004"
 """Marks a word with a capital at the beginning of a sentence."""
+AFTER = "\u0005"
 # Units of measure and money
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr hrs day days week weeks month months year years "
@@ -75,13 +76,9 @@ def tagged(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.split(out, " ").alias("words")).select(key, F.when(F.col("words")[0] != "", F.col("words")).otherwise(F.array().cast("array<string>")).alias("words"))
 
 
-def mark(word: Column) -> Column:
-    return F.substring(word, 1, 1)
-
-
 def value(word: Column) -> Column:
-    """The word behind a mark; a plain word as it is."""
-    return F.when(mark(word).isin(NAME, NUMBER, UNIT, FIRST), F.substring(word, 2, 1 << 30)).otherwise(word)
+    """The word behind a mark; a plain word as it is. Marks sort before all letters and digits."""
+    return F.when(word < AFTER, F.substring(word, 2, 1 << 30)).otherwise(word)
 
 
 def hashes(width: int, kind: str, parts: list[Column]) -> list[Column]:
@@ -97,25 +94,30 @@ def windows(df: DataFrame, key: str, pos: str, width: int, as_values: bool = Fal
     shifted = [F.slice("words", i + 1, F.greatest(F.size("words") - (width - 1), F.lit(0))).alias(f"w{i}") for i in range(width)]
     # the outer form, as the optimizer adds to the plain one a filter that works out the words many times over
     rows = df.select(key, F.arrays_zip(*shifted).alias("zipped")).select(key, F.posexplode_outer("zipped").alias(pos, "w")).where(F.col(pos).isNotNull())
-    parts = [F.col(f"w.w{i}") for i in range(width)]
-    values = [value(p) for p in parts]
-    slots = [mark(p).isin(NAME, NUMBER, UNIT) for p in parts]
-    firsts = [mark(p) == FIRST for p in parts]
-    plain_words = sum((F.when(x, 0).otherwise(1) for x in slots), F.lit(0))
-    begun = sum((F.when(f, 1).otherwise(0) for f in firsts), F.lit(0))
-    general = F.lit(True) if as_values else plain_words < LITERAL
-    as_words = hashes(width, "t", [F.when(x, mark(p)).otherwise(v) for p, x, v in zip(parts, slots, values)])
-    as_names = hashes(width, "t", [F.when(x, mark(p)).when(f, NAME).otherwise(p) for p, x, f in zip(parts, slots, firsts)])
-    told = hashes(width, "v", values)
-
-    def row(pair: list[Column], general: Column, names: bool) -> Column:
-        return F.struct(pair[0].alias("h1"), pair[1].alias("h2"), general.alias("general"), F.lit(names).alias("names"))
-
-    one = row([F.when(general, v).otherwise(t) for t, v in zip(as_words, told)], general, False)
+    # Step by step, so that each value is worked out once per window.
+    at = range(width)
+    rows = rows.select(key, pos, *[F.col(f"w.w{i}").alias(f"w{i}") for i in at])
+    rows = rows.select(
+        "*", *[(F.col(f"w{i}") < FIRST).alias(f"s{i}") for i in at], *[F.col(f"w{i}").between(FIRST, AFTER).alias(f"f{i}") for i in at],
+        *[value(F.col(f"w{i}")).alias(f"v{i}") for i in at],
+    )
+    rows = rows.select(
+        "*", *[F.when(F.col(f"s{i}"), F.substring(f"w{i}", 1, 1)).otherwise(F.col(f"v{i}")).alias(f"t{i}") for i in at],
+        (width - sum((F.col(f"s{i}").cast("int") for i in at), F.lit(0))).alias("plain"), sum((F.col(f"f{i}").cast("int") for i in at), F.lit(0)).alias("begun"),
+    )
+    general = F.lit(True) if as_values else F.col("plain") < LITERAL
+    as_words, told = (hashes(width, kind, [F.col(f"{kind}{i}") for i in at]) for kind in "tv")
+    named = hashes(width, "t", [F.when(F.col(f"f{i}"), NAME).otherwise(F.col(f"t{i}")) for i in at])
+    begun = (F.col("begun") > 0) & (F.col("plain") - F.col("begun") >= LITERAL)
+    rows = rows.select(
+        key, pos, general.alias("general"), *[F.when(general, v).otherwise(t).alias(name) for name, t, v in zip(("h1", "h2"), as_words, told)],
+        *[F.when(begun, n).alias(name) for name, n in zip(("n1", "n2"), named)],
+    )
     if as_values:
-        return rows.select(key, pos, one.alias("x")).select(key, pos, "x.*")
-    both = F.when((begun > 0) & (plain_words - begun >= LITERAL), F.array(one, row(as_names, F.lit(False), True))).otherwise(F.array(one))
-    return rows.select(key, pos, F.inline(both))
+        return rows.select(key, pos, "h1", "h2", "general", F.lit(False).alias("names"))
+    one = F.struct("h1", "h2", "general", F.lit(False).alias("names"))
+    two = F.struct(F.col("n1").alias("h1"), F.col("n2").alias("h2"), F.lit(False).alias("general"), F.lit(True).alias("names"))
+    return rows.select(key, pos, F.inline(F.when(F.col("n1").isNotNull(), F.array(one, two)).otherwise(F.array(one))))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -162,8 +164,7 @@ def found(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 def slot_shares(words: DataFrame, items: DataFrame, blocks: DataFrame, covered: DataFrame) -> DataFrame:
     """``s_doc, s_item, s_block, slot_share``: how consistently the slots of an item are filled in a document; none without slots."""
     slot = tagged(items, "item_id").select("item_id", F.posexplode("words").alias("at_i", "word"))
-    kind = F.when(mark(F.col("word")) == FIRST, NAME).otherwise(mark(F.col("word")))
-    slot = slot.where(kind.isin(NAME, NUMBER, UNIT)).select(F.col("item_id").alias("x_item"), "at_i", kind.alias("type"), value(F.col("word")).alias("asked"))
+    slot = slot.where(F.col("word") < FIRST).select(F.col("item_id").alias("x_item"), "at_i", F.substring("word", 1, 1).alias("type"), value(F.col("word")).alias("asked"))
     slot = materialize(slot, "slots")
     pick = covered.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"), F.col("block").alias("c_block"))
     # only items that have slots matter from here on
@@ -254,9 +255,9 @@ WITH cut AS (
     JOIN agreeing a ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.item_id = a.item_id AND b.block = a.block AND b.shift = a.shift
     JOIN range({WIDTH}) r(o) ON o < b.width GROUP BY b.doc_id, b.item_id, b.block, pos_d + o
 ), filled AS (
-    SELECT a.doc_id, a.item_id, a.block, CASE WHEN q.w[i + 1].f THEN '<name>' ELSE q.w[i + 1].t END AS type, q.w[i + 1].v AS asked, x.w[d + 1].v AS told
+    SELECT a.doc_id, a.item_id, a.block, q.w[i + 1].t AS type, q.w[i + 1].v AS asked, x.w[d + 1].v AS told
     FROM aligned a JOIN typed q ON q.side = 'i' AND q.id = a.item_id JOIN typed x ON x.side = 'd' AND x.id IS NOT DISTINCT FROM a.doc_id
-    WHERE q.w[i + 1].f OR q.w[i + 1].t LIKE '<%'
+    WHERE q.w[i + 1].t LIKE '<%'
 ), shares AS (
     SELECT doc_id, item_id, block, sum(most) / sum(n) AS slot_share FROM (
         SELECT doc_id, item_id, block, type, asked, max(n) AS most, sum(n) AS n FROM (
