@@ -136,6 +136,25 @@ def canonical(c: Column, kind: T.DataType) -> Column:
     return F.when(c.isNotNull(), F.struct(F.size(c).alias("size"), items.alias("items")))
 
 
+def profile_figures(key: str, total: str, parts: Sequence[str], part: str) -> list[Column]:
+    """The figures of ``keyed_profile`` for a table of unique keys, as aggregates that can be observed while it is written."""
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.count(key).alias("unique_keys"),
+        F.count_if(breaks_identity(F.col(total), [F.col(name) for name in parts])).alias("identity_violations"),
+        F.count_if(F.col(total).isNull()).alias("missing_total"),
+        F.count_if(F.col(part).isNull()).alias("missing_part"),
+        F.coalesce(F.sum(part), F.lit(0)).cast("bigint").alias("part_observed"),
+    ]
+
+
+def raise_on_counts(counts: Mapping[str, int]) -> None:
+    """Raise unless every rule's number of violations is zero."""
+    broken = [f"{rule}: {n}" for rule, n in sorted(counts.items()) if n]
+    if broken:
+        raise ExpectationError("; ".join(broken))
+
+
 def fingerprints(c: Column, kind: T.DataType) -> list[Column]:
     """What tells a value from others of its type: the value itself if it has a fixed width, else two 64-bit hashes of it. Null stays null."""
     value = canonical(c, kind)

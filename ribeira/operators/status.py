@@ -34,22 +34,21 @@ def label_origins(joined: DataFrame, total: str, male: str, female: str) -> Data
     return filled.withColumns({"female_population": F.col(female), "total_population": F.col(total)})
 
 
-def origins_audit(grouped: DataFrame, origins: DataFrame, key: str, municipality: str, crs: str | None = None) -> DataFrame:
-    """One row with the figures published about a set of origins.
-
-    ``grouped`` has one row per key, the null key included, with ``n_features``; ``origins`` is the
-    labelled result. Mixed reference systems raise.
-    """
+def feature_figures(key: str) -> list[Column]:
+    """Aggregates over grouped sectors: source features, keys and surplus features."""
     features = F.coalesce(F.sum("n_features"), F.lit(0)).cast("bigint")
-    of_features = grouped.agg(
+    return [
         features.alias("source_features"),
         F.count(key).alias("unique_geometry_sectors"),
         (features - F.count(key)).alias("multipart_extra_features"),
-    )
+    ]
+
+
+def origin_figures(crs: str | None = None) -> list[Column]:
+    """Aggregates over labelled origins, all but the number of municipalities. Mixed reference systems raise."""
     status = F.col("population_data_status")
     figures = [
         F.count(F.lit(1)).alias("output_sectors"),
-        F.count_distinct(municipality).alias("municipalities"),
         F.count_if(status == STATUS_LEFT_ONLY).alias("geometry_only_zero_population_sectors"),
         F.count_if(status == STATUS_UNAVAILABLE).alias("female_population_unavailable_sectors"),
         F.coalesce(F.sum("female_population"), F.lit(0)).cast("bigint").alias("female_population_observed"),
@@ -57,6 +56,16 @@ def origins_audit(grouped: DataFrame, origins: DataFrame, key: str, municipality
     if crs:
         mixed = F.raise_error(F.lit("origins mix several reference systems"))
         figures.append(F.when(F.min(crs) != F.max(crs), mixed).otherwise(F.min(crs)).alias("crs"))
-    of_origins = origins.agg(*figures)
+    return figures
+
+
+def origins_audit(grouped: DataFrame, origins: DataFrame, key: str, municipality: str, crs: str | None = None) -> DataFrame:
+    """One row with the figures published about a set of origins.
+
+    ``grouped`` has one row per key, the null key included, with ``n_features``; ``origins`` is the
+    labelled result.
+    """
+    of_features = grouped.agg(*feature_figures(key))
+    of_origins = origins.agg(F.count_distinct(municipality).alias("municipalities"), *origin_figures(crs))
     both = of_features.unionByName(of_origins, allowMissingColumns=True)
     return both.agg(*[F.max(name).alias(name) for name in both.columns])

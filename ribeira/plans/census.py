@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ribeira import fixed
@@ -16,13 +17,17 @@ from ribeira.operators.quality import (
     expectations,
     keyed_profile,
     not_zero,
+    profile_figures,
     raise_on,
+    raise_on_counts,
     row_rules,
     to_long,
+    unique_rule,
 )
-from ribeira.operators.status import label_origins, origins_audit
+from ribeira.operators.status import feature_figures, label_origins, origin_figures
 from ribeira.session import materialize
 from ribeira.sources.delimited import read_demography
+from ribeira.sources.publication import Run
 from ribeira.sources.sinks import write_origins, write_partitioned, write_record, write_summary
 
 RULE_ROWS = "demography has rows"
@@ -117,6 +122,25 @@ def census_checks(features: DataFrame, demography: DataFrame, names: SectorColum
     return expectations(profile_checks(profile), sector_checks(grouped, label_sectors(grouped, people, names), names))
 
 
+def write_grouped(features: DataFrame, names: SectorColumns) -> tuple[DataFrame, dict]:
+    """The grouped sectors as a table, and what its writing has counted: features, keys, sectors whose features disagree."""
+    seen, grouped = Observation(), group_sectors(features, names)
+    conflicts = F.count_if(F.size("conflicts") > 0).alias("conflicts")
+    table = materialize(grouped.observe(seen, *feature_figures(names.key), conflicts), "sectors")
+    return table, seen.get
+
+
+def audit_table(spark: SparkSession, figures: Mapping[str, object], schema: str) -> DataFrame:
+    names = [field.split()[0] for field in schema.split(", ")]
+    return spark.createDataFrame([tuple(figures.get(name) for name in names)], schema)
+
+
+AUDIT = (
+    "source_features BIGINT, unique_geometry_sectors BIGINT, multipart_extra_features BIGINT, output_sectors BIGINT, municipalities BIGINT, "
+    "geometry_only_zero_population_sectors BIGINT, female_population_unavailable_sectors BIGINT, female_population_observed BIGINT"
+)
+
+
 def run_census_origins(
     spark: SparkSession,
     features: DataFrame,
@@ -124,35 +148,67 @@ def run_census_origins(
     out: str,
     names: SectorColumns = SectorColumns(),
     state_code: str = fixed.STATE_CODE,
+    stage: Callable[[str, DataFrame, Callable[[DataFrame, str], None]], object] | None = None,
 ) -> dict[str, dict]:
     """The whole job: check, dissolve, join, label, check again, write; returns the two audits.
 
-    The demography of the state, the grouped sectors and the labelled origins are each written once
-    to the work folder, so that checks, audit and sinks read columnar files instead of repeating the
-    text scan, the grouping and the join. Nothing is published if a check fails.
+    The demography of the state, the grouped sectors and the labelled origins are each written once to the work folder. All rules and
+    figures about them are counted by these writes (``Observation``), and demography keys are checked inside the join: no
+    table is read again for a check. The number of municipalities is counted on the one column that the audit needs. Nothing is published if
+    a check fails.
 
     Writes below ``out``: ``origins`` and ``parts`` (Parquet, partitioned by municipality),
-    ``summary`` (CSV) and ``audit`` (JSON).
+    ``summary`` (CSV) and ``audit`` (JSON), each through ``stage(name, df, write)`` if that is given.
     """
     measures = [names.total, names.male, names.female, *names.other_measures]
     people = read_demography(spark, demography_path, state_code, names.demography_key, measures)
-    demography = materialize(people, "demography")
-    profile = materialize(
-        keyed_profile(demography, names.demography_key, names.total, [names.male, names.female], names.female),
-        "demography-profile",
-    )
-    raise_on(profile_checks(profile))
-
-    grouped = materialize(group_sectors(features, names), "sectors")
-    raise_on(conflict_rule(grouped))
-    origins = materialize(label_sectors(grouped, demography, names), "origins")
-    raise_on(left_only_rule(origins, names))
-
-    write_origins(origins, f"{out}/origins", names.municipality)
-    write_partitioned(
-        dissolve_parts(features, names.key, names.geometry, [names.municipality]), f"{out}/parts", names.municipality
-    )
-    write_summary(origins, f"{out}/summary", names.summary)
-    audit = materialize(origins_audit(grouped, origins, names.key, names.municipality, names.crs), "audit")
-    write_record(audit, f"{out}/audit")
-    return {"demography": profile.first().asDict(), "spatial": audit.first().asDict()}
+    seen = Observation()
+    of_people = profile_figures(names.demography_key, names.total, [names.male, names.female], names.female)
+    demography = materialize(people.observe(seen, *of_people), "demography")
+    profile = seen.get
+    raise_on_counts({RULE_ROWS: int(profile["rows"] == 0), RULE_IDENTITY: profile["identity_violations"]})
+
+    grouped, of_features = write_grouped(features, names)
+    raise_on_counts({RULE_CONFLICTS: of_features.pop("conflicts")})
+    seen = Observation()
+    left_only = F.count_if((F.col("_merge") == LEFT_ONLY) & not_zero(F.col(names.basic))).alias("left_only")
+    labelled = label_sectors(grouped, demography, names, demography_is_unique=False)
+    try:
+        origins = materialize(labelled.observe(seen, *origin_figures(names.crs), left_only), "origins")
+    except SparkRuntimeException as error:
+        if "is not unique" in str(error):
+            raise_on(unique_rule(demography, [names.demography_key], RULE_KEYS))
+        raise
+    of_origins = seen.get
+    raise_on_counts({RULE_LEFT_ONLY: of_origins.pop("left_only")})
+
+    def put(name: str, df: DataFrame, write: Callable[[DataFrame, str], None]) -> None:
+        stage(name, df, write) if stage else write(df, f"{out}/{name}")
+
+    municipalities = origins.agg(F.count_distinct(names.municipality).alias("n")).first()["n"]
+    figures = of_features | of_origins | {"municipalities": municipalities}
+    put("origins", origins, lambda df, path: write_origins(df, path, names.municipality))
+    parts = dissolve_parts(features, names.key, names.geometry, [names.municipality])
+    put("parts", parts, lambda df, path: write_partitioned(df, path, names.municipality))
+    put("summary", origins.select(*names.summary), lambda df, path: write_summary(df, path, names.summary))
+    audit = audit_table(spark, figures, AUDIT + (", crs STRING" if names.crs else ""))
+    put("audit", audit, write_record)
+    return {"demography": profile | {"repeated_keys": 0}, "spatial": {name: figures[name] for name in audit.columns}}
+
+
+def publish_census_origins(
+    spark: SparkSession,
+    features: DataFrame,
+    demography_path: str,
+    out: str,
+    run_id: str,
+    names: SectorColumns = SectorColumns(),
+    state_code: str = fixed.STATE_CODE,
+) -> bool:
+    """The job as a unit: its four tables become visible together, by the manifest of ``run_id``. False if that run was published before."""
+    run = Run(spark, out, run_id)
+    if run.manifest() is not None:
+        return False
+    audits = run_census_origins(spark, features, demography_path, run.folder, names, state_code, run.stage)
+    run.commit(audits["spatial"] | {f"demography_{k}": v for k, v in audits["demography"].items()})
+    return True

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from ribeira import fixed
 from ribeira.operators.dissolve import multipart_stats
 from ribeira.operators.quality import ExpectationError
-from ribeira.plans.census import run_census_origins
+from ribeira.plans import census
+from ribeira.plans.census import publish_census_origins, run_census_origins
+from ribeira.session import materialize
 from ribeira.sources.delimited import read_demography, scan_delimited
+from ribeira.sources.publication import Run, committed_runs, published_path, row_metrics
 
 SECTORS = (
     "id BIGINT, CD_SETOR STRING, CD_MUN STRING, NM_MUN STRING, SITUACAO STRING, CD_SIT STRING, CD_TIPO STRING, "
@@ -94,6 +97,58 @@ def test_demography_rules(spark, tmp_path):
     expect(spark, tmp_path, sectors(spark), [line("150000000000001", 10, 4, 5)], "total = male [+] female: 1")
 
 
+def test_checks_read_no_table_again(spark, tmp_path, monkeypatch):
+    """Every intermediate table is read by the step that follows; demography and grouped sectors once, origins by its sinks."""
+    tables = {}
+
+    def noted(df, name):
+        table = materialize(df, name)
+        tables[name] = table.inputFiles()[0].split("/part-")[0]
+        return table
+
+    monkeypatch.setattr(census, "materialize", noted)
+    run_census_origins(spark, sectors(spark), demography_file(tmp_path, *GOOD), str(tmp_path / "out"))
+    assert set(tables) == {"demography", "sectors", "origins"}
+    people, grouped = (spark.read.parquet(tables[name]) for name in ("demography", "sectors"))
+    plan = census.label_sectors(grouped, people, census.SectorColumns(), demography_is_unique=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+
+
+def test_publication_is_a_unit(spark, tmp_path, monkeypatch):
+    out, path = str(tmp_path / "out"), demography_file(tmp_path, *GOOD)
+    with pytest.raises(LookupError):
+        published_path(spark, out, "origins")
+    with monkeypatch.context() as patch:
+        patch.setattr(census, "write_summary", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            publish_census_origins(spark, sectors(spark), path, out, "2022")
+    assert committed_runs(spark, out).count() == 0  # origins and parts were staged, and can't be read
+    with pytest.raises(LookupError):
+        published_path(spark, out, "origins")
+    assert publish_census_origins(spark, sectors(spark), path, out, "2022")
+    assert not publish_census_origins(spark, sectors(spark), path, out, "2022")
+    assert publish_census_origins(spark, sectors(spark).limit(3), path, out, "2022.b")
+    first, second = committed_runs(spark, out).orderBy("committed_at").collect()
+    assert {t["name"]: t["rows"] for t in first["tables"]} == {"origins": 3, "parts": 4, "summary": 3, "audit": 1}
+    assert {t["name"]: t["rows"] for t in second["tables"]}["origins"] == 2 and first["figures"]["output_sectors"] == "3"
+    assert spark.read.parquet(published_path(spark, out, "origins", "2022")).count() == 3
+    assert spark.read.parquet(published_path(spark, out, "origins")).count() == 2
+    with pytest.raises(LookupError):
+        published_path(spark, out, "nothing")
+    with pytest.raises(ValueError):
+        Run(spark, out, "../other")
+
+
+def test_digests_tell_tables_apart(spark):
+    def digest(*rows):
+        df = spark.createDataFrame(list(rows), "a INT, b STRING, m MAP<STRING, DOUBLE>").repartition(3)
+        return tuple(df.agg(*row_metrics(df)).first())
+
+    one, two = (1, None, {"x": 1.0, "y": 2.0}), (None, "1", None)
+    assert digest(one, two) == digest(two, (1, None, {"y": 2.0, "x": 1.0})) != digest(one, one)
+    assert digest(one) != digest((1, "", {"x": 1.0, "y": 2.0})) and digest() == (0, 0)
+
+
 # Figures of the published audit of the 2022 census sectors of one state.
 PUBLISHED = {
     "source_features": 18_635, "unique_geometry_sectors": 16_714, "multipart_extra_features": 1_921, "output_sectors": 16_714,

@@ -31,10 +31,12 @@ from ribeira.plans.census import (
     census_checks,
     group_sectors,
     label_sectors,
+    publish_census_origins,
     run_census_origins,
 )
 from ribeira.session import materialize, work_dir
 from ribeira.sources.delimited import scan_delimited
+from ribeira.sources.publication import published_path
 from ribeira.sources.sinks import write_origins, write_summary
 from workload.registry import query, table
 
@@ -147,6 +149,18 @@ def census_job(spark, folder):
     return rows.select(*ORIGIN_COLUMNS.split(", "))
 
 
+@query("census_published", CENSUS_SQL + f"SELECT {ORIGIN_COLUMNS} FROM origins")
+def census_published(spark, folder):
+    """The job published as a unit, started twice under one id, and read by the manifest."""
+    out = work_dir(spark, "census-published")
+    demography(spark, folder).write.csv(f"{out}/demography", sep=";", header=True)
+    job = (spark, features(spark, folder), f"{out}/demography", f"{out}/result", "first", NAMES, "")
+    if not publish_census_origins(*job) or publish_census_origins(*job):
+        raise RuntimeError("a run is published once")
+    rows = spark.read.parquet(published_path(spark, f"{out}/result", "origins")).withColumn("mun_id", F.col("mun_id").cast("string"))
+    return rows.select(*ORIGIN_COLUMNS.split(", "))
+
+
 RULES_SQL = """
 SELECT 'demography has rows' AS rule, CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) AS violations FROM demo
 UNION ALL SELECT 'demography keys are unique', count(*) FROM (SELECT demo_id FROM demo GROUP BY demo_id HAVING count(*) > 1)
