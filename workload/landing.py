@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ribeira.operators.joins import checksum_join
@@ -27,17 +27,22 @@ from ribeira.session import work_dir
 from ribeira.sources.files import file_digests
 from workload.registry import query, table
 
-# What a document lands as: an archive of its lines, text that only claims to be one, JSON,
+# What a document lands as: an archive of its lines, and besides, by its length, text that only claims to be one, JSON,
 # broken JSON, an empty file or plain text.
-LANDED_FORM = """CASE n_chars % 6 WHEN 0 THEN 'archive.zip' WHEN 1 THEN 'text.zip' WHEN 2 THEN 'good.json'
-  WHEN 3 THEN 'bad.geojson' WHEN 4 THEN 'empty.zip' ELSE 'text.csv' END"""
+LANDED_FORM = """CASE n_chars % 5 WHEN 0 THEN 'text.zip' WHEN 1 THEN 'good.json' WHEN 2 THEN 'bad.geojson'
+  WHEN 3 THEN 'empty.zip' ELSE 'text.csv' END"""
 LANDED_SQL = f"""
-WITH landed AS (SELECT doc_id, text, n_chars, 'landed/' || source || '/' || doc_id || '/' || {LANDED_FORM} AS path FROM documents)
+WITH landed AS (SELECT doc_id, text, form, 'landed/' || source || '/' || doc_id || '/' || form AS path
+  FROM (SELECT *, unnest(['archive.zip', {LANDED_FORM}]) AS form FROM documents))
 """
 
 
+def forms() -> Column:
+    return F.explode(F.array(F.lit("archive.zip"), F.expr(LANDED_FORM))).alias("form")
+
+
 def landed(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").withColumn("form", F.expr(LANDED_FORM))
+    documents = table(spark, folder, "documents").select("*", forms())
     content = (
         F.when(F.col("form") == "good.json", F.to_json(F.struct("doc_id", "text")))
         .when(F.col("form") == "bad.geojson", F.concat(F.lit("{"), "text"))
@@ -81,7 +86,7 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     + """
 SELECT path, CAST(pos AS INTEGER) AS pos, 'line_' || pos || '.txt' AS member FROM (
   SELECT path, unnest(range(length(text) - length(replace(text, chr(10), '')) + 1)) AS pos
-  FROM landed WHERE n_chars % 6 = 0)
+  FROM landed WHERE form = 'archive.zip')
 """,
 )
 def inventory(spark, folder):
@@ -92,20 +97,15 @@ def inventory(spark, folder):
     "landed_file_check",
     LANDED_SQL
     + """
-SELECT path, n_chars % 6 IN (0, 2, 5) AS ok,
-       CASE n_chars % 6 WHEN 1 THEN 'not_a_zip' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'missing_or_empty' END AS reason FROM landed
+SELECT path, form IN ('archive.zip', 'good.json', 'text.csv') AS ok,
+       CASE form WHEN 'text.zip' THEN 'not_a_zip' WHEN 'bad.geojson' THEN 'invalid_json' WHEN 'empty.zip' THEN 'missing_or_empty' END AS reason FROM landed
 UNION ALL SELECT DISTINCT 'landed/' || source || '/index.json', false, 'missing_or_empty' FROM documents
 """,
 )
 def checks(spark, folder):
-    declared = table(spark, folder, "documents").select(
-        F.explode(
-            F.array(
-                F.concat_ws("/", F.lit("landed"), "source", F.lit("index.json")),
-                F.concat_ws("/", F.lit("landed"), "source", "doc_id", F.expr(LANDED_FORM)),
-            )
-        ).alias("path")
-    )
+    documents = table(spark, folder, "documents")
+    files = documents.select("source", "doc_id", forms()).select(F.concat_ws("/", F.lit("landed"), "source", "doc_id", "form").alias("path"))
+    declared = files.union(documents.select(F.concat_ws("/", F.lit("landed"), "source", F.lit("index.json"))))
     return landed_file_check(inspect_files(landed(spark, folder)), declared)
 
 
