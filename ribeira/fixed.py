@@ -49,7 +49,6 @@ SCORE_TERM, SCORE_EXTENSION, SCORE_FORMAT, SCORE_FEATURE_REQUEST, SCORE_GOVERNME
 MIN_SCORE = 5
 MAX_CANDIDATES = 3
 MAX_BYTES = 80_000_000
-MAX_ATTEMPTS = 3
 
 # --- Fixed values: travel-time scenarios ------------------------------------------------------
 COMPONENTS = ["access", "waiting", "in_vehicle", "transfer", "egress"]

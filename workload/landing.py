@@ -112,18 +112,19 @@ def checks(spark, folder):
 @query(
     "file_digest",
     """
-SELECT s_suppkey, strlen(line) + 1 AS bytes, sha256(line || chr(10)) AS sha256
-FROM (SELECT s_suppkey, s_name || ';' || s_nationkey || ';' || s_suppkey AS line FROM supplier)
+SELECT s_nationkey, strlen(content) AS bytes, sha256(content) AS sha256 FROM (
+  SELECT s_nationkey, string_agg(s_name || ';' || s_nationkey || ';' || s_suppkey || chr(10), '' ORDER BY s_suppkey) AS content
+  FROM supplier GROUP BY s_nationkey)
 """,
 )
 def digests(spark, folder):
-    """Each supplier is written to a file of its own, and the files are scanned."""
+    """The suppliers of each nation are written to a file, in order of their keys, and the files are scanned."""
     path = work_dir(spark, "suppliers")
     line = F.concat_ws(";", "s_name", "s_nationkey", "s_suppkey").alias("value")
-    rows = table(spark, folder, "supplier").select("s_suppkey", line).repartition("s_suppkey")
-    rows.write.partitionBy("s_suppkey").text(path)
+    rows = table(spark, folder, "supplier").select("s_nationkey", "s_suppkey", line).repartition("s_nationkey")
+    rows.sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey").write.partitionBy("s_nationkey").text(path)
     return file_digests(spark, path, "part-*").select(
-        F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("s_suppkey"), "bytes", "sha256"
+        F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("int").alias("s_nationkey"), "bytes", "sha256"
     )
 
 
