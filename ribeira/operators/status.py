@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +59,10 @@ def origin_figures(crs: str | None = None) -> list[Column]:
     return figures
 
 
-def origins_audit(grouped: DataFrame, origins: DataFrame, key: str, municipality: str, crs: str | None = None) -> DataFrame:
+def origins_audit(counted: Mapping[str, int], origins: DataFrame, municipality: str, crs: str | None = None) -> DataFrame:
     """One row with the figures published about a set of origins.
 
-    ``grouped`` has one row per key, the null key included, with ``n_features``; ``origins`` is the
-    labelled result.
+    ``counted`` has the ``feature_figures``, as observed while the grouped sectors were written; ``origins`` is the labelled result.
     """
-    of_features = grouped.agg(*feature_figures(key))
-    of_origins = origins.agg(F.count_distinct(municipality).alias("municipalities"), *origin_figures(crs))
-    both = of_features.unionByName(of_origins, allowMissingColumns=True)
-    return both.agg(*[F.max(name).alias(name) for name in both.columns])
+    row = origins.agg(F.count_distinct(municipality).alias("municipalities"), *origin_figures(crs))
+    return row.select("*", *[F.lit(n).cast("bigint").alias(name) for name, n in counted.items()])

@@ -84,22 +84,12 @@ def label_sectors(
     return label_origins(joined, names.total, names.male, names.female)
 
 
-def conflict_rule(grouped: DataFrame) -> DataFrame:
-    """(rule, violations): sectors whose features disagree on an attribute."""
-    return row_rules(grouped, {RULE_CONFLICTS: F.size("conflicts") > 0})
-
-
 def left_only_rule(origins: DataFrame, names: SectorColumns) -> DataFrame:
     """(rule, violations): sectors without demography whose basic population is not exactly zero."""
     left_only = F.col("_merge") == LEFT_ONLY
     return row_rules(origins, {RULE_LEFT_ONLY: left_only & not_zero(F.col(names.basic))})
 
 
-def sector_checks(grouped: DataFrame, origins: DataFrame, names: SectorColumns) -> DataFrame:
-    """(rule, violations) of the sector features and of the joined result."""
-    return expectations(conflict_rule(grouped), left_only_rule(origins, names))
-
-
 def profile_checks(profile: DataFrame) -> DataFrame:
     """The demography rules read off its one-pass profile."""
     counts = profile.select(
@@ -114,12 +104,13 @@ def census_checks(features: DataFrame, demography: DataFrame, names: SectorColum
     """(rule, violations) of all rules (runs jobs).
 
     Demography and grouped sectors are written once, so that either input's own recipe runs a single
-    time; the demography's rules come from its one-pass profile.
+    time; the demography's rules come from its one-pass profile, and conflicts are counted as the sectors are written.
     """
     people = materialize(demography, "demography")
-    grouped = materialize(group_sectors(features, names), "sectors")
+    grouped, counted = write_grouped(features, names)
+    conflicts = demography.sparkSession.createDataFrame([(RULE_CONFLICTS, counted["conflicts"])], "rule STRING, violations BIGINT")
     profile = keyed_profile(people, names.demography_key, names.total, [names.male, names.female], names.female)
-    return expectations(profile_checks(profile), sector_checks(grouped, label_sectors(grouped, people, names), names))
+    return expectations(profile_checks(profile), conflicts, left_only_rule(label_sectors(grouped, people, names), names))
 
 
 def write_grouped(features: DataFrame, names: SectorColumns) -> tuple[DataFrame, dict]:

@@ -33,8 +33,9 @@ from ribeira.plans.census import (
     label_sectors,
     publish_census_origins,
     run_census_origins,
+    write_grouped,
 )
-from ribeira.session import materialize, work_dir
+from ribeira.session import work_dir
 from ribeira.sources.delimited import scan_delimited
 from ribeira.sources.publication import published_path
 from ribeira.sources.sinks import write_origins, write_summary
@@ -372,8 +373,10 @@ FROM origins
 """,
 )
 def audit(spark, folder):
-    grouped = materialize(group_sectors(features(spark, folder), NAMES), "sectors")
-    return origins_audit(grouped, label_sectors(grouped, demography(spark, folder), NAMES), "sector_id", "mun_id")
+    """The features' figures are counted as the sectors are written; the origins' come from the join that reads them."""
+    grouped, counted = write_grouped(features(spark, folder), NAMES)
+    counted.pop("conflicts")
+    return origins_audit(counted, label_sectors(grouped, demography(spark, folder), NAMES), "mun_id")
 
 
 @query("origins_sink", CENSUS_SQL + f"SELECT {ORIGIN_COLUMNS} FROM origins")
