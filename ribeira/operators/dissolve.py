@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribeira.operators.quality import any_value, differs
+from ribeira.operators.quality import any_value, differs, fingerprints
 
 
 def group_features(features: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def group_features(features: DataFrame, key: str, attributes: Sequence[str]) ->
     grouped = features.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_features"),
         *[any_value(*c).alias(name) for name, c in columns.items()],
-        *[differs(*c).alias(f"__differs_{i}") for i, c in enumerate(columns.values())],
+        *[differs(fingerprints(*c)).alias(f"__differs_{i}") for i, c in enumerate(columns.values())],
     )
     named = F.array(*[F.when(F.col(f"__differs_{i}"), F.lit(name)) for i, name in enumerate(attributes)])
     return grouped.select(key, "n_features", *attributes, F.array_compact(named).alias("conflicts"))

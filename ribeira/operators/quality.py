@@ -163,13 +163,12 @@ def fingerprints(c: Column, kind: T.DataType) -> list[Column]:
     return [F.when(value.isNotNull(), F.xxhash64(F.lit(seed), value)) for seed in (1, 2)]
 
 
-def differs(c: Column, kind: T.DataType) -> Column:
-    """Aggregate: whether a group holds more than one value, null counting as a value. NaN is read as null.
+def differs(marks: Sequence[Column]) -> Column:
+    """Aggregate over a value's fingerprints: whether a group holds more than one value, null counting as a value. NaN is read as null.
 
     The least and the greatest fingerprint plus a count say the same as a distinct count, in one hash aggregation over buffers
     of fixed size, without the row expansion that several distinct counts need. It works for types without an order.
     """
-    marks = fingerprints(c, kind)
     apart = reduce(lambda a, b: a | b, [F.min(m) != F.max(m) for m in marks])
     some = F.count(marks[0])
     return F.coalesce(apart | ((some > 0) & (some < F.count(F.lit(1)))), F.lit(False))
@@ -185,7 +184,11 @@ def any_value(c: Column, kind: T.DataType) -> Column:
 
 def attribute_conflicts(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Per attribute: number of keys (the null key included) that hold more than one value."""
-    flags = df.groupBy(key).agg(*[differs(F.col(name), df.schema[name].dataType).alias(f"differs_{i}") for i, name in enumerate(columns)])
+    marks = [fingerprints(F.col(name), df.schema[name].dataType) for name in columns]
+    # as columns of their own first, so that each is worked out once per row
+    named = [[F.col(f"mark_{i}_{j}") for j in range(len(pair))] for i, pair in enumerate(marks)]
+    rows = df.select(key, *[m.alias(f"mark_{i}_{j}") for i, pair in enumerate(marks) for j, m in enumerate(pair)])
+    flags = rows.groupBy(key).agg(*[differs(pair).alias(f"differs_{i}") for i, pair in enumerate(named)])
     counts = flags.agg(*[F.count_if(F.col(f"differs_{i}")).alias(f"keys_{i}") for i in range(len(columns))])
     return to_long(counts, {name: f"keys_{i}" for i, name in enumerate(columns)}, "attribute", "conflicting_keys")
 
