@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ribeira.fixed import COMPONENTS, MODES, SCENARIOS, THRESHOLDS_MINUTES
@@ -83,11 +83,13 @@ def scenario_expand(
 ) -> DataFrame:
     """Legs that count, per scenario; an itinerary with any leg in a disabled mode is left out whole.
 
-    ``door_to_door`` does not need this table; it is for looking at single legs.
+    Legs are read once: whether an itinerary is barred is known from the exchange that brings its legs together, which a join on the
+    itinerary before makes needless. Legs without an itinerary count as one, as in ``door_to_door``, which does not need this table; it is
+    for looking at single legs.
     """
     settled = decide_waiting(scenarios, waiting_overrides)
-    barred = legs.filter(_uses_disabled(modes)).select("itinerary_id").distinct()
-    usable = legs.join(barred, "itinerary_id", "left_anti")
+    barred = F.bool_or(_uses_disabled(modes)).over(Window.partitionBy("itinerary_id"))
+    usable = legs.withColumn("__barred", barred).filter(~F.col("__barred")).drop("__barred")
     rows = usable.select("*", F.inline(_scenario_rows(settled)))
     skipped = ((F.col("component") == "waiting") & ~F.col("includes_waiting")) | (
         (F.col("component") == "transfer") & ~F.col("includes_transfers")

@@ -28,6 +28,7 @@ from ribeira.functions.urls import (
     url_candidate,
     url_output_format,
 )
+from ribeira.operators.keywords import count_terms
 from ribeira.operators.quality import unique_by
 
 
@@ -57,14 +58,17 @@ def registered_links(catalog: DataFrame) -> DataFrame:
     return catalog.select("source_id", F.explode("direct_urls").alias("url"))
 
 
-def link_score(links: DataFrame, keywords: Mapping[str, Sequence[str]] = SOURCE_KEYWORDS) -> DataFrame:
+def link_score(links: DataFrame, keywords: Mapping[str, Sequence[str]] | DataFrame = SOURCE_KEYWORDS) -> DataFrame:
     """Links with ``score``: keywords of their source, file extension, requested format, publisher.
 
     The keyword table is configuration, so it goes into the plan as a constant map. No join is
     needed: rows stay where they are, whatever share of them one source holds, and no link is
-    multiplied by its terms. The extension is looked for at the end of the whole URL here, unlike
-    in ``url_candidate``.
+    multiplied by its terms. A table of keywords (source_id, term) that is too large for that is joined by rare grams instead. The
+    extension is looked for at the end of the whole URL here, unlike in ``url_candidate``.
     """
+    if isinstance(keywords, DataFrame):
+        counted = link_score(count_terms(links, keywords, "__found"), {})
+        return counted.withColumn("score", F.col("score") + SCORE_TERM * F.col("__found")).drop("__found")
     table = ", ".join(f"{text(source)}, array({texts(terms)})" for source, terms in keywords.items())
     terms = f"coalesce(try_element_at(map({table}), arg.source), array())" if table else "array()"
     points = (

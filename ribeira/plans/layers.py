@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ribeira import fixed
@@ -27,9 +28,11 @@ from ribeira.operators.landing import (
     unfetched_errors,
     unread_files,
 )
+from ribeira.operators.ledger import ENTRY, merge_entries, merged_status, run_entries
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, registered_links, topk_links
 from ribeira.session import materialize
 from ribeira.sources.files import content_digest
+from ribeira.sources.publication import Run, committed_runs
 
 
 def rank_links(
@@ -86,6 +89,35 @@ class LayerResult:
         for name in ("links", "downloads", "preserved", "errors", "status", "overall"):
             getattr(self, name).write.parquet(f"{out}/{name}")
 
+    def publish(
+        self, spark: SparkSession, out: str, run_id: str, run_at: datetime | None = None, root: str = "", page_log: DataFrame | None = None
+    ) -> bool:
+        """The tables, and the run's entries for the status over all runs, as one unit; false if this run id is committed already.
+
+        ``root`` is the cache's folder, below which each source has its own.
+        """
+        run = Run(spark, out, run_id)
+        if run.manifest() is not None:
+            return False
+        at = F.lit(run_at or datetime.now(timezone.utc))
+        entries = run_entries(self.links, self.downloads, self.preserved, self.errors, run_id, at, root, page_log)
+        tables = {name: getattr(self, name) for name in ("links", "downloads", "preserved", "errors", "status", "overall")}
+        for name, df in {**tables, "entries": entries}.items():
+            run.stage(name, df, lambda table, path: table.write.parquet(path))
+        run.commit()
+        return True
+
+
+def status_over_runs(spark: SparkSession, out: str, sources: DataFrame) -> DataFrame:
+    """Status per source over all committed runs below ``out``; what one run has downloaded and a later one finds in the cache counts once.
+
+    Only the paths of the runs' tables reach the driver.
+    """
+    tables = committed_runs(spark, out).select(F.explode("tables").alias("t")).filter("t.name = 'entries'")
+    paths = [row["path"] for row in tables.select("t.path").collect()]
+    entries = spark.read.schema(ENTRY).parquet(*paths) if paths else spark.createDataFrame([], ENTRY)
+    return merged_status(sources, merge_entries(entries))
+
 
 def discover_layers(
     pages: DataFrame,
@@ -105,14 +137,17 @@ def discover_layers(
 
     Ranked links, settled fetches and inspected files are each used by several results, so they are
     written to the work folder once; page texts and file contents are read a single time. The cache
-    is read before downloads are counted, so on a rerun one file can count on both sides.
+    is read before downloads are counted, so on a rerun one file can count on both sides of ``status``, that of this run alone; over several
+    runs, ``publish`` and ``status_over_runs`` count it once.
     """
     require_unique(catalog, "source_id", "catalog")
     sources = eligible_sources(catalog, fixed.BOUNDARY_SOURCE)
     links = materialize(rank_links(pages, catalog, keywords, k), "links")
     attempts = fetch_log.join(links.select("source_id", "url", "rank"), ["source_id", "url"])
     fetched = materialize(settle_attempts(landing_accept(attempts, sources, max_bytes)), "fetched")
-    judged = materialize(inspect_cache(cached, catalog, listing), "cache")
+    judged = inspect_cache(cached, catalog, listing)
+    if listing is None:
+        judged = materialize(judged, "cache")
     errors = [fetch_errors(fetched), unfetched_errors(links, fetched), cache_errors(judged)]
     if page_log is not None:
         # the pages of sources that are limited to their registered links are not asked for

@@ -65,3 +65,9 @@ def test_page_texts_are_not_shuffled(spark, name):
     start = executed.index("Generate explode(")
     below = executed[start : executed.index("FileScan", start)]
     assert "Exchange" not in below and "Join" not in below
+
+
+def test_scenarios_read_each_table_once(spark):
+    """The flag of barred itineraries comes from the exchange that brings legs together, and no second scan."""
+    text = plan(spark, "scenario_expand")
+    assert text.count("FileScan") == 2 and "LeftAnti" not in text

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ribeira.operators.ledger import merge_entries, merged_status, run_entries
 from ribeira.plans.layers import LayerResult, discover_layers
 from workload.links import DIRECT_ONLY, KEYWORDS, RANKED_SQL, SCORED_SQL, SOURCE, TOPK_SQL, page_rows
 from workload.registry import query, table
@@ -88,10 +89,7 @@ def job(spark, folder) -> DataFrame:
     return errors.union(kept).union(files)
 
 
-@query(
-    "layers_status",
-    LAYERS_SQL
-    + """
+STATUS_SQL = LAYERS_SQL + """
 , sources AS (SELECT DISTINCT SOURCE_ID AS source_id FROM (SELECT {0} AS SOURCE_ID FROM pages)),
 counted AS (
   SELECT source_id, (SELECT count(*) FROM ranked r WHERE r.source_id = s.source_id) AS discovered,
@@ -102,7 +100,21 @@ counted AS (
            + (SELECT count(*) FROM failed_pages p WHERE p.source_id = s.source_id) AS errors
   FROM sources s)
 SELECT *, downloaded + preserved AS available, CASE WHEN downloaded + preserved > 0 THEN 'success' ELSE 'failed' END AS status FROM counted
-""".replace("{0}", SOURCE),
-)
+""".replace("{0}", SOURCE)
+
+
+@query("layers_status", STATUS_SQL)
 def status(spark, folder) -> DataFrame:
     return run(spark, folder).status
+
+
+@query("layers_rerun", STATUS_SQL)
+def rerun(spark, folder) -> DataFrame:
+    """Status over two runs, of which the second finds in the cache what the first has downloaded: the same as that of the first run."""
+    result = run(spark, folder)
+    landed = result.downloads.select("source_id", F.concat(F.lit("cache/"), "path").alias("path"))
+    kept = result.preserved.select("source_id", "path")
+    first = run_entries(result.links, result.downloads, kept, result.errors, "1", F.lit("2026-01-01").cast("timestamp"), "cache")
+    second = run_entries(result.links, result.downloads.limit(0), kept.union(landed), result.errors, "2", F.lit("2026-01-02").cast("timestamp"), "cache")
+    catalog = page_rows(spark, folder).select("source_id").distinct()
+    return merged_status(catalog, merge_entries(first, second))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ribeira.functions.urls import resolve_link, safe_filename, url_candidate, url_output_format
 from ribeira.operators.filters import eligible_sources
+from ribeira.operators.keywords import keyword_join
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, topk_links
 from ribeira.plans.layers import rank_links
 from workload.registry import query, table
@@ -172,6 +173,25 @@ def best(spark, folder):
     return topk_links(link_score(united(spark, folder), KEYWORDS))
 
 
+WORD = "[a-zà-öø-ÿ]+"
+
+
+@query(
+    "keyword_join",
+    FOUND_SQL
+    + f"""
+, words AS (SELECT lang AS source_id, doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents),
+terms AS (SELECT source_id, term, count(DISTINCT doc_id) AS times FROM words GROUP BY 1, 2)
+SELECT l.source_id, page_id, url, term, times FROM links l JOIN terms t ON l.source_id = t.source_id AND contains(lower(url), term)
+""",
+)
+def keywords_found(spark, folder):
+    """Every word of every document is a keyword of the source named like its language; ``times`` is the number of documents with it."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
+    keywords = table(spark, folder, "documents").select(F.col("lang").alias("source_id"), words)
+    return keyword_join(decorated(spark, folder), keywords)
+
+
 RANKED_SQL = f"""
 WITH raw AS (
   SELECT page_id, {SOURCE} AS source_id, regexp_extract(url, '^[a-z]+://[^/]+') AS site,
