@@ -8,6 +8,7 @@ in the plan, so no join is needed for either.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ribeira.fixed import COMPONENTS, MODES, SCENARIOS, THRESHOLDS_MINUTES
 from ribeira.functions.sql import text, texts
 
 ITINERARY = ["itinerary_id", "origin_id", "destination_id", "category"]
-MINUTES = "decimal(18,6)"
+MICRO, MOST_MINUTES = 1_000_000, 1e9
 
 
 def decide_waiting(
@@ -98,10 +99,10 @@ def scenario_expand(
 
 
 def leg_gaps(legs: DataFrame) -> DataFrame:
-    """One row: legs without minutes, and legs whose component or mode is not a known one."""
+    """One row: legs whose minutes are unknown (null, not finite, over 10^9), and legs whose component or mode is not a known one."""
     return legs.agg(
         F.count(F.lit(1)).alias("legs"),
-        F.count_if(F.col("minutes").isNull()).alias("without_minutes"),
+        F.count_if(_micro_minutes(F.col("minutes")).isNull()).alias("without_minutes"),
         F.count_if(_unknown_component()).alias("unknown_component"),
         F.count_if(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False))).alias("unknown_mode"),
     )
@@ -111,22 +112,38 @@ def _unknown_component() -> Column:
     return ~F.coalesce(F.col("component").isin(COMPONENTS), F.lit(False))
 
 
+def _micro_minutes(minutes: Column) -> Column:
+    """Minutes as whole millionths, which add up to the same in any order; null if they are no number or over ``MOST_MINUTES``."""
+    number = minutes.cast("double")
+    return F.when(F.abs(number) <= MOST_MINUTES, F.floor(number * MICRO + 0.5).cast("bigint"))
+
+
+def _summed(legs: DataFrame, modes: Mapping[str, bool]) -> DataFrame:
+    """Per usable itinerary: millionths of minutes per component, and ``gaps``, bit i for a leg of component i whose minutes are unknown.
+
+    A leg of no known component sets all bits. One aggregation with partial sums: a sum per component, and one mask for all flags.
+    """
+    exact, barred, every = _micro_minutes(F.col("minutes")), 1 << len(COMPONENTS), (1 << len(COMPONENTS)) - 1
+    unknown = F.when(_unknown_component(), every).when(exact.isNull(), _bit(F.col("component"))).otherwise(0)
+    flags = F.bit_or(F.when(_uses_disabled(modes), barred).otherwise(0).bitwiseOR(unknown))
+    sums = [F.coalesce(F.sum(F.when(F.col("component") == name, exact)), F.lit(0)).alias(name) for name in COMPONENTS]
+    return legs.groupBy(*ITINERARY).agg(*sums, flags.alias("gaps")).filter(F.col("gaps") < barred)
+
+
+def _bit(component: Column) -> Column:
+    return reduce(lambda c, i: c.when(component == COMPONENTS[i], 1 << i), range(1, len(COMPONENTS)), F.when(component == COMPONENTS[0], 1))
+
+
 def component_times(legs: DataFrame, modes: Mapping[str, bool] = MODES) -> DataFrame:
-    """Per usable itinerary: minutes in each component. One aggregation with partial sums.
+    """Per usable itinerary: minutes in each component, to a millionth.
 
-    A component with a leg whose minutes are null is null, and every component is null where a leg
-    belongs to none of them. Minutes are added as decimals, so that the sum is the same in any order.
+    A component with a leg whose minutes are unknown (null, not finite, over 10^9) is null, and every component is null where a leg
+    belongs to none of them.
     """
-    exact = F.col("minutes").cast(MINUTES)
-    sums = [F.sum(F.when(F.col("component") == name, exact)).alias(name) for name in COMPONENTS]
-    gaps = [F.bool_or((F.col("component") == name) & F.col("minutes").isNull()).alias(f"no_{name}") for name in COMPONENTS]
-    summed = legs.groupBy(*ITINERARY).agg(
-        *sums, *gaps, F.bool_or(_unknown_component()).alias("unknown"), F.bool_or(_uses_disabled(modes)).alias("barred")
-    )
-    known = {
-        name: F.when(~F.col("unknown") & ~F.coalesce(f"no_{name}", F.lit(False)), F.coalesce(name, F.lit(0).cast(MINUTES))) for name in COMPONENTS
-    }
-    return summed.filter(~F.col("barred")).select(*ITINERARY, *(c.alias(name) for name, c in known.items()))
+    known = [
+        F.when(F.col("gaps").bitwiseAND(F.lit(1 << i)) == 0, F.col(name) / F.lit(float(MICRO))).alias(name) for i, name in enumerate(COMPONENTS)
+    ]
+    return _summed(legs, modes).select(*ITINERARY, *known)
 
 
 def door_to_door(
@@ -137,19 +154,18 @@ def door_to_door(
 ) -> DataFrame:
     """Total minutes per itinerary and scenario: access, waiting, in-vehicle, transfer and egress.
 
-    The total is null where the minutes of a counted leg are, or where a leg's component is unknown;
+    The total is null where the minutes of a counted leg are unknown, or where a leg's component is;
     ``leg_gaps`` counts such legs.
     """
-    settled = decide_waiting(scenarios, waiting_overrides)
-    times = component_times(legs, modes).select("*", F.inline(_scenario_rows(settled)))
-    total = (
-        F.col("access")
-        + F.col("in_vehicle")
-        + F.col("egress")
-        + F.when(F.col("includes_waiting"), F.col("waiting")).otherwise(F.lit(0).cast(MINUTES))
-        + F.when(F.col("includes_transfers"), F.col("transfer")).otherwise(F.lit(0).cast(MINUTES))
-    )
-    return times.select(*ITINERARY, "scenario", total.cast("double").alias("minutes"))
+    rows = []
+    for name, (waiting, transfers) in decide_waiting(scenarios, waiting_overrides).items():
+        taken = {"waiting": waiting, "transfer": transfers}
+        counted = [(1 << i, c) for i, c in enumerate(COMPONENTS) if taken.get(c, True)]
+        mask = sum(bit for bit, _ in counted)
+        total = reduce(lambda a, b: a + b, (F.col(c) for _, c in counted)) / F.lit(float(MICRO))
+        minutes = F.when(F.col("gaps").bitwiseAND(F.lit(mask)) == 0, total)
+        rows.append(F.struct(F.lit(name).alias("scenario"), minutes.alias("minutes")))
+    return _summed(legs, modes).select(*ITINERARY, F.inline(F.array(*rows)))
 
 
 def min_time(times: DataFrame) -> DataFrame:

@@ -26,6 +26,12 @@ SOURCE_RECORD = (
     "errors: ARRAY<STRUCT<stage: STRING, url: STRING, path: STRING, type: STRING, message: STRING, attempts: INT>>>"
 )
 
+# What ``flatten_manifest`` reads of a record; the parser passes over everything else.
+FLAT_RECORD = (
+    "STRUCT<agency: STRING, discovery_policy: STRING, "
+    "downloads: ARRAY<STRUCT<url: STRING, path: STRING, bytes: BIGINT, sha256: STRING, zip_inventory: ARRAY<STRING>>>>"
+)
+
 
 def catalog_table(spark: SparkSession, sources: Sequence[Mapping[str, object]] = tuple(SOURCE_CATALOG)) -> DataFrame:
     """A source catalog given as records (configuration) as a table; absent fields are null."""
@@ -47,9 +53,9 @@ def _typed(columns: str) -> str:
     return ", ".join(": ".join(part.split(" ", 1)) for part in columns.split(", "))
 
 
-def manifest_sources(documents: DataFrame) -> DataFrame:
-    """One row per source of manifest documents (``{"sources": {id: record}}``), still nested."""
-    parsed = F.from_json("value", f"sources MAP<STRING, {SOURCE_RECORD}>", {"mode": "FAILFAST"})
+def manifest_sources(documents: DataFrame, record: str = SOURCE_RECORD) -> DataFrame:
+    """One row per source of manifest documents (``{"sources": {id: record}}``), still nested, with the fields of ``record`` only."""
+    parsed = F.from_json("value", f"sources MAP<STRING, {record}>", {"mode": "FAILFAST"})
     return documents.select(F.explode(parsed["sources"]).alias("source_id", "record")).select("source_id", "record.*")
 
 

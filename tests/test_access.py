@@ -4,6 +4,7 @@ import pytest
 
 from ribeira import fixed
 from ribeira.operators.access import (
+    component_times,
     coverage,
     cumulative_access,
     decide_waiting,
@@ -122,3 +123,21 @@ def test_fractions_add_up_alike_in_any_partitioning(spark):
         {(r["itinerary_id"], r["scenario"]): r["minutes"].hex() for r in door_to_door(df.repartition(n), YES).collect()} for n in (1, 8)
     ]
     assert results[0] == results[1]
+
+
+def test_minutes_that_are_no_number(spark):
+    """Unknown minutes make the scenarios that count their leg unknown, and no others; sums don't depend on the order of legs."""
+    nan, inf = float("nan"), float("inf")
+    df = legs(spark, *trip(1, [1.0, nan, 1.0, 1.0, 1.0]), *trip(2, [1.0, 1.0, inf, 1.0, 1.0]), *trip(3, [1.0, None, 1.0, 1.0, 1.0]),
+              *trip(4, [0.1, 0.2, 0.3, 1e10, 0.0]), *trip(5, [0.1, 0.2, 0.3, 0.0, 0.0]), *trip(5, [0.7, 0.1, 1e-7, 0.0, 0.0]))
+    got = {(r["itinerary_id"], r["scenario"]): r["minutes"] for r in door_to_door(df, YES).collect()}
+    assert [got[(n, "operational")] for n in (1, 2, 3, 4, 5)] == [None, None, None, None, 1.4]
+    assert [got[(n, "motorized")] for n in (1, 2, 3, 4, 5)] == [4.0, None, 4.0, None, 1.1]
+    assert leg_gaps(df).first()["without_minutes"] == 4
+    times = {r["itinerary_id"]: r for r in component_times(df).collect()}
+    assert (times[1]["waiting"], times[1]["access"], times[4]["transfer"], times[5]["waiting"]) == (None, 1.0, None, 0.3)
+
+
+def test_travel_times_need_one_exchange(spark):
+    plan = door_to_door(legs(spark, *trip(1, [1.0] * 5)), YES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("partial_sum") == len(fixed.COMPONENTS) and plan.count("partial_bit_or") == 1

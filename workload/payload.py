@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ribeira.plans.statistics import run_statistics_table
 from ribeira.session import work_dir
-from ribeira.sources.manifest import flatten_manifest, manifest_sources
+from ribeira.sources.manifest import FLAT_RECORD, flatten_manifest, manifest_sources
 from ribeira.sources.payload import payload_normalize, payload_strict
 from workload.registry import query, table
 
@@ -54,7 +54,7 @@ FROM (SELECT *, l_linestatus = 'F' AS f, 'raw/' || l_orderkey || '/' || l_linenu
 """,
 )
 def manifest(spark, folder):
-    return flatten_manifest(manifest_sources(manifests(spark, folder)))
+    return flatten_manifest(manifest_sources(manifests(spark, folder), FLAT_RECORD))
 
 
 def payloads(spark: SparkSession, folder: str, header: dict[str, str]) -> DataFrame:
