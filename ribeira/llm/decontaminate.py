@@ -68,12 +68,12 @@ CAPITAL = "\\p{Lu}[^ \\p{N}]*+(?![^ ])"
 INSIDE, STARTS = f"(?<=[^.!?: ] ){CAPITAL}", f"(?<![^ ])(?<![^.!?: ] ){CAPITAL}"
 
 
-def tagged(df: DataFrame, key: str) -> DataFrame:
-    """``key, words`` from ``key, text``: the words of each text, a placeholder as its mark with the word behind it."""
+def tagged(df: DataFrame, *keys: str) -> DataFrame:
+    """``keys, words`` from ``keys, text``: the words of each text, a placeholder as its mark with the word behind it."""
     out = F.regexp_replace(F.regexp_replace(plain(F.col("text")), INSIDE, f"{NAME}$0"), STARTS, f"{FIRST}$0")
     out = F.regexp_replace(bare(out), "(?<![^ ])[^ \\p{N}]*+\\p{N}[^ ]*", f"{NUMBER}$0")
     out = F.regexp_replace(out, f"({NUMBER}[^ ]* )((?:{'|'.join(UNITS)})(?![^ ]))", f"$1{UNIT}$2")
-    return df.select(key, F.split(out, " ").alias("words")).select(key, F.when(F.col("words")[0] != "", F.col("words")).otherwise(F.array().cast("array<string>")).alias("words"))
+    return df.select(*keys, F.split(out, " ").alias("words")).select(*keys, F.when(F.col("words")[0] != "", F.col("words")).otherwise(F.array().cast("array<string>")).alias("words"))
 
 
 def value(word: Column) -> Column:
@@ -85,18 +85,19 @@ def hashes(width: int, kind: str, parts: list[Column]) -> list[Column]:
     return [F.xxhash64(F.lit(f"{kind}{width}"), *parts), F.xxhash64(F.lit(f"{width}{kind}"), *reversed(parts))]
 
 
-def windows(df: DataFrame, key: str, pos: str, width: int, as_values: bool = False) -> DataFrame:
-    """``key, pos, h1, h2, general, names``: the windows of column ``words``, hashed, each from its first word on (``pos`` counts from 0).
+def windows(df: DataFrame, keys: list[str], pos: str, width: int, as_values: str | None = None) -> DataFrame:
+    """``keys, pos, h1, h2``: the windows of column ``words``, hashed, each from its first word on (``pos`` counts from 0).
 
-    ``general`` says that the template is too general and the values were hashed, as they are everywhere if asked for. Where words that begin a sentence
-    don't make the template too general as names, a second row, with ``names`` true, has them as such.
+    The values are hashed where the template is too general, and in rows whose column ``as_values``, one of the keys, is true. Where words that begin a
+    sentence don't make the template too general as names, a second row has them as such. With ``as_values``, two more columns tell of each
+    row whether its template is ``general`` and whether it is that second row (``names``).
     """
     shifted = [F.slice("words", i + 1, F.greatest(F.size("words") - (width - 1), F.lit(0))).alias(f"w{i}") for i in range(width)]
     # the outer form, as the optimizer adds to the plain one a filter that works out the words many times over
-    rows = df.select(key, F.arrays_zip(*shifted).alias("zipped")).select(key, F.posexplode_outer("zipped").alias(pos, "w")).where(F.col(pos).isNotNull())
+    rows = df.select(*keys, F.arrays_zip(*shifted).alias("zipped")).select(*keys, F.posexplode_outer("zipped").alias(pos, "w")).where(F.col(pos).isNotNull())
     # Step by step, so that each value is worked out once per window.
     at = range(width)
-    rows = rows.select(key, pos, *[F.col(f"w.w{i}").alias(f"w{i}") for i in at])
+    rows = rows.select(*keys, pos, *[F.col(f"w.w{i}").alias(f"w{i}") for i in at])
     rows = rows.select(
         "*", *[(F.col(f"w{i}") < FIRST).alias(f"s{i}") for i in at], *[F.col(f"w{i}").between(FIRST, AFTER).alias(f"f{i}") for i in at],
         *[value(F.col(f"w{i}")).alias(f"v{i}") for i in at],
@@ -105,36 +106,41 @@ def windows(df: DataFrame, key: str, pos: str, width: int, as_values: bool = Fal
         "*", *[F.when(F.col(f"s{i}"), F.substring(f"w{i}", 1, 1)).otherwise(F.col(f"v{i}")).alias(f"t{i}") for i in at],
         (width - sum((F.col(f"s{i}").cast("int") for i in at), F.lit(0))).alias("plain"), sum((F.col(f"f{i}").cast("int") for i in at), F.lit(0)).alias("begun"),
     )
-    general = F.lit(True) if as_values else F.col("plain") < LITERAL
+    general, begun = F.col("plain") < LITERAL, (F.col("begun") > 0) & (F.col("plain") - F.col("begun") >= LITERAL)
+    if as_values:
+        general, begun = general | F.col(as_values), begun & ~F.col(as_values)
     as_words, told = (hashes(width, kind, [F.col(f"{kind}{i}") for i in at]) for kind in "tv")
     named = hashes(width, "t", [F.when(F.col(f"f{i}"), NAME).otherwise(F.col(f"t{i}")) for i in at])
-    begun = (F.col("begun") > 0) & (F.col("plain") - F.col("begun") >= LITERAL)
     rows = rows.select(
-        key, pos, general.alias("general"), *[F.when(general, v).otherwise(t).alias(name) for name, t, v in zip(("h1", "h2"), as_words, told)],
+        *keys, pos, general.alias("general"), *[F.when(general, v).otherwise(t).alias(name) for name, t, v in zip(("h1", "h2"), as_words, told)],
         *[F.when(begun, n).alias(name) for name, n in zip(("n1", "n2"), named)],
     )
-    if as_values:
-        return rows.select(key, pos, "h1", "h2", "general", F.lit(False).alias("names"))
-    one = F.struct("h1", "h2", "general", F.lit(False).alias("names"))
-    two = F.struct(F.col("n1").alias("h1"), F.col("n2").alias("h2"), F.lit(False).alias("general"), F.lit(True).alias("names"))
-    return rows.select(key, pos, F.inline(F.when(F.col("n1").isNotNull(), F.array(one, two)).otherwise(F.array(one))))
+    more = [[F.col("general"), F.lit(False).alias("names")], [F.lit(False).alias("general"), F.lit(True).alias("names")]] if as_values else [[], []]
+    one, two = F.struct(*more[0], "h1", "h2"), F.struct(*more[1], F.col("n1").alias("h1"), F.col("n2").alias("h2"))
+    return rows.select(*keys, pos, F.inline(F.when(F.col("n1").isNotNull(), F.array(one, two)).otherwise(F.array(one))))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, pos_i, window, width, h1, h2``: the windows of each item in all their forms; those that are the same have the same number ``window``."""
-    mine, small = (materialize(tagged(items.select("item_id", c.alias("text")), "item_id"), "item-words") for c in (F.col("text"), F.lower("text")))
+    """``item_id, pos_i, window, width, h1, h2``: the windows of each item in all their forms; those that are the same have the same number ``window``.
+
+    All items, in all forms, go through the windows of a width at once, and are written before they are compared.
+    """
+    small, values = (F.col("form") == name for name in ("small", "values"))
+    cased = items.select("item_id", F.explode(F.array(F.lit("own"), F.lit("small"))).alias("form"), "text").withColumn("text", F.when(small, F.lower("text")).otherwise(F.col("text")))
+    words = materialize(tagged(cased, "item_id", "form"), "item-words")
+    forms = F.when(small, F.array("form")).otherwise(F.array(F.lit("own"), F.lit("values")))
+    words = words.select("item_id", "words", F.explode(forms).alias("form")).withColumn("as_values", values)
     every = []
     for width in range(1, WIDTH + 1):
-        fits = F.size("words") >= width if width == WIDTH else F.size("words") == width
-        own = windows(mine.where(fits), "item_id", "pos_i", width)
-        plainly = own.where(~F.col("names"))
-        countable = plainly.groupBy("item_id").agg(F.bool_or(~F.col("general")).alias("countable"))
-        listed = plainly.join(countable, "item_id").where(~F.col("general") | ~F.col("countable"))
-        listed = listed.select("item_id", "pos_i", F.min("pos_i").over(Window.partitionBy("item_id", "h1", "h2")).alias("window"))
-        forms = [own, windows(small.where(fits), "item_id", "pos_i", width), windows(mine.where(fits), "item_id", "pos_i", width, True)]
-        form = reduce(DataFrame.union, [f.select("item_id", "pos_i", "h1", "h2") for f in forms]).distinct()
-        every.append(form.join(listed, ["item_id", "pos_i"]).withColumn("width", F.lit(width)))
-    return reduce(DataFrame.unionByName, every).select("item_id", F.col("pos_i").cast("int"), F.col("window").cast("int"), "width", "h1", "h2")
+        fits = words.where(F.size("words") >= width if width == WIDTH else F.size("words") == width)
+        every.append(windows(fits, ["item_id", "form", "as_values"], "pos_i", width, "as_values").withColumn("width", F.lit(width)))
+    hashed = materialize(reduce(DataFrame.unionByName, every), "item-forms")
+    plainly = hashed.where("form = 'own' AND NOT names")
+    countable = plainly.groupBy("item_id").agg(F.bool_or(~F.col("general")).alias("countable"))
+    listed = plainly.join(countable, "item_id").where(~F.col("general") | ~F.col("countable"))
+    listed = listed.select("item_id", "pos_i", "width", F.min("pos_i").over(Window.partitionBy("item_id", "h1", "h2")).alias("window"))
+    form = hashed.select("item_id", "pos_i", "width", "h1", "h2").distinct().join(listed, ["item_id", "pos_i", "width"])
+    return form.select("item_id", F.col("pos_i").cast("int"), F.col("window").cast("int"), "width", "h1", "h2")
 
 
 def found(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -146,7 +152,7 @@ def found(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = tagged(texts, "doc_id")
     widths = sorted(r["width"] for r in listed.select("width").distinct().collect())  # five at most
-    mine = reduce(DataFrame.union, [windows(words, "doc_id", "pos_d", width).drop("general", "names") for width in widths or [WIDTH]])
+    mine = reduce(DataFrame.union, [windows(words, ["doc_id"], "pos_d", width) for width in widths or [WIDTH]])
     met = materialize(mine.join(listed, ["h1", "h2"]).select("doc_id", "pos_d", "item_id", "pos_i", "window"), "met")
     blocks = met.join(sizes, "item_id").withColumn("shift", F.col("pos_d") - F.col("pos_i") + F.col("length"))
     start = F.floor(F.col("shift") / F.col("length"))
