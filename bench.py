@@ -22,7 +22,7 @@ HEADLINE = [
     "extract_links", "resolve_links", "link_score", "topk_links", "rank_links", "safe_filename", "allowlist_semi",
     "landed_file_check", "archive_inventory", "landing_accept", "error_log", "checksum_join", "source_status",
     "json_flatten", "manifest_flatten", "payload_normalize", "origins_sink", "scenario_expand", "door_to_door",
-    "min_time", "cumulative_access", "weighted_summary", "coverage",
+    "min_time", "cumulative_access", "weighted_summary", "coverage", "keyword_join",
 ]
 
 
