@@ -41,19 +41,9 @@ def forms() -> Column:
     return F.explode(F.array(F.lit("archive.zip"), F.expr(LANDED_FORM))).alias("form")
 
 
-def landed(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("*", forms())
-    content = (
-        F.when(F.col("form") == "good.json", F.to_json(F.struct("doc_id", "text")))
-        .when(F.col("form") == "bad.geojson", F.concat(F.lit("{"), "text"))
-        .when(F.col("form") == "empty.zip", "")
-        .otherwise(F.col("text"))
-    )
-    rows = documents.select(
-        F.concat_ws("/", F.lit("landed"), "source", "doc_id", "form").alias("path"),
-        (F.col("form") == "archive.zip").alias("pack"),
-        content.cast("binary").alias("content"),
-    )
+def packed(files: DataFrame) -> DataFrame:
+    """Files with their ``length``; where ``pack`` is set, the content becomes an archive of its lines. Other columns stay."""
+    others = [field for field in files.schema if field.name not in ("pack", "content")]
 
     def pack_lines(batches):
         import io
@@ -72,12 +62,30 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
                     content = data.getvalue()
                 contents.append(content)
             lengths = [len(content) for content in contents]
+            columns = [batch.column(field.name) for field in others]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), pa.array(lengths, pa.int64()), pa.array(contents, pa.binary())],
-                names=["path", "length", "content"],
+                [*columns, pa.array(lengths, pa.int64()), pa.array(contents, pa.binary())],
+                names=[*(field.name for field in others), "length", "content"],
             )
 
-    return rows.mapInArrow(pack_lines, "path STRING, length BIGINT, content BINARY")
+    ddl = "".join(f"{field.name} {field.dataType.simpleString()}, " for field in others)
+    return files.mapInArrow(pack_lines, ddl + "length BIGINT, content BINARY")
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("*", forms())
+    content = (
+        F.when(F.col("form") == "good.json", F.to_json(F.struct("doc_id", "text")))
+        .when(F.col("form") == "bad.geojson", F.concat(F.lit("{"), "text"))
+        .when(F.col("form") == "empty.zip", "")
+        .otherwise(F.col("text"))
+    )
+    rows = documents.select(
+        F.concat_ws("/", F.lit("landed"), "source", "doc_id", "form").alias("path"),
+        (F.col("form") == "archive.zip").alias("pack"),
+        content.cast("binary").alias("content"),
+    )
+    return packed(rows).select("path", "length", "content")
 
 
 @query(

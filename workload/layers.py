@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ribeira.operators.ledger import merge_entries, merged_status, run_entries
 from ribeira.plans.layers import LayerResult, discover_layers
+from workload.landing import packed
 from workload.links import DIRECT_ONLY, KEYWORDS, RANKED_SQL, SCORED_SQL, SOURCE, TOPK_SQL, page_rows
 from workload.registry import query, table
 
 # What became of a ranked link, by the length of its URL: no attempt, a failed transfer, an error status, HTML, an empty
-# file, no archive, or a file. Documents are cached files of the source named like their language.
+# file, no archive, or a file. Documents are cached for the source named like their language: as an archive of their lines, as
+# a table, and as one odd form by their id: hidden from the readers, empty, text that claims to be an archive, or of no accepted kind.
 OUTCOME = "length(url) % 7"
-CACHED = """CASE doc_id % 4 WHEN 0 THEN '_' WHEN 1 THEN 'e' ELSE 'f' END || doc_id || CASE doc_id % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.txt' ELSE '.csv' END"""
+ODD_FORM = "CASE doc_id % 4 WHEN 0 THEN '_hidden.zip' WHEN 1 THEN 'empty.zip' WHEN 2 THEN 'text.zip' ELSE 'notes.txt' END"
 LAYERS_SQL = f"""
 {RANKED_SQL.strip()},
 ranked AS ({TOPK_SQL[len(SCORED_SQL):]}),
@@ -22,9 +24,11 @@ reasons AS (
          CASE {OUTCOME} WHEN 1 THEN 'transport_error' WHEN 2 THEN 'http_error' WHEN 3 THEN 'html_response' WHEN 4 THEN 'missing_or_empty'
            WHEN 5 THEN 'not_a_zip' END AS reason FROM ranked),
 files AS (
-  SELECT lang AS source_id, 'cache/' || {CACHED} AS path, doc_id,
-         CASE WHEN doc_id % 4 = 1 THEN 'missing_or_empty' WHEN doc_id % 4 = 0 THEN 'not_read' WHEN doc_id % 3 = 0 THEN 'not_a_zip' END AS reason
-  FROM documents WHERE doc_id % 3 <> 1 AND lang <> 'de'),
+  SELECT lang AS source_id, 'cache/' || doc_id || '/' || form AS path,
+         CASE form WHEN '_hidden.zip' THEN 'not_read' WHEN 'empty.zip' THEN 'missing_or_empty' WHEN 'text.zip' THEN 'not_a_zip' END AS reason,
+         CASE form WHEN 'archive.zip' THEN length(text) - length(replace(text, chr(10), '')) + 1 ELSE 0 END AS members
+  FROM (SELECT *, unnest(['archive.zip', 'table.csv', {ODD_FORM}]) AS form FROM documents)
+  WHERE form <> 'notes.txt' AND lang <> 'de'),
 failed_pages AS (
   SELECT {SOURCE} AS source_id, url, CASE WHEN page_id % 5 = 0 THEN 'reset' ELSE 'HTTP 503' END AS message, page_id
   FROM pages WHERE page_id % 5 < 2 AND {SOURCE} <> 'de')
@@ -57,35 +61,41 @@ def run(spark: SparkSession, folder: str) -> LayerResult:
         F.when(outcome == 1, "timed out").alias("error"), F.when(outcome == 5, "not_a_zip").alias("file_reason"),
     )
     documents = table(spark, folder, "documents")
-    path = F.concat(F.lit("cache/"), F.expr(CACHED)).alias("path")
-    listed = documents.select(F.col("lang").alias("source_id"), path, F.when(F.col("doc_id") % 4 == 1, 0).otherwise(F.octet_length("text")).cast("bigint").alias("length"), "text", "doc_id")
-    read = listed.filter("doc_id % 4 > 1").select("source_id", "path", "length", F.col("text").cast("binary").alias("content"))
+    form = F.explode(F.array(F.lit("archive.zip"), F.lit("table.csv"), F.expr(ODD_FORM))).alias("form")
+    files = documents.select("doc_id", "lang", "text", form).select(
+        F.col("lang").alias("source_id"), F.concat_ws("/", F.lit("cache"), "doc_id", "form").alias("path"),
+        (F.col("form") == "archive.zip").alias("pack"), F.col("text").cast("binary").alias("content"),
+    )
+    unread = files.path.rlike("/(_hidden|empty)[.]zip$")
+    read = packed(files.filter(~unread))
+    listed = files.select("source_id", "path", F.when(files.path.endswith("empty.zip"), 0).otherwise(F.octet_length("content")).cast("bigint").alias("length"))
     page_log = rows.select(
         "source_id", "url", F.when(F.col("page_id") % 5 == 1, 503).when(F.col("page_id") % 5 > 1, 200).alias("http_status"),
         F.when(F.col("page_id") % 5 == 0, "reset").alias("error"),
     )
-    return discover_layers(pages, catalog, log, read, KEYWORDS, page_log=page_log, listing=listed.select("source_id", "path", "length"))
+    return discover_layers(pages, catalog, log, read, KEYWORDS, page_log=page_log, listing=listed)
 
 
 @query(
     "layers_job",
     LAYERS_SQL
     + """
-SELECT source_id, 'download' AS stage, url, CAST(NULL AS VARCHAR) AS path, CASE WHEN o = 0 THEN 'no attempt on record' ELSE reason END AS message
+SELECT source_id, 'download' AS stage, url, CAST(NULL AS VARCHAR) AS path, CASE WHEN o = 0 THEN 'no attempt on record' ELSE reason END AS message,
+       CAST(NULL AS INTEGER) AS members
 FROM reasons WHERE o < 6
-UNION ALL SELECT source_id, 'cache_validation', NULL, path, reason FROM files WHERE reason IS NOT NULL
-UNION ALL SELECT source_id, 'page', url, NULL, message FROM failed_pages
-UNION ALL SELECT source_id, 'downloaded', url, source_id || '/' || regexp_replace(regexp_extract(url, '([^/?#]+)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), NULL FROM reasons WHERE o = 6
-UNION ALL SELECT source_id, 'preserved', NULL, path, NULL FROM files WHERE reason IS NULL
+UNION ALL SELECT source_id, 'cache_validation', NULL, path, reason, NULL FROM files WHERE reason IS NOT NULL
+UNION ALL SELECT source_id, 'page', url, NULL, message, NULL FROM failed_pages
+UNION ALL SELECT source_id, 'downloaded', url, source_id || '/' || regexp_replace(regexp_extract(url, '([^/?#]+)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), NULL, NULL FROM reasons WHERE o = 6
+UNION ALL SELECT source_id, 'preserved', NULL, path, NULL, CAST(members AS INTEGER) FROM files WHERE reason IS NULL
 """,
 )
 def job(spark, folder) -> DataFrame:
-    """All that the job gave account of: errors of the three stages, downloads, and cached files that stay."""
+    """All that the job gave account of: errors of the three stages, downloads, and cached files that stay, with their number of members."""
     result = run(spark, folder)
-    errors = result.errors.select("source_id", "stage", "url", "path", "message")
+    errors = result.errors.select("source_id", "stage", "url", "path", "message", F.lit(None).cast("int").alias("members"))
     none = F.lit(None).cast("string")
-    kept = result.downloads.select("source_id", F.lit("downloaded").alias("stage"), "url", "path", none.alias("message"))
-    files = result.preserved.select("source_id", F.lit("preserved").alias("stage"), none.alias("url"), "path", none.alias("message"))
+    kept = result.downloads.select("source_id", F.lit("downloaded").alias("stage"), "url", "path", none.alias("message"), F.lit(None).cast("int").alias("members"))
+    files = result.preserved.select("source_id", F.lit("preserved").alias("stage"), none.alias("url"), "path", none.alias("message"), F.coalesce(F.array_size("members"), F.lit(0)).alias("members"))
     return errors.union(kept).union(files)
 
 
