@@ -32,10 +32,10 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in part.columns))
 
 
-def text_groups(batches: Iterable[pa.RecordBatch], size: int = 2 << 20) -> Iterator[list[tuple]]:
+def text_groups(batches: Iterable[pa.RecordBatch], size: int = 2 << 20, rows=rows_of) -> Iterator[list[tuple]]:
     """Rows ``(id, bytes, …)`` in lists that hold about ``size`` bytes of text."""
     group, total = [], 0
-    for row in rows_of(batches):
+    for row in rows(batches):
         group.append(row)
         total += len(row[1])
         if total >= size:

@@ -9,6 +9,8 @@ equal groups go on to the next digit; what is still together at the end is exact
   ``(WINDOW - GRAM) / 2`` bytes. Only anchors that occur twice go on (``repeated_anchors``).
 * For these, the text around an anchor, which holds all its windows, is dealt out by the anchor's hash. Occurrences in equal
   surroundings are settled as a whole. Of the others, the suffixes are sorted by digits of eight bytes (``radix_groups``).
+* Where anchors are dense, as in text that repeats after a few bytes, windows that equal one at most ``PERIOD`` bytes before them in
+  their text are settled at once, and only the others have anchors (``periodic``).
 * Whatever a task finds more than once in its own part of the corpus it settles there; one row stands for it in the shuffle. An
   anchor with over ``HOT`` occurrences is not gathered: its windows are dealt out singly, by their own content.
 
@@ -38,7 +40,12 @@ HOT = 5000
 PART = 8 << 20
 """Bytes of text in which a task looks for repetitions of its own."""
 STRETCH = 1 << 19
-PIECE = 1 << 22
+PIECE = 1 << 20
+PERIOD = 256
+BLOCK = 1024
+"""Windows among which over one anchor in eight is dense."""
+MANY = 300_000
+"""Anchors, windows or spans that a task holds before it passes them on."""
 LAST = 2**63 - 1
 PLACE_BITS = np.uint64(24)
 
@@ -104,54 +111,111 @@ def stretches(texts: list[tuple[int, bytes]]) -> Iterator[tuple[list[tuple[int,
         yield pieces, b"".join(joined)
 
 
+def periodic(codes: np.ndarray, where: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Marks windows that equal one at most ``PERIOD`` bytes before them in the same piece, in blocks with dense anchors.
+
+    ``where`` has the anchor of every window, ``begins`` the start of its piece.
+    """
+    found = np.zeros(len(where), bool)
+    fresh = np.r_[True, where[1:] != where[:-1]]
+    dense = np.add.reduceat(fresh, np.arange(0, len(fresh), BLOCK), dtype=np.int64) > BLOCK // 8
+    edges = np.flatnonzero(np.diff(np.r_[False, dense, False]))
+    for low, high in zip((edges[::2] * BLOCK).tolist(), np.minimum(edges[1::2] * BLOCK, len(where)).tolist()):
+        for step in range(1, PERIOD + 1):
+            start = max(low, step)
+            if start >= high or 16 * np.count_nonzero(found[low:high]) >= 15 * (high - low):
+                break
+            stop = high + WINDOW - 1
+            other = np.flatnonzero(codes[start:stop] != codes[start - step : stop - step])
+            first, last = np.r_[0, other + 1], np.r_[other, stop - start] - WINDOW
+            runs = np.flatnonzero(last >= first)
+            for a, b in zip((start + first[runs]).tolist(), (start + last[runs] + 1).tolist()):
+                found[a:b] |= begins[a:b] + step <= np.arange(a, b)
+    return found
+
+
 def anchors(texts: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each stretch: text index, anchor hash, anchor place, and first and last start of the windows that it serves."""
+    """For each stretch: text index, anchor hash, anchor place, and first and last start of the windows that it serves; then text index,
+    start and end of the spans that are settled for being periodic."""
     for pieces, data in stretches(texts):
         codes = np.frombuffer(data, np.uint8)
         hashes = gram_hashes(codes, GRAM)
         mixed = (hashes >> PLACE_BITS << PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
         least = sliding_least(mixed, WINDOW - GRAM + 1)
         where = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        del mixed, least
         sizes = np.array([size for _, _, size in pieces])
         ends = np.cumsum(sizes)
         real = np.ones(len(where), bool)
         for end in ends[:-1]:
             real[max(end - WINDOW + 1, 0) : end] = False
-        starts = np.flatnonzero(real)
+        settled = periodic(codes, where, np.repeat(ends - sizes, sizes)[: len(where)]) & real
+        shifts = np.array([at for _, at, _ in pieces]) - (ends - sizes)
+        indices = np.array([i for i, _, _ in pieces])
+        edges = np.flatnonzero(np.diff(np.r_[False, settled, False]))
+        low, till = edges[::2], edges[1::2] + WINDOW - 1
+        piece = np.searchsorted(ends, low, side="right")
+        spans = indices[piece], low + shifts[piece], till + shifts[piece]
+        starts = np.flatnonzero(real & ~settled)
         served = where[starts]
         first = np.flatnonzero(np.r_[True, (served[1:] != served[:-1]) | (np.diff(starts) != 1)])
         last = np.r_[first[1:] - 1, len(starts) - 1]
         p, low, high = served[first], starts[first], starts[last]
         piece = np.searchsorted(ends, low, side="right")
-        shift = np.array([at for _, at, _ in pieces])[piece] - (ends - sizes)[piece]
-        index = np.array([i for i, _, _ in pieces])[piece]
-        yield index, hashes[p].view(np.int64), p + shift, low + shift, high + shift
+        shift = shifts[piece]
+        yield indices[piece], hashes[p].view(np.int64), p + shift, low + shift, high + shift, *spans
 
 
 def parts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
     yield from text_groups(batches, PART)
 
 
+def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Rows ``doc, text, numbers``, the numbers as an array; null is empty."""
+    for batch in batches:
+        lists = batch.column(2)
+        for at in range(batch.num_rows):
+            numbers = lists[at].values
+            yield batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), np.zeros(0, np.int64) if numbers is None else numbers.to_numpy(zero_copy_only=False)
+
+
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per anchor hash and part of the corpus, with all its occurrences there."""
+    """One row per anchor hash and part of the corpus, with all its occurrences there.
+
+    A text with periodic spans also has a row of its own, at place -1 and counted twice, so that it is read again.
+    """
     for part in parts_of(batches):
-        found = list(anchors([row[:2] for row in part]))
-        if not found:
-            continue
         ids = np.array([row[0] for row in part], np.int64)
-        index, k, p = (np.concatenate([f[i] for f in found]) for i in range(3))
-        order = np.argsort(k, kind="stable")
-        k, doc, p = k[order], ids[index[order]], p[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        count = np.diff(np.r_[first, len(k)])
-        more: list[bytes | None] = [None] * len(first)
-        for i in np.flatnonzero(count > 1).tolist():
-            rest = slice(first[i] + 1, first[i] + count[i])
-            more[i] = np.column_stack([doc[rest], p[rest]]).tobytes()
-        columns = [k[first], count, doc[first], p[first], more]
-        for low in range(0, len(first), 50_000):
-            cut = slice(low, low + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(c[cut], f.type) for c, f in zip(columns, ANCHORS)], schema=ANCHORS)
+        found, held = [], 0
+        for stretch in anchors([row[:2] for row in part]):
+            found.append(stretch)
+            held += len(stretch[0])
+            if held >= MANY:
+                yield from _gathered(found, ids)
+                found, held = [], 0
+        if found:
+            yield from _gathered(found, ids)
+
+
+def _gathered(found: list[tuple[np.ndarray, ...]], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    index, k, p = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.argsort(k, kind="stable")
+    k, doc, p = k[order], ids[index[order]], p[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    count = np.diff(np.r_[first, len(k)])
+    more: list[bytes | None] = [None] * len(first)
+    for i in np.flatnonzero(count > 1).tolist():
+        rest = slice(first[i] + 1, first[i] + count[i])
+        more[i] = np.column_stack([doc[rest], p[rest]]).tobytes()
+    again = np.unique(ids[np.concatenate([f[5] for f in found])])
+    own = np.array([signed(xxhash.xxh64_intdigest(b"%d" % d)) for d in again.tolist()], np.int64)
+    columns = [
+        np.r_[k[first], own], np.r_[count, np.full(len(own), 2)], np.r_[doc[first], again], np.r_[p[first], np.full(len(own), -1)],
+        more + [None] * len(own),
+    ]
+    for low in range(0, len(columns[0]), 50_000):
+        cut = slice(low, low + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(c[cut], f.type) for c, f in zip(columns, ANCHORS)], schema=ANCHORS)
 
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,38 +278,62 @@ def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ``off`` is the anchor's place in ``ctx``, -1 for a single window, and -2 less its length for a span from ``p`` on that is settled.
     """
     out = Emitter(SUFFIXES)
-    for part in parts_of(batches):
-        known: dict[tuple, tuple] = {}
-        windows: dict[bytes, tuple] = {}
-        settled: list[tuple[int, int, int]] = []
-
-        def first(seen: dict, key, doc: int, p: int, low: int, till: int) -> None:
-            """Keeps the earliest occurrence, and settles the others."""
-            had = seen.setdefault(key, (doc, p, low, till))
-            if (doc, p) < had[:2]:
-                seen[key] = (doc, p, low, till)
-                settled.append((had[0], had[2], had[3]))
-            elif (doc, p) > had[:2]:
-                settled.append((doc, low, till))
-
-        for index, k, p, low, high in anchors([row[:2] for row in part]):
-            for i in np.unique(index).tolist():
-                doc, text, places = part[i]
-                mine = np.flatnonzero(index == i) if len(part) > 1 else np.arange(len(index))
-                flags = dict(divmod(x, 2) for x in places)
-                for at in mine[np.isin(p[mine], np.fromiter(flags, np.int64, len(flags)))].tolist():
-                    a, b, q = int(low[at]), int(high[at]) + WINDOW, int(p[at])
-                    first(known, (int(k[at]), q - a, text[a:b], flags[q]), doc, q, a, b)
+    known: dict[tuple, tuple] = {}
+    windows: dict[bytes, tuple] = {}
+    settled: list[tuple[int, int, int]] = []
+
+    def first(seen: dict, key, doc: int, p: int, low: int, till: int) -> None:
+        """Keeps the earliest occurrence, and settles the others."""
+        had = seen.setdefault(key, (doc, p, low, till))
+        if (doc, p) < had[:2]:
+            seen[key] = (doc, p, low, till)
+            settled.append((had[0], had[2], had[3]))
+        elif (doc, p) > had[:2]:
+            settled.append((doc, low, till))
+
+    def pass_windows() -> Iterator[pa.RecordBatch]:
+        for ctx, (doc, p, _, _) in windows.items():
+            yield from out.add((signed(xxhash.xxh64_intdigest(ctx)), -1, ctx, doc, p), 160)
+        windows.clear()
+
+    def pass_settled() -> Iterator[pa.RecordBatch]:
+        for doc, low, till in joined_spans(settled):
+            yield from out.add((signed(xxhash.xxh64_intdigest(b"%d %d" % (doc, low))), -2 - (till - low), None, doc, low), 60)
+        settled.clear()
+
+    def pass_known() -> Iterator[pa.RecordBatch]:
         for (k, off, ctx, hot), (doc, p, low, _) in known.items():
             if hot:
                 for t in range(len(ctx) - WINDOW + 1):
                     first(windows, ctx[t : t + WINDOW], doc, low + t, low + t, low + t + WINDOW)
+                if len(windows) >= MANY:
+                    yield from pass_windows()
             else:
                 yield from out.add((k, off, ctx, doc, p), len(ctx) + 60)
-        for ctx, (doc, p, _, _) in windows.items():
-            yield from out.add((signed(xxhash.xxh64_intdigest(ctx)), -1, ctx, doc, p), 160)
-        for doc, low, till in joined_spans(settled):
-            yield from out.add((signed(xxhash.xxh64_intdigest(b"%d %d" % (doc, low))), -2 - (till - low), None, doc, low), 60)
+        known.clear()
+        yield from pass_windows()
+
+    for part in text_groups(batches, PART, numbered):
+        flags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for index, k, p, low, high, *spans in anchors([row[:2] for row in part]):
+            settled.extend((part[i][0], a, b) for i, a, b in zip(*(x.tolist() for x in spans)))
+            for i in np.unique(index).tolist():
+                doc, text, places = part[i]
+                if i not in flags:
+                    flags = {i: np.divmod(np.sort(places), 2)}
+                repeated, hot = flags[i]
+                mine = np.arange(*np.searchsorted(index, [i, i + 1]))
+                at = np.minimum(np.searchsorted(repeated, p[mine]), len(repeated) - 1)
+                same = repeated[at] == p[mine]
+                for j, h in zip(mine[same].tolist(), hot[at[same]].tolist()):
+                    a, b, q = int(low[j]), int(high[j]) + WINDOW, int(p[j])
+                    first(known, (int(k[j]), q - a, text[a:b], h), doc, q, a, b)
+            if len(known) >= MANY:
+                yield from pass_known()
+            if len(settled) >= MANY:
+                yield from pass_settled()
+        yield from pass_known()
+        yield from pass_settled()
     yield from out.flush()
 
 
@@ -360,9 +448,13 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes, list[tuple[int, int]]]]:
-    for doc, text, packed in rows_of(batches):
-        spans = [(0, x >> 31, (x >> 31) + (x & (1 << 31) - 1)) for x in packed or ()]
-        cut = [(low, min(till, len(text))) for _, low, till in joined_spans(spans) if low < len(text)]
+    for doc, text, packed in numbered(batches):
+        packed = np.sort(packed)
+        low = packed >> 31
+        till = np.minimum(np.maximum.accumulate(low + (packed & (1 << 31) - 1)), len(text))
+        low, till = low[low < len(text)], till[low < len(text)]
+        fresh = np.flatnonzero(np.r_[True, low[1:] > till[:-1]]) if len(low) else np.zeros(0, np.int64)
+        cut = list(zip(low[fresh].tolist(), till[np.r_[fresh[1:], len(low)] - 1].tolist())) if len(low) else []
         yield None if doc == LAST else doc, text, cut
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import multiprocessing
 import random
+import resource
 
 import pyarrow as pa
 import pytest
@@ -57,6 +59,9 @@ def test_steps_against_brute_force(monkeypatch, seed):
     monkeypatch.setattr(S, "PART", draw.choice([500, 3000, 1 << 20]))
     monkeypatch.setattr(S, "STRETCH", draw.choice([200, 1000, 1 << 19]))
     monkeypatch.setattr(S, "PIECE", draw.choice([150, 400, 1 << 22]))
+    monkeypatch.setattr(S, "BLOCK", draw.choice([8, 64, 1024]))
+    monkeypatch.setattr(S, "PERIOD", draw.choice([1, 7, 256]))
+    monkeypatch.setattr(S, "MANY", draw.choice([1, 20, 300_000]))
     alphabet = [b"ab", b"abcdefgh", bytes(range(256)), b"a"][seed % 4]
     blob = lambda n: bytes(draw.choice(alphabet) for _ in range(n))
     passages = [blob(draw.randrange(90, 400)) for _ in range(4)]
@@ -88,3 +93,39 @@ def test_repeated_ids_count_as_one_document(documents):
 
 def test_empty_table(documents):
     assert S.repeats(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_periodic_texts_against_brute_force(monkeypatch, seed):
+    draw = random.Random(seed)
+    monkeypatch.setattr(S, "BLOCK", draw.choice([16, 128, 1024]))
+    monkeypatch.setattr(S, "PIECE", draw.choice([300, 2000, 1 << 20]))
+    units = [b"a", b"ab", b"a" * 60 + b"b", bytes(draw.randrange(97, 110) for _ in range(30)), bytes(draw.randrange(256) for _ in range(130))]
+    text = lambda: b"".join(draw.choice(units) * draw.randrange(1, 60) + draw.choice([b"", b"x", b"#-#"]) for _ in range(draw.randrange(1, 5)))
+    rows = [(d, text()) for d in range(8)]
+    assert steps(rows, 2) == brute(rows)
+
+
+def test_anchors_of_periodic_text_are_few():
+    for unit in (b"a", b"ab", bytes(range(30)), b"a" * 60 + b"b", bytes(range(200))):
+        text = unit * (1_000_000 // len(unit))
+        assert sum(len(found[0]) for found in S.anchors([(1, text)])) < len(text) / 20
+
+
+def _long_periodic(unit, size, pipe):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    rows = [(1, (unit * (size // len(unit) + 1))[:size])]
+    pipe.send((steps(rows, 1)[1][:4], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10))
+
+
+@pytest.mark.parametrize("unit", [b"a", b"ab", bytes(range(65, 95))])
+def test_memory_of_a_long_periodic_text(unit):
+    """All windows but those of the first period go; the row and its copies are 32 MB each."""
+    size = 32 << 20
+    here, there = multiprocessing.get_context("spawn").Pipe()
+    child = multiprocessing.get_context("spawn").Process(target=_long_periodic, args=(unit, size, there))
+    child.start()
+    result, grown = here.recv()
+    child.join()
+    assert result == (1, size, size - len(unit), 1)
+    assert grown < 600
