@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ribeira.fixed import MAX_BYTES
-from ribeira.functions.urls import file_suffix, url_promises_data
+from ribeira.functions.urls import file_suffix
 from ribeira.operators.quality import unique_by
+from ribeira.operators.url_parts import PARTS, promises_data, split_url
 
 ABSENT = "missing_or_empty"
 TRANSPORT_ERROR, HTTP_ERROR, NOT_FETCHED, NOT_READ = "transport_error", "http_error", "not_fetched", "not_read"
@@ -135,14 +136,15 @@ def landing_accept(fetch_log: DataFrame, catalog: DataFrame, max_bytes: int = MA
         F.when(told("error").isNotNull(), TRANSPORT_ERROR)
         .when(~told("http_status").cast("int").between(200, 299), HTTP_ERROR)
         .when(content_type.contains("text/html"), "html_response")
-        .when(~F.coalesce(url_promises_data(F.col("resolved_url")), F.lit(False)), "no_data_extension")
+        .when(~F.coalesce(promises_data(), F.lit(False)), "no_data_extension")
         .when(F.col("content_length") > max_bytes, "declared_size_over_limit")
         .when(F.col("bytes") > max_bytes, "size_over_limit")
         .when(F.col("bytes") == 0, ABSENT)
         .when(told("file_reason").isNotNull(), told("file_reason").cast("string"))
         .when((F.col("expected_sha256") != "") & ~F.col("sha256").eqNullSafe(F.col("expected_sha256")), "checksum_mismatch")
     )
-    return fetch_log.join(expected, "source_id", "left").withColumn("reject_reason", reason).drop("expected_sha256")
+    told_apart = split_url(fetch_log.join(expected, "source_id", "left"), "resolved_url")
+    return told_apart.withColumn("reject_reason", reason).drop("expected_sha256", PARTS)
 
 
 def settle_attempts(judged: DataFrame) -> DataFrame:

@@ -18,18 +18,17 @@ from ribeira.fixed import (
     SCORE_TERM,
     SOURCE_KEYWORDS,
 )
-from ribeira.functions.sql import evaluate, let, text, texts
+from ribeira.functions.sql import text, texts
 from ribeira.functions.urls import (
     ends_in_data_extension,
     file_suffix,
     link_names,
     page_links,
     path_name,
-    url_candidate,
-    url_output_format,
 )
 from ribeira.operators.keywords import count_terms
 from ribeira.operators.quality import unique_by
+from ribeira.operators.url_parts import PARTS, is_candidate, split_url
 
 
 def extract_links(pages: DataFrame, html: str = "html", base: str = "url", link: str = "link") -> DataFrame:
@@ -64,32 +63,32 @@ def link_score(links: DataFrame, keywords: Mapping[str, Sequence[str]] | DataFra
     The keyword table is configuration, so it goes into the plan as a constant map. No join is
     needed: rows stay where they are, whatever share of them one source holds, and no link is
     multiplied by its terms. A table of keywords (source_id, term) that is too large for that is joined by rare grams instead. The
-    extension is looked for at the end of the whole URL here, unlike in ``url_candidate``.
+    extension is looked for at the end of the whole URL here, unlike in ``is_candidate``. Links that ``split_url`` has taken apart stay so.
     """
     if isinstance(keywords, DataFrame):
         counted = link_score(count_terms(links, keywords, "__found"), {})
         return counted.withColumn("score", F.col("score") + SCORE_TERM * F.col("__found")).drop("__found")
     table = ", ".join(f"{text(source)}, array({texts(terms)})" for source, terms in keywords.items())
-    terms = f"coalesce(try_element_at(map({table}), arg.source), array())" if table else "array()"
+    terms = f"coalesce(try_element_at(map({table}), source_id), array())" if table else "array()"
     points = (
-        f"{SCORE_TERM} * size(filter({terms}, term -> contains(low, term)))"
-        f" + if({ends_in_data_extension('low')}, {SCORE_EXTENSION}, 0)"
-        f" + if(contains(low, 'request=getfeature'), {SCORE_FEATURE_REQUEST}, 0)"
-        f" + if(contains(low, 'gov.br'), {SCORE_GOVERNMENT}, 0)"
+        f"{SCORE_TERM} * size(filter({terms}, term -> contains(__low, term)))"
+        f" + if({ends_in_data_extension('__low')}, {SCORE_EXTENSION}, 0)"
+        f" + if(contains(__low, 'request=getfeature'), {SCORE_FEATURE_REQUEST}, 0)"
+        f" + if(contains(__low, 'gov.br'), {SCORE_GOVERNMENT}, 0)"
     )
-    requested = F.when(url_output_format(F.col("url")).isNotNull(), SCORE_FORMAT).otherwise(0)
-    named = evaluate(let("low", "lower(arg.url)", points), url=F.col("url"), source=F.col("source_id"))
-    return links.withColumn("score", named + requested)
+    requested = F.when(F.col(f"{PARTS}.extension").isNotNull(), SCORE_FORMAT).otherwise(0)
+    scored = split_url(links).withColumn("__low", F.lower("url")).withColumn("score", F.expr(points) + requested).drop("__low")
+    return scored if PARTS in links.columns else scored.drop(PARTS)
 
 
 def topk_links(scored: DataFrame, k: int = MAX_CANDIDATES, min_score: int = MIN_SCORE) -> DataFrame:
     """The best ``k`` candidate links per source, by score and then by URL, with their ``rank``.
 
     Weak links are filtered first. The rank limit runs within each task before the shuffle
-    (WindowGroupLimit), so at most ``k`` rows per source and task travel, however large a source is.
+    (WindowGroupLimit), so at most ``k`` rows per source and task travel, however large a source is. What ``split_url`` made is dropped.
     """
     best = Window.partitionBy("source_id").orderBy(F.col("score").desc(), F.col("url"))
-    wanted = scored.filter((F.col("score") >= min_score) & url_candidate(F.col("url")))
+    wanted = split_url(scored.filter(F.col("score") >= min_score)).filter(is_candidate()).drop(PARTS)
     return wanted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ribeira import fixed
-from ribeira.functions.urls import file_suffix, safe_filename
+from ribeira.functions.urls import file_suffix
 from ribeira.operators.filters import eligible_sources
 from ribeira.operators.joins import require_unique
 from ribeira.operators.landing import (
@@ -30,6 +30,7 @@ from ribeira.operators.landing import (
 )
 from ribeira.operators.ledger import ENTRY, merge_entries, merged_status, run_entries
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, registered_links, topk_links
+from ribeira.operators.url_parts import split_url, with_file_name
 from ribeira.session import materialize
 from ribeira.sources.files import content_digest
 from ribeira.sources.publication import Run, committed_runs
@@ -48,7 +49,7 @@ def rank_links(
     sources = eligible_sources(catalog, fixed.BOUNDARY_SOURCE)
     found = extract_links(pages)
     links = links_union(found.select("source_id", F.col("link").alias("url")), registered_links(sources), sources)
-    return topk_links(link_score(links, keywords), k)
+    return topk_links(link_score(split_url(links), keywords), k)
 
 
 def inspect_cache(cached: DataFrame, catalog: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -153,8 +154,8 @@ def discover_layers(
         # the pages of sources that are limited to their registered links are not asked for
         asked = sources.filter(~F.coalesce(F.col("direct_urls_only"), F.lit(False))).select("source_id")
         errors.append(page_errors(page_log.join(asked, "source_id", "left_semi")))
-    name = safe_filename(F.col("resolved_url"), F.concat(F.lit("candidate_"), F.col("rank")))
-    downloads = accepted(fetched).withColumn("path", F.concat_ws("/", "source_id", name))
+    named = with_file_name(accepted(fetched), "__file", F.concat(F.lit("candidate_"), F.col("rank")), "resolved_url")
+    downloads = named.withColumn("path", F.concat_ws("/", "source_id", "__file")).drop("__file")
     kept = kept_files(judged)
     errors = error_log(*errors)
     status = source_status(sources, links, downloads, kept, errors)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribeira.functions.urls import resolve_link, safe_filename, url_candidate, url_output_format
+from ribeira.functions.urls import resolve_link
 from ribeira.operators.filters import eligible_sources
 from ribeira.operators.keywords import keyword_join
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, topk_links
+from ribeira.operators.url_parts import is_candidate, split_url, with_file_name
 from ribeira.plans.layers import rank_links
 from workload.registry import query, table
 
@@ -83,12 +84,12 @@ def resolved(spark, folder):
 
 @query("url_output_format", FOUND_SQL + f"SELECT page_id, url, {FORMAT_SQL} AS extension FROM links")
 def formats(spark, folder):
-    return decorated(spark, folder).select("page_id", "url", url_output_format(F.col("url")).alias("extension"))
+    return split_url(decorated(spark, folder)).select("page_id", "url", "url_parts.extension")
 
 
 @query("url_candidate", FOUND_SQL + f"SELECT page_id, url, {CANDIDATE_SQL} AS candidate FROM links")
 def candidates(spark, folder):
-    return decorated(spark, folder).select("page_id", "url", url_candidate(F.col("url")).alias("candidate"))
+    return split_url(decorated(spark, folder)).select("page_id", "url", is_candidate().alias("candidate"))
 
 
 @query(
@@ -104,7 +105,7 @@ SELECT page_id, url, regexp_replace(CASE
 )
 def file_names(spark, folder):
     fallback = F.concat(F.lit("page_"), F.col("page_id"))
-    return decorated(spark, folder).select("page_id", "url", safe_filename(F.col("url"), fallback).alias("file_name"))
+    return with_file_name(decorated(spark, folder), "file_name", fallback).select("page_id", "url", "file_name")
 
 
 @query(
