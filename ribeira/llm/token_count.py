@@ -10,7 +10,8 @@ If no piece has U+2581 behind another character, a path always has a border befo
 worked through run by run, and a worker remembers the runs it has met (up to ``REMEMBERED``); this changes no result. Scores
 are added as 64-bit floats; whole-numbered scores, as in the default vocabulary, thus add up exactly.
 
-Defined cases: a null or empty text has no tokens and score 0. Long texts are worked through run by run. Repeated rows
+Defined cases: a null or empty text has no tokens and score 0. Long texts are worked through run by run, and of a run, however
+long, only as many positions are held as the longest piece has characters. Repeated rows
 give repeated results, an empty table an empty one; columns other than ``doc_id`` and ``text`` are not read.
 """
 
@@ -52,15 +53,18 @@ class Counter:
         for piece, score in scores.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        ring = 1 << max(map(len, scores)).bit_length()  # more positions than the longest piece has characters
+        self.best, self.count_at, self.mask = [0.0] * ring, [0] * ring, ring - 1
         self.unknown = min(scores.values()) - UNKNOWN_PENALTY
         parted = all(BLANK not in piece.lstrip(BLANK) for piece in scores)
         self.runs = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if parted else "(?s:.+)")
         self.known: dict[str, tuple[int, float]] = {}
 
     def viterbi(self, text: str) -> tuple[int, float]:
-        """Tokens and score of the best path."""
-        size = len(text)
-        best, count = [0.0] * (size + 1), [0] * (size + 1)
+        """Tokens and score of the best path. Positions lie in a ring: a piece starts at most its own length before its end."""
+        size, mask = len(text), self.mask
+        best, count = self.best, self.count_at
+        best[0], count[0] = 0.0, 0
         at, top, tokens, single = 0, None, 0, False
         unknown = self.unknown
 
@@ -68,10 +72,10 @@ class Counter:
             """Settles the best way to ``end``; the unknown character is the candidate with the latest start."""
             nonlocal top, tokens
             if not single:
-                score = best[end - 1] + unknown
+                score = best[end - 1 & mask] + unknown
                 if top is None or score > top:
-                    top, tokens = score, count[end - 1] + len(text[end - 1].encode())
-            best[end], count[end] = top, tokens
+                    top, tokens = score, count[end - 1 & mask] + len(text[end - 1].encode())
+            best[end & mask], count[end & mask] = top, tokens
 
         for last, (length, piece_score) in self.automaton.iter(text):
             end = last + 1
@@ -83,7 +87,7 @@ class Counter:
                 if at:
                     close(at)
                 at, top, single = end, None, False
-            start = end - length
+            start = end - length & mask
             score = best[start] + piece_score
             if top is None or score > top:
                 top, tokens = score, count[start] + 1
@@ -95,7 +99,7 @@ class Counter:
             at, top, single = at + 1, None, False
         if size:
             close(size)
-        return count[size], best[size]
+        return count[size & mask], best[size & mask]
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
