@@ -8,7 +8,7 @@ whole as ``response``; the others are ``revisit`` records that name it and keep
 ``read_archives`` takes every archive apart by the lengths in its headers, checks each payload against its digest, and
 gives one capture run per archive, sorted by URL key, timestamp and page. ``merge_runs`` deals these runs out by key
 range and merges the pieces of each range with a loser tree, outside memory: every run's piece lies in a temporary file
-of the task, and only one block of each is held. ``(index_part, index_pos)`` is the global order.
+of the task, and only a few blocks of each are held, fewer the more runs there are. ``(index_part, index_pos)`` is the global order.
 
 Defined cases: a null payload is empty; a null or empty URL gives an empty target and the first key. A null ``page_id``
 revisits the largest page of equal payload, and is a response where that has none. Rows that repeat the largest ``page_id``
@@ -35,7 +35,11 @@ from ribeira.session import materialize, work_dir
 
 ARCHIVE_BYTES = 32 << 20
 """Aimed-at size of an archive; a reader holds one archive at a time."""
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 128
+BLOCKS = 16
+"""Blocks of a run that a merge holds at most."""
+HELD_ROWS = 500_000
+"""Rows of all runs that a merge holds, where one block of each is no more than that."""
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 
@@ -202,18 +206,20 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Run:
-    """A sorted run in a file, read block by block."""
+    """A sorted run in a file, read ``blocks`` blocks at a time."""
 
-    def __init__(self, file, places: list[tuple[int, int]]):
-        self.file, self.places, self.next, self.block, self.at = file, places, 0, [], 0
+    def __init__(self, file, places: list[tuple[int, int]], blocks: int = 1):
+        self.file, self.places, self.blocks, self.next, self.block, self.at = file, places, blocks, 0, [], 0
 
     def head(self) -> tuple | None:
         if self.at == len(self.block):
-            if self.next == len(self.places):
+            if self.next >= len(self.places):
                 return None
-            self.file.seek(self.places[self.next][0])
-            self.block, self.at = pickle.loads(self.file.read(self.places[self.next][1])), 0
-            self.next += 1
+            self.block, self.at = [], 0
+            for start, size in self.places[self.next : self.next + self.blocks]:
+                self.file.seek(start)
+                self.block += pickle.loads(self.file.read(size))
+            self.next += self.blocks
         return self.block[self.at]
 
 
@@ -262,7 +268,8 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places.setdefault(rows[low][8], []).append((file.seek(0, 2), len(data)))
                 file.write(data)
                 low = high
-        for pos, row in enumerate(loser_tree([Run(file, p) for p in places.values()])):
+        blocks = min(BLOCKS, max(1, HELD_ROWS // (BLOCK_ROWS * max(1, len(places)))))
+        for pos, row in enumerate(loser_tree([Run(file, p, blocks) for p in places.values()])):
             yield from out.add((*row, part, pos), 300)
     yield from out.flush()
 
@@ -273,9 +280,19 @@ def merge_runs(captures: DataFrame) -> DataFrame:
     return ranges.sortWithinPartitions("archive", "seq").mapInArrow(_merge, INDEX_DDL)
 
 
+def capture_time(page_id: Column) -> Column:
+    """A second of the year 2024 that depends on the page, in any session's time zone; null for a null page."""
+    second = F.pmod(F.pmod(page_id, F.lit(366 * 86400)) * 7919, F.lit(366 * 86400)).cast("int")
+    of_day = second % 86400
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(second / 86400).cast("int")).cast("string")
+    time = F.format_string("%sT%02d:%02d:%02dZ", day, F.floor(of_day / 3600), F.floor(of_day % 3600 / 60), of_day % 60)
+    return F.when(page_id.isNotNull(), time)
+
+
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages have no date of their own, so each is captured at a time that its id gives."""
     path = work_dir(spark, "warc")
-    write_archives(read(spark, folder, "pages"), path)
+    write_archives(read(spark, folder, "pages"), path, captured_at=capture_time(F.col("page_id")))
     index = merge_runs(materialize(read_archives(spark, path), "captures"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

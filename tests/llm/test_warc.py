@@ -1,10 +1,13 @@
 import base64
 import hashlib
 import os
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from ribeira.llm.warc import Run, loser_tree, merge_runs, parse, read_archives, read_payloads, url_key, write_archives
+from ribeira.llm import warc
+from ribeira.llm.warc import Run, capture_time, loser_tree, merge_runs, parse, read_archives, read_payloads, url_key, write_archives
 
 PAGES = [
     (1, "http://b.example/x#f", "<p>same</p>"), (2, "https://A.example:443/y?q=1", "<p>same</p>"), (3, None, None), (4, "", ""),
@@ -59,6 +62,37 @@ def test_index_is_in_global_order(spark, archives):
     assert len({r.archive for r in rows}) > 1
 
 
+def test_histories_of_urls_come_in_order_of_time(spark, tmp_path):
+    """Thirty URLs captured many times each, over many archives, merged in small key ranges."""
+    rows = [(i, f"http://h{i * 7 % 3}.example/{i * 11 % 10}", f"text {i % 40}") for i in range(900)] + [(None, "http://h0.example/0", "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    write_archives(pages, f"file://{tmp_path}/t", captured_at=capture_time(F.col("page_id")), archive_bytes=50_000)
+    got = merge_runs(read_archives(spark, f"file://{tmp_path}/t")).orderBy("index_part", "index_pos").collect()
+
+    def second(page_id):
+        return datetime(2024, 1, 1) + timedelta(seconds=page_id * 7919 % (366 * 86400))
+
+    times = {p: "1970-01-01T00:00:00Z" if p is None else second(p).strftime("%Y-%m-%dT%H:%M:%SZ") for p, _, _ in rows}
+    want = sorted((url_key(u), times[p], p is not None, p or 0) for p, u, _ in rows)
+    assert [(r.url_key, r.captured_at, r.page_id is not None, r.page_id or 0) for r in got] == want
+    assert len({r.archive for r in got}) > 4 and len({r.captured_at for r in got}) > 800
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 16])
+def test_runs_are_read_some_blocks_at_a_time(tmp_path, blocks):
+    with open(tmp_path / "runs", "w+b") as file:
+        runs, want = [], []
+        for i in range(5):
+            rows, places = sorted((i * 7 + j * 3) % 50 for j in range(i * 9)), []
+            for low in range(0, len(rows), 4):
+                data = warc.pickle.dumps(rows[low : low + 4])
+                places.append((file.seek(0, 2), len(data)))
+                file.write(data)
+            runs.append(Run(file, places, blocks))
+            want += rows
+        assert list(loser_tree(runs, key=lambda x: x)) == sorted(want)
+
+
 def test_records_stand_where_the_index_says(spark, archives):
     for r in read_archives(spark, archives).collect():
         with open(r.archive.removeprefix("file:"), "rb") as file:
