@@ -111,26 +111,35 @@ def stretches(texts: list[tuple[int, bytes]]) -> Iterator[tuple[list[tuple[int,
         yield pieces, b"".join(joined)
 
 
-def periodic(codes: np.ndarray, where: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def periodic(codes: np.ndarray, where: np.ndarray, real: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Marks windows that equal one at most ``PERIOD`` bytes before them in the same piece, in blocks with dense anchors.
 
-    ``where`` has the anchor of every window, ``begins`` the start of its piece.
+    ``where`` has the anchor of every window, ``real`` marks those within a piece. Blocks are counted from the start of a piece, so that
+    what is marked depends on the piece alone, whatever lies beside it.
     """
     found = np.zeros(len(where), bool)
     fresh = np.r_[True, where[1:] != where[:-1]]
-    dense = np.add.reduceat(fresh, np.arange(0, len(fresh), BLOCK), dtype=np.int64) > BLOCK // 8
-    edges = np.flatnonzero(np.diff(np.r_[False, dense, False]))
-    for low, high in zip((edges[::2] * BLOCK).tolist(), np.minimum(edges[1::2] * BLOCK, len(where)).tolist()):
+    fresh[begins] = True
+    counts = -(-(ends - begins - WINDOW + 1) // BLOCK)
+    owner = np.repeat(np.arange(len(begins)), counts)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = begins[owner] + inside * BLOCK
+    dense = np.flatnonzero(np.add.reduceat(fresh & real, starts, dtype=np.int64) > BLOCK // 8)
+    if not len(dense):
+        return found
+    first = np.r_[True, (np.diff(dense) != 1) | (np.diff(owner[dense]) != 0)]
+    last = np.r_[first[1:], True]
+    for piece, low, high in zip(owner[dense[first]].tolist(), starts[dense[first]].tolist(), (starts[dense[last]] + BLOCK).tolist()):
+        high = min(high, int(ends[piece]) - WINDOW + 1)
         for step in range(1, PERIOD + 1):
-            start = max(low, step)
+            start, stop = max(low, int(begins[piece]) + step), high + WINDOW - 1
             if start >= high or 16 * np.count_nonzero(found[low:high]) >= 15 * (high - low):
                 break
-            stop = high + WINDOW - 1
             other = np.flatnonzero(codes[start:stop] != codes[start - step : stop - step])
-            first, last = np.r_[0, other + 1], np.r_[other, stop - start] - WINDOW
-            runs = np.flatnonzero(last >= first)
-            for a, b in zip((start + first[runs]).tolist(), (start + last[runs] + 1).tolist()):
-                found[a:b] |= begins[a:b] + step <= np.arange(a, b)
+            at, till = np.r_[0, other + 1], np.r_[other, stop - start] - WINDOW
+            runs = np.flatnonzero(till >= at)
+            for a, b in zip((start + at[runs]).tolist(), (start + till[runs] + 1).tolist()):
+                found[a:b] = True
     return found
 
 
@@ -149,7 +158,7 @@ def anchors(texts: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         real = np.ones(len(where), bool)
         for end in ends[:-1]:
             real[max(end - WINDOW + 1, 0) : end] = False
-        settled = periodic(codes, where, np.repeat(ends - sizes, sizes)[: len(where)]) & real
+        settled = periodic(codes, where, real, ends - sizes, ends)
         shifts = np.array([at for _, at, _ in pieces]) - (ends - sizes)
         indices = np.array([i for i, _, _ in pieces])
         edges = np.flatnonzero(np.diff(np.r_[False, settled, False]))

@@ -104,6 +104,20 @@ def test_periodic_texts_against_brute_force(monkeypatch, seed):
     text = lambda: b"".join(draw.choice(units) * draw.randrange(1, 60) + draw.choice([b"", b"x", b"#-#"]) for _ in range(draw.randrange(1, 5)))
     rows = [(d, text()) for d in range(8)]
     assert steps(rows, 2) == brute(rows)
+    # texts that are not read again lie between them
+    rows += [(d, bytes(draw.randrange(256) for _ in range(draw.randrange(100, 900)))) for d in range(8, 40)]
+    draw.shuffle(rows)
+    assert steps(rows, 2) == brute(rows)
+
+
+def test_what_is_periodic_depends_on_the_text_alone():
+    draw = random.Random(3)
+    text = (b"ab" * 300 + b"cdefgh" * 80 + b"x" * 700) * 3
+    spans = lambda found, of: [(int(a), int(b)) for f in found for i, a, b in zip(*f[5:]) if i == of]
+    alone = spans(S.anchors([(1, text)]), 0)
+    assert alone
+    for n in (100, 130, 777, 2000):
+        assert spans(S.anchors([(0, bytes(draw.randrange(256) for _ in range(n))), (1, text), (2, b"a" * 500)]), 1) == alone
 
 
 def test_anchors_of_periodic_text_are_few():
