@@ -28,7 +28,7 @@ from ribeira.operators.landing import (
     unfetched_errors,
     unread_files,
 )
-from ribeira.operators.ledger import ENTRY, merge_entries, merged_status, run_entries
+from ribeira.operators.ledger import COUNTED_ENTRY, merge_entries, merged_status, run_entries
 from ribeira.operators.links import allowlist_semi, extract_links, link_score, links_union, registered_links, topk_links
 from ribeira.operators.url_parts import split_url, with_file_name
 from ribeira.session import materialize
@@ -116,7 +116,7 @@ def status_over_runs(spark: SparkSession, out: str, sources: DataFrame) -> DataF
     """
     tables = committed_runs(spark, out).select(F.explode("tables").alias("t")).filter("t.name = 'entries'")
     paths = [row["path"] for row in tables.select("t.path").collect()]
-    entries = spark.read.schema(ENTRY).parquet(*paths) if paths else spark.createDataFrame([], ENTRY)
+    entries = spark.read.schema(COUNTED_ENTRY).parquet(*paths) if paths else spark.createDataFrame([], COUNTED_ENTRY)
     return merged_status(sources, merge_entries(entries))
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ribeira.operators.ledger import ENTRY, merge_entries, merged_status
+from ribeira.operators.ledger import ENTRY, merge_entries, merged_status, run_entries
 from ribeira.plans.layers import discover_layers, status_over_runs
 from ribeira.sources.manifest import catalog_table
 
@@ -81,6 +81,34 @@ def test_a_second_run_leaves_the_status_as_it_was(spark, tmp_path):
     assert sorted(map(tuple, status_over_runs(spark, out, sources).collect())) == before
 
 
+def test_what_repeats_in_a_run_counts_as_in_its_own_status(spark):
+    """Pages that share a URL fail each, and links that deliver a file of the same name are downloads each."""
+    sources = catalog_table(spark, [{"source_id": "s"}])
+    urls = [f"https://h/{n}/data.zip" for n in "ab"]
+    pages = spark.createDataFrame([("s", "https://h/", "".join(f"<a href='{u}'>" for u in urls))], "source_id STRING, url STRING, html STRING")
+    log = spark.createDataFrame([("s", u, u, "application/zip", None, 9, "x", 1, None) for u in urls], LOG)
+    page_log = spark.createDataFrame(
+        [("s", "p", 503, None), ("s", "p", 503, None), ("s", "p", None, "reset"), ("s", "q", 404, None)], "source_id STRING, url STRING, http_status INT, error STRING"
+    )
+    cached = spark.createDataFrame([("s", "c/s/old.zip", 4, bytearray(b"text"))], CACHE)
+    run = discover_layers(pages, sources, log, cached, page_log=page_log)
+    want = sorted(map(tuple, run.status.collect()))
+    assert want == [("s", 2, 2, 0, 5, 2, "success")]
+    parts = [
+        run_entries(run.links, run.downloads.limit(2 if n == 1 else 0), run.preserved, run.errors, str(n), F.lit(day(n)), "c") for n in (1, 2)
+    ]
+    merged = merge_entries(*parts)
+    assert sorted(map(tuple, merged_status(sources, merged).collect())) == want
+    assert sorted(map(tuple, merged_status(sources, merge_entries(merged, *parts)).collect())) == want
+
+
+def test_links_to_a_file_found_broken_since(spark):
+    rows = [("s", "fetch", "u1", "downloaded", "s/1", 1), ("s", "fetch", "u2", "downloaded", "s/1", 1), ("s", "cache", "s/1", "error", "s/1", 2)]
+    assert counts(spark, merge_entries(entries(spark, *rows)), "s") == {"s": (0, 0, 0, 1, "failed")}
+    anew = [*rows, ("s", "fetch", "u2", "downloaded", "s/1", 3)]
+    assert counts(spark, merge_entries(entries(spark, *anew)), "s") == {"s": (0, 1, 0, 0, "success")}
+
+
 def test_no_committed_run(spark, tmp_path):
     sources = catalog_table(spark, [{"source_id": "a"}])
     assert status_over_runs(spark, str(tmp_path / "none"), sources).select("status", F.col("errors")).collect() == [("failed", 0)]
