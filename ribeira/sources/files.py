@@ -17,8 +17,8 @@ def content_digest(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, sha256) per file; hashed in the JVM, file by file in parallel."""
+def file_digests(spark: SparkSession, path: str, glob: str = "*", *told: Column) -> DataFrame:
+    """(path, bytes, sha256) per file, and what else is ``told`` of its ``content``; hashed in the JVM, file by file in parallel."""
     return scan_files(spark, path, glob).select(
-        "path", F.col("length").alias("bytes"), content_digest(F.col("content")).alias("sha256")
+        "path", F.col("length").alias("bytes"), content_digest(F.col("content")).alias("sha256"), *told
     )

@@ -26,6 +26,7 @@ from ribeira.operators.quality import ExpectationError
 from ribeira.plans.layers import discover_layers
 from ribeira.sources.files import file_digests, scan_files
 from tests.test_links import catalog
+from workload import QUERIES
 
 
 def archive(*names):
@@ -63,6 +64,14 @@ def test_digests(spark, landed):
     assert scan_files(spark, str(landed), "*.zip").count() == 3
 
 
+def test_every_supplier_has_a_digest(spark, tmp_path):
+    rows = [(7, "Ann", 1), (-8, "B\nb;9", 1), (9, None, 1), (10, "Dé", 2)]
+    spark.createDataFrame(rows, "s_suppkey BIGINT, s_name STRING, s_nationkey INT").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["s_suppkey"]: (r["bytes"], r["sha256"]) for r in QUERIES["file_digest"](spark, str(tmp_path)).collect()}
+    lines = {key: f"{name};{nation};{key}\n".encode() for key, name, nation in rows if name}
+    assert got == {9: (None, None), **{key: (len(line), hashlib.sha256(line).hexdigest()) for key, line in lines.items()}}
+
+
 def test_checks(spark, landed):
     inspected = inspect_files(scan_files(spark, str(landed)))
     unseen = spark.createDataFrame([("absent.zip",), (f"file:{landed}/empty.csv",)], "path STRING")

@@ -120,20 +120,25 @@ def checks(spark, folder):
 @query(
     "file_digest",
     """
-SELECT s_nationkey, strlen(content) AS bytes, sha256(content) AS sha256 FROM (
-  SELECT s_nationkey, string_agg(s_name || ';' || s_nationkey || ';' || s_suppkey || chr(10), '' ORDER BY s_suppkey) AS content
-  FROM supplier GROUP BY s_nationkey)
+SELECT s_suppkey, strlen(line) + 1 AS bytes, sha256(line || chr(10)) AS sha256
+FROM (SELECT s_suppkey, s_name || ';' || s_nationkey || ';' || s_suppkey AS line FROM supplier)
 """,
 )
 def digests(spark, folder):
-    """The suppliers of each nation are written to a file, in order of their keys, and the files are scanned."""
+    """Each supplier is written to a file of its own, and the files are scanned. One that lacks a part of its line has no file.
+
+    Every task has one folder for all its files, which is renamed as a whole when the job commits; folders are listed in parallel.
+    """
     path = work_dir(spark, "suppliers")
-    line = F.concat_ws(";", "s_name", "s_nationkey", "s_suppkey").alias("value")
-    rows = table(spark, folder, "supplier").select("s_nationkey", "s_suppkey", line).repartition("s_nationkey")
-    rows.sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey").write.partitionBy("s_nationkey").text(path)
-    return file_digests(spark, path, "part-*").select(
-        F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("int").alias("s_nationkey"), "bytes", "sha256"
-    )
+    line = F.concat("s_name", F.lit(";"), "s_nationkey", F.lit(";"), "s_suppkey")
+    rows = table(spark, folder, "supplier").select("s_suppkey", line.alias("value"))
+    folders = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.filter("value IS NOT NULL").select("value", F.pmod(F.xxhash64("s_suppkey"), F.lit(folders)).alias("folder"))
+    dealt.repartition(folders, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    key = F.regexp_extract(F.col("content").cast("string"), ";(-?[0-9]+)\n$", 1).cast("bigint").alias("s_suppkey")
+    found = file_digests(spark, path, "part-*", key).drop("path")
+    absent = rows.filter("value IS NULL").select("s_suppkey", F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
+    return found.select("s_suppkey", "bytes", "sha256").union(absent)
 
 
 # A fetch of every document: type by language, extension by length. Each URL is tried twice, and
