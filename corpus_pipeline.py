@@ -28,8 +28,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by the similarity of their sets of five-word shingles (0.8 or more), the one of smallest id stays."""
-    return simhash.drop_similar(docs)
+    """Of each group of documents linked by their SimHash fingerprints (3 bits or fewer, as in ``op9_simhash``), or by the similarity of their
+    sets of five-word shingles (0.8 or more), the one of smallest id stays."""
+    return simhash.drop_similar(docs, distance=3)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -530,15 +530,24 @@ def similar_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> Da
     return meet(rows, int(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p))), block)
 
 
-def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
+def fingerprint_links(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
+    """``a, b``: the marks of texts and of those that name their components by fingerprint, as ``near_duplicates`` finds them."""
+    return grouped(docs, distance, width).select(F.col("mark").alias("a"), F.col("name.mark").alias("b")).where("a <> b").distinct()
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, distance: int | None = None) -> DataFrame:
     """The rows of ``docs`` that name their group, with all their columns: groups are linked by this Jaccard similarity or more of
     their sets of shingles. Agreeing bands of least hashes give candidates, so many that a pair of just this similarity is one with
-    the chance of ``recall``, whatever else is in the table; links are kept by the sets themselves.
+    the chance of ``recall``, whatever else is in the table; links are kept by the sets themselves. With a ``distance``, texts whose
+    fingerprints differ in that many bits at most are linked too, all of them, by the general pigeonhole principle.
     """
     prints = materialize(marked(docs).mapInArrow(_long_prints(width, bands_for(similarity, recall)), "doc_id long, mark long, fp binary, keys array<long>"), "long-prints")
     texts = materialize(prints.groupBy("mark").agg(F.min(own_name()).alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
     candidates = similar_links(texts.select(F.col("mark").alias("node"), "fp", "keys"), similarity)
-    member = components(exact_links(docs, texts, candidates, similarity, width))
+    linked = exact_links(docs, texts, candidates, similarity, width)
+    if distance is not None:
+        linked = linked.union(fingerprint_links(docs, distance))
+    member = components(linked)
     mapped = texts.join(member, texts.mark == member.node, "left").select("mark", "rep", F.coalesce("root", "mark").alias("root"))
     stay = materialize(mapped.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark")), "near")
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), mark_of(docs["text"]).alias("mark"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -208,3 +209,20 @@ def test_bands_do_not_depend_on_the_number_of_texts(documents):
     text = dict(rows)
     assert all(0.8 <= jaccard(text[d], text[d + 1]) < 0.81 for d in text if d % 2 == 0)
     assert sorted(r.doc_id for r in drop_similar(documents(rows)).collect()) == sorted(d for d in text if d % 2 == 0)
+
+
+def test_the_pipeline_links_by_fingerprints_and_by_sets(documents):
+    """A refrain settles the fingerprint of texts whose sets of shingles differ; both kinds of links make one chain."""
+    refrain = [f"r{i}" for i in range(21)] * 60
+    tails = {d: [f"t{d}x{i}" for i in range(60)] for d in (10, 20)}
+    rows = [(d, " ".join(refrain + tail)) for d, tail in tails.items()]
+    base = [f"b{i}" for i in range(300)]
+    rows += [(50, " ".join(base)), (51, " ".join(base[:-25] + [f"c{i}" for i in range(25)])), (60, "alone"), (61, "ALONE")]
+    text, bits = dict(rows), {d: slow_fingerprint(t) for d, t in rows}
+    assert jaccard(text[10], text[20]) < 0.5 and (bits[10] ^ bits[20]).bit_count() <= 3
+    assert jaccard(text[50], text[51]) > 0.8 and (bits[50] ^ bits[51]).bit_count() > 3
+    rows.append((5, " ".join(refrain + tails[20][:58] + ["new", "end"])))
+    assert jaccard(rows[-1][1], text[20]) >= 0.8
+    kept = corpus_pipeline.drop_near_copies(None, documents(rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == [5, 50, 60]
+    assert {r.doc_id for r in drop_near(documents(rows)).collect()} >= {50, 51}
