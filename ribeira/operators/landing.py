@@ -13,6 +13,7 @@ from ribeira.fixed import MAX_BYTES
 from ribeira.functions.urls import file_suffix
 from ribeira.operators.quality import unique_by
 from ribeira.operators.url_parts import PARTS, promises_data, split_url
+from ribeira.sources.files import content_parts
 
 ABSENT = "missing_or_empty"
 TRANSPORT_ERROR, HTTP_ERROR, NOT_FETCHED, NOT_READ = "transport_error", "http_error", "not_fetched", "not_read"
@@ -25,10 +26,11 @@ def inspect_files(files: DataFrame, limit: int | None = None, keep: Sequence[str
     """Files with what only their bytes tell: ``is_zip``, ``is_json``, archive ``members`` and their ``member_count``.
 
     ``files`` has (path, length, content). What makes a ZIP archive or a JSON text is taken from
-    Python's own modules, so this is an Arrow pass over the file rows, one record batch at a time.
+    Python's own modules, so this is an Arrow pass over the file rows, about a megabyte of contents at a time.
     Only contents that end like an archive, or have a JSON suffix, are sent there. ``is_json`` is
     worked out for JSON suffixes only. All members are listed; with a ``limit``, the count is still of all.
     """
+    cut = content_parts()
     suffix, content = file_suffix(F.col("path")), F.col("content")
     archive_end = F.contains(F.substring(content, -ARCHIVE_END_BYTES, ARCHIVE_END_BYTES), F.lit(ARCHIVE_END))
     wanted = F.when(archive_end | suffix.isin(*JSON_SUFFIXES), content).alias("content")
@@ -68,7 +70,7 @@ def inspect_files(files: DataFrame, limit: int | None = None, keep: Sequence[str
                 return False
             return True
 
-        for batch in batches:
+        for batch in cut(batches):
             suffixes = batch.column("suffix").to_pylist()
             is_zip, is_json, members, counts = [], [], [], []
             for suffix, content in zip(suffixes, batch.column("content")):

@@ -4,6 +4,7 @@ import hashlib
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from ribeira.operators.landing import (
 )
 from ribeira.operators.quality import ExpectationError
 from ribeira.plans.layers import discover_layers
-from ribeira.sources.files import file_digests, scan_files
+from ribeira.sources.files import content_parts, file_digests, scan_files
 from tests.test_links import catalog
 from workload import QUERIES
 
@@ -72,6 +73,14 @@ def test_every_supplier_has_a_digest(spark, tmp_path):
     assert got == {9: (None, None), **{key: (len(line), hashlib.sha256(line).hexdigest()) for key, line in lines.items()}}
 
 
+def test_contents_are_taken_up_in_parts():
+    contents = [b"x" * n for n in (0, 300, 900, 50, 50)] + [None, b"y" * 5000, b"", b"z" * 999, b"z", b"z"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], names=["content"]) for part in (contents, [], [None], contents[::-1])]
+    got = [part.column(0).to_pylist() for part in content_parts(1000)(batches)]
+    assert sum(got, []) == contents + [None] + contents[::-1]
+    assert all(len(part) == 1 or sum(len(c or b"") for c in part) <= 1000 for part in got) and len(got) == 11
+
+
 def test_checks(spark, landed):
     inspected = inspect_files(scan_files(spark, str(landed)))
     unseen = spark.createDataFrame([("absent.zip",), (f"file:{landed}/empty.csv",)], "path STRING")

@@ -24,7 +24,7 @@ from ribeira.operators.landing import (
     source_status,
 )
 from ribeira.session import work_dir
-from ribeira.sources.files import file_digests
+from ribeira.sources.files import content_parts, file_digests
 from workload.registry import query, table
 
 # What a document lands as: an archive of its lines, and besides, by its length, text that only claims to be one, JSON,
@@ -42,7 +42,11 @@ def forms() -> Column:
 
 
 def packed(files: DataFrame) -> DataFrame:
-    """Files with their ``length``; where ``pack`` is set, the content becomes an archive of its lines. Other columns stay."""
+    """Files with their ``length``; where ``pack`` is set, the content becomes an archive of its lines. Other columns stay.
+
+    A batch of rows is packed and given on part by part, so that a worker holds little besides the batch it was sent.
+    """
+    cut = content_parts()
     others = [field for field in files.schema if field.name not in ("pack", "content")]
 
     def pack_lines(batches):
@@ -51,7 +55,7 @@ def packed(files: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in cut(batches):
             contents = []
             for pack, content in zip(batch.column("pack").to_pylist(), batch.column("content").to_pylist()):
                 if pack:
