@@ -52,6 +52,13 @@ def test_extraction_needs_no_shuffle(spark):
         assert exchanges == 0 or name == "landing_accepted"
 
 
+def test_manifest_texts_come_by_source(spark):
+    """The parser pays for every id that is new to it, so line items are sorted by supplier, and dealt out evenly, before they become texts."""
+    text = plan(spark, "manifest_flatten")
+    sorts = re.findall(r"Sort \[([^\]]*)\], true", text[text.index("to_json") if "to_json" in text else text.index("StructsToJson") :])
+    assert len(sorts) == 1 and re.findall(r"l_\w+", sorts[0]) == ["l_suppkey", "l_orderkey", "l_linenumber"]
+
+
 @pytest.mark.parametrize("name", ["links_union", "rank_links"])
 def test_page_texts_are_not_shuffled(spark, name):
     """Even without broadcasts, joins come after links have been taken out of the pages."""

@@ -22,7 +22,10 @@ def flatten(spark, folder):
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """One manifest text per line item: its supplier as the source, the line as a download."""
+    """One manifest text per line item: its supplier as the source, the line as a download.
+
+    The texts come by source, as ``manifest_sources`` reads them best; order and line are sort keys too, so that a large supplier is split.
+    """
     path = F.concat_ws("/", F.lit("raw"), "l_orderkey", F.concat("l_linenumber", F.lit(".zip")))
     download = F.struct(
         F.concat(F.lit("https://files.example/"), path).alias("url"),
@@ -38,7 +41,7 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", F.array(download)).otherwise(F.array()).alias("downloads"),
     )
     source = F.concat(F.lit("supplier_"), "l_suppkey")
-    return table(spark, folder, "lineitem").select(
+    return table(spark, folder, "lineitem").sort("l_suppkey", "l_orderkey", "l_linenumber").select(
         F.to_json(F.struct(F.lit("2026-01-01").alias("generated_at_utc"), F.create_map(source, record).alias("sources"))).alias("value")
     )
 
