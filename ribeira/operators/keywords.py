@@ -51,25 +51,39 @@ def keyword_join(links: DataFrame, keywords: DataFrame, url: str = "url", term:
 
     ``keywords`` has (source_id, term), any number of rows, and may repeat itself. Terms are compared as they stand, so one with a
     capital is never found; the empty term is part of every URL. Rows without source or URL, and null terms, match nothing; equal rows of
-    ``links`` each give their own rows. ``links`` is read twice, once for the counts of grams.
-
-    The optimizer does not know that a URL becomes many rows here, and could broadcast them. So this is an outer join, in which only the index can be
-    broadcast, if it is under the session's threshold, and unmatched rows are filtered right behind it by a condition that the optimizer does
-    not look into. A gram of a large source may be a hot key: adaptive execution splits its side of URLs.
+    ``links`` each give their own rows. Terms are looked for once per distinct URL of a source, and what was found is joined to the rows. ``links`` is
+    read three times: for the counts of grams, for the search, and for the rows.
     """
     for name in (term, times):
         if name.lower() in (c.lower() for c in links.columns):
             raise ValueError(f"links already have a column {name}")
-    index = keyword_index(links, keywords, url).withColumnsRenamed({"source_id": "__source", "__gram": "__key"})
-    grams = _text_grams(links, F.lower(url))
+    known = links.filter(F.col("source_id").isNotNull() & F.col(url).isNotNull())
+    found = _found(known.select("source_id", url).distinct(), keywords, url)
+    rows = _matched(known.join(found, ["source_id", url], "left"))
+    return rows.select(*links.columns, F.col("__term").alias(term), F.col("__times").alias(times))
+
+
+def _found(urls: DataFrame, keywords: DataFrame, url: str = "url") -> DataFrame:
+    """(source_id, url, __term, __times) of distinct URLs.
+
+    The optimizer does not know that a URL becomes many rows here, and could broadcast them. So this is an outer join, in which only the index can be
+    broadcast, if it is under the session's threshold, and unmatched rows are filtered right behind it by a condition that the optimizer does
+    not look into. A gram of a large source may be a hot key: adaptive execution splits its side of URLs. What was found meets its rows likewise.
+    """
+    index = keyword_index(urls, keywords, url).withColumnsRenamed({"source_id": "__source", "__gram": "__key"})
+    grams = _text_grams(urls, F.lower(url))
     part = F.contains(F.lower(url), F.col("__term"))
     met = grams.join(index, (F.col("source_id") == F.col("__source")) & (F.col("__gram") == F.col("__key")) & part, "left")
-    found = F.when(F.spark_partition_id() >= 0, F.col("__term").isNotNull())
-    return met.filter(found).select(*links.columns, F.col("__term").alias(term), F.col("__times").alias(times))
+    return _matched(met).select("source_id", url, "__term", "__times")
+
+
+def _matched(met: DataFrame) -> DataFrame:
+    """The rows of an outer join that found a term."""
+    return met.filter(F.when(F.spark_partition_id() >= 0, F.col("__term").isNotNull()))
 
 
 def count_terms(links: DataFrame, keywords: DataFrame, name: str) -> DataFrame:
     """``links`` with the number of entries of ``keywords`` that each one's URL contains, 0 where there are none."""
-    found = keyword_join(links.select("source_id", "url").distinct(), keywords, times="__times_listed")
-    counted = found.groupBy("source_id", "url").agg(F.sum("__times_listed").cast("int").alias(name))
+    found = _found(links.select("source_id", "url").distinct(), keywords)
+    counted = found.groupBy("source_id", "url").agg(F.sum("__times").cast("int").alias(name))
     return links.join(counted, ["source_id", "url"], "left").select(*links.columns, F.coalesce(name, F.lit(0)).alias(name))

@@ -1,6 +1,7 @@
 """Keyword tables joined by rare grams, against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,18 @@ def test_many_terms(spark):
     assert keyword_index(links, terms).count() <= n
 
 
+def test_copies_of_a_url_are_searched_once(spark):
+    """Terms are looked for in distinct URLs, so the work does not grow with copies; each row still gets its own results."""
+    rows = [("a", "https://h/x.zip", i) for i in range(300)] + [("b", "https://h/x.zip", 0), ("a", "https://h/y.zip", 0), ("a", None, 0)]
+    terms = [("a", "zip"), ("a", "x.z"), ("a", ""), ("b", "zip"), (None, "zip")]
+    assert joined(spark, rows, terms) == brute(rows, terms)
+    got = keyword_join(spark.createDataFrame(rows, LINKS), spark.createDataFrame(terms, TERMS))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    searched = [i for i, line in enumerate(plan) if re.search(r"Generate explode\(array_distinct\(concat\(", line)]
+    assert len(searched) == 2
+    assert all(re.search(r"Aggregate \[source_id#\d+, url#\d+\], ", plan[i + 1]) for i in searched)
+
+
 def test_clashing_names_raise(spark):
     links = spark.createDataFrame([("a", "u", 1)], "source_id STRING, url STRING, Term INT")
     with pytest.raises(ValueError, match="term"):
